@@ -1,0 +1,40 @@
+"""Slide decks: the text of each shape, slide by slide."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from xml.etree import ElementTree as ET
+
+from parchmill.formats.opc import Package, local
+
+
+def _children(e: ET.Element, *names: str) -> list[ET.Element]:
+    return [c for c in e if local(c.tag) in names]
+
+
+def _paragraph_text(paragraph: ET.Element) -> str:
+    out = []
+    for e in _children(paragraph, "r", "fld", "br"):
+        if local(e.tag) == "br":
+            out.append("\v")
+        else:
+            out.extend(t.text or "" for t in _children(e, "t"))
+    return "".join(out)
+
+
+def shape_texts(package: Package) -> Iterator[tuple[int, int, str]]:
+    """(slide, shape, text); pictures, tables, groups and connectors have no text."""
+    slide_ids = [
+        e
+        for group in _children(package.xml(package.main), "sldIdLst")
+        for e in _children(group, "sldId")
+    ]
+    for slide_no, (_, part) in enumerate(package.by_relation(package.main, slide_ids)):
+        tree = next(e for e in package.xml(part).iter() if local(e.tag) == "spTree")
+        for shape_no, shape in enumerate(_children(tree, "sp")):
+            lines = [
+                _paragraph_text(p)
+                for body in _children(shape, "txBody")
+                for p in _children(body, "p")
+            ]
+            yield slide_no, shape_no, "\n".join(lines)

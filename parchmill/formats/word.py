@@ -1,0 +1,53 @@
+"""Word documents: the text of each paragraph of the body."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from xml.etree import ElementTree as ET
+
+from parchmill.formats.opc import Package, local
+
+
+def _run_text(run: ET.Element) -> str:
+    out = []
+    for e in run:
+        name = local(e.tag)
+        if name == "t":
+            out.append(e.text or "")
+        elif name in ("tab", "ptab"):
+            out.append("\t")
+        elif name == "noBreakHyphen":
+            out.append("-")
+        elif name == "cr":
+            out.append("\n")
+        elif name == "br":
+            kinds = [v for k, v in e.attrib.items() if local(k) == "type"]
+            out.append("\n" if not kinds or kinds[0] == "textWrapping" else "")
+    return "".join(out)
+
+
+def _paragraph_text(paragraph: ET.Element) -> str:
+    out = []
+    for e in paragraph:
+        if local(e.tag) == "r":
+            out.append(_run_text(e))
+        elif local(e.tag) == "hyperlink":
+            out.extend(_run_text(r) for r in e if local(r.tag) == "r")
+    return "".join(out)
+
+
+def paragraphs(package: Package) -> Iterator[str]:
+    """Paragraphs that stand directly in the body; tables and boxes are left out."""
+    depth, path = 0, []
+    with package.open(package.main) as part:
+        for event, e in ET.iterparse(part, ("start", "end")):
+            if event == "start":
+                path.append(local(e.tag))
+                depth += 1
+                continue
+            path.pop()
+            depth -= 1
+            if depth == 2 and path == ["document", "body"]:
+                if local(e.tag) == "p":
+                    yield _paragraph_text(e)
+                e.clear()

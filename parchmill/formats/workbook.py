@@ -1,0 +1,179 @@
+"""Workbooks: typed cell values, row by row, read as a stream."""
+
+from __future__ import annotations
+
+import datetime as dt
+import re
+from collections.abc import Iterator
+from typing import Any
+from xml.etree import ElementTree as ET
+
+from parchmill.formats.opc import Package, local
+
+# Built-in number formats that show dates or times.
+_BUILTIN_DATES = {14, 15, 16, 17, 18, 19, 20, 21, 22, 45, 46, 47}
+_REF = re.compile(r"([A-Z]+)([0-9]+)")
+_NOT_DATE_CODE = re.compile(r"\[[^\]]*\]|\"[^\"]*\"|[\\_*].")
+_ELAPSED = re.compile(r"\[(h+|m+|s+)\]", re.I)
+_FORMULA_REF = re.compile(r"(\$?)\b([A-Z]{1,3})(\$?)([0-9]+)\b(?![(!])")
+
+
+def _column_number(letters: str) -> int:
+    n = 0
+    for c in letters:
+        n = n * 26 + ord(c) - 64
+    return n
+
+
+def _column_letters(n: int) -> str:
+    out = ""
+    while n:
+        n, rest = divmod(n - 1, 26)
+        out = chr(65 + rest) + out
+    return out
+
+
+def _position(ref: str) -> tuple[int, int]:
+    letters, digits = _REF.fullmatch(ref.replace("$", "")).groups()
+    return int(digits), _column_number(letters)
+
+
+def _rich_text(e: ET.Element) -> str:
+    """Text of a string item: its own or that of its runs, without phonetics."""
+    parts = [t for c in e for t in ([c] if local(c.tag) == "t" else c if local(c.tag) == "r" else [])]
+    return "".join(t.text or "" for t in parts if local(t.tag) == "t")
+
+
+class Workbook:
+    """`formulas` gives cells with a formula as that formula, otherwise as the
+    result stored with it."""
+
+    def __init__(self, package: Package, formulas: bool):
+        self.package, self.formulas = package, formulas
+        main = package.xml(package.main)
+        sheets = [e for g in main if local(g.tag) == "sheets" for e in g]
+        self.sheets = [
+            (s.get("name"), kind, part)
+            for s, (kind, part) in zip(sheets, package.by_relation(package.main, sheets))
+        ]
+        props = [e for e in main if local(e.tag) == "workbookPr"]
+        mac = bool(props) and props[0].get("date1904") in ("1", "true")
+        self.day_zero = dt.datetime(1904, 1, 1) if mac else dt.datetime(1899, 12, 30)
+        parts = dict(package.relations(package.main).values())
+        self.strings = self._shared_strings(parts.get("sharedStrings"))
+        self.dates, self.durations = self._date_styles(parts.get("styles"))
+
+    def _shared_strings(self, part: str | None) -> list[str]:
+        if part is None:
+            return []
+        out = []
+        with self.package.open(part) as source:
+            for _, e in ET.iterparse(source):
+                if local(e.tag) == "si":
+                    out.append(_rich_text(e))
+                    e.clear()
+        return out
+
+    def _date_styles(self, part: str | None) -> tuple[set[int], set[int]]:
+        """Indexes of the cell styles that show a date, and those that show a duration."""
+        if part is None:
+            return set(), set()
+        tree = self.package.xml(part)
+        codes = {
+            int(e.get("numFmtId")): e.get("formatCode").split(";")[0]
+            for g in tree
+            if local(g.tag) == "numFmts"
+            for e in g
+        }
+        durations_by_code = {n for n, code in codes.items() if _ELAPSED.search(code)} | {46}
+        dates_by_code = {
+            n for n, code in codes.items() if re.search("[dmhys]", _NOT_DATE_CODE.sub("", code), re.I)
+        }
+        dates_by_code |= (_BUILTIN_DATES - set(codes)) | durations_by_code
+        styles = [e for g in tree if local(g.tag) == "cellXfs" for e in g]
+        used = [int(e.get("numFmtId") or 0) for e in styles]
+        return (
+            {i for i, n in enumerate(used) if n in dates_by_code},
+            {i for i, n in enumerate(used) if n in durations_by_code},
+        )
+
+    def _date(self, serial: float, style: int) -> Any:
+        if style in self.durations:
+            return dt.timedelta(milliseconds=round(serial * 86_400_000))
+        days, fraction = divmod(serial, 1)
+        clock = dt.timedelta(milliseconds=round(fraction * 86_400_000))
+        if days == 0 and clock.days == 0:
+            return (dt.datetime.min + clock).time()
+        if 0 < serial < 60 and self.day_zero.year == 1899:
+            days += 1  # the calendar of this format has a 29 February 1900
+        return self.day_zero + dt.timedelta(days=days) + clock
+
+    def _value(self, cell: ET.Element, at: tuple[int, int], shared: dict) -> Any:
+        kids = {local(c.tag): c for c in cell}
+        if self.formulas and "f" in kids:
+            return self._formula(kids["f"], at, shared)
+        kind = cell.get("t", "n")
+        if kind == "inlineStr":
+            return _rich_text(kids["is"]) if "is" in kids else None
+        text = kids["v"].text if "v" in kids else None
+        if text is None:
+            return None
+        if kind == "s":
+            return self.strings[int(text)]
+        if kind == "b":
+            return bool(int(text))
+        if kind == "d":
+            return dt.datetime.fromisoformat(text)
+        if kind == "n":
+            number = float(text) if re.search("[.eE]", text) else int(text)
+            style = int(cell.get("s") or 0)
+            return self._date(number, style) if style in self.dates else number
+        return text
+
+    def _formula(self, f: ET.Element, at: tuple[int, int], shared: dict) -> str:
+        text = "=" + (f.text or "")
+        if f.get("t") != "shared":
+            return text
+        first, origin = shared.setdefault(f.get("si"), (text, at))
+        down, right = at[0] - origin[0], at[1] - origin[1]
+
+        def moved(m: re.Match) -> str:
+            column = m[2] if m[1] else _column_letters(_column_number(m[2]) + right)
+            row = m[4] if m[3] else str(int(m[4]) + down)
+            return f"{m[1]}{column}{m[3]}{row}"
+
+        return _FORMULA_REF.sub(moved, first)
+
+    def rows(self, part: str, clip: bool) -> Iterator[tuple[int, list[tuple[int, Any]]]]:
+        """(row, [(column, value)]), both from 1, gaps between rows filled with
+        empty rows. `clip` leaves out what lies outside the sheet's stated size."""
+        last_row = last_column = float("inf")
+        row_no = column_no = done = 0
+        cells: list[tuple[int, Any]] = []
+        holder, shared = None, {}
+        with self.package.open(part) as source:
+            for event, e in ET.iterparse(source, ("start", "end")):
+                name = local(e.tag)
+                if event == "start":
+                    if name == "sheetData":
+                        holder = e
+                    elif name == "row":
+                        row_no = int(e.get("r") or row_no + 1)
+                        column_no, cells = 0, []
+                elif name == "dimension" and clip:
+                    last_row, last_column = _position(e.get("ref").rpartition(":")[2])
+                elif name == "c":
+                    column_no = _position(e.get("r"))[1] if e.get("r") else column_no + 1
+                    value = self._value(e, (row_no, column_no), shared)
+                    if value is not None and column_no <= last_column:
+                        cells.append((column_no, value))
+                    e.clear()
+                elif name == "row":
+                    holder.clear()
+                    if row_no > last_row:
+                        return
+                    for gap in range(done + 1, row_no):
+                        yield gap, []
+                    if row_no > done:
+                        yield row_no, cells
+                        done = row_no
