@@ -109,6 +109,7 @@ class _Document:
             raise ValueError("not a PDF file")
         self.streams: dict[int, bytes] = {}
         self.objects: dict[int, Any] = {}
+        self.text_maps: dict[int, dict[bytes, str]] = {}
         for m in _OBJECT.finditer(data):
             end, value = next(_values(data, m.end()), (m.end(), None))
             self.objects[int(m[1])] = value
@@ -177,29 +178,33 @@ class _Document:
         return "".join(out)
 
     def _font_map(self, font: dict) -> tuple[int, dict[bytes, str]]:
-        """(bytes per code, code -> text) from the font's ToUnicode table."""
+        """(bytes per code, code -> text) of a font."""
         ref = font.get("ToUnicode")
+        if isinstance(ref, Ref) and ref not in self.text_maps:
+            self.text_maps[ref] = dict(self._text_map(self.stream(ref)))
         width = 2 if font.get("Subtype") == "Type0" else 1
-        table: dict[bytes, str] = {}
+        return width, self.text_maps.get(ref, {}) if isinstance(ref, Ref) else {}
+
+    def _text_map(self, data: bytes) -> Iterator[tuple[bytes, str]]:
+        def text(code: bytes) -> str:
+            return code.decode("utf-16-be", "surrogatepass")
+
         pending: list = []
-        for _, v in _values(self.stream(ref)) if isinstance(ref, Ref) else ():
+        for _, v in _values(data):
             if not isinstance(v, Word):
                 pending.append(v)
                 continue
             if v == b"endbfchar":
-                table.update((c, t.decode("utf-16-be")) for c, t in zip(pending[::2], pending[1::2]))
+                yield from ((c, text(t)) for c, t in zip(pending[::2], pending[1::2]))
             elif v == b"endbfrange":
                 for low, high, to in zip(pending[::3], pending[1::3], pending[2::3]):
-                    first, n = int.from_bytes(low), int.from_bytes(high) - int.from_bytes(low) + 1
-                    for k in range(n):
-                        if isinstance(to, list):
-                            text = to[k]
-                        else:
-                            text = (int.from_bytes(to) + k).to_bytes(len(to))
-                        code = (first + k).to_bytes(len(low))
-                        table[code] = text.decode("utf-16-be", "surrogatepass")
+                    first = int.from_bytes(low)
+                    for k in range(int.from_bytes(high) - first + 1):
+                        one = to[k] if isinstance(to, list) else (
+                            int.from_bytes(to) + k
+                        ).to_bytes(len(to))
+                        yield (first + k).to_bytes(len(low)), text(one)
             pending = []
-        return width, table
 
     def _draw(self, data: bytes, maps: dict, out: list[str]) -> None:
         width, table, args = 1, {}, []

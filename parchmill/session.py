@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -49,3 +51,18 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new, unused path below the shared folder."""
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def ship_package(spark: SparkSession, *folders: str) -> None:
+    """Send this package (and further ones by folder) to every executor, once per
+    session. Not needed where executors have it installed."""
+    done = f"parchmill.shipped.{spark.sparkContext.applicationId}"
+    if spark.conf.get(done, None):
+        return
+    target = Path(tempfile.mkdtemp(prefix="parchmill-ship-")) / "parchmill_code.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for root in (Path(__file__).parent, *map(Path, folders)):
+            for file in sorted(root.rglob("*.py")):
+                z.write(file, file.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(target))
+    spark.conf.set(done, "true")

@@ -4,7 +4,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from builders import cell, docx, page, paragraph, pdf, pptx, row, shape, xlsx
+from checks.builders import cell, docx, page, paragraph, pdf, pptx, row, shape, xlsx
 from parchmill.operators import extract
 from parchmill.operators.extract import document_elements, extract_texts, parse_documents
 from parchmill.plans.extract_tree import TooManyErrors, extract_tree, run_extraction
