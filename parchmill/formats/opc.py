@@ -14,12 +14,20 @@ def local(tag: str) -> str:
 
 
 class Package:
-    def __init__(self, source: BinaryIO):
+    """`root` is the tag the main part must have, so that a slide deck under the
+    name of a Word document is an error and not an empty text."""
+
+    def __init__(self, source: BinaryIO, root: str):
         self.zip = zipfile.ZipFile(source)
         self.names = set(self.zip.namelist())
-        self.main = next(
-            t for kind, t in self.relations("").values() if kind == "officeDocument"
-        )
+        mains = [t for kind, t in self.relations("").values() if kind == "officeDocument"]
+        if not mains:
+            raise ValueError("no main part")
+        self.main = mains[0]
+        with self.open(self.main) as part:
+            found = local(next(ET.iterparse(part, ("start",)))[1].tag)
+        if found != root:
+            raise ValueError(f"main part is a {found}, not a {root}")
 
     def open(self, part: str) -> BinaryIO:
         return self.zip.open(part)

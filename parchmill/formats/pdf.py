@@ -28,6 +28,7 @@ _TOKEN = re.compile(
     rb"|(?P<word>[^%s()<>\[\]{}/%%]+|[{})])" % (_SPACE, _SPACE, _SPACE, _SPACE)
 )
 _OBJECT = re.compile(rb"(?<![0-9])([0-9]+)[%s]+[0-9]+[%s]+obj\b" % (_SPACE, _SPACE))
+_IMAGE_END = re.compile(rb"[%s]EI(?=[%s]|\Z)" % (_SPACE, _SPACE))
 _ESCAPE = re.compile(rb"\\(\r\n|[0-7]{1,3}|.)", re.S)
 # The letters that may follow a backslash in a text string.
 _ESCAPED = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
@@ -67,7 +68,11 @@ def _text_end(data: bytes, at: int) -> int:
 def _values(data: bytes, at: int = 0) -> Iterator[tuple[int, Any]]:
     """(end, value) of each top-level value or word."""
     stack: list[list] = [[]]
-    while at < len(data) and (m := _TOKEN.match(data, at)):
+    while at < len(data):
+        m = _TOKEN.match(data, at)
+        if m is None:  # a stray delimiter
+            at += 1
+            continue
         at = m.end()
         if m.lastgroup is None:
             continue
@@ -88,6 +93,9 @@ def _values(data: bytes, at: int = 0) -> Iterator[tuple[int, Any]]:
         elif m.lastgroup == "text":
             end = _text_end(data, at)
             value, at = _ESCAPE.sub(_unescape, data[at : end - 1]), end
+        elif found == b"ID":  # the bytes of an inline image follow
+            end = _IMAGE_END.search(data, at)
+            value, at = Word(found), end.end() if end else len(data)
         elif found == b"R" and len(stack[-1]) >= 2:
             stack[-1].pop()
             value = Ref(stack[-1].pop())
@@ -166,15 +174,13 @@ class _Document:
             yield from self.pages(self.get(kid), here)
 
     def page_text(self, page: dict) -> str:
-        fonts = self.get((self.get(page.get("Resources")) or {}).get("Font")) or {}
-        maps = {name: self._font_map(self.get(font) or {}) for name, font in fonts.items()}
         refs = [page.get("Contents")]
         if isinstance(self.get(refs[0]), list):
             refs = self.items(refs[0])
+        # The parts of a page's content are one stream.
+        content = b"\n".join(self.stream(r) for r in refs if isinstance(r, Ref))
         out: list[str] = []
-        for ref in refs:
-            if isinstance(ref, Ref):
-                self._draw(self.stream(ref), maps, out)
+        self._draw(content, self.get(page.get("Resources")) or {}, out, ())
         return "".join(out)
 
     def _font_map(self, font: dict) -> tuple[int, dict[bytes, str]]:
@@ -206,7 +212,10 @@ class _Document:
                         yield (first + k).to_bytes(len(low)), text(one)
             pending = []
 
-    def _draw(self, data: bytes, maps: dict, out: list[str]) -> None:
+    def _draw(self, data: bytes, resources: dict, out: list[str], inside: tuple) -> None:
+        fonts = self.get(resources.get("Font")) or {}
+        maps = {name: self._font_map(self.get(font) or {}) for name, font in fonts.items()}
+        forms = self.get(resources.get("XObject")) or {}
         width, table, args = 1, {}, []
 
         def show(text: bytes) -> None:
@@ -226,7 +235,12 @@ class _Document:
                 width, table = maps.get(args[0], (1, {}))
             elif v in (b"'", b'"', b"T*") or (v in (b"Td", b"TD") and args[-1:] != [0]):
                 new_line()
-            if v in (b"Tj", b"'", b'"') and args:
+            if v == b"Do" and args and isinstance(ref := forms.get(args[0]), Ref):
+                form = self.get(ref)
+                if form.get("Subtype") == "Form" and ref not in inside:
+                    own = self.get(form.get("Resources")) or resources
+                    self._draw(self.stream(ref), own, out, (*inside, ref))
+            elif v in (b"Tj", b"'", b'"') and args:
                 show(args[-1])
             elif v == b"TJ" and args:
                 for piece in args[-1]:

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import io
 import os
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import BinaryIO
 
 import pyarrow.fs as pafs
 
 # URI schemes of Hadoop connectors and what Arrow calls them.
 _SCHEMES = {"s3a": "s3", "s3n": "s3"}
+# Files up to this size are read at once; of larger ones only what is asked for.
+_READ_AT_ONCE = 256 << 20
 
 
 @lru_cache(maxsize=64)
@@ -29,6 +33,15 @@ def resolve(uri: str) -> tuple[pafs.FileSystem, str]:
     return fs, f"{base.rstrip('/')}/{path}"
 
 
+def open_file(uri: str) -> BinaryIO:
+    fs, path = resolve(uri)
+    file = fs.open_input_file(path)
+    if file.size() > _READ_AT_ONCE:
+        return file
+    with file:
+        return io.BytesIO(file.read())
+
+
 def qualified(uri: str) -> str:
     """The form in which Spark's file sources report a path."""
     fs, path = resolve(uri)

@@ -38,6 +38,12 @@ def _position(ref: str) -> tuple[int, int]:
     return int(digits), _column_number(letters)
 
 
+def _iso(text: str) -> dt.datetime | dt.date | dt.time:
+    if "-" not in text:
+        return dt.time.fromisoformat(text)
+    return dt.datetime.fromisoformat(text) if ":" in text else dt.date.fromisoformat(text)
+
+
 def _rich_text(e: ET.Element) -> str:
     """Text of a string item: its own or that of its runs, without phonetics."""
     parts = [t for c in e for t in ([c] if local(c.tag) == "t" else c if local(c.tag) == "r" else [])]
@@ -55,6 +61,7 @@ class Workbook:
         self.sheets = [
             (s.get("name"), kind, part)
             for s, (kind, part) in zip(sheets, package.by_relation(package.main, sheets))
+            if part in package.names
         ]
         props = [e for e in main if local(e.tag) == "workbookPr"]
         mac = bool(props) and props[0].get("date1904") in ("1", "true")
@@ -70,7 +77,8 @@ class Workbook:
         with self.package.open(part) as source:
             for _, e in ET.iterparse(source):
                 if local(e.tag) == "si":
-                    out.append(_rich_text(e))
+                    # Fixed value: the escape of an escape sign in shared strings.
+                    out.append(_rich_text(e).replace("x005F_", ""))
                     e.clear()
         return out
 
@@ -123,11 +131,16 @@ class Workbook:
         if kind == "b":
             return bool(int(text))
         if kind == "d":
-            return dt.datetime.fromisoformat(text)
+            return _iso(text.removesuffix("Z"))
         if kind == "n":
             number = float(text) if re.search("[.eE]", text) else int(text)
             style = int(cell.get("s") or 0)
-            return self._date(number, style) if style in self.dates else number
+            if style not in self.dates:
+                return number
+            try:
+                return self._date(number, style)
+            except (OverflowError, ValueError):  # outside the calendar
+                return "#VALUE!"
         return text
 
     def _formula(self, f: ET.Element, at: tuple[int, int], shared: dict) -> str:

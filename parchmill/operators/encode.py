@@ -118,18 +118,13 @@ def _encode_by_join(
 ) -> DataFrame:
     """The same for a vocabulary too large to ship to every task.
 
-    The rows are written once, so that the row numbers stay the same if a task
-    runs again. Frequent words are spread over salts. A group in the last step
+    The rows are written once with their numbers, so that the numbers stay the
+    same if a task runs again. Frequent words are spread over salts. A group in the last step
     is one text cut to `length` words, so it is bounded.
     """
     path = scratch_path(spark, "encode")
-    df.write.parquet(path)
-    numbered = spark.read.schema(df.schema).parquet(path).withColumn(
-        "_row", F.monotonically_increasing_id()
-    )
-    kept_path = scratch_path(spark, "encode-numbered")
-    numbered.write.parquet(kept_path)
-    kept = spark.read.parquet(kept_path)
+    df.withColumn("_row", F.monotonically_increasing_id()).write.parquet(path)
+    kept = spark.read.parquet(path)
 
     salt = F.pmod(F.col("_row") + F.col("_pos"), F.lit(_SALTS)).cast("int")
     tokens = kept.select("_row", F.posexplode(words(F.col(text), length)).alias("_pos", "token"))

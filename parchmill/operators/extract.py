@@ -25,6 +25,9 @@ from parchmill.operators.route import UNSUPPORTED, route
 # A text longer than this goes on in a further row of the same path.
 SEGMENT_CHARS = 16_000_000
 SEGMENT_ELEMENTS = 1_000_000
+# What Python hands back at a time.
+_BATCH_ROWS = 64
+_BATCH_ELEMENTS = 20_000
 
 Element = tuple  # part_no, part_name, row_no, cell_no, text, keep
 
@@ -56,12 +59,12 @@ _PARSED_DDL = (
 
 
 def _word(source: BinaryIO) -> Iterator[Element]:
-    for i, text in enumerate(word.paragraphs(Package(source))):
+    for i, text in enumerate(word.paragraphs(Package(source, "document"))):
         yield i, None, None, None, text, True
 
 
 def _slides(source: BinaryIO) -> Iterator[Element]:
-    for slide_no, shape_no, text in slides.shape_texts(Package(source)):
+    for slide_no, shape_no, text in slides.shape_texts(Package(source, "presentation")):
         yield slide_no, None, shape_no, None, text, True
 
 
@@ -71,9 +74,9 @@ def _pdf(source: BinaryIO) -> Iterator[Element]:
 
 
 def _workbook(source: BinaryIO) -> Iterator[Element]:
-    book = Workbook(Package(source), formulas=True)
+    book = Workbook(Package(source, "workbook"), formulas=True)
     for sheet_no, (name, kind, part) in enumerate(book.sheets):
-        if kind != "worksheet":
+        if kind == "chartsheet":
             raise ValueError(f"sheet {name!r} is a {kind} and has no rows")
         for row_no, cells in book.rows(part, clip=True):
             for column_no, value in cells:
@@ -101,14 +104,9 @@ def _segments(elements: Iterator[Element]) -> Iterator[list[Element]]:
     yield piece
 
 
-def _parse_one(path: str, kind: str, content: bytes | None) -> list[tuple]:
+def _parse_one(path: str, kind: str, content: pa.Buffer | None) -> list[tuple]:
     try:
-        if content is not None:
-            source: BinaryIO = io.BytesIO(content)
-        else:
-            fs, name = storage.resolve(path)
-            source = fs.open_input_file(name)
-        with source:
+        with io.BytesIO(content) if content is not None else storage.open_file(path) as source:
             done = "ok_basic" if kind == "pdf" and pdf.pypdf is None else "ok"
             pieces = list(_segments(PARSERS[kind](source)))
         return [
@@ -120,6 +118,8 @@ def _parse_one(path: str, kind: str, content: bytes | None) -> list[tuple]:
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [f.name for f in _ELEMENT]
+    rows: list[dict] = []
+    n_elements = 0
     for batch in batches:
         for path, kind, content in zip(
             batch.column("path").to_pylist(),
@@ -130,10 +130,14 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for row in _parse_one(path, kind, data):
                 *head, elements, status, error = row
                 if elements is not None:
+                    n_elements += len(elements)
                     elements = [dict(zip(names, e)) for e in elements]
-                yield pa.RecordBatch.from_pylist(
-                    [dict(zip(_PARSED.names, (*head, elements, status, error)))], _PARSED
-                )
+                rows.append(dict(zip(_PARSED.names, (*head, elements, status, error))))
+                if n_elements >= _BATCH_ELEMENTS or len(rows) >= _BATCH_ROWS:
+                    yield pa.RecordBatch.from_pylist(rows, _PARSED)
+                    rows, n_elements = [], 0
+    if rows:
+        yield pa.RecordBatch.from_pylist(rows, _PARSED)
 
 
 def parse_documents(files: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, Observation, SparkSession
 
 from parchmill.operators.extract import document_texts, observe_metrics, parse_documents
@@ -14,10 +16,10 @@ class TooManyErrors(RuntimeError):
     """More files failed than the job allows."""
 
 
-def extract_tree(spark: SparkSession, root: str) -> DataFrame:
+def extract_tree(spark: SparkSession, root: str, tasks: int | None = None) -> DataFrame:
     """(path, out_name, kind, segment_no, n_segments, text, status, error) of every
     file below `root`; status is ok, ok_basic, error or unsupported."""
-    files, unparsed = read_documents(spark, root)
+    files, unparsed = read_documents(spark, root, tasks)
     texts = document_texts(parse_documents(files))
     return texts.unionByName(
         route(unparsed).select("path", "out_name", "kind", "status", "error"),
@@ -32,19 +34,23 @@ def run_extraction(
     text_folder: str | None = None,
     on_collision: str = "error",
     max_error_ratio: float | None = None,
-) -> dict[str, int]:
+    tasks: int | None = None,
+) -> dict[str, float]:
     """Extract a tree to a Parquet table, then to text files if a folder is given.
 
     Files are parsed once: the counts are taken on the way and the text files are
-    written from the table.
+    written from the table. `tasks` fixes how many tasks parse; left out, the file
+    sizes decide. Returns the counts and the seconds taken.
     """
+    started = time.monotonic()
     observation = Observation("extraction")
-    observed = observe_metrics(extract_tree(spark, root), observation)
+    observed = observe_metrics(extract_tree(spark, root, tasks), observation)
     observed.write.mode("overwrite").parquet(table_path)
-    counts = observation.get
+    counts = dict(observation.get)
     if max_error_ratio is not None and counts["n_errors"] > max_error_ratio * counts["n_files"]:
         raise TooManyErrors(f"{counts['n_errors']} of {counts['n_files']} files failed")
     if text_folder:
         texts = spark.read.parquet(table_path)
         counts["n_written"] = write_text_files(texts, text_folder, on_collision).count()
+    counts["seconds"] = round(time.monotonic() - started, 3)
     return counts

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,6 +17,11 @@ from parchmill.session import scratch_path
 _LISTED = "path string, is_folder boolean, length bigint, modified double"
 # A file beyond this does not fit one row of a scan; its task opens it by path.
 MAX_SCANNED_BYTES = 1_000_000_000
+# With more files than this the scan's own file list would burden the driver.
+MAX_SCANNED_FILES = 2_000_000
+# How files are dealt out to tasks then, as Spark's file scans do it.
+_BYTES_PER_TASK = 128 << 20
+_OPEN_COST = 4 << 20
 
 
 def _list_folders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -61,15 +67,35 @@ def is_hidden(path: Column, root: str) -> Column:
     return F.regexp_like(below, F.lit(passed_over)) | (base_name(path) == "")
 
 
-def read_documents(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+def read_documents(
+    spark: SparkSession, root: str, tasks: int | None = None
+) -> tuple[DataFrame, DataFrame]:
     """(files to parse, files that need no parsing) of a tree.
 
-    Files to parse are (path, content). Only supported kinds are opened. What
-    the scan passes over or cannot hold in a row (hidden names, very large
-    files) has a null content, and its task opens it by path; so no file is left
-    out. Files that need no parsing are (path, status, error).
+    Files to parse are (path, content), supported kinds only. Where content is
+    null the parsing task opens the file by its path. That is so for what Spark's
+    scan passes over (hidden names), for files too large for a row, and for all
+    files if there are more than the driver should list for a scan or if a number
+    of tasks is given. No file is left out. Files that need no parsing are
+    (path, status, error).
     """
     listed = route(list_documents(spark, root))
+    supported = F.col("kind") != UNSUPPORTED
+    unparsed = listed.where(~supported | (F.col("length") == 0)).select(
+        "path",
+        F.when(supported, "error").otherwise(UNSUPPORTED).alias("status"),
+        F.when(supported, "empty file").alias("error"),
+    )
+    to_parse = listed.where(supported & (F.col("length") > 0))
+    no_content = F.lit(None).cast("binary").alias("content")
+    size = to_parse.agg(
+        F.count("*").alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes")
+    ).first()
+    if tasks or size["files"] > MAX_SCANNED_FILES:
+        cost = size["bytes"] + size["files"] * _OPEN_COST
+        n = tasks or math.ceil(cost / _BYTES_PER_TASK)
+        return to_parse.select("path", no_content).repartition(n), unparsed
+
     scanned = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
@@ -78,14 +104,6 @@ def read_documents(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame
         .where(F.col("length").between(1, MAX_SCANNED_BYTES))
         .select("path", "content")
     )
-    supported = F.col("kind") != UNSUPPORTED
     passed_over = is_hidden(F.col("path"), root) | (F.col("length") > MAX_SCANNED_BYTES)
-    by_path = listed.where(supported & (F.col("length") > 0) & passed_over).select(
-        "path", F.lit(None).cast("binary").alias("content")
-    )
-    unparsed = listed.where(~supported | (F.col("length") == 0)).select(
-        "path",
-        F.when(supported, "error").otherwise(UNSUPPORTED).alias("status"),
-        F.when(supported, "empty file").alias("error"),
-    )
+    by_path = to_parse.where(passed_over).select("path", no_content)
     return scanned.unionByName(by_path), unparsed

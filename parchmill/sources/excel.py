@@ -65,9 +65,9 @@ def _typed(value: Any) -> tuple[str | None, str | None]:
 
 
 def _table_rows(content: Any) -> Iterator[tuple[list[str], list, list]]:
-    book = Workbook(Package(io.BytesIO(content)), formulas=False)
+    book = Workbook(Package(io.BytesIO(content), "workbook"), formulas=False)
     _, kind, part = book.sheets[0]
-    if kind != "worksheet":
+    if kind == "chartsheet":
         raise ValueError("the first sheet has no rows")
     names: list[str] | None = None
     blank = 0

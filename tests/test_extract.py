@@ -9,6 +9,7 @@ from parchmill.operators import extract
 from parchmill.operators.extract import document_elements, extract_texts, parse_documents
 from parchmill.plans.extract_tree import TooManyErrors, extract_tree, run_extraction
 from parchmill.sinks.text_files import OutputCollision, write_text_files
+from parchmill.sources import documents
 from parchmill.sources.documents import list_documents
 
 
@@ -121,6 +122,26 @@ def test_pdf_strings_and_maps(spark):
     assert text_of(spark, "e.pdf", pdf(content)).text == "a(b)A(c)\nd"
 
 
+def test_pdf_forms_images_and_strays(spark):
+    if extract.pdf.pypdf is not None:
+        pytest.skip("the basic reader is not in use")
+    form = b"BT /F1 9 Tf (inner) Tj ET"
+    extra = (
+        b"5 0 obj << /Type /XObject /Subtype /Form /Length %d >> stream\n%s\nendstream endobj"
+        % (len(form), form)
+    )
+    content = b"/X1 Do BI /W 1 ID \x80(>>\x00 EI ) BT (after) Tj ET"
+    data = pdf(content, extra=extra).replace(
+        b"/Font << /F1 3 0 R >>", b"/Font << /F1 3 0 R >> /XObject << /X1 5 0 R >>"
+    )
+    assert text_of(spark, "e.pdf", data).text == "innerafter"
+
+
+def test_wrong_main_part_is_an_error(spark):
+    r = text_of(spark, "/d/a.docx", pptx(shape("t")))
+    assert r.status == "error" and "presentation" in r.error
+
+
 def make_tree(root):
     files = {
         "a.docx": docx(paragraph("hi") + paragraph("") + paragraph("bye")),
@@ -172,6 +193,17 @@ def test_extract_tree(spark, tmp_path):
     assert got["n.jpg"].status == got["old.doc"].status == "unsupported"
 
 
+def test_files_opened_by_path_give_the_same(spark, tmp_path, monkeypatch):
+    make_tree(tmp_path)
+    scanned = sorted(map(repr, extract_tree(spark, str(tmp_path)).collect()))
+    assert sorted(map(repr, extract_tree(spark, str(tmp_path), tasks=3).collect())) == scanned
+    monkeypatch.setattr(documents, "MAX_SCANNED_FILES", 5)
+    assert sorted(map(repr, extract_tree(spark, str(tmp_path)).collect())) == scanned
+    monkeypatch.setattr(documents, "MAX_SCANNED_FILES", 1000)
+    monkeypatch.setattr(documents, "MAX_SCANNED_BYTES", 500)
+    assert sorted(map(repr, extract_tree(spark, str(tmp_path)).collect())) == scanned
+
+
 def test_run_extraction(spark, tmp_path):
     root = tmp_path / "in"
     make_tree(root)
