@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks import builders as build
-from checks.registry import given, query
+from checks.registry import given, query, spread
 from parchmill.formats.storage import resolve
 from parchmill.functions import text as t
 from parchmill.operators import assemble
@@ -231,7 +231,7 @@ def _files(spark: SparkSession, sf: str) -> DataFrame:
                 path, content = _file(doc_id, text)
                 yield pa.RecordBatch.from_pylist([{"path": path, "content": content}])
 
-    documents = given(spark, sf, "documents").select("doc_id", "text")
+    documents = spread(given(spark, sf, "documents").select("doc_id", "text"))
     return documents.mapInArrow(pack, "path string, content binary")
 
 
@@ -290,7 +290,7 @@ def tree(spark: SparkSession, sf: str) -> DataFrame:
 
 def _texts(spark: SparkSession, sf: str) -> DataFrame:
     name = F.concat(F.lit("doc-"), F.col("doc_id").cast("string"))
-    return given(spark, sf, "documents").select(
+    return spread(given(spark, sf, "documents").select("doc_id", "text")).select(
         F.concat(F.lit("/in/"), name, F.lit(".docx")).alias("path"),
         F.concat(name, F.lit(".txt")).alias("out_name"),
         F.lit(0).alias("segment_no"),

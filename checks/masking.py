@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,9 +25,8 @@ from parchmill.operators.policies import (
 
 
 def _rules(spark: SparkSession, *lines: str) -> DataFrame:
-    return parse_policies(
-        spark.createDataFrame(list(enumerate(lines)), "line_pos bigint, line string")
-    )
+    table = pa.table({"line_pos": list(range(len(lines))), "line": list(lines)})
+    return parse_policies(spark.createDataFrame(table))
 
 
 def _redacted(column: str) -> str:

@@ -31,5 +31,13 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
     return register
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a one-file table dealt out to all cores, for queries that work long
+    on each row. A table of many files is read by many tasks anyway."""
+    if len(df.inputFiles()) > 1:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def given(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

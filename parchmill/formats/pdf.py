@@ -32,6 +32,7 @@ _IMAGE_END = re.compile(rb"[%s]EI(?=[%s]|\Z)" % (_SPACE, _SPACE))
 _ESCAPE = re.compile(rb"\\(\r\n|[0-7]{1,3}|.)", re.S)
 # The letters that may follow a backslash in a text string.
 _ESCAPED = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
+_ONE_BYTE = {i: bytes([i]).decode("cp1252", "replace") for i in range(256)}
 
 
 class Ref(int):
@@ -117,7 +118,7 @@ class _Document:
             raise ValueError("not a PDF file")
         self.streams: dict[int, bytes] = {}
         self.objects: dict[int, Any] = {}
-        self.text_maps: dict[int, dict[bytes, str]] = {}
+        self.text_maps: dict[int, dict[int, str]] = {}
         for m in _OBJECT.finditer(data):
             end, value = next(_values(data, m.end()), (m.end(), None))
             self.objects[int(m[1])] = value
@@ -183,15 +184,17 @@ class _Document:
         self._draw(content, self.get(page.get("Resources")) or {}, out, ())
         return "".join(out)
 
-    def _font_map(self, font: dict) -> tuple[int, dict[bytes, str]]:
-        """(bytes per code, code -> text) of a font."""
+    def _font_map(self, font: dict) -> tuple[str, dict[int, str]]:
+        """(how to read codes from bytes, code -> text) of a font."""
         ref = font.get("ToUnicode")
         if isinstance(ref, Ref) and ref not in self.text_maps:
             self.text_maps[ref] = dict(self._text_map(self.stream(ref)))
-        width = 2 if font.get("Subtype") == "Type0" else 1
-        return width, self.text_maps.get(ref, {}) if isinstance(ref, Ref) else {}
+        known = self.text_maps.get(ref, {}) if isinstance(ref, Ref) else {}
+        if font.get("Subtype") == "Type0":
+            return "utf-16-be", known
+        return "latin-1", {**_ONE_BYTE, **known}
 
-    def _text_map(self, data: bytes) -> Iterator[tuple[bytes, str]]:
+    def _text_map(self, data: bytes) -> Iterator[tuple[int, str]]:
         def text(code: bytes) -> str:
             return code.decode("utf-16-be", "surrogatepass")
 
@@ -201,7 +204,7 @@ class _Document:
                 pending.append(v)
                 continue
             if v == b"endbfchar":
-                yield from ((c, text(t)) for c, t in zip(pending[::2], pending[1::2]))
+                yield from zip(map(int.from_bytes, pending[::2]), map(text, pending[1::2]))
             elif v == b"endbfrange":
                 for low, high, to in zip(pending[::3], pending[1::3], pending[2::3]):
                     first = int.from_bytes(low)
@@ -209,18 +212,17 @@ class _Document:
                         one = to[k] if isinstance(to, list) else (
                             int.from_bytes(to) + k
                         ).to_bytes(len(to))
-                        yield (first + k).to_bytes(len(low)), text(one)
+                        yield first + k, text(one)
             pending = []
 
     def _draw(self, data: bytes, resources: dict, out: list[str], inside: tuple) -> None:
         fonts = self.get(resources.get("Font")) or {}
         maps = {name: self._font_map(self.get(font) or {}) for name, font in fonts.items()}
         forms = self.get(resources.get("XObject")) or {}
-        width, table, args = 1, {}, []
+        code, table, args = "latin-1", _ONE_BYTE, []
 
         def show(text: bytes) -> None:
-            codes = (text[i : i + width] for i in range(0, len(text), width))
-            shown = "".join(table.get(c) or c.decode("cp1252", "replace") for c in codes)
+            shown = text.decode(code, "replace").translate(table)
             out.append(shown.encode("utf-16", "surrogatepass").decode("utf-16", "replace"))
 
         def new_line() -> None:
@@ -232,7 +234,7 @@ class _Document:
                 args.append(v)
                 continue
             if v == b"Tf" and args:
-                width, table = maps.get(args[0], (1, {}))
+                code, table = maps.get(args[0], ("latin-1", _ONE_BYTE))
             elif v in (b"'", b'"', b"T*") or (v in (b"Td", b"TD") and args[-1:] != [0]):
                 new_line()
             if v == b"Do" and args and isinstance(ref := forms.get(args[0]), Ref):

@@ -14,12 +14,16 @@ def _null(data_type: T.DataType) -> Column:
     return F.lit(None).cast(data_type)
 
 
+def _ones(digits: Column) -> Column:
+    return F.translate(digits, "0123456789", "1" * 10)
+
+
 def redact(c: Column, data_type: T.DataType) -> Column:
     """Letters become X or x, digits n; in whole numbers each digit becomes 1."""
     if isinstance(data_type, _TEXT):
         return F.mask(c)
     if isinstance(data_type, _WHOLE_NUMBERS):
-        return F.regexp_replace(c.cast("string"), "[0-9]", "1").cast(data_type)
+        return _ones(c.cast("string")).cast(data_type)
     return _null(data_type)
 
 
@@ -33,7 +37,7 @@ def show_last_4(c: Column, data_type: T.DataType) -> Column:
     if isinstance(data_type, _TEXT):
         x = F.lit("x")
         return F.concat(F.mask(head, x, x, x, F.lit(None).cast("string")), tail)
-    return F.concat(F.regexp_replace(head, "[0-9]", "1"), tail).cast(data_type)
+    return F.concat(_ones(head), tail).cast(data_type)
 
 
 def hashed(c: Column, data_type: T.DataType) -> Column:

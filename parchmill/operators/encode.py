@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from parchmill.functions.text import WHITESPACE
 from parchmill.session import scratch_path
 
-_SPLIT = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in WHITESPACE) + "]+"
+# White space of any script; the four separators are not in Java's class.
+_SPLIT = r"(?U)[\s\x1c-\x1f]+"
 
 # A vocabulary up to this size goes to every task; a larger one is joined.
 MAX_SHIPPED_TOKENS = 2_000_000
@@ -21,8 +22,8 @@ _SALTS = 64
 
 
 def words(text: Column, length: int) -> Column:
-    """The first `length` white-space separated words. Nothing after the cut is
-    needed: truncation keeps the first `length` tokens and a word is one token."""
+    """The first `length` white-space separated words, which are all that
+    truncation to `length` tokens keeps."""
     cut = F.split(F.btrim(text, F.lit(WHITESPACE)), _SPLIT, length + 1)
     return F.slice(F.filter(cut, lambda w: w != ""), 1, length)
 
@@ -71,7 +72,8 @@ def shipped_vocabulary(vocabulary: DataFrame) -> pa.Table | None:
 def vocabulary_tokeniser(
     vocabulary: pa.Table, unk_id: int, length: int
 ) -> Callable[[Column], Column]:
-    """Word lookup as an Arrow UDF: whole batches, no row loop, no shuffle.
+    """Split on white space, cut and look up, as an Arrow UDF: whole batches, no
+    row loop, no shuffle.
 
     The join on words would move every word of the corpus twice; looking them up
     where the text already is moves none.
@@ -80,14 +82,18 @@ def vocabulary_tokeniser(
     ids = vocabulary["id"].combine_chunks()
 
     @F.arrow_udf("array<int>")
-    def look_up(batch: pa.Array) -> pa.Array:
-        found = pc.index_in(batch.flatten(), value_set=tokens.cast(batch.type.value_type))
-        values = pc.fill_null(pc.take(ids, found), unk_id)
-        ends = pc.cumulative_sum(pc.fill_null(pc.list_value_length(batch), 0).cast(pa.int32()))
+    def encode(texts: pa.Array) -> pa.Array:
+        texts = pc.utf8_trim_whitespace(texts)
+        texts = pc.if_else(pc.equal(texts, ""), pa.scalar(None, texts.type), texts)
+        split = pc.utf8_split_whitespace(texts, max_splits=length)
+        kept = pc.list_slice(split, 0, length)
+        values = pc.index_in(kept.flatten(), value_set=tokens.cast(texts.type))
+        values = pc.fill_null(pc.take(ids, values), unk_id)
+        ends = pc.cumulative_sum(pc.fill_null(pc.list_value_length(kept), 0).cast(pa.int32()))
         offsets = pa.concat_arrays([pa.array([0], pa.int32()), ends])
         return pa.ListArray.from_arrays(offsets, values)
 
-    return lambda text: look_up(F.coalesce(words(text, length), F.array().cast("array<string>")))
+    return encode
 
 
 def encode_with_vocabulary(

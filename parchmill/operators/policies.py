@@ -155,12 +155,16 @@ def policy_upsert_plan(desired: DataFrame, store: DataFrame) -> DataFrame:
 
 def policy_store_after(plan: DataFrame, store: DataFrame) -> DataFrame:
     """(id, name, document) of the store once the plan is carried out."""
-    updated = plan.where(F.col("action") == "update").select("id", "name", "document")
+    updated = plan.where(F.col("action") == "update").select(
+        "id", F.col("document").alias("_wanted")
+    )
     highest = store.agg(F.coalesce(F.max("id"), F.lit(0)).alias("id")).scalar()
     created = number_by_key(plan.where(F.col("action") == "create").drop("id"), "name", "n")
     created = created.select((highest + F.col("n")).alias("id"), "name", "document")
-    kept = store.select("id", "name", "document").join(updated.select("id"), "id", "left_anti")
-    return kept.unionByName(updated).unionByName(created)
+    stored = store.join(updated, "id", "left").select(
+        "id", "name", F.coalesce("_wanted", "document").alias("document")
+    )
+    return stored.unionByName(created)
 
 
 def policy_outcomes(plan: DataFrame, after: DataFrame) -> DataFrame:
@@ -182,11 +186,13 @@ def apply_upsert(
 ) -> DataFrame:
     """Carry the upsert out on a catalog table and report the outcome per policy.
 
-    The new state is written beside the old one and then takes its name, so a
-    failed job leaves the store as it was.
+    The plan is stored first, so that it is worked out once. The new state is
+    written beside the old one and then takes its name, so a job that fails on
+    the way leaves the store as it was.
     """
     name = table_name(database, table)
     new, old = table_name(database, f"{table}__next"), table_name(database, f"{table}__previous")
+    planned = table_name(database, f"{table}__plan")
     exists = spark.catalog.tableExists(name)
     store = (
         spark.table(name)
@@ -194,13 +200,10 @@ def apply_upsert(
         else spark.createDataFrame([], "id bigint, name string, document string")
     )
     plan = policy_upsert_plan(desired, store).select("name", "action", "id", "document")
-    spark.sql(f"DROP TABLE IF EXISTS {new}")
-    policy_store_after(plan, store).write.saveAsTable(new)
-    # The plan reads the old table, which is about to go: keep the actions only.
-    actions = table_name(database, f"{table}__actions")
-    plan.select("name", "action", "document").write.mode("overwrite").saveAsTable(actions)
+    plan.write.mode("overwrite").saveAsTable(planned)
+    policy_store_after(spark.table(planned), store).write.mode("overwrite").saveAsTable(new)
     if exists:
         spark.sql(f"DROP TABLE IF EXISTS {old}")
         spark.sql(f"ALTER TABLE {name} RENAME TO {old}")
     spark.sql(f"ALTER TABLE {new} RENAME TO {name}")
-    return policy_outcomes(spark.table(actions), spark.table(name))
+    return policy_outcomes(spark.table(planned), spark.table(name))
