@@ -23,7 +23,8 @@ from parchmill.sources.tables import scan_table
 
 def _database(spark: SparkSession, sf: str) -> str:
     name = "parchmill_" + hashlib.sha256(sf.encode()).hexdigest()[:8]
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS {name}")
+    place = scratch_path(spark, "database")
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {name} LOCATION '{place}'")
     return name
 
 
@@ -192,7 +193,7 @@ _WS = "'" + t.WHITESPACE + "'"
           lower(lang) AS lowered, starts_with(text, 'The') AS starts, text LIKE '%.' AS ends,
           regexp_replace('d.x/.' || lang || '.tar.' || source, '^.*/', '') AS base_name,
           '.' || lang || '.tar.txt' AS out_name,
-          to_json({{'lang': lang, 'n_chars': n_chars}}) AS packed,
+          CAST(to_json({{'lang': lang, 'n_chars': n_chars}}) AS VARCHAR) AS packed,
           n_chars > 0 AS truthy
         FROM documents"""
 )

@@ -24,7 +24,7 @@ def _block(position: Column, size: int) -> Column:
 
 
 def _in_order(position: list[str], piece: Column, separator: str) -> Column:
-    pieces = F.array_sort(F.collect_list(F.struct(*position, piece.alias("piece"))))
+    pieces = F.sort_array(F.collect_list(F.struct(*position, piece.alias("piece"))))
     return F.array_join(F.transform(pieces, lambda p: p["piece"]), separator)
 
 

@@ -144,7 +144,7 @@ def _encode_by_join(
         .join(spread, ["token", "_salt"], "left")
         .groupBy("_row")
         .agg(
-            F.array_sort(
+            F.sort_array(
                 F.collect_list(
                     F.struct("_pos", F.coalesce("id", F.lit(unk_id)).alias("id"))
                 )

@@ -9,7 +9,7 @@ there is no shuffle, and a broken file is a row with an error.
 from __future__ import annotations
 
 import io
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 from typing import BinaryIO
 
 import pyarrow as pa
@@ -30,6 +30,7 @@ _BATCH_ROWS = 64
 _BATCH_ELEMENTS = 20_000
 
 Element = tuple  # part_no, part_name, row_no, cell_no, text, keep
+Parser = Callable[[BinaryIO], Iterator[Element]]
 
 _ELEMENT = pa.struct(
     [
@@ -84,7 +85,7 @@ def _workbook(source: BinaryIO) -> Iterator[Element]:
             yield sheet_no, name, row_no - 1, ROW_END, "", True
 
 
-PARSERS: dict[str, Callable[[BinaryIO], Iterator[Element]]] = {
+PARSERS: dict[str, Parser] = {
     "docx": _word,
     "xlsx": _workbook,
     "pdf": _pdf,
@@ -104,11 +105,11 @@ def _segments(elements: Iterator[Element]) -> Iterator[list[Element]]:
     yield piece
 
 
-def _parse_one(path: str, kind: str, content: pa.Buffer | None) -> list[tuple]:
+def _parse_one(path: str, kind: str, content: pa.Buffer | None, parser: Parser) -> list[tuple]:
     try:
         with io.BytesIO(content) if content is not None else storage.open_file(path) as source:
-            done = "ok_basic" if kind == "pdf" and pdf.pypdf is None else "ok"
-            pieces = list(_segments(PARSERS[kind](source)))
+            done = "ok_basic" if parser is _pdf and pdf.pypdf is None else "ok"
+            pieces = list(_segments(parser(source)))
         return [
             (path, kind, i, len(pieces), piece, done, None) for i, piece in enumerate(pieces)
         ]
@@ -116,7 +117,9 @@ def _parse_one(path: str, kind: str, content: pa.Buffer | None) -> list[tuple]:
         return [(path, kind, 0, 1, None, "error", f"{type(e).__name__}: {e}")]
 
 
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _parse(
+    batches: Iterator[pa.RecordBatch], parsers: Mapping[str, Parser]
+) -> Iterator[pa.RecordBatch]:
     names = [f.name for f in _ELEMENT]
     rows: list[dict] = []
     n_elements = 0
@@ -127,7 +130,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             batch.column("content"),
         ):
             data = None if not content.is_valid else content.as_buffer()
-            for row in _parse_one(path, kind, data):
+            for row in _parse_one(path, kind, data, parsers[kind]):
                 *head, elements, status, error = row
                 if elements is not None:
                     n_elements += len(elements)
@@ -140,11 +143,18 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist(rows, _PARSED)
 
 
-def parse_documents(files: DataFrame) -> DataFrame:
-    """(path, kind, segment_no, n_segments, elements, status, error) of (path, content) rows."""
+def parse_documents(files: DataFrame, parsers: Mapping[str, Parser] | None = None) -> DataFrame:
+    """(path, kind, segment_no, n_segments, elements, status, error) of (path, content) rows.
+
+    `parsers` replaces the parser of a kind: a function from an open file to its
+    elements in order, each (part_no, part_name, row_no, cell_no, text, keep).
+    """
+    chosen = {**PARSERS, **(parsers or {})}
     routed = route(files.select("path", "content"))
     supported = routed.where(F.col("kind") != UNSUPPORTED)
-    return supported.select("path", "kind", "content").mapInArrow(_parse, _PARSED_DDL)
+    return supported.select("path", "kind", "content").mapInArrow(
+        lambda batches: _parse(batches, chosen), _PARSED_DDL
+    )
 
 
 def _text(kind: Column, segment_no: Column, elements: Column) -> Column:

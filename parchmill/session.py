@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import io
+import posixpath
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
+import pyarrow.fs as pafs
+
 from pyspark.sql import SparkSession
 
+from parchmill.formats.storage import resolve
+
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 # Settings that suit the jobs of this package. All of them are ordinary Spark
@@ -34,8 +40,8 @@ def python_env_conf(archive: str, alias: str = "env") -> dict[str, str]:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see, as the session names it.
 
-    Only a session that names none (a test on one machine) gets a folder of
-    its own, which is then set on the session so that it is made once.
+    Only a local session that names none (a test) gets a folder of its own, which
+    is then set on the session so that it is made once.
     """
     root = spark.conf.get(_CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(
         _CHECKPOINT_KEY
@@ -59,10 +65,16 @@ def ship_package(spark: SparkSession, *folders: str) -> None:
     done = f"parchmill.shipped.{spark.sparkContext.applicationId}"
     if spark.conf.get(done, None):
         return
-    target = Path(tempfile.mkdtemp(prefix="parchmill-ship-")) / "parchmill_code.zip"
-    with zipfile.ZipFile(target, "w") as z:
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
         for root in (Path(__file__).parent, *map(Path, folders)):
             for file in sorted(root.rglob("*.py")):
                 z.write(file, file.relative_to(root.parent))
-    spark.sparkContext.addPyFile(str(target))
+    target = f"{shared_dir(spark)}/parchmill_{uuid.uuid4().hex}.zip"
+    fs, path = resolve(target)
+    fs.create_dir(posixpath.dirname(path), recursive=True)
+    with fs.open_output_stream(path) as out:
+        out.write(packed.getvalue())
+    local = isinstance(fs, pafs.LocalFileSystem)
+    spark.sparkContext.addPyFile(path if local else target)
     spark.conf.set(done, "true")

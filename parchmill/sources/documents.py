@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parchmill.formats.storage import children, qualified
-from parchmill.functions.text import base_name
 from parchmill.operators.route import UNSUPPORTED, glob_of_supported, route
 from parchmill.session import scratch_path
 
@@ -64,7 +63,7 @@ def is_hidden(path: Column, root: str) -> Column:
     below = F.substr(path, F.lit(len(qualified(root).rstrip("/")) + 1))
     # The names that Spark's file listing leaves out.
     passed_over = r"/(\.[^/]*|_(?!metadata|common_metadata)[^/=]*|[^/]*\._COPYING_)(/|\z)"
-    return F.regexp_like(below, F.lit(passed_over)) | (base_name(path) == "")
+    return F.regexp_like(below, F.lit(passed_over))
 
 
 def read_documents(

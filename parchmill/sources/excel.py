@@ -64,7 +64,8 @@ def _typed(value: Any) -> tuple[str | None, str | None]:
     return str(value), "string"
 
 
-def _table_rows(content: Any) -> Iterator[tuple[list[str], list, list]]:
+def _table_rows(content: Any) -> Iterator[tuple[list[str], list | None, list | None]]:
+    """(column names, cell texts, cell kinds) per row, at last with the names alone."""
     book = Workbook(Package(io.BytesIO(content), "workbook"), formulas=False)
     _, kind, part = book.sheets[0]
     if kind == "chartsheet":
@@ -87,7 +88,7 @@ def _table_rows(content: Any) -> Iterator[tuple[list[str], list, list]]:
         typed = [_typed(filled.get(i)) for i in range(len(names))]
         yield names, [t for t, _ in typed], [k for _, k in typed]
     if names is not None:
-        yield names, None, None  # states the header of a workbook without rows
+        yield names, None, None
 
 
 def _reader(columns: list[str] | None) -> Callable:
@@ -108,10 +109,9 @@ def _reader(columns: list[str] | None) -> Callable:
                                 raise HeaderMismatch(f"expected {columns}, found {names}")
                             if cells is None:
                                 continue
-                            at = [names.index(c) for c in columns]
-                            names, cells = None, [cells[i] for i in at]
-                            kinds = None
-                        rows.append((names, cells, kinds))
+                            cells, kinds = [cells[names.index(c)] for c in columns], None
+                        # The names travel once per workbook, not with each row.
+                        rows.append((names if cells is None else None, cells, kinds))
                         if len(rows) == _BATCH_ROWS:
                             yield emit(rows)
                             rows = []
@@ -141,9 +141,9 @@ def _project(rows: DataFrame, schema: T.StructType) -> DataFrame:
 def _inferred(rows: DataFrame) -> T.StructType:
     """Column names and types over all workbooks; the driver gets one row per
     column and kind."""
-    headers = rows.groupBy("header").count().head(2)
+    headers = rows.where("header is not null").select("header").distinct().head(2)
     if not headers:
-        raise ValueError("no rows in any workbook")
+        raise ValueError("no header in any workbook")
     if len(headers) > 1:
         raise HeaderMismatch(f"{headers[0]['header']} and {headers[1]['header']}")
     found: dict[int, set[str]] = {}

@@ -1,6 +1,7 @@
 import datetime as dt
 import zlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -137,6 +138,17 @@ def test_pdf_forms_images_and_strays(spark):
     assert text_of(spark, "e.pdf", data).text == "innerafter"
 
 
+def test_own_parser(spark):
+    def lines(source):
+        for i, line in enumerate(source.read().decode().split("|")):
+            yield i, None, None, None, line, True
+
+    files = spark.createDataFrame([("a.pdf", bytearray(b"x|y"))], "path string, content binary")
+    parsed = parse_documents(files, {"pdf": lines})
+    assert extract.document_texts(parsed).first().text == "xy"
+    assert parsed.first().status == "ok"
+
+
 def test_wrong_main_part_is_an_error(spark):
     r = text_of(spark, "/d/a.docx", pptx(shape("t")))
     assert r.status == "error" and "presentation" in r.error
@@ -229,7 +241,7 @@ def test_long_texts_go_on_in_segments(spark, tmp_path, monkeypatch):
     lines = [f"line {i}" for i in range(20)]
     data = docx("".join(paragraph(t) for t in lines))
     monkeypatch.setattr(extract, "SEGMENT_CHARS", 40)
-    pieces = extract._parse_one("/d/a.docx", "docx", data)
+    pieces = extract._parse_one("/d/a.docx", "docx", pa.py_buffer(data), extract._word)
     assert len(pieces) > 2 and {p[3] for p in pieces} == {len(pieces)}
     ddl = extract._PARSED_DDL
     parsed = spark.createDataFrame([tuple(p) for p in pieces], ddl).repartition(4)
