@@ -6,7 +6,7 @@ import io
 import os
 from collections.abc import Iterator
 from functools import lru_cache
-from typing import BinaryIO
+from typing import BinaryIO, NamedTuple
 
 import pyarrow.fs as pafs
 
@@ -48,20 +48,41 @@ def qualified(uri: str) -> str:
     return f"file:{os.path.abspath(path)}" if isinstance(fs, pafs.LocalFileSystem) else uri
 
 
-def children(uri: str) -> Iterator[tuple[str, bool, int, float]]:
-    """(uri, is_folder, bytes, modified) of one folder; links to folders are left out."""
+class Entry(NamedTuple):
+    """One entry of a folder. `kind` is file, folder or link (to a folder)."""
+
+    path: str
+    kind: str
+    length: int = 0
+    modified: float = 0.0
+    problem: str | None = None
+
+
+def _local_entry(uri: str, e: os.DirEntry) -> Entry:
+    name = os.fsencode(e.name).decode("utf-8", "replace")
+    path = f"{uri}/{name}"
+    if e.is_dir():
+        return Entry(path, "link" if e.is_symlink() else "folder")
+    try:
+        stat = e.stat()
+    except OSError as error:  # a link to nothing
+        return Entry(path, "file", problem=f"{type(error).__name__}: {error.strerror}")
+    return Entry(path, "file", stat.st_size, stat.st_mtime)
+
+
+def children(uri: str) -> Iterator[Entry]:
+    """The entries of one folder. A folder that cannot be listed gives one entry
+    that says so."""
     fs, path = resolve(uri)
-    if isinstance(fs, pafs.LocalFileSystem):
-        with os.scandir(path) as entries:
-            for e in entries:
-                if e.is_dir():
-                    if not e.is_symlink():
-                        yield f"{uri}/{e.name}", True, 0, 0.0
-                else:
-                    stat = e.stat(follow_symlinks=e.is_file())
-                    yield f"{uri}/{e.name}", False, stat.st_size, stat.st_mtime
-        return
-    for info in fs.get_file_info(pafs.FileSelector(path)):
-        folder = info.type == pafs.FileType.Directory
-        modified = info.mtime.timestamp() if info.mtime else 0.0
-        yield f"{uri}/{info.base_name}", folder, info.size or 0, modified
+    try:
+        if isinstance(fs, pafs.LocalFileSystem):
+            with os.scandir(path) as entries:
+                yield from (_local_entry(uri, e) for e in entries)
+            return
+        for info in fs.get_file_info(pafs.FileSelector(path)):
+            folder = info.type == pafs.FileType.Directory
+            modified = info.mtime.timestamp() if info.mtime else 0.0
+            kind = "folder" if folder else "file"
+            yield Entry(f"{uri}/{info.base_name}", kind, info.size or 0, modified)
+    except OSError as error:
+        yield Entry(uri, "file", problem=f"{type(error).__name__}: {error.strerror}")

@@ -37,6 +37,16 @@ def python_env_conf(archive: str, alias: str = "env") -> dict[str, str]:
     }
 
 
+def full_uri(spark: SparkSession, path: str) -> str:
+    """A path without a scheme as Spark reads it: on the default file system."""
+    if ":" in path.partition("/")[0]:
+        return path
+    default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS")
+    if default.startswith("file:"):
+        return path
+    return default.rstrip("/") + "/" + path.lstrip("/")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see, as the session names it.
 
@@ -51,7 +61,7 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError(f"set {_CHECKPOINT_KEY} to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="parchmill-")
         spark.conf.set(_CHECKPOINT_KEY, root)
-    return root.rstrip("/")
+    return full_uri(spark, root.rstrip("/"))
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

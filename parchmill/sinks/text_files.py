@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from parchmill.formats.storage import resolve
 from parchmill.operators.route import output_collisions
-from parchmill.session import scratch_path
+from parchmill.session import full_uri, scratch_path
 
 _MANIFEST = pa.schema([("path", pa.string()), ("out_name", pa.string()), ("n_bytes", pa.int64())])
 
@@ -65,6 +65,7 @@ def write_text_files(
     """
     if on_collision not in ("error", "suffix", "last"):
         raise ValueError("on_collision must be 'error', 'suffix' or 'last'")
+    folder = full_uri(texts.sparkSession, folder)
     done = texts.where(F.col("status").startswith("ok") & F.col("text").isNotNull())
     names = ("path", "out_name", "segment_no", "n_segments", "text")
     rows = _resolved_names(done, on_collision).select(*names)

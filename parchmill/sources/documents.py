@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,9 +13,18 @@ from pyspark.sql import functions as F
 
 from parchmill.formats.storage import children, qualified
 from parchmill.operators.route import UNSUPPORTED, glob_of_supported, route
-from parchmill.session import scratch_path
-
-_LISTED = "path string, is_folder boolean, length bigint, modified double"
+from parchmill.session import full_uri, scratch_path
+
+_LISTED = "path string, kind string, length bigint, modified double, problem string"
+_LISTED_ARROW = pa.schema(
+    [
+        ("path", pa.string()),
+        ("kind", pa.string()),
+        ("length", pa.int64()),
+        ("modified", pa.float64()),
+        ("problem", pa.string()),
+    ]
+)
 # A file beyond this does not fit one row of a scan; its task opens it by path.
 MAX_SCANNED_BYTES = 1_000_000_000
 # With more files than this the scan's own file list would burden the driver.
@@ -24,38 +35,41 @@ _OPEN_COST = 4 << 20
 
 
 def _list_folders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["path", "is_folder", "length", "modified"]
     for batch in batches:
         for folder in batch.column("path").to_pylist():
-            rows = []
-            for row in children(folder):
-                rows.append(row)
-                if len(rows) == 10_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names)
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names)
-
+            entries = children(folder)
+            while some := list(islice(entries, 10_000)):
+                yield pa.RecordBatch.from_pylist([e._asdict() for e in some], _LISTED_ARROW)
 
-def list_documents(spark: SparkSession, root: str) -> DataFrame:
-    """(path, length, modified) of every file below `root`, hidden and empty ones too.
 
-    One job per level of the tree: executors list the folders of a level, and the
-    folders they find are the next level. The driver holds no file list, and a
-    level once written is not listed again if an executor is lost.
-    """
+def _listing(spark: SparkSession, root: str) -> DataFrame:
+    """Every entry below `root` that is not a folder itself."""
     out = scratch_path(spark, "listing")
     level, folders = 0, spark.createDataFrame([(qualified(root).rstrip("/"),)], "path string")
     while True:
         here = f"{out}/level={level}"
         listed = folders.repartition(spark.sparkContext.defaultParallelism)
         listed.mapInArrow(_list_folders, _LISTED).write.parquet(here)
-        folders = spark.read.schema(_LISTED).parquet(here).where("is_folder").select("path")
+        folders = spark.read.schema(_LISTED).parquet(here).where("kind = 'folder'").select("path")
         if folders.isEmpty():
             break
         level += 1
-    files = spark.read.schema(_LISTED + ", level int").parquet(out).where("not is_folder")
-    return files.select("path", "length", F.timestamp_seconds("modified").alias("modified"))
+    listed = spark.read.schema(_LISTED + ", level int").parquet(out).drop("level")
+    return listed.where("kind <> 'folder'")
+
+
+def list_documents(spark: SparkSession, root: str) -> DataFrame:
+    """(path, length, modified, problem) of every file below `root`, hidden and
+    empty ones too; links to folders are not followed.
+
+    One job per level of the tree: executors list the folders of a level, and the
+    folders they find are the next level. The driver holds no file list, and a
+    level once written is not listed again if an executor is lost. `problem` is
+    null but for folders that cannot be listed and links to nothing.
+    """
+    modified = F.timestamp_seconds("modified").alias("modified")
+    files = _listing(spark, full_uri(spark, root)).where("kind = 'file'")
+    return files.select("path", "length", modified, "problem")
 
 
 def is_hidden(path: Column, root: str) -> Column:
@@ -74,32 +88,38 @@ def read_documents(
     Files to parse are (path, content), supported kinds only. Where content is
     null the parsing task opens the file by its path. That is so for what Spark's
     scan passes over (hidden names), for files too large for a row, and for all
-    files if there are more than the driver should list for a scan or if a number
-    of tasks is given. No file is left out. Files that need no parsing are
+    files if there are more than the driver should list for a scan, if there are
+    links to folders, which a scan would follow, or if a number of tasks is given. No file is left out. Files that need no parsing are
     (path, status, error).
     """
-    listed = route(list_documents(spark, root))
+    root = full_uri(spark, root)
+    entries = _listing(spark, root).withColumnRenamed("kind", "entry")
+    listed = route(entries.where("entry = 'file'"))
     supported = F.col("kind") != UNSUPPORTED
-    unparsed = listed.where(~supported | (F.col("length") == 0)).select(
+    readable = F.col("problem").isNull() & (F.col("length") > 0)
+    error = F.coalesce("problem", F.lit("empty file"))
+    failed = F.col("problem").isNotNull() | supported
+    unparsed = listed.where(~(supported & readable)).select(
         "path",
-        F.when(supported, "error").otherwise(UNSUPPORTED).alias("status"),
-        F.when(supported, "empty file").alias("error"),
+        F.when(failed, "error").otherwise(UNSUPPORTED).alias("status"),
+        F.when(failed, error).alias("error"),
     )
-    to_parse = listed.where(supported & (F.col("length") > 0))
+    to_parse = listed.where(supported & readable)
     no_content = F.lit(None).cast("binary").alias("content")
     size = to_parse.agg(
         F.count("*").alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes")
     ).first()
-    if tasks or size["files"] > MAX_SCANNED_FILES:
+    links = not entries.where("entry = 'link'").isEmpty()
+    if tasks or links or size["files"] > MAX_SCANNED_FILES:
         cost = size["bytes"] + size["files"] * _OPEN_COST
-        n = tasks or math.ceil(cost / _BYTES_PER_TASK)
+        n = tasks or max(1, math.ceil(cost / _BYTES_PER_TASK))
         return to_parse.select("path", no_content).repartition(n), unparsed
 
     scanned = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", glob_of_supported())
-        .load(qualified(root))
+        .load(re.sub(r"([\[\]{}*?\\])", r"\\\1", qualified(root)))
         .where(F.col("length").between(1, MAX_SCANNED_BYTES))
         .select("path", "content")
     )

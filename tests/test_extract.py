@@ -216,6 +216,28 @@ def test_files_opened_by_path_give_the_same(spark, tmp_path, monkeypatch):
     assert sorted(map(repr, extract_tree(spark, str(tmp_path)).collect())) == scanned
 
 
+def test_odd_trees(spark, tmp_path):
+    root = tmp_path / "[odd] {x} *"
+    (root / "sub").mkdir(parents=True)
+    (root / "sub" / "a.docx").write_bytes(docx(paragraph("a")))
+    (root / "l.docx").symlink_to(root / "sub" / "a.docx")
+    (root / "broken.docx").symlink_to(root / "nothing.docx")
+
+    def rows():
+        found = extract_tree(spark, str(root)).collect()
+        return {r.path.rpartition("*/")[2]: (r.status, r.text) for r in found}
+
+    expected = {"sub/a.docx": ("ok", "a"), "l.docx": ("ok", "a"), "broken.docx": ("error", None)}
+    assert rows() == expected
+    (root / "again").symlink_to(root)  # a link to a folder is not followed
+    assert rows() == expected
+
+
+def test_missing_root_is_reported(spark, tmp_path):
+    rows = list_documents(spark, str(tmp_path / "none")).collect()
+    assert len(rows) == 1 and "FileNotFoundError" in rows[0].problem
+
+
 def test_run_extraction(spark, tmp_path):
     root = tmp_path / "in"
     make_tree(root)
