@@ -190,7 +190,7 @@ _DESIRED = f"""{_RULES}, documents_of AS (
   FROM documents_of GROUP BY name
 ), store AS (
   SELECT min(line_pos) AS id, {_NAME} AS name, '{{"version":0}}' AS document
-  FROM rules WHERE line_pos % 3 = 0 GROUP BY 2
+  FROM rules WHERE masking_option IN ('MASK', 'MASK_NULL') GROUP BY 2
 ), plan AS (
   SELECT d.*, s.id, CASE WHEN s.id IS NULL THEN 'create' ELSE 'update' END AS action
   FROM desired d LEFT JOIN store s ON d.name = s.name)"""
@@ -212,7 +212,7 @@ def _name() -> F.Column:
 def _store(spark: SparkSession, sf: str) -> DataFrame:
     return (
         _policies(spark, sf)
-        .where("line_pos % 3 = 0")
+        .where("masking_option in ('MASK', 'MASK_NULL')")
         .groupBy(_name().alias("name"))
         .agg(F.min("line_pos").alias("id"))
         .select("id", "name", F.lit('{"version":0}').alias("document"))
@@ -220,12 +220,12 @@ def _store(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _plan(spark: SparkSession, sf: str) -> DataFrame:
-    # Only the second half of the list is wanted now; the store knows more.
-    policies = _policies(spark, sf).where("line_pos % 10 <> 4")
+    # Rules that null a column are wanted no more, so the store keeps some as they are.
+    policies = _policies(spark, sf).where("masking_option <> 'MASK_NULL'")
     return policy_upsert_plan(desired_policies(policies, "warehouse"), _store(spark, sf))
 
 
-_WANTED = _DESIRED.replace("FROM rules\n)", "FROM rules WHERE line_pos % 10 <> 4\n)")
+_WANTED = _DESIRED.replace("FROM rules\n)", "FROM rules WHERE masking_option <> 'MASK_NULL'\n)")
 
 
 @query(f"WITH {_RULES} SELECT * FROM rules", name="parse_policies")
@@ -234,12 +234,12 @@ def parse_policies_skip(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_RULES} SELECT line_pos, "database", "table", "column", masking_option
-        FROM rules WHERE line_pos % 10 >= 4"""
+    f"""WITH {_RULES} SELECT line_pos, "database", "table", "column", masking_option FROM rules"""
 )
 def parse_policies_strict(spark: SparkSession, sf: str) -> DataFrame:
-    well_formed = _lines(spark, sf).where("line_pos % 10 not in (2, 3)")
-    return parse_policies(well_formed, on_error="fail")
+    line = F.concat_ws(" , ", "database", "table", "column", "masking_option")
+    written = _policies(spark, sf).select("line_pos", line.alias("line"))
+    return parse_policies(written, on_error="fail")
 
 
 @query(

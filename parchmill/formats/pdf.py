@@ -28,6 +28,7 @@ _TOKEN = re.compile(
     rb"|(?P<word>[^%s()<>\[\]{}/%%]+|[{})])" % (_SPACE, _SPACE, _SPACE, _SPACE)
 )
 _OBJECT = re.compile(rb"(?<![0-9])([0-9]+)[%s]+[0-9]+[%s]+obj\b" % (_SPACE, _SPACE))
+_STREAM = re.compile(rb"[%s]*stream\r?\n" % _SPACE)
 _IMAGE_END = re.compile(rb"[%s]EI(?=[%s]|\Z)" % (_SPACE, _SPACE))
 _ESCAPE = re.compile(rb"\\(\r\n|[0-7]{1,3}|.)", re.S)
 # The letters that may follow a backslash in a text string.
@@ -122,7 +123,7 @@ class _Document:
         for m in _OBJECT.finditer(data):
             end, value = next(_values(data, m.end()), (m.end(), None))
             self.objects[int(m[1])] = value
-            start = re.compile(rb"[%s]*stream\r?\n" % _SPACE).match(data, end)
+            start = _STREAM.match(data, end)
             if isinstance(value, dict) and start:
                 length = value.get("Length")
                 stop = data.find(b"endstream", start.end())

@@ -57,6 +57,7 @@ class Workbook:
     def __init__(self, package: Package, formulas: bool):
         self.package, self.formulas = package, formulas
         main = package.xml(package.main)
+        self.ns = main.tag.rpartition("}")[0] + "}"
         sheets = [e for g in main if local(g.tag) == "sheets" for e in g]
         self.sheets = [
             (s.get("name"), kind, part)
@@ -76,7 +77,7 @@ class Workbook:
         out = []
         with self.package.open(part) as source:
             for _, e in ET.iterparse(source):
-                if local(e.tag) == "si":
+                if e.tag == self.ns + "si":
                     # Fixed value: the escape of an escape sign in shared strings.
                     out.append(_rich_text(e).replace("x005F_", ""))
                     e.clear()
@@ -117,13 +118,13 @@ class Workbook:
         return self.day_zero + dt.timedelta(days=days) + clock
 
     def _value(self, cell: ET.Element, at: tuple[int, int], shared: dict) -> Any:
-        kids = {local(c.tag): c for c in cell}
-        if self.formulas and "f" in kids:
-            return self._formula(kids["f"], at, shared)
+        if self.formulas and (formula := cell.find(self.ns + "f")) is not None:
+            return self._formula(formula, at, shared)
         kind = cell.get("t", "n")
         if kind == "inlineStr":
-            return _rich_text(kids["is"]) if "is" in kids else None
-        text = kids["v"].text if "v" in kids else None
+            inline = cell.find(self.ns + "is")
+            return None if inline is None else _rich_text(inline)
+        text = cell.findtext(self.ns + "v") or None
         if text is None:
             return None
         if kind == "s":
@@ -133,7 +134,7 @@ class Workbook:
         if kind == "d":
             return _iso(text.removesuffix("Z"))
         if kind == "n":
-            number = float(text) if re.search("[.eE]", text) else int(text)
+            number = int(text) if text.lstrip("-").isdigit() else float(text)
             style = int(cell.get("s") or 0)
             if style not in self.dates:
                 return number
@@ -161,32 +162,32 @@ class Workbook:
         """(row, [(column, value)]), both from 1, gaps between rows filled with
         empty rows. `clip` leaves out what lies outside the sheet's stated size."""
         last_row = last_column = float("inf")
-        row_no = column_no = done = 0
-        cells: list[tuple[int, Any]] = []
-        holder, shared = None, {}
+        row_no = done = 0
+        columns: dict[str, int] = {}
+        shared: dict[str, tuple] = {}
+        row_tag, size_tag = self.ns + "row", self.ns + "dimension"
         with self.package.open(part) as source:
-            for event, e in ET.iterparse(source, ("start", "end")):
-                name = local(e.tag)
-                if event == "start":
-                    if name == "sheetData":
-                        holder = e
-                    elif name == "row":
-                        row_no = int(e.get("r") or row_no + 1)
-                        column_no, cells = 0, []
-                elif name == "dimension" and clip:
+            for _, e in ET.iterparse(source):
+                if e.tag == size_tag and clip:
                     last_row, last_column = _position(e.get("ref").rpartition(":")[2])
-                elif name == "c":
-                    column_no = _position(e.get("r"))[1] if e.get("r") else column_no + 1
-                    value = self._value(e, (row_no, column_no), shared)
-                    if value is not None and column_no <= last_column:
-                        cells.append((column_no, value))
-                    e.clear()
-                elif name == "row":
-                    holder.clear()
-                    if row_no > last_row:
-                        return
-                    for gap in range(done + 1, row_no):
-                        yield gap, []
-                    if row_no > done:
-                        yield row_no, cells
-                        done = row_no
+                if e.tag != row_tag:
+                    continue
+                row_no = int(e.get("r") or row_no + 1)
+                if row_no > last_row:
+                    return
+                column_no, cells = 0, []
+                for cell in e:
+                    letters = (cell.get("r") or "").rstrip("0123456789")
+                    column_no = columns.get(letters) or column_no + 1
+                    if letters and letters not in columns:
+                        column_no = columns[letters] = _column_number(letters)
+                    if column_no <= last_column:
+                        value = self._value(cell, (row_no, column_no), shared)
+                        if value is not None:
+                            cells.append((column_no, value))
+                e.clear()
+                for gap in range(done + 1, row_no):
+                    yield gap, []
+                if row_no > done:
+                    yield row_no, cells
+                    done = row_no

@@ -117,11 +117,30 @@ def _parse_one(path: str, kind: str, content: pa.Buffer | None, parser: Parser)
         return [(path, kind, 0, 1, None, "error", f"{type(e).__name__}: {e}")]
 
 
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    """Parsed rows as Arrow columns; a failed file has no list of elements."""
+    *head, pieces, statuses, errors = zip(*rows)
+    flat = [e for piece in pieces if piece is not None for e in piece]
+    columns = list(zip(*flat)) or [()] * len(_ELEMENT)
+    elements = pa.StructArray.from_arrays(
+        [pa.array(c, f.type) for c, f in zip(columns, _ELEMENT)], fields=list(_ELEMENT)
+    )
+    offsets, end = [], 0
+    for piece in pieces:
+        offsets.append(None if piece is None else end)
+        end += len(piece or ())
+    lists = pa.ListArray.from_arrays(pa.array([*offsets, end], pa.int32()), elements)
+    others = iter((*head, statuses, errors))
+    return pa.RecordBatch.from_arrays(
+        [lists if f.name == "elements" else pa.array(next(others), f.type) for f in _PARSED],
+        schema=_PARSED,
+    )
+
+
 def _parse(
     batches: Iterator[pa.RecordBatch], parsers: Mapping[str, Parser]
 ) -> Iterator[pa.RecordBatch]:
-    names = [f.name for f in _ELEMENT]
-    rows: list[dict] = []
+    rows: list[tuple] = []
     n_elements = 0
     for batch in batches:
         for path, kind, content in zip(
@@ -129,18 +148,15 @@ def _parse(
             batch.column("kind").to_pylist(),
             batch.column("content"),
         ):
-            data = None if not content.is_valid else content.as_buffer()
+            data = content.as_buffer() if content.is_valid else None
             for row in _parse_one(path, kind, data, parsers[kind]):
-                *head, elements, status, error = row
-                if elements is not None:
-                    n_elements += len(elements)
-                    elements = [dict(zip(names, e)) for e in elements]
-                rows.append(dict(zip(_PARSED.names, (*head, elements, status, error))))
+                rows.append(row)
+                n_elements += len(row[4] or ())
                 if n_elements >= _BATCH_ELEMENTS or len(rows) >= _BATCH_ROWS:
-                    yield pa.RecordBatch.from_pylist(rows, _PARSED)
+                    yield _batch(rows)
                     rows, n_elements = [], 0
     if rows:
-        yield pa.RecordBatch.from_pylist(rows, _PARSED)
+        yield _batch(rows)
 
 
 def parse_documents(files: DataFrame, parsers: Mapping[str, Parser] | None = None) -> DataFrame:
