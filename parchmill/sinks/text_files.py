@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 from collections.abc import Iterator
 from itertools import groupby
@@ -30,6 +31,23 @@ def _replace(fs: pafs.FileSystem, partial: str, name: str) -> None:
         fs.move(partial, name)
 
 
+def _texts(
+    batches: Iterator[pa.RecordBatch],
+) -> Iterator[tuple[tuple[str, str], Iterator[pa.StringScalar]]]:
+    """((path, out_name), segments) per text; a text starts at each segment 0."""
+
+    def numbered() -> Iterator[tuple]:
+        n = 0
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in ("path", "out_name", "segment_no"))
+            for path, name, segment_no, text in zip(*columns, batch.column("text")):
+                n += segment_no == 0
+                yield (n, path, name), text
+
+    for (_, path, name), rows in groupby(numbered(), key=lambda r: r[0]):
+        yield (path, name), (text for _, text in rows)
+
+
 def _resolved_names(texts: DataFrame, on_collision: str) -> DataFrame:
     """Texts whose out_name is that of one path only."""
     clashes = output_collisions(texts.where("segment_no = 0").select("path", "out_name"))
@@ -54,8 +72,9 @@ def write_text_files(
 ) -> DataFrame:
     """Write the texts that were extracted; returns (path, out_name, n_bytes).
 
-    Each file is written under a temporary name and then renamed, so a task that
-    runs again only replaces it with the same text.
+    Give a stored table of texts, since it is read more than once. Each file is
+    written beside the folder and then renamed into it, so a task that is lost
+    leaves nothing there and one that runs again replaces a file with the same.
     Only texts of several segments are shuffled, to bring their rows together.
     `clustered` says that these already follow each other in one partition, as
     they do when they come straight from extraction; give it only with "error".
@@ -75,33 +94,30 @@ def write_text_files(
             long.sortWithinPartitions("path", "segment_no")
         )
 
+    partials = f"{folder.rstrip('/')}.partial-{uuid.uuid4().hex}"
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = resolve(folder)
+        _, beside = resolve(partials)
         fs.create_dir(base, recursive=True)
-        segments = (
-            row
-            for batch in batches
-            for row in zip(
-                batch.column("path").to_pylist(),
-                batch.column("out_name").to_pylist(),
-                batch.column("text"),
-            )
-        )
-        for (path, name), pieces in groupby(segments, key=lambda r: r[:2]):
-            partial = f"{base}/.{name}.{uuid.uuid4().hex}"
+        fs.create_dir(beside, recursive=True)
+        for (path, name), pieces in _texts(batches):
+            partial = f"{beside}/{uuid.uuid4().hex}"
             n_bytes = 0
             with fs.open_output_stream(partial) as out:
-                for _, _, text in pieces:
+                for text in pieces:
                     data = text.as_buffer()
                     out.write(data)
                     n_bytes += data.size
             _replace(fs, partial, f"{base}/{name}")
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([path]), pa.array([name]), pa.array([n_bytes], pa.int64())],
-                schema=_MANIFEST,
+            yield pa.RecordBatch.from_pylist(
+                [{"path": path, "out_name": name, "n_bytes": n_bytes}], _MANIFEST
             )
 
     ddl = "path string, out_name string, n_bytes bigint"
     written = scratch_path(texts.sparkSession, "written")
     rows.mapInArrow(write, ddl).write.parquet(written)
+    fs, beside = resolve(partials)
+    with contextlib.suppress(OSError):  # what lost tasks left behind
+        fs.delete_dir(beside)
     return texts.sparkSession.read.schema(ddl).parquet(written)
