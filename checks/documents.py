@@ -149,7 +149,10 @@ def route_by_extension(spark: SparkSession, sf: str) -> DataFrame:
     return route(_paths(spark, sf)).drop("out_name")
 
 
-@query(f"WITH {_ROUTED} SELECT page_id, path FROM routed WHERE kind = 'unsupported'", name="unsupported_files")
+@query(
+    f"WITH {_ROUTED} SELECT page_id, path FROM routed WHERE kind = 'unsupported'",
+    name="unsupported_files",
+)
 def unsupported(spark: SparkSession, sf: str) -> DataFrame:
     return unsupported_files(route(_paths(spark, sf))).select("page_id", "path")
 
@@ -176,7 +179,9 @@ def _pdf(lines: list[str]) -> bytes:
     codes = {c: b"%04x" % i for i, c in enumerate(sorted(set("".join(lines))), 1)}
     table = b"%d beginbfchar %s endbfchar" % (
         len(codes),
-        b" ".join(b"<%s> <%s>" % (n, c.encode("utf-16-be").hex().encode()) for c, n in codes.items()),
+        b" ".join(
+            b"<%s> <%s>" % (n, c.encode("utf-16-be").hex().encode()) for c, n in codes.items()
+        ),
     )
     extra = b"4 0 obj << /Length %d >> stream\n%s\nendstream endobj" % (len(table), table)
     pages = (b"BT /F1 12 Tf <%s> Tj ET" % b"".join(codes[c] for c in line) for line in lines)
@@ -279,7 +284,10 @@ def metrics(spark: SparkSession, sf: str) -> DataFrame:
     return extract_metrics(extract_texts(_files(spark, sf)))
 
 
-@query(f"WITH {_FILES_SQL} SELECT path, out_name, kind, text, status FROM files", name="extract_tree")
+@query(
+    f"WITH {_FILES_SQL} SELECT path, out_name, kind, text, status FROM files",
+    name="extract_tree",
+)
 def tree(spark: SparkSession, sf: str) -> DataFrame:
     root = scratch_path(spark, "tree")
     store_files(_files(spark, sf), root)

@@ -102,10 +102,12 @@ def mask_redact(spark: SparkSession, sf: str) -> DataFrame:
     return _masked(part, "p_partkey", "MASK")
 
 
+_NUMBER = "CAST(s_suppkey * 100003 AS VARCHAR)"
+
+
 @query(
     f"""SELECT s_suppkey, {_last_4("s_name")} AS s_name,
-               CAST({_last_4("CAST(s_suppkey * 100003 AS VARCHAR)").replace("'x'", "'1'")} AS BIGINT)
-                   AS number,
+               CAST({_last_4(_NUMBER).replace("'x'", "'1'")} AS BIGINT) AS number,
                CAST(NULL AS DOUBLE) AS s_acctbal
         FROM supplier"""
 )
@@ -244,9 +246,12 @@ def parse_policies_strict(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     f"""WITH {_STRIPPED} SELECT line_pos, line, len(string_split(line, ',')) AS n_fields
-        FROM rule_lines WHERE len(string_split(line, ',')) <> 4""", name="policy_rejects")
+        FROM rule_lines WHERE len(string_split(line, ',')) <> 4""",
+    name="policy_rejects",
+)
 def policy_reject_lines(spark: SparkSession, sf: str) -> DataFrame:
-    return policy_rejects(_lines(spark, sf)).withColumn("n_fields", F.col("n_fields").cast("bigint"))
+    rejects = policy_rejects(_lines(spark, sf))
+    return rejects.withColumn("n_fields", F.col("n_fields").cast("bigint"))
 
 
 @query(f"WITH {_RULES} SELECT line_pos, {_NAME} AS name FROM rules", name="policy_name")
@@ -261,7 +266,11 @@ def policy_documents(spark: SparkSession, sf: str) -> DataFrame:
     return _policies(spark, sf).select("line_pos", document.alias("document"))
 
 
-@query(f"WITH {_DESIRED} SELECT id, name, document FROM store WHERE name = 'masking-amb-x-seg0-c0'", name="lookup_policy")
+@query(
+    f"""WITH {_DESIRED} SELECT id, name, document FROM store
+        WHERE name = 'masking-amb-x-seg0-c0'""",
+    name="lookup_policy",
+)
 def lookup_stored_policy(spark: SparkSession, sf: str) -> DataFrame:
     return lookup_policy(_store(spark, sf), "masking-amb-x-seg0-c0")
 
@@ -287,7 +296,9 @@ def policy_store_next(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     f"""WITH {_AFTER} SELECT p.name, p.action, a.id, true AS succeeded
-        FROM plan p JOIN after a ON p.name = a.name""", name="policy_outcomes")
+        FROM plan p JOIN after a ON p.name = a.name""",
+    name="policy_outcomes",
+)
 def policy_upsert_outcomes(spark: SparkSession, sf: str) -> DataFrame:
     plan, store = _plan(spark, sf), _store(spark, sf)
     return policy_outcomes(plan, policy_store_after(plan, store))

@@ -102,7 +102,8 @@ def _raw_files(spark: SparkSession, sf: str, too_long: bool) -> str:
 
 
 @query(
-    f"""WITH {_RAW_FIELDS.replace("trim(line, ' ')", "trim(regexp_replace(line, ',more$', ''), ' ')")}
+    f"""WITH {_RAW}, fields AS (
+          SELECT string_split(trim(regexp_replace(line, ',more$', ''), ' '), ',') AS p FROM raw)
         SELECT p[1] AS "key", p[2] AS name, p[3] AS segment FROM fields""",
     name="scan_csv_raw",
 )
@@ -137,6 +138,7 @@ def _workbooks(spark: SparkSession, sf: str) -> str:
     """The customers as workbooks, one per batch of a few hundred."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        missing = ("NA", None)
         header = build.row("key", "name", "balance", "positive", "name")
         for batch in batches:
             rows = batch.to_pylist()
@@ -145,7 +147,7 @@ def _workbooks(spark: SparkSession, sf: str) -> str:
                 body = "".join(
                     build.row(
                         r["c_custkey"],
-                        r["c_name"] if r["c_custkey"] % 6 else ("NA", None)[r["c_custkey"] % 12 > 0],
+                        r["c_name"] if r["c_custkey"] % 6 else missing[r["c_custkey"] % 12 > 0],
                         r["c_acctbal"] if r["c_custkey"] % 4 else None,
                         r["c_acctbal"] > 0,
                         r["c_mktsegment"],
@@ -202,9 +204,10 @@ def scalar_text_ops(spark: SparkSession, sf: str) -> DataFrame:
     text, lang = F.col("text"), F.col("lang")
     path = F.concat(F.lit("d.x/."), lang, F.lit(".tar."), F.col("source"))
     fields = t.split_fields(text, ",")
+    decoded = F.decode(F.encode(text, "UTF-8"), "UTF-8")
     return given(spark, sf, "documents").select(
         "doc_id",
-        t.strip(F.concat(F.lit("　"), F.decode(F.encode(text, "UTF-8"), "UTF-8"), F.lit("\xa0 "))).alias("stripped"),
+        t.strip(F.concat(F.lit("\u3000"), decoded, F.lit("\xa0 "))).alias("stripped"),
         F.size(fields).alias("n_fields"),
         fields[0].alias("first_field"),
         F.lower(lang).alias("lowered"),

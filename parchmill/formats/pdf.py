@@ -127,8 +127,10 @@ class _Document:
             if isinstance(value, dict) and start:
                 length = value.get("Length")
                 stop = data.find(b"endstream", start.end())
-                if type(length) is int and data[start.end() + length :].lstrip()[:9] == b"endstream":
-                    stop = start.end() + length
+                if type(length) is int:
+                    told = start.end() + length
+                    if data[told : told + 16].lstrip().startswith(b"endstream"):
+                        stop = told
                 self.streams[int(m[1])] = data[start.end() : stop]
         dicts = [o for o in self.objects.values() if isinstance(o, dict)]
         if re.search(rb"/Encrypt\b", data):

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 from typing import BinaryIO, NamedTuple
 
+import pyarrow as pa
 import pyarrow.fs as pafs
 
 # URI schemes of Hadoop connectors and what Arrow calls them.
@@ -33,6 +34,15 @@ def resolve(uri: str) -> tuple[pafs.FileSystem, str]:
     return fs, f"{base.rstrip('/')}/{path}"
 
 
+def reachable(uri: str) -> bool:
+    """Whether Python can use the file system of a URI by itself, without Spark."""
+    try:
+        resolve(uri)
+    except (pa.ArrowException, OSError, ImportError):
+        return False
+    return True
+
+
 def open_file(uri: str) -> BinaryIO:
     fs, path = resolve(uri)
     file = fs.open_input_file(path)

@@ -46,8 +46,11 @@ def _iso(text: str) -> dt.datetime | dt.date | dt.time:
 
 def _rich_text(e: ET.Element) -> str:
     """Text of a string item: its own or that of its runs, without phonetics."""
-    parts = [t for c in e for t in ([c] if local(c.tag) == "t" else c if local(c.tag) == "r" else [])]
-    return "".join(t.text or "" for t in parts if local(t.tag) == "t")
+    out = []
+    for c in e:
+        texts = [c] if local(c.tag) == "t" else list(c) if local(c.tag) == "r" else []
+        out.extend(t.text or "" for t in texts if local(t.tag) == "t")
+    return "".join(out)
 
 
 class Workbook:
@@ -95,9 +98,8 @@ class Workbook:
             for e in g
         }
         durations_by_code = {n for n, code in codes.items() if _ELAPSED.search(code)} | {46}
-        dates_by_code = {
-            n for n, code in codes.items() if re.search("[dmhys]", _NOT_DATE_CODE.sub("", code), re.I)
-        }
+        shown = {n: _NOT_DATE_CODE.sub("", code) for n, code in codes.items()}
+        dates_by_code = {n for n, code in shown.items() if re.search("[dmhys]", code, re.I)}
         dates_by_code |= (_BUILTIN_DATES - set(codes)) | durations_by_code
         styles = [e for g in tree if local(g.tag) == "cellXfs" for e in g]
         used = [int(e.get("numFmtId") or 0) for e in styles]

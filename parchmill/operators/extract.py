@@ -55,7 +55,8 @@ _PARSED = pa.schema(
 )
 _PARSED_DDL = (
     "path string, kind string, segment_no int, n_segments int, elements array<struct<part_no:int,"
-    "part_name:string,row_no:int,cell_no:int,text:string,keep:boolean>>, status string, error string"
+    "part_name:string,row_no:int,cell_no:int,text:string,keep:boolean>>, status string, "
+    "error string"
 )
 
 

@@ -177,7 +177,10 @@ def policy_outcomes(plan: DataFrame, after: DataFrame) -> DataFrame:
     )
     match = (plan["name"] == stored["name"]) & (plan["document"] == stored["_document"])
     return plan.join(stored, match, "left").select(
-        plan["name"], "action", F.col("_id").alias("id"), F.col("_id").isNotNull().alias("succeeded")
+        plan["name"],
+        "action",
+        F.col("_id").alias("id"),
+        F.col("_id").isNotNull().alias("succeeded"),
     )
 
 

@@ -13,7 +13,7 @@ import pyarrow.fs as pafs
 
 from pyspark.sql import SparkSession
 
-from parchmill.formats.storage import resolve
+from parchmill.formats.storage import reachable, resolve
 
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -81,10 +81,11 @@ def ship_package(spark: SparkSession, *folders: str) -> None:
             for file in sorted(root.rglob("*.py")):
                 z.write(file, file.relative_to(root.parent))
     target = f"{shared_dir(spark)}/parchmill_{uuid.uuid4().hex}.zip"
+    if not reachable(target):  # the driver hands it out itself
+        target = f"{tempfile.mkdtemp()}/{posixpath.basename(target)}"
     fs, path = resolve(target)
     fs.create_dir(posixpath.dirname(path), recursive=True)
     with fs.open_output_stream(path) as out:
         out.write(packed.getvalue())
-    local = isinstance(fs, pafs.LocalFileSystem)
-    spark.sparkContext.addPyFile(path if local else target)
+    spark.sparkContext.addPyFile(path if isinstance(fs, pafs.LocalFileSystem) else target)
     spark.conf.set(done, "true")

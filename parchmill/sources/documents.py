@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import warnings
 from collections.abc import Iterator
 from itertools import islice
 
@@ -11,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parchmill.formats.storage import children, qualified
+from parchmill.formats.storage import children, qualified, reachable
 from parchmill.operators.route import UNSUPPORTED, glob_of_supported, route
 from parchmill.session import full_uri, scratch_path
 
@@ -80,6 +81,30 @@ def is_hidden(path: Column, root: str) -> Column:
     return F.regexp_like(below, F.lit(passed_over))
 
 
+def _scan(spark: SparkSession, root: str, names: str) -> DataFrame:
+    return (
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", True)
+        .option("pathGlobFilter", names)
+        .load(re.sub(r"([\[\]{}*?\\])", r"\\\1", qualified(root)))
+    )
+
+
+def _read_by_scan_only(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """What Spark's scan alone sees, on storage only Spark can reach."""
+    warnings.warn(f"hidden and empty files below {root} are not reported", stacklevel=3)
+    too_large = F.col("length") > MAX_SCANNED_BYTES
+    listed = route(_scan(spark, root, "*").select("path", "length"))
+    supported = F.col("kind") != UNSUPPORTED
+    unparsed = listed.where(~supported | too_large).select(
+        "path",
+        F.when(supported, "error").otherwise(UNSUPPORTED).alias("status"),
+        F.when(supported, f"larger than {MAX_SCANNED_BYTES} bytes").alias("error"),
+    )
+    files = _scan(spark, root, glob_of_supported()).where(~too_large)
+    return files.select("path", "content"), unparsed
+
+
 def read_documents(
     spark: SparkSession, root: str, tasks: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
@@ -89,10 +114,12 @@ def read_documents(
     null the parsing task opens the file by its path. That is so for what Spark's
     scan passes over (hidden names), for files too large for a row, and for all
     files if there are more than the driver should list for a scan, if there are
-    links to folders, which a scan would follow, or if a number of tasks is given. No file is left out. Files that need no parsing are
-    (path, status, error).
+    links to folders, which a scan would follow, or if a number of tasks is given.
+    No file is left out. Files that need no parsing are (path, status, error).
     """
     root = full_uri(spark, root)
+    if not reachable(root):
+        return _read_by_scan_only(spark, root)
     entries = _listing(spark, root).withColumnRenamed("kind", "entry")
     listed = route(entries.where("entry = 'file'"))
     supported = F.col("kind") != UNSUPPORTED
@@ -115,14 +142,8 @@ def read_documents(
         n = tasks or max(1, math.ceil(cost / _BYTES_PER_TASK))
         return to_parse.select("path", no_content).repartition(n), unparsed
 
-    scanned = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", glob_of_supported())
-        .load(re.sub(r"([\[\]{}*?\\])", r"\\\1", qualified(root)))
-        .where(F.col("length").between(1, MAX_SCANNED_BYTES))
-        .select("path", "content")
-    )
+    within = F.col("length").between(1, MAX_SCANNED_BYTES)
+    scanned = _scan(spark, root, glob_of_supported()).where(within).select("path", "content")
     passed_over = is_hidden(F.col("path"), root) | (F.col("length") > MAX_SCANNED_BYTES)
     by_path = to_parse.where(passed_over).select("path", no_content)
     return scanned.unionByName(by_path), unparsed

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from checks.builders import cell, docx, page, paragraph, pdf, pptx, row, shape, xlsx
+from parchmill.formats import storage
 from parchmill.operators import extract
 from parchmill.operators.extract import document_elements, extract_texts, parse_documents
 from parchmill.plans.extract_tree import TooManyErrors, extract_tree, run_extraction
@@ -233,6 +234,23 @@ def test_odd_trees(spark, tmp_path):
     assert rows() == expected
 
 
+def test_storage_only_spark_can_reach(spark, tmp_path, monkeypatch):
+    files = make_tree(tmp_path)
+    monkeypatch.setattr(documents, "reachable", lambda uri: False)
+    with pytest.warns(UserWarning, match="not reported"):
+        rows = extract_tree(spark, str(tmp_path)).collect()
+    names = {r.path.removeprefix(f"file:{tmp_path}/") for r in rows}
+    hidden = {"_x.docx", ".y.docx", ".hidden/z.docx", "empty.docx"}
+    assert names == set(files) - hidden and len(rows) == len(names)
+
+
+def test_uris():
+    assert storage.resolve("/a b/%20")[1] == storage.resolve("file:/a b/%20")[1] == "/a b/%20"
+    assert storage.resolve("file:///a")[1] == "/a"
+    assert storage.qualified("/a") == "file:/a" and storage.reachable("/a")
+    assert not storage.reachable("nosuch://host/a")
+
+
 def test_missing_root_is_reported(spark, tmp_path):
     rows = list_documents(spark, str(tmp_path / "none")).collect()
     assert len(rows) == 1 and "FileNotFoundError" in rows[0].problem
