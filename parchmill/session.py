@@ -23,6 +23,8 @@ RECOMMENDED_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # Many small files per task: starting a Python task costs more than opening files.
+    "spark.sql.files.openCostInBytes": "1048576",
     # File bytes and texts travel to Python in batches of at most this size.
     "spark.sql.execution.arrow.maxBytesPerBatch": "67108864",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",

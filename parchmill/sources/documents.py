@@ -30,9 +30,11 @@ _LISTED_ARROW = pa.schema(
 MAX_SCANNED_BYTES = 1_000_000_000
 # With more files than this the scan's own file list would burden the driver.
 MAX_SCANNED_FILES = 2_000_000
-# How files are dealt out to tasks then, as Spark's file scans do it.
+# How files are dealt out to tasks then: by size, with a charge per file, but not
+# to more tasks per core than the driver can well look after.
 _BYTES_PER_TASK = 128 << 20
-_OPEN_COST = 4 << 20
+_OPEN_COST = 256 << 10
+_TASKS_PER_CORE = 100
 
 
 def _list_folders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,7 +141,8 @@ def read_documents(
     links = not entries.where("entry = 'link'").isEmpty()
     if tasks or links or size["files"] > MAX_SCANNED_FILES:
         cost = size["bytes"] + size["files"] * _OPEN_COST
-        n = tasks or max(1, math.ceil(cost / _BYTES_PER_TASK))
+        most = _TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+        n = tasks or min(max(1, math.ceil(cost / _BYTES_PER_TASK)), most)
         return to_parse.select("path", no_content).repartition(n), unparsed
 
     within = F.col("length").between(1, MAX_SCANNED_BYTES)
