@@ -190,12 +190,15 @@ def apply_upsert(
     """Carry the upsert out on a catalog table and report the outcome per policy.
 
     The plan is stored first, so that it is worked out once. The new state is
-    written beside the old one and then takes its name, so a job that fails on
-    the way leaves the store as it was.
+    written beside the old one, which is kept under the name `{table}__previous`,
+    and then takes its name; so a job that fails on the way loses nothing, and the
+    next one starts from the state there was.
     """
     name = table_name(database, table)
     new, old = table_name(database, f"{table}__next"), table_name(database, f"{table}__previous")
     planned = table_name(database, f"{table}__plan")
+    if not spark.catalog.tableExists(name) and spark.catalog.tableExists(old):
+        spark.sql(f"ALTER TABLE {old} RENAME TO {name}")  # a job was lost between the renames
     exists = spark.catalog.tableExists(name)
     store = (
         spark.table(name)

@@ -53,12 +53,10 @@ def _typed(value: Any) -> tuple[str | None, str | None]:
         return None, None
     if isinstance(value, bool):
         return str(value), "boolean"
-    if isinstance(value, float):
-        if value.is_integer():
+    if isinstance(value, (int, float)):
+        if abs(value) < 2**63 and value == int(value):
             return str(int(value)), "bigint"
-        return repr(value), "double"
-    if isinstance(value, int):
-        return str(value), "bigint"
+        return repr(float(value)), "double"
     if isinstance(value, dt.datetime):
         return str(value), "timestamp"
     return str(value), "string"

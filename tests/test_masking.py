@@ -177,3 +177,9 @@ def test_apply_upsert_to_a_table(spark):
         "masking-a-b-d": ("create", 2, True),
     }
     assert spark.table("pol.store").count() == 2
+    # A job that was lost after the old state had made way.
+    spark.sql("DROP TABLE pol.store__previous")
+    spark.sql("ALTER TABLE pol.store RENAME TO pol.store__previous")
+    third = apply_upsert(spark, "pol", "store", wanted(spark, ("a", "b", "e", "MASK")))
+    assert [(r.action, r.id) for r in third.collect()] == [("create", 3)]
+    assert spark.table("pol.store").count() == 3

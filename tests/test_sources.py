@@ -1,3 +1,4 @@
+import configparser
 import datetime as dt
 
 import pytest
@@ -167,6 +168,13 @@ def test_excel_many_workbooks_in_one_schema(spark, tmp_path):
     assert "Exchange" not in given._jdf.queryExecution().executedPlan().toString()
 
 
+def test_excel_large_numbers(spark, tmp_path):
+    data = xlsx({"s": row("n", "m") + row(1e20, 2**53) + row(3, -1)})
+    df = scan_excel(spark, store(tmp_path / "x", a=data))
+    assert df.dtypes == [("n", "double"), ("m", "bigint")]
+    assert sorted(map(tuple, df.collect())) == [(3.0, -1), (1e20, 2**53)]
+
+
 def test_excel_formula_results(spark, tmp_path):
     formula = '<row><c><f>1+1</f><v>2</v></c><c t="str"><f>"a"</f><v>a</v></c></row>'
     df = scan_excel(spark, store(tmp_path / "x", a=xlsx({"s": row("n", "s") + formula})))
@@ -214,6 +222,14 @@ def test_jobs(spark, tmp_path):
     assert len(METHODS) == 7
 
 
+def test_job_from_a_configuration_file(spark, tmp_path):
+    csv = tmp_path / "in.csv"
+    csv.write_text("a,b\n1,2\n")
+    conf = configparser.ConfigParser()
+    conf.read_string(f"[hdfs]\ninput_csv = {csv}\n[processing]\nmethod = read_hdfs_pydoop\n")
+    assert [tuple(r) for r in run_job(spark, conf).collect()] == [("1", "2")]
+
+
 def test_python_environment_settings():
     assert python_env_conf("hdfs:///env.tar.gz", "e") == {
         "spark.archives": "hdfs:///env.tar.gz#e",
