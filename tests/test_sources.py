@@ -42,6 +42,38 @@ def test_jdbc_split_needs_all_its_parts(spark):
         scan_jdbc(spark, "jdbc:none:x", "d", "t", partition_column="id")
 
 
+class Recorder:
+    """Stands for a session and its reader, and keeps the options."""
+
+    def __init__(self):
+        self.read, self.seen = self, None
+
+    def format(self, name):
+        assert name == "jdbc"
+        return self
+
+    def options(self, **options):
+        self.seen = options
+        return self
+
+    def load(self):
+        return self
+
+
+def test_jdbc_options():
+    whole = scan_jdbc(Recorder(), "jdbc:x", "d", "t", driver="org.x.Driver").seen
+    assert whole == {
+        "url": "jdbc:x", "dbtable": "d.t", "fetchsize": "10000", "driver": "org.x.Driver",
+    }
+    split = dict(partition_column="id", lower_bound=1, upper_bound=9, num_partitions=3)
+    seen = scan_jdbc(Recorder(), "jdbc:x", "d", "t", properties={"user": "u"}, **split).seen
+    assert seen["partitionColumn"] == "id" and seen["numPartitions"] == "3"
+    assert (seen["lowerBound"], seen["upperBound"], seen["user"]) == ("1", "9", "u")
+    section = {"host": "h", "port": "21050", "database": "d", "table": "t"}
+    conf = {"processing": {"method": "read_impala"}, "impala": section}
+    assert run_job(Recorder(), conf).seen["url"] == "jdbc:impala://h:21050/d"
+
+
 # --- CSV ---------------------------------------------------------------------
 
 
