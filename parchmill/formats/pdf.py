@@ -1,13 +1,14 @@
 """PDF page texts: `pypdf` where executors have it, else a basic reader.
 
-The basic reader shows text in the order it is drawn and reads unencrypted files
-with Flate, ASCIIHex or ASCII85 streams. It does not lay text out, so callers
-mark its results as basic.
+The basic reader gives text in the order it is drawn, with a line feed where the
+line changes, and reads unencrypted files with Flate, ASCIIHex or ASCII85 streams.
+It does not know the widths of letters, so callers mark its results as basic.
 """
 
 from __future__ import annotations
 
 import base64
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -48,6 +49,47 @@ class Word(bytes):
     """A keyword or drawing operator."""
 
 
+class _Shown:
+    """Text in drawing order, with a line feed where the next piece stands on
+    another line and a space where there is a gap of a word."""
+
+    def __init__(self) -> None:
+        self.pieces: list[str] = []
+        self.y: float | None = None
+
+    def add(self, text: str, y: float, size: float) -> None:
+        if self.y is not None and abs(y - self.y) > 0.3 * size:
+            self.new_line()
+        self.y = y
+        if text:
+            self.pieces.append(text)
+
+    def new_line(self) -> None:
+        if self.pieces and not self.pieces[-1].endswith("\n"):
+            self.pieces.append("\n")
+
+    def gap(self) -> None:
+        if self.pieces and not self.pieces[-1].endswith((" ", "\n")):
+            self.pieces.append(" ")
+
+
+Matrix = tuple[float, ...]
+_UNMOVED: Matrix = (1, 0, 0, 1, 0, 0)
+# Half of a usual space, in thousandths of the font size.
+_WORD_GAP = 125
+
+
+def _times(m: Matrix, n: Matrix) -> Matrix:
+    """Apply m, then n."""
+    a, b, c, d, e, f = m
+    g, h, i, j, k, l = n  # noqa: E741
+    return (
+        a * g + b * i, a * h + b * j,
+        c * g + d * i, c * h + d * j,
+        e * g + f * i + k, e * h + f * j + l,
+    )
+
+
 def _unescape(m: re.Match) -> bytes:
     body = m[1]
     if body[:1].isdigit():
@@ -90,7 +132,7 @@ def _values(data: bytes, at: int = 0) -> Iterator[tuple[int, Any]]:
         elif m.lastgroup == "name":
             value = Name(re.sub(r"#(..)", lambda h: chr(int(h[1], 16)), found.decode("latin-1")))
         elif m.lastgroup == "hex":
-            digits = re.sub(rb"[%s]" % _SPACE, b"", found)
+            digits = found.translate(None, b"\0\t\n\f\r ")
             value = bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
         elif m.lastgroup == "text":
             end = _text_end(data, at)
@@ -183,9 +225,11 @@ class _Document:
             refs = self.items(refs[0])
         # The parts of a page's content are one stream.
         content = b"\n".join(self.stream(r) for r in refs if isinstance(r, Ref))
-        out: list[str] = []
-        self._draw(content, self.get(page.get("Resources")) or {}, out, ())
-        return "".join(out)
+        shown = _Shown()
+        self._draw(content, self.get(page.get("Resources")) or {}, shown, _UNMOVED)
+        # Characters beyond the basic plane may come as two codes.
+        text = "".join(shown.pieces)
+        return text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
 
     def _font_map(self, font: dict) -> tuple[str, dict[int, str]]:
         """(how to read codes from bytes, code -> text) of a font."""
@@ -218,39 +262,60 @@ class _Document:
                         yield first + k, text(one)
             pending = []
 
-    def _draw(self, data: bytes, resources: dict, out: list[str], inside: tuple) -> None:
+    def _draw(
+        self, data: bytes, resources: dict, shown: _Shown, place: Matrix, inside: tuple = ()
+    ) -> None:
         fonts = self.get(resources.get("Font")) or {}
         maps = {name: self._font_map(self.get(font) or {}) for name, font in fonts.items()}
         forms = self.get(resources.get("XObject")) or {}
-        code, table, args = "latin-1", _ONE_BYTE, []
+        code, table, size, leading = "latin-1", _ONE_BYTE, 1.0, 0.0
+        line = at = _UNMOVED
+        saved: list[Matrix] = []
+        args: list = []
 
         def show(text: bytes) -> None:
-            shown = text.decode(code, "replace").translate(table)
-            out.append(shown.encode("utf-16", "surrogatepass").decode("utf-16", "replace"))
-
-        def new_line() -> None:
-            if out and not out[-1].endswith("\n"):
-                out.append("\n")
+            _, _, c, d, _, y = _times(at, place)
+            shown.add(text.decode(code, "replace").translate(table), y, size * math.hypot(c, d))
 
         for _, v in _values(data):
             if not isinstance(v, Word):
                 args.append(v)
                 continue
-            if v == b"Tf" and args:
-                code, table = maps.get(args[0], ("latin-1", _ONE_BYTE))
-            elif v in (b"'", b'"', b"T*") or (v in (b"Td", b"TD") and args[-1:] != [0]):
-                new_line()
-            if v == b"Do" and args and isinstance(ref := forms.get(args[0]), Ref):
+            if v == b"q":
+                saved.append(place)
+            elif v == b"Q" and saved:
+                place = saved.pop()
+            elif v == b"cm" and len(args) >= 6:
+                place = _times(args[-6:], place)
+            elif v == b"BT":
+                line = at = _UNMOVED
+            elif v == b"Tm" and len(args) >= 6:
+                line = at = tuple(args[-6:])
+            elif v in (b"Td", b"TD") and len(args) >= 2:
+                line = at = _times((1, 0, 0, 1, *args[-2:]), line)
+                leading = -args[-1] if v == b"TD" else leading
+            elif v == b"TL" and args:
+                leading = args[-1]
+            elif v == b"Tf" and len(args) >= 2:
+                code, table = maps.get(args[-2], ("latin-1", _ONE_BYTE))
+                size = abs(args[-1])
+            elif v == b"Do" and args and isinstance(ref := forms.get(args[-1]), Ref):
                 form = self.get(ref)
                 if form.get("Subtype") == "Form" and ref not in inside:
                     own = self.get(form.get("Resources")) or resources
-                    self._draw(self.stream(ref), own, out, (*inside, ref))
-            elif v in (b"Tj", b"'", b'"') and args:
+                    there = _times(form.get("Matrix") or _UNMOVED, place)
+                    self._draw(self.stream(ref), own, shown, there, (*inside, ref))
+            if v in (b"T*", b"'", b'"'):
+                line = at = _times((1, 0, 0, 1, 0, -leading), line)
+                shown.new_line()
+            if v in (b"Tj", b"'", b'"') and args:
                 show(args[-1])
             elif v == b"TJ" and args:
                 for piece in args[-1]:
                     if isinstance(piece, bytes):
                         show(piece)
+                    elif piece <= -_WORD_GAP:
+                        shown.gap()
             args = []
 
 

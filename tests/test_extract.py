@@ -124,6 +124,18 @@ def test_pdf_strings_and_maps(spark):
     assert text_of(spark, "e.pdf", pdf(content)).text == "a(b)A(c)\nd"
 
 
+def test_pdf_lines_and_gaps(spark):
+    if extract.pdf.pypdf is not None:
+        pytest.skip("the basic reader is not in use")
+    content = (
+        b"q 1 0 0 1 0 10 cm BT /F1 10 Tf 1 0 0 1 50 700 Tm [(two) -300 (words) 20 (!)] TJ "
+        b"5 0 Td (same) Tj ET Q BT /F1 10 Tf 1 0 0 1 50 698 Tm (next) Tj 0 -12 TD (third) Tj "
+        b"(fourth) ' ET BT /F1 10 Tf 1 0 0 1 200 674 Tm (also) Tj ET"
+    )
+    text = text_of(spark, "e.pdf", pdf(content)).text
+    assert text == "two words!same\nnext\nthird\nfourthalso"
+
+
 def test_pdf_forms_images_and_strays(spark):
     if extract.pdf.pypdf is not None:
         pytest.skip("the basic reader is not in use")
