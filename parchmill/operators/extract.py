@@ -25,9 +25,12 @@ from parchmill.operators.route import UNSUPPORTED, route
 # A text longer than this goes on in a further row of the same path.
 SEGMENT_CHARS = 16_000_000
 SEGMENT_ELEMENTS = 1_000_000
+# One element longer than this would not fit a row.
+MAX_ELEMENT_CHARS = 400_000_000
 # What Python hands back at a time.
 _BATCH_ROWS = 64
 _BATCH_ELEMENTS = 20_000
+_BATCH_CHARS = 16_000_000
 
 Element = tuple  # part_no, part_name, row_no, cell_no, text, keep
 Parser = Callable[[BinaryIO], Iterator[Element]]
@@ -98,6 +101,8 @@ def _segments(elements: Iterator[Element]) -> Iterator[list[Element]]:
     piece: list[Element] = []
     chars = 0
     for e in elements:
+        if len(e[4]) > MAX_ELEMENT_CHARS:
+            raise ValueError(f"an element of {len(e[4])} characters")
         if piece and (chars + len(e[4]) > SEGMENT_CHARS or len(piece) >= SEGMENT_ELEMENTS):
             yield piece
             piece, chars = [], 0
@@ -142,7 +147,7 @@ def _parse(
     batches: Iterator[pa.RecordBatch], parsers: Mapping[str, Parser]
 ) -> Iterator[pa.RecordBatch]:
     rows: list[tuple] = []
-    n_elements = 0
+    n_elements = n_chars = 0
     for batch in batches:
         for path, kind, content in zip(
             batch.column("path").to_pylist(),
@@ -153,9 +158,14 @@ def _parse(
             for row in _parse_one(path, kind, data, parsers[kind]):
                 rows.append(row)
                 n_elements += len(row[4] or ())
-                if n_elements >= _BATCH_ELEMENTS or len(rows) >= _BATCH_ROWS:
+                n_chars += sum(len(e[4]) for e in row[4] or ())
+                if (
+                    len(rows) >= _BATCH_ROWS
+                    or n_elements >= _BATCH_ELEMENTS
+                    or n_chars >= _BATCH_CHARS
+                ):
                     yield _batch(rows)
-                    rows, n_elements = [], 0
+                    rows, n_elements, n_chars = [], 0, 0
     if rows:
         yield _batch(rows)
 

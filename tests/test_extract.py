@@ -305,6 +305,21 @@ def test_long_texts_go_on_in_segments(spark, tmp_path, monkeypatch):
     assert len(written) == 1 and written[0].n_bytes == len(joined)
 
 
+def test_element_too_long_for_a_row_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(extract, "MAX_ELEMENT_CHARS", 5)
+    row = extract._parse_one("a.docx", "docx", pa.py_buffer(docx(paragraph("123456"))), extract._word)
+    assert row[0][5:] == ("error", "ValueError: an element of 6 characters")
+
+
+def test_batches_are_bounded(monkeypatch):
+    monkeypatch.setattr(extract, "_BATCH_CHARS", 10)
+    files = [docx(paragraph("12345678")) for _ in range(5)] + [b"broken"]
+    columns = {"path": [f"{i}.docx" for i in range(6)], "kind": ["docx"] * 6, "content": files}
+    out = list(extract._parse(iter([pa.RecordBatch.from_pydict(columns)]), extract.PARSERS))
+    assert [b.num_rows for b in out] == [2, 2, 2]
+    assert [r["status"] for b in out for r in b.to_pylist()] == ["ok"] * 5 + ["error"]
+
+
 def test_elements_table(spark):
     data = xlsx({"s": row("x", 0)})
     files = spark.createDataFrame([("a.xlsx", bytearray(data))], "path string, content binary")
