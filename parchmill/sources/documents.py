@@ -78,9 +78,10 @@ def list_documents(spark: SparkSession, root: str) -> DataFrame:
 def is_hidden(path: Column, root: str) -> Column:
     """Whether Spark's file sources pass over the file for its name or a folder's."""
     below = F.substr(path, F.lit(len(qualified(root).rstrip("/")) + 1))
-    # The names that Spark's file listing leaves out.
-    passed_over = r"/(\.[^/]*|_(?!metadata|common_metadata)[^/=]*|[^/]*\._COPYING_)(/|\z)"
-    return F.regexp_like(below, F.lit(passed_over))
+    # The names of folders and files that Spark's scans leave out.
+    folder = r"/(\.[^/]*|_(?!metadata|common_metadata)[^/=]*|[^/]*\._COPYING_)/"
+    file = r"/(\.[^/]*|_[^/=]*|[^/]*\._COPYING_)\z"
+    return F.regexp_like(below, F.lit(folder)) | F.regexp_like(below, F.lit(file))
 
 
 def _scan(spark: SparkSession, root: str, names: str) -> DataFrame:

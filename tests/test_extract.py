@@ -246,6 +246,24 @@ def test_odd_trees(spark, tmp_path):
     assert rows() == expected
 
 
+NAMES = [
+    "a.docx", "_a=b.docx", "_metadata.docx", "_common_metadata_x.docx", ".a=b.docx", "_d/x.docx",
+    "_d=1/x.docx", "d._COPYING_/x.docx", "_metadata/x.docx", ".x/_d=1/x.docx", "_metadata/_q.docx",
+    "k=v/_z.docx", "_common_metadata/y.docx", "A._COPYING_.docx", "sub/_temporary/0/x.docx",
+    "x=1/y=2/x.docx", "n\nl/_x.docx", "n\nl/x.docx",
+]
+
+
+def test_every_name_is_read_once(spark, tmp_path):
+    for name in NAMES:
+        path = tmp_path / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(docx(paragraph(name.replace("\n", " "))))
+    rows = extract_tree(spark, str(tmp_path)).collect()
+    assert sorted(r.path.removeprefix(f"file:{tmp_path}/") for r in rows) == sorted(NAMES)
+    assert {r.status for r in rows} == {"ok"}
+
+
 def test_storage_only_spark_can_reach(spark, tmp_path, monkeypatch):
     files = make_tree(tmp_path)
     monkeypatch.setattr(documents, "reachable", lambda uri: False)
