@@ -17,6 +17,7 @@ from parchmill.operators.policies import (
     policy_store_after,
     policy_upsert_plan,
 )
+from parchmill.plans.masking_policies import apply_rule_list
 from parchmill.sources.lines import scan_policy_lines
 
 
@@ -164,6 +165,24 @@ def test_upsert(spark):
     assert lookup_policy(store, "other").first().id == 3
 
 
+def test_rule_list_job(spark, tmp_path):
+    spark.sql("CREATE DATABASE IF NOT EXISTS pol")
+    path = tmp_path / "rules.txt"
+    path.write_text(LIST)
+    rows = apply_rule_list(spark, str(path), "pol", "from_list", "svc").collect()
+    assert {r.action for r in rows} == {"create"} and len(rows) == 4
+    assert all(r.succeeded for r in rows)
+    rows = apply_rule_list(spark, str(path), "pol", "from_list", "svc", policy_type=1).collect()
+    assert {r.action for r in rows} == {"update"} and all(r.succeeded for r in rows)
+    stored = spark.table("pol.from_list").where("name = 'masking-mydb-mytable-ssn'").first()
+    document = json.loads(stored.document)
+    assert document["policyType"] == 1
+    assert document["dataMaskPolicyItems"][0]["dataMaskInfo"]["dataMaskType"] == "MASK_HASH"
+    path.write_text("a,b\n")
+    with pytest.raises(InvalidPolicyLine):
+        apply_rule_list(spark, str(path), "pol", "from_list", "svc")
+
+
 def test_apply_upsert_to_a_table(spark):
     spark.sql("CREATE DATABASE IF NOT EXISTS pol")
     first = apply_upsert(spark, "pol", "store", wanted(spark, ("a", "b", "c", "MASK")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from parchmill.functions.text import WHITESPACE
 from parchmill.operators import encode, prompts
+from parchmill.plans.training_rows import write_training_rows
 from parchmill.sources.lines import scan_prompt_lines
 
 QUICK = settings(
@@ -133,6 +134,21 @@ def test_own_tokeniser(spark):
     ]
 
 
+def test_training_rows_job(spark, tmp_path):
+    source, target = tmp_path / "lines.txt", tmp_path / "rows"
+    source.write_text("q\ta\nno pair\nr\tb\n")
+    words = vocabulary_of(spark, {"q": 5, "assistant": 6})
+    tokenise = encode.vocabulary_tokeniser(encode.shipped_vocabulary(words), 0, 5)
+    assert write_training_rows(spark, str(source), str(target), tokenise, pad_id=9, length=5) == 2
+    rows = spark.read.parquet(str(target)).collect()
+    assert sorted(r.input_ids for r in rows) == [[0, 0, 0, 0, 9], [0, 5, 0, 0, 9]]
+    assert {tuple(r.attention_mask) for r in rows} == {(1, 1, 1, 1, 0)}
+    source.write_text("no pair\n")
+    with pytest.raises(prompts.NoValidRows):
+        write_training_rows(spark, str(source), str(tmp_path / "none"), tokenise, pad_id=9)
+    assert not (tmp_path / "none").exists()
+
+
 def test_encoding_does_not_shuffle(spark):
     df = spark.createDataFrame([("a",)], "t string")
     out = encode.encode_with_vocabulary(spark, df, "t", vocabulary_of(spark, {"a": 1}), 0, 2, 4)

@@ -2,6 +2,8 @@ import configparser
 import datetime as dt
 
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.errors import AnalysisException
 
 from checks.builders import cell, row, xlsx
@@ -111,6 +113,29 @@ def test_raw_csv(spark, tmp_path):
     assert rows_of(df) == sorted(expected, key=repr)
 
 
+LINE = st.text(st.sampled_from("a,b \t\r\"\u3000\xa0\u0085"), max_size=8)
+
+
+@settings(
+    max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture]
+)
+@given(st.lists(LINE, min_size=1, max_size=15), st.booleans())
+def test_raw_csv_as_in_python(spark, tmp_path_factory, lines, last_ended):
+    folder = tmp_path_factory.mktemp("raw")
+    text = "\n".join(lines) + ("\n" if last_ended else "")
+    (folder / "f.csv").write_bytes(text.encode())
+    records = text.split("\n")[: -1 if text.endswith("\n") else None]
+    if not text:
+        return
+    header, *rows = [r.strip().split(",") for r in records]
+    df = scan_csv_raw(spark, str(folder), on_long="reject")
+    assert df.columns == header
+    kept = [tuple(r + [None] * (len(header) - len(r))) for r in rows if len(r) <= len(header)]
+    assert rows_of(df) == sorted(kept, key=repr)
+    rejected = sorted(len(r) for r in rows if len(r) > len(header))
+    assert sorted(r.n_fields for r in raw_rejects(spark, str(folder)).collect()) == rejected
+
+
 def test_raw_csv_header_only(spark, tmp_path):
     df, _ = raw(spark, tmp_path, "a,b\n")
     assert df.columns == ["a", "b"] and df.count() == 0
