@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import posixpath
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +22,8 @@ from parchmill.operators.policies import (
     policy_store_after,
     policy_upsert_plan,
 )
+from parchmill.plans.masking_policies import apply_rule_list
+from parchmill.session import scratch_path
 
 # --- masks on tables ---------------------------------------------------------
 
@@ -302,3 +306,18 @@ def policy_store_next(spark: SparkSession, sf: str) -> DataFrame:
 def policy_upsert_outcomes(spark: SparkSession, sf: str) -> DataFrame:
     plan, store = _plan(spark, sf), _store(spark, sf)
     return policy_outcomes(plan, policy_store_after(plan, store))
+
+
+@query(
+    f"""WITH {_DESIRED} SELECT name, 'create' AS action,
+          row_number() OVER (ORDER BY left(sha256(name), 3), name) AS id, true AS succeeded
+        FROM desired"""
+)
+def rule_list_job(spark: SparkSession, sf: str) -> DataFrame:
+    """A list in a file, in its order, to a policy store that is new."""
+    path = scratch_path(spark, "rules")
+    _lines(spark, sf).orderBy("line_pos").select("line").write.text(path)
+    database = "policies_" + posixpath.basename(path).rpartition("-")[2]
+    place = scratch_path(spark, "database")
+    spark.sql(f"CREATE DATABASE {database} LOCATION '{place}'")
+    return apply_rule_list(spark, path, database, "store", "warehouse", on_error="skip")
