@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from checks.registry import QUERIES, SQL
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -25,13 +26,13 @@ def plain(rows):
     return sorted(repr(tuple(round(v, 9) if isinstance(v, float) else v for v in r)) for r in rows)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_its_sql(spark, duck, name):
     df = entry.queries()[name](spark, SF_DIR)
     columns = sorted(df.columns)
     rows = [tuple(r[c] for c in columns) for r in df.collect()]
     assert rows
-    result = duck.execute(entry.oracle_sql()[name])
+    result = duck.execute(SQL[name])
     names = [d[0] for d in result.description]
     assert sorted(names) == columns
     at = [names.index(c) for c in columns]
