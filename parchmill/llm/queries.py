@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parchmill.llm import language_id
+from parchmill.llm import language_id, licences, minhash, simhash
 from parchmill.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,8 @@ def prepare(spark: SparkSession) -> None:
     """What every query needs of its session: the package on all executors, UTC."""
     ship_package(spark)
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    # Texts travel to Python in batches of at most this size.
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
 def query(run: Query) -> Query:
@@ -40,6 +42,19 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(remainder == 2, F.lit(False))
 
 
+@query
+def op1_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases and licence texts in every document."""
+    found = licences.scan_licences(table(spark, sf_dir, "documents"))
+    return found.withColumn("n_spans", F.size("spans").cast("long")).drop("spans")
+
+
+@query
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicates of all documents by shingles of four words, at 0.8."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
 @query
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learned from the labelled documents that are not held out, predicted for all."""
@@ -47,3 +62,9 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples = language_id.learn(docs.where(~held_out()))
     found = language_id.identify(docs, samples)
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document, of its edited text, and how alike they are."""
+    return simhash.compare_with_edits(table(spark, sf_dir, "documents"))
