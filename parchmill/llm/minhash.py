@@ -12,8 +12,8 @@ Stages, each written to the shared folder where a later one reads it more than o
 2. documents of equal sets become one class, named by its smallest id;
 3. in each band bucket, every class is compared with the bucket's smallest: as many
    pairs as rows, however large the bucket. What this links becomes components;
-4. buckets that still hold several components are searched fully across them, so no
-   candidate pair of different components stays untested;
+4. members of buckets that still hold several components are searched across them,
+   by their rarest shingles, so no similar pair of different components is left;
 5. components of all links, joined back to the documents.
 
 The sets of candidates are made in a second scan. A bitmap of fixed size (BITMAP_BITS)
@@ -168,6 +168,44 @@ def _close_sizes(percent: int, a: str, b: str):
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
+def _across_components(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs x, y of `members` (id, n, component) of different components that may be
+    similar enough: none that is similar enough is left out.
+
+    With all shingles in one order, the rarest first, similar sets share one of their
+    first few, from which on either has enough left for the whole overlap. In a group of
+    near copies the first shingles are the ones that its edits made, so members that
+    differ too much do not meet, however large the group. Where a shingle does have many
+    members, those of its most frequent component are met by the others only.
+    """
+    shingle = members.join(sets, "id").select("id", "n", "component", F.explode("shingles").alias("s"))
+    spread = shingle.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    listed = shingle.join(spread, "s").groupBy("id", "n", "component")
+    listed = listed.agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("c"))
+    # Shingles of no other member come first of all; `at` counts them.
+    alone = F.col("n") - F.size("c")
+    least = F.ceil(F.col("n") * percent / 100)
+    few = F.greatest(F.col("n") - least + 1 - alone, F.lit(0)).cast("int")
+    first = listed.select("id", "n", "component", alone.alias("alone"), F.posexplode(F.slice("c", F.lit(1), few)))
+    first = first.select(
+        "id", "n", "component", F.col("col.s").alias("s"), (F.col("alone") + F.col("pos")).alias("at")
+    )
+    counts = first.groupBy("s", "component").agg(F.count(F.lit(1)).alias("k"))
+    most = counts.groupBy("s").agg(F.max_by("component", "k").alias("most"), F.count(F.lit(1)).alias("several"))
+    first = first.join(most.where("several > 1").select("s", "most"), "s")
+    others = first.where("component != most").drop("most")
+    named = [F.col(c).alias(f"{c}2") for c in ("id", "n", "component", "at")]
+    needed = percent * (F.col("n") + F.col("n2"))  # of (100 + percent) times the overlap
+    left = F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2"))
+    return (
+        others.join(first.select("s", *named), "s")
+        .where(F.col("component") != F.col("component2"))
+        .where((100 + percent) * left >= needed)
+        .select(F.greatest("id", "id2").alias("x"), F.least("id", "id2").alias("y"))
+        .distinct()
+    )
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -223,17 +261,11 @@ def near_duplicates(
     placed = shared.join(reached, F.col("id") == F.col("vertex"), "left").select(
         "key", "id", "n", F.coalesce("component", "id").alias("component")
     )
-    divided = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"))
-    divided = placed.join(divided.where("a != b").select("key"), "key")
-    other = divided.select("key", *[F.col(c).alias(f"{c}2") for c in ("id", "n", "component")])
-    rest = (
-        divided.join(other, "key")
-        .where((F.col("id") > F.col("id2")) & (F.col("component") != F.col("component2")))
-        .where(_close_sizes(percent, "n", "n2"))
-        .select(F.col("id").alias("x"), F.col("id2").alias("y"))
-        .distinct()
-        .join(pairs, ["x", "y"], "left_anti")
-    )
+    ends = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"))
+    divided = placed.join(ends.where("a != b").select("key"), "key")
+    divided = divided.select("id", "n", "component").distinct()
+    rest = stored(_across_components(divided, sets, percent), "rest")
+    rest = rest.join(pairs, ["x", "y"], "left_anti")
     more = _links(rest, sets, percent)
     stars = reached.select(F.col("vertex").alias("x"), F.col("component").alias("y"))
     reached = connected_components(stars.unionAll(more))

@@ -7,8 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parchmill.llm import language_id, licences, minhash, simhash
-from parchmill.session import ship_package
+from parchmill.llm import (
+    language_id,
+    licences,
+    minhash,
+    mixing,
+    pieces,
+    secret_scan,
+    sharding,
+    simhash,
+    topk,
+    warc,
+)
+from parchmill.session import scratch_path, ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -33,6 +44,14 @@ def query(run: Query) -> Query:
     return run
 
 
+def in_sql(sql: str) -> Callable[[Query], Query]:
+    def register(run: Query) -> Query:
+        SQL[run.__name__] = sql
+        return query(run)
+
+    return register
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -49,6 +68,128 @@ def op1_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("n_spans", F.size("spans").cast("long")).drop("spans")
 
 
+@query
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents shuffled into 24 shards on disk, and where each went."""
+    docs = table(spark, sf_dir, "documents")
+    written = sharding.write_shards(docs, scratch_path(spark, "shards"), shards=24)
+    text = F.coalesce(F.col("row.text"), F.lit(""))
+    placed = sharding.with_slots(
+        written,
+        F.col("row.doc_id").alias("doc_id"),
+        (F.octet_length(text) + 8).cast("long").alias("size"),
+        F.crc32(F.encode(text, "UTF-8")).cast("long").alias("text_crc32"),
+    )
+    grown = sharding.consistent_shard(F.col("doc_id"), 25, 20)
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", grown.alias("grown_shard")
+    )
+
+
+# The same mix over all rows at once: targets by filling up sources in order, then
+# documents in order of their rank until the words left to take are reached.
+_MIX_SQL = """
+WITH sized AS (
+  SELECT doc_id, source,
+         coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
+         ('0x' || substr(md5('7:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE
+           / 4503599627370496.0 AS u
+  FROM documents
+), sources AS (
+  SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source
+), weighed AS (
+  SELECT *, list_extract([5.0, 2.0, 1.0]::DOUBLE[],
+           ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT) AS weight,
+         source_size * 3.0::DOUBLE AS most, sum(source_size) OVER () ::DOUBLE AS total
+  FROM sources
+), filling AS (
+  SELECT *, most / weight AS fills_at,
+         (total - coalesce(sum(most) OVER (ORDER BY most / weight, source NULLS LAST
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
+         / sum(weight) OVER (ORDER BY most / weight, source NULLS LAST
+            ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM weighed
+), targets AS (
+  SELECT *, coalesce(least((SELECT level FROM filling WHERE level < fills_at
+              ORDER BY fills_at, source NULLS LAST LIMIT 1) * weight, most), most) AS target
+  FROM filling
+), expected AS (
+  SELECT s.*, t.source_size, t.target,
+         CASE WHEN t.source_size > 0 THEN least(3.0::DOUBLE, t.target / t.source_size) ELSE 0.0 END AS e
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
+), ranked AS (
+  SELECT *, floor(e) AS certain,
+         target - sum(floor(e) * size) OVER (PARTITION BY source) AS rest,
+         CASE WHEN floor(e) >= 3 THEN NULL
+              WHEN e - floor(e) > 0 THEN (u / (1 - u)) / ((e - floor(e)) / (1 - (e - floor(e))))
+              ELSE 'inf'::DOUBLE END AS rank
+  FROM expected
+), placed AS (
+  SELECT *, sum(size) OVER (PARTITION BY source, rank IS NULL ORDER BY rank, doc_id, size
+              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
+  FROM ranked
+)
+SELECT doc_id, size, source_size, target,
+       (size * (certain + CASE WHEN rank IS NOT NULL AND rest > 0 AND upto - size / 2 <= rest
+                               THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM placed
+"""
+
+
+@in_sql(_MIX_SQL)
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document a mix by the weights 5, 2, 1 takes."""
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), mixing.word_count(F.col("text")))
+    taken = (F.col("size") * F.col("copies")).alias("taken")
+    return mixed.select("doc_id", "size", "source_size", "target", taken)
+
+
+_WARC_SQL = """
+WITH hashed AS (
+  SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS hex
+  FROM pages
+), kept AS (
+  SELECT hex AS h, max(page_id) AS keeper FROM hashed GROUP BY hex
+), spelled AS (
+  SELECT page_id, payload_bytes, keeper,
+         list_aggregate(list_transform(range(32), lambda i:
+           substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+             (('0x' || substr(hex, (i // 4) * 5 + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31) + 1, 1)),
+           'string_agg', '') AS payload_digest
+  FROM hashed JOIN kept ON hex = h
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN keeper IS NOT NULL AND page_id IS DISTINCT FROM keeper THEN 'revisit' ELSE 'response' END
+         AS record_type,
+       CASE WHEN keeper IS NOT NULL AND page_id IS DISTINCT FROM keeper THEN keeper END AS refers_to
+FROM spelled
+"""
+
+
+@in_sql(_WARC_SQL)
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to archives, and what the archives hold."""
+    path = scratch_path(spark, "warc")
+    warc.write_pages(table(spark, sf_dir, "pages"), path)
+    return warc.read_pages(spark, path)
+
+
+@query
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate of every document, with the forest's verdict. The candidate
+    itself is told by its hash only."""
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        F.col("nth").cast("long").alias("nth"),
+        F.col("start").cast("long").alias("start"),
+        F.length("candidate").cast("long").alias("length"),
+        F.sha2("candidate", 256).alias("candidate_sha256"),
+        "probability",
+        "is_secret",
+    )
+
+
 @query
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicates of all documents by shingles of four words, at 0.8."""
@@ -64,6 +205,43 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+_TOP_K_SQL = """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+  FROM whole q JOIN whole c ON len(q.v) = len(c.v) AND q.vec_id <> c.vec_id
+  WHERE q.vec_id % 100 = 0
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
+
+@in_sql(_TOP_K_SQL)
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best of all vectors for every hundredth id."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, F.col("vec_id") % 100 == 0, k=10)
+
+
+@query
+def op9_sentencepiece(spark: SparkSession, sf_dir: str, path: str = PIECE_MODEL) -> DataFrame:
+    """Every document's piece ids, and whether decoding them gives its text back."""
+    model = pieces.PieceModel.load(path)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    made = pieces.decode(pieces.encode(docs, model), model)
+    same = pieces.same_text(F.col("text"), F.col("decoded"))
+    return made.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("same"))
+
+
 @query
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document, of its edited text, and how alike they are."""

@@ -1,0 +1,137 @@
+"""Near-duplicates against all pairs."""
+
+import random
+
+import pytest
+
+from parchmill.llm import queries
+from parchmill.llm.components import connected_components
+from parchmill.llm.minhash import near_duplicates
+
+SPACE = " \t\n\x0b\x0c\r"
+
+
+def lowered(text):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+
+
+def shingles(text, width):
+    words, word = [], ""
+    for c in lowered(text) + " ":
+        if c in SPACE:
+            words += [word] if word else []
+            word = ""
+        else:
+            word += c
+    if not words:
+        return frozenset()
+    return frozenset(tuple(words[k : k + width]) for k in range(max(1, len(words) - width + 1)))
+
+
+def brute(rows, width, percent):
+    """Expected (doc_id, n_shingles, component_id, kept), found by comparing all pairs."""
+    sets = [(i, shingles(t, width)) for i, t in rows]
+    parent = {i: i for i, _ in rows}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    by_set = {}
+    for i, s in sets:
+        by_set.setdefault(s, []).append(i)
+    for ids in by_set.values():
+        if ids and next(s for i, s in sets if i == ids[0]):
+            for i in ids:
+                a, b = sorted((root(i), root(ids[0])))
+                parent[b] = a
+    distinct = sorted((len(s), min(ids), s) for s, ids in by_set.items() if s)
+    for k, (n, i, s) in enumerate(distinct):
+        for m, j, t in distinct[k + 1 :]:
+            if 100 * n < percent * m:
+                break
+            shared = len(s & t)
+            if 100 * shared >= percent * (n + m - shared):
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    return sorted((i, len(s), root(i), root(i) == i) for i, s in sets)
+
+
+def got(df):
+    return sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in df.collect())
+
+
+def test_query_equals_all_pairs(spark, sf_dir, documents):
+    expected = brute([(r["doc_id"], r["text"]) for r in documents], 4, 80)
+    assert any(not r[3] for r in expected)
+    assert got(queries.QUERIES["op6_minhash"](spark, sf_dir)) == expected
+
+
+def near_copies(seed, groups=12, copies=9, words=70):
+    rng = random.Random(seed)
+    rows = []
+    for g in range(groups):
+        text = [f"w{rng.randrange(400)}" for _ in range(words)]
+        for _ in range(copies):
+            if rng.random() < 0.4:  # a chain: each from the one before
+                text = list(text)
+            changed = list(text)
+            for _ in range(rng.randrange(5)):
+                changed[rng.randrange(len(changed))] = f"x{rng.randrange(9)}"
+            rows.append((len(rows), " ".join(changed)))
+            if rng.random() < 0.5:
+                text = changed
+    rng.shuffle(rows)
+    return [(k, t) for k, (_, t) in enumerate(rows)]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_chains_of_near_copies(make, seed):
+    rows = near_copies(seed)
+    assert got(near_duplicates(make(rows), width=3)) == brute(rows, 3, 80)
+
+
+def test_edge_cases(make):
+    rows = [
+        (5, None),
+        (6, ""),
+        (7, " \t\n"),
+        (8, "One two"),
+        (9, "one TWO"),
+        (10, "one two three"),
+        (11, "ÄB c d e"),
+        (12, "äB c d e"),  # only A-Z are lowered
+        (13, "long " * 50_000),
+        (14, "long " * 50_001),
+        (3, "one two"),
+        (3, "one two"),  # a repeated row
+    ]
+    df = near_duplicates(make(rows, id="x", component_id="y", bands="z"), width=4)
+    assert df.columns == ["doc_id", "n_shingles", "component_id", "kept"]
+    expected = {5: (0, 5), 6: (0, 6), 7: (0, 7), 8: (1, 3), 9: (1, 3), 10: (1, 10)}
+    expected |= {11: (1, 11), 12: (1, 12), 13: (1, 13), 14: (1, 13), 3: (1, 3)}
+    assert got(df) == sorted((i, *expected[i], i == expected[i][1]) for i, _ in rows)
+    assert near_duplicates(make([])).collect() == []
+
+
+def test_rows_without_an_id(make):
+    rows = [(None, "a b c"), (4, "a b c"), (None, "d e f"), (None, None)]
+    found = near_duplicates(make(rows)).collect()
+    assert sorted((r["doc_id"] or 0, r["component_id"] or 0, r["kept"]) for r in found) == [
+        (0, 0, False),
+        (0, 0, False),
+        (0, 4, False),
+        (4, 4, True),
+    ]
+
+
+def test_components_of_a_path_a_hub_and_a_circle(spark):
+    path = [(k, k + 1) for k in range(100, 160)]
+    hub = [(7, k) for k in range(1000, 1050)]
+    circle = [(k, 300 + (k - 299) % 20) for k in range(300, 320)]
+    links = [*path, *hub, *circle, (5, 5), (None, 4), (9, None)]
+    found = connected_components(spark.createDataFrame(links, "a long, b long"))
+    expected = {k: 100 for k in range(101, 161)} | {k: 7 for k in range(1000, 1050)}
+    expected |= {k: 300 for k in range(301, 320)}
+    assert {r["vertex"]: r["component"] for r in found.collect()} == expected
