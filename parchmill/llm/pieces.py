@@ -22,6 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from parchmill.llm.arrays import Texts, text_slices
 
@@ -49,32 +50,35 @@ class DoubleArray:
             ends[node] = k
         size = 2 * len(children) + 1024
         base, check, value = [0] * size, [-1] * size, [-1] * size
-        free = 1
         place = {0: 0}
         check[0] = -2  # taken
+        begin = {True: 1, False: 1}  # where to look for places of one child, of several
         for node, moves in enumerate(children):  # parents come before their children
             at = place.pop(node)
             value[at] = ends[node]
             if not moves:
                 continue
             codes = sorted(moves)
-            while check[free] != -1:
-                free += 1
-            spot = free
+            alone = len(codes) == 1
+            spot, seen, taken = max(begin[alone], codes[0]), 0, 0
             while True:
-                b = spot - codes[0]
-                if b + 256 >= len(check):
+                if spot + 256 >= len(check):
                     more = len(check)
                     base += [0] * more
                     check += [-1] * more
                     value += [-1] * more
-                if b >= 0 and all(check[b + c] == -1 for c in codes):
+                seen += 1
+                if check[spot] != -1:
+                    taken += 1
+                elif all(check[spot - codes[0] + c] == -1 for c in codes):
                     break
                 spot += 1
-            base[at] = b
+            if taken >= 0.9 * seen:  # nearly full up to here: begin further on from now on
+                begin[alone] = spot
+            base[at] = spot - codes[0]
             for c in codes:
-                check[b + c] = at
-                place[moves[c]] = b + c
+                check[base[at] + c] = at
+                place[moves[c]] = base[at] + c
         last = max(k for k, c in enumerate(check) if c != -1) + 257
         self.base, self.check, self.value = (
             np.array((a + [fill] * 257)[:last], np.int32)
@@ -296,7 +300,7 @@ def encode(
                 rows = batch.slice(texts.first, texts.rows)
                 yield pa.RecordBatch.from_arrays([*rows.columns[: len(kept)], made], [*kept, ids_col])
 
-    schema = docs.select(*[F.col(f"`{c}`") for c in kept]).schema.add(ids_col, "array<int>")
+    schema = docs.select(*[F.col(f"`{c}`") for c in kept]).schema.add(ids_col, ArrayType(IntegerType()))
     return taken.mapInArrow(run, schema)
 
 

@@ -152,10 +152,10 @@ WITH hashed AS (
   SELECT hex AS h, max(page_id) AS keeper FROM hashed GROUP BY hex
 ), spelled AS (
   SELECT page_id, payload_bytes, keeper,
-         list_aggregate(list_transform(range(32), lambda i:
+         list_aggregate([
            substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
-             (('0x' || substr(hex, (i // 4) * 5 + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31) + 1, 1)),
-           'string_agg', '') AS payload_digest
+             (((('0x' || substr(hex, (i // 4) * 5 + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31) + 1)::INT, 1)
+           FOR i IN range(32)], 'string_agg', '') AS payload_digest
   FROM hashed JOIN kept ON hex = h
 )
 SELECT page_id, payload_bytes, payload_digest,

@@ -71,29 +71,50 @@ def candidates(
     parts = docs.select(F.col(f"`{id_col}`").alias("id"), path.alias("path"), marked.alias("marked"))
     parts = parts.where(F.instr("marked", _MARK) > 0)
     parts = parts.select("id", "path", F.split("marked", _MARK).alias("p"))
-    ends = F.aggregate(
-        "p",
-        F.array(F.lit(0)),
-        lambda sums, x: F.concat(sums, F.array(F.element_at(sums, -1) + F.length(x))),
-    )
-    odd = F.sequence(F.lit(1), F.size("p") - 2, F.lit(2))
+    parts = parts.withColumn("runs", _running_lengths("p"))
+    totals = F.transform("runs", lambda r: F.element_at(r, -1))
+    parts = parts.withColumn("starts", _running_sums(totals))
 
-    def one(k: Column) -> Column:
-        before, after = F.get("p", k - 1), F.get("p", k + 1)
+    def one(part: Column, k: Column) -> Column:
+        block, place = F.floor(k / _BLOCK).cast("int"), k % _BLOCK
         return F.struct(
-            F.get("ends", k).alias("start"),
-            F.get("p", k).alias("candidate"),
-            F.right(before, F.lit(BESIDE)).alias("before"),
-            F.left(after, F.lit(BESIDE)).alias("after"),
+            k.alias("k"),
+            (F.get(F.col("starts"), block) + F.get(F.get(F.col("runs"), block), place)).alias("start"),
+            part.alias("candidate"),
+            F.right(F.get(F.col("p"), k - 1), F.lit(BESIDE)).alias("before"),
+            F.left(F.get(F.col("p"), k + 1), F.lit(BESIDE)).alias("after"),
         )
 
-    listed = parts.withColumn("ends", ends).select(
-        "id", "path", F.filter(F.transform(odd, one), lambda c: c["candidate"].rlike("[0-9]")).alias("c")
-    )
-    found = listed.select("id", "path", F.posexplode("c").alias("nth", "c"))
+    # Every second part is a candidate.
+    digits = F.filter(F.transform("p", one), lambda c: (c["k"] % 2 == 1) & c["candidate"].rlike("[0-9]"))
+    found = parts.select("id", "path", F.posexplode(digits).alias("nth", "c"))
     return found.select("id", "nth", "c.start", "c.candidate", "c.before", "c.after", "path")
 
 
+_BLOCK = 512
+
+
+def _running_sums(numbers: Column) -> Column:
+    """The sum of the numbers before each, and of all of them at the end."""
+    return F.aggregate(
+        numbers,
+        F.array(F.lit(0)),
+        lambda sums, x: F.concat(sums, F.array(F.element_at(sums, -1) + x)),
+    )
+
+
+def _running_lengths(parts: str) -> Column:
+    """_running_sums of the parts' lengths in blocks of _BLOCK, which keeps the work in
+    proportion to their number."""
+    blocks = F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / _BLOCK).cast("int"))
+    return F.transform(
+        blocks,
+        lambda b: _running_sums(
+            F.transform(F.slice(F.col(parts), b * _BLOCK + 1, F.lit(_BLOCK)), lambda x: F.length(x))
+        ),
+    )
+
+
 def _has_word(text: Column, words: Sequence[str]) -> Column:
     return text.rlike(rf"(?i)(?<![a-z0-9])({'|'.join(words)})(?![a-z0-9])")
 
