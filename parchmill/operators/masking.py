@@ -17,18 +17,21 @@ def chosen_masks(
 ) -> dict[str, str]:
     """column -> option for one table; the last rule on a column wins.
 
-    Spark narrows the rules to this table's columns and to one row per column
-    first, so the driver receives at most as many rows as the table is wide.
+    Names are compared without case, so where a frame has columns that differ in case
+    only, a rule masks all of them. Spark narrows the rules to this table's columns and
+    to one row per column first, so the driver receives at most as many rows as the
+    table is wide.
     """
-    by_lower = {c.lower(): c for c in columns}
+    lowered = {c.lower() for c in columns}
     wanted = (F.lower("database") == database.lower()) & (F.lower("table") == table.lower())
     rows = (
-        policies.where(wanted & F.lower("column").isin(list(by_lower)))
+        policies.where(wanted & F.lower("column").isin(sorted(lowered)))
         .groupBy(F.lower("column").alias("name"))
         .agg(F.max_by("masking_option", "line_pos").alias("option"))
         .collect()
     )
-    return {by_lower[r["name"]]: r["option"] for r in rows}
+    option = {r["name"]: r["option"] for r in rows}
+    return {c: option[c.lower()] for c in columns if c.lower() in option}
 
 
 def apply_mask_options(df: DataFrame, options: dict[str, str]) -> DataFrame:
