@@ -24,12 +24,25 @@ def _jdbc(spark: SparkSession, conf: Config) -> DataFrame:
     split = {
         k: c.get(k) for k in ("partition_column", "lower_bound", "upper_bound", "num_partitions")
     }
-    return scan_jdbc(spark, url, c["database"], c["table"], driver=c.get("driver"), **split)
+    # What is left of the section goes to the driver: user, password, auth_mechanism, ...
+    known = {"url", "host", "port", "database", "table", "driver", "one_task", "quote", *split}
+    return scan_jdbc(
+        spark,
+        url,
+        c["database"],
+        c["table"],
+        driver=c.get("driver"),
+        one_task=c.get("one_task", "").lower() == "true",
+        quote=c.get("quote", "`"),
+        properties={k: v for k, v in c.items() if k not in known},
+        **split,
+    )
 
 
 def _load_csv(spark: SparkSession, conf: Config) -> DataFrame:
     df = scan_csv(spark, conf["local_files"]["input_csv"])
-    load_table(df, conf["hive"]["database"], conf["hive"]["table"])
+    hive = conf["hive"]
+    load_table(df, hive["database"], hive["table"], path=hive.get("location"))
     return _catalog(spark, conf)
 
 

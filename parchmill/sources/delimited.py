@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from parchmill.formats.storage import open_file
 from parchmill.functions.text import split_fields, strip
 
 
@@ -22,55 +27,64 @@ class HeaderMismatch(ValueError):
     """The files of one read disagree on their header."""
 
 
-def _raw_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    return spark.read.text(path, lineSep="\n").select(
-        strip(F.col("value")).alias("line"),
-        F.col("_metadata.file_path").alias("file"),
-        (F.col("_metadata.file_block_start") == 0).alias("first_block"),
-        F.monotonically_increasing_id().alias("seq"),
-    )
-
-
-def raw_header(spark: SparkSession, path: str | list[str]) -> tuple[str, int]:
-    """The header line all files share, and how often it recurs as a data line
-    in the first block of a file.
+def raw_header(spark: SparkSession, path: str | list[str]) -> str:
+    """The header line that all files share.
 
-    The name line is peeked at from one file; one pass then checks it against
-    every file and counts. Each task hands on one row per file, and the driver
-    gets a single row, whatever the number of files.
+    One line a file is read: a line reader stops after its first row, and what the
+    driver gets is one row, whatever the number of files.
     """
-    lines = _raw_lines(spark, path)
-    peek = lines.where("first_block").head(1)
-    if not peek:
+
+    def first_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file in batch.column("file").to_pylist():
+                with open_file(file) as source:
+                    line = source.readline()
+                if line:
+                    text = line.removesuffix(b"\n").decode("utf-8", "replace")
+                    yield pa.RecordBatch.from_pydict({"line": [text]})
+
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"))
+    heads = files.mapInArrow(first_lines, "line string").select(strip(F.col("line")).alias("line"))
+    found = heads.agg(F.min("line").alias("a"), F.max("line").alias("b")).first()
+    if found["a"] is None:
         raise ValueError(f"no lines in {path}")
-    header = peek[0]["line"]
-    same = F.col("line") == header
-    per_file = (
-        lines.where("first_block")
-        .groupBy("file")
-        .agg(F.min(F.struct("seq", "line")).alias("first"), F.count_if(same).alias("n_same"))
+    if found["a"] != found["b"]:
+        raise HeaderMismatch(f"two headers: {found['a']!r} and {found['b']!r}")
+    return found["a"]
+
+
+def _without_first_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines without the first one of each file. Rows of a file's first block follow
+    each other, so a line is the first of its file if the line before is of another."""
+    before = None
+    for batch in batches:
+        file = batch.column("file").to_numpy()
+        same = np.empty(len(file), bool)
+        if len(file):
+            same[0], same[1:] = before is not None and file[0] == before, file[1:] == file[:-1]
+            before = file[-1]
+        head = batch.column("first_block").to_numpy(zero_copy_only=False) & ~same
+        yield pa.RecordBatch.from_arrays([batch.column("line").filter(pa.array(~head))], ["line"])
+
+
+def _data_lines(
+    spark: SparkSession, path: str | list[str], columns: list[str] | None
+) -> tuple[list[str], DataFrame]:
+    names = columns if columns is not None else raw_header(spark, path).split(",")
+    lines = spark.read.text(path, lineSep="\n").select(
+        F.col("value").alias("line"),
+        F.xxhash64("_metadata.file_path").alias("file"),
+        (F.col("_metadata.file_block_start") == 0).alias("first_block"),
     )
-    other = F.when(F.col("first.line") != header, F.col("first.line"))
-    total = per_file.agg(
-        F.max(other).alias("other"), F.sum(F.col("n_same") - 1).alias("repeats")
-    ).first()
-    if total["other"] is not None:
-        raise HeaderMismatch(f"two headers: {header!r} and {total['other']!r}")
-    return header, total["repeats"]
-
-
-def _data_lines(spark: SparkSession, path: str | list[str]) -> tuple[list[str], DataFrame]:
-    header, repeats = raw_header(spark, path)
-    lines = _raw_lines(spark, path)
-    is_header = F.col("first_block") & (F.col("line") == header)
-    data = lines.where(~is_header).select("line")
-    if repeats:  # data lines that happen to read like the header
-        data = data.unionAll(spark.range(repeats).select(F.lit(header).alias("line")))
-    return header.split(","), data
+    data = lines.mapInArrow(_without_first_lines, "line string")
+    return names, data.select(strip(F.col("line")).alias("line"))
 
 
 def scan_csv_raw(
-    spark: SparkSession, path: str | list[str], on_long: str = "error"
+    spark: SparkSession,
+    path: str | list[str],
+    on_long: str = "error",
+    columns: list[str] | None = None,
 ) -> DataFrame:
     """Comma-split lines, all columns text, names from the first line of each file.
 
@@ -78,12 +92,13 @@ def scan_csv_raw(
     more fields than the header fails the read, or is left out (`on_long=
     "reject"`) and can be had from `raw_rejects`.
 
-    No join and no shuffle: whether a line is a header is decided from its own
-    text, and repeats of the header text are put back by number.
+    The data are read once, without a join or shuffle. Before that one line a file is
+    read to see that all have the same header, on storage that Python can reach; with
+    `columns` given nothing is, and each file's first line is left out unseen.
     """
     if on_long not in ("error", "reject"):
         raise ValueError("on_long must be 'error' or 'reject'")
-    names, lines = _data_lines(spark, path)
+    names, lines = _data_lines(spark, path, columns)
     rows = lines.withColumn("fields", split_fields(F.col("line"), ","))
     if on_long == "reject":
         rows = rows.where(F.size("fields") <= len(names))
@@ -98,8 +113,10 @@ def scan_csv_raw(
     return rows.select(*[field(i).alias(f"_c{i}") for i in range(len(names))]).toDF(*names)
 
 
-def raw_rejects(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def raw_rejects(
+    spark: SparkSession, path: str | list[str], columns: list[str] | None = None
+) -> DataFrame:
     """(line, n_fields) of the lines with more fields than the header."""
-    names, lines = _data_lines(spark, path)
+    names, lines = _data_lines(spark, path, columns)
     n = F.size(split_fields(F.col("line"), ","))
     return lines.select("line", n.alias("n_fields")).where(F.col("n_fields") > len(names))

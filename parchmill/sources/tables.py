@@ -33,17 +33,24 @@ def scan_jdbc(
     lower_bound: int | str | None = None,
     upper_bound: int | str | None = None,
     num_partitions: int | None = None,
+    one_task: bool = False,
     fetch_size: int = 10_000,
+    quote: str = '"',
     properties: dict[str, str] | None = None,
 ) -> DataFrame:
-    """A whole table over JDBC, read by many tasks when a column to split on is given.
+    """A whole table over JDBC, split on a column, or in one task if that is asked for.
 
     The bounds only place the splits: rows outside them are still read, in the
-    first and last part. Filters and column lists are pushed to the database.
+    first and last part. Filters and column lists are pushed to the database. Names are
+    identifiers, put in the database's `quote`, never SQL text. `properties` go to the
+    driver: user, password and what else its login needs.
     """
+    if not table:
+        raise ValueError("empty identifier")
+    parts = [database, table] if database else [table]
     options = {
         "url": url,
-        "dbtable": f"{database}.{table}" if database else table,
+        "dbtable": ".".join(quote + p.replace(quote, quote * 2) + quote for p in parts),
         "fetchsize": str(fetch_size),
         **(properties or {}),
     }
@@ -59,6 +66,8 @@ def scan_jdbc(
             upperBound=str(upper_bound),
             numPartitions=str(num_partitions),
         )
+    elif not one_task:
+        raise ValueError("give a column to split on, or one_task=True to read in one task")
     return spark.read.format("jdbc").options(**options).load()
 
 
