@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -15,12 +15,23 @@ from parchmill.session import scratch_path
 # White space of any script; the four separators are not in Java's class.
 _SPLIT = r"(?U)[\s\x1c-\x1f]+"
 
-# A vocabulary up to this size goes to every task; a larger one is joined.
-MAX_SHIPPED_TOKENS = 2_000_000
-MAX_SHIPPED_CHARS = 64_000_000
+# Words that more than this share of all words in the texts are, in one thousandth,
+# are spread over salts when a vocabulary is joined; there are a thousand at most.
+_FREQUENT = 1000
 _SALTS = 64
 
 
+class RepeatedToken(ValueError):
+    """A vocabulary gives one token several ids."""
+
+
+def _unique(vocabulary: DataFrame) -> DataFrame:
+    repeated = vocabulary.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").head(1)
+    if repeated:
+        raise RepeatedToken(f"{repeated[0]['token']!r} occurs {repeated[0]['n']} times")
+    return vocabulary.select("token", F.col("id").cast("int").alias("id"))
+
+
 def words(text: Column, length: int) -> Column:
     """The first `length` white-space separated words, which are all that
     truncation to `length` tokens keeps."""
@@ -59,14 +70,23 @@ def encode_fixed_length(
     return ids.select(*df.columns, *fixed_length(F.col("_ids"), length, pad_id))
 
 
-def shipped_vocabulary(vocabulary: DataFrame) -> pa.Table | None:
-    """(token, id) on the driver if it is within the bounds, else None."""
-    size = vocabulary.agg(
-        F.count("*").alias("n"), F.coalesce(F.sum(F.length("token")), F.lit(0)).alias("chars")
-    ).first()
-    if size["n"] > MAX_SHIPPED_TOKENS or size["chars"] > MAX_SHIPPED_CHARS:
-        return None
-    return vocabulary.select("token", F.col("id").cast("int").alias("id")).toArrow()
+def shipped_vocabulary(vocabulary: DataFrame) -> pa.Table:
+    """(token, id) on the driver, to go to every task: for vocabularies of a size that
+    each task can hold. Tokens must be unique."""
+    return _unique(vocabulary).toArrow()
+
+
+class _Lookup:
+    """Ids of words; the index is built once in a task, not with every batch."""
+
+    def __init__(self, tokens: pa.Array, ids: pa.Array, unk_id: int):
+        self.ids = dict(zip(tokens.to_pylist(), ids.to_pylist(), strict=True))
+        self.unk_id = unk_id
+
+    def __call__(self, words: pa.Array) -> pa.Array:
+        coded = words.dictionary_encode()  # each distinct word of a batch is looked up once
+        found = [self.ids.get(w, self.unk_id) for w in coded.dictionary.to_pylist()]
+        return pa.array(found, pa.int32()).take(coded.indices)
 
 
 def vocabulary_tokeniser(
@@ -82,16 +102,16 @@ def vocabulary_tokeniser(
     ids = vocabulary["id"].combine_chunks()
 
     @F.arrow_udf("array<int>")
-    def encode(texts: pa.Array) -> pa.Array:
-        texts = pc.utf8_trim_whitespace(texts)
-        texts = pc.if_else(pc.equal(texts, ""), pa.scalar(None, texts.type), texts)
-        split = pc.utf8_split_whitespace(texts, max_splits=length)
-        kept = pc.list_slice(split, 0, length)
-        values = pc.index_in(kept.flatten(), value_set=tokens.cast(texts.type))
-        values = pc.fill_null(pc.take(ids, values), unk_id)
-        ends = pc.cumulative_sum(pc.fill_null(pc.list_value_length(kept), 0).cast(pa.int32()))
-        offsets = pa.concat_arrays([pa.array([0], pa.int32()), ends])
-        return pa.ListArray.from_arrays(offsets, values)
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        look_up = _Lookup(tokens, ids, unk_id)
+        for texts in batches:
+            texts = pc.utf8_trim_whitespace(texts)
+            texts = pc.if_else(pc.equal(texts, ""), pa.scalar(None, texts.type), texts)
+            split = pc.utf8_split_whitespace(texts, max_splits=length)
+            kept = pc.list_slice(split, 0, length)
+            ends = pc.cumulative_sum(pc.fill_null(pc.list_value_length(kept), 0).cast(pa.int32()))
+            offsets = pa.concat_arrays([pa.array([0], pa.int32()), ends])
+            yield pa.ListArray.from_arrays(offsets, look_up(kept.flatten()))
 
     return encode
 
@@ -104,43 +124,49 @@ def encode_with_vocabulary(
     unk_id: int,
     pad_id: int,
     length: int = 2048,
+    ship: bool = True,
 ) -> DataFrame:
-    """Encode with a (token, id) table of any size; tokens must be unique."""
-    shipped = shipped_vocabulary(vocabulary)
-    if shipped is not None:
-        tokenise = vocabulary_tokeniser(shipped, unk_id, length)
+    """Encode with a (token, id) table; a repeated token raises RepeatedToken.
+
+    `ship` sends the vocabulary to every task, which must have room for it, and shuffles
+    nothing; without it the words are joined with the vocabulary, whatever its size."""
+    if ship:
+        tokenise = vocabulary_tokeniser(shipped_vocabulary(vocabulary), unk_id, length)
         return encode_fixed_length(df, text, tokenise, length, pad_id)
-    return _encode_by_join(spark, df, text, vocabulary, unk_id, pad_id, length)
+    return encode_by_join(spark, df, text, vocabulary, unk_id, pad_id, length)
 
 
-def _encode_by_join(
+def encode_by_join(
     spark: SparkSession,
     df: DataFrame,
     text: str,
     vocabulary: DataFrame,
     unk_id: int,
     pad_id: int,
-    length: int,
+    length: int = 2048,
 ) -> DataFrame:
-    """The same for a vocabulary too large to ship to every task.
+    """The same by a join on words, for a vocabulary too large to ship to every task.
 
     The rows are written once with their numbers, so that the numbers stay the
-    same if a task runs again. Frequent words are spread over salts. A group in the last step
-    is one text cut to `length` words, so it is bounded.
+    same if a task runs again. Words that are at least a thousandth of all, of which
+    there are a thousand at most, are spread over salts, and only these entries of the
+    vocabulary are repeated. A group in the last step is one text cut to `length`
+    words, so it is bounded.
     """
     path = scratch_path(spark, "encode")
     df.withColumn("_row", F.monotonically_increasing_id()).write.parquet(path)
     kept = spark.read.parquet(path)
 
-    salt = F.pmod(F.col("_row") + F.col("_pos"), F.lit(_SALTS)).cast("int")
     tokens = kept.select("_row", F.posexplode(words(F.col(text), length)).alias("_pos", "token"))
-    spread = vocabulary.select(
-        "token",
-        F.col("id").cast("int").alias("id"),
-        F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("_salt"),
-    )
+    counts = tokens.groupBy("token").agg(F.count("*").alias("n"))
+    total = tokens.count()
+    frequent = [r["token"] for r in counts.where(F.col("n") * _FREQUENT > total).collect()]
+    often = F.col("token").isin(frequent) if frequent else F.lit(False)
+    salt = F.when(often, F.pmod(F.col("_row") + F.col("_pos"), F.lit(_SALTS))).otherwise(0)
+    salts = F.when(often, F.sequence(F.lit(0), F.lit(_SALTS - 1))).otherwise(F.array(F.lit(0)))
+    spread = _unique(vocabulary).withColumn("_salt", F.explode(salts))
     ids = (
-        tokens.withColumn("_salt", salt)
+        tokens.withColumn("_salt", salt.cast("int"))
         .join(spread, ["token", "_salt"], "left")
         .groupBy("_row")
         .agg(

@@ -108,17 +108,24 @@ def test_encode_as_in_python(spark, texts):
     assert sorted(map(tuple, out.collect()), key=repr) == encoded(texts, vocabulary, 4, 0, 2)
 
 
-def test_large_vocabulary_is_joined(spark, monkeypatch):
+def test_both_ways_give_the_same(spark):
     vocabulary = {f"w{i}": i + 10 for i in range(50)}
     # A third of the words is one word, and a third of the rows are copies.
     texts = [" ".join(f"w{(i * j) % 60 if j % 3 else 1}" for j in range(i % 12)) for i in range(40)]
     texts += ["w1 w1 unseen"] * 20 + [None, ""]
     df = spark.createDataFrame([(x,) for x in texts], "t string")
-    monkeypatch.setattr(encode, "MAX_SHIPPED_TOKENS", 10)
     words = vocabulary_of(spark, vocabulary)
-    assert encode.shipped_vocabulary(words) is None
-    out = encode.encode_with_vocabulary(spark, df, "t", words, 0, 2, 8)
-    assert sorted(map(tuple, out.collect()), key=repr) == encoded(texts, vocabulary, 8, 0, 2)
+    for ship in (True, False):
+        out = encode.encode_with_vocabulary(spark, df, "t", words, 0, 2, 8, ship=ship)
+        assert sorted(map(tuple, out.collect()), key=repr) == encoded(texts, vocabulary, 8, 0, 2)
+
+
+@pytest.mark.parametrize("ship", [True, False])
+def test_repeated_tokens_are_refused(spark, ship):
+    df = spark.createDataFrame([("a b",)], "t string")
+    words = spark.createDataFrame([("a", 5), ("a", 6)], "token string, id int")
+    with pytest.raises(encode.RepeatedToken, match="'a' occurs 2"):
+        encode.encode_with_vocabulary(spark, df, "t", words, 0, 2, 4, ship=ship).collect()
 
 
 def test_own_tokeniser(spark):
@@ -147,6 +154,13 @@ def test_training_rows_job(spark, tmp_path):
     with pytest.raises(prompts.NoValidRows):
         write_training_rows(spark, str(source), str(tmp_path / "none"), tokenise, pad_id=9)
     assert not (tmp_path / "none").exists()
+    source.write_text("q\ta\nno pair\nr\tb\n")
+    other = dict(pad_id=9, length=5, vocabulary=words)
+    assert write_training_rows(spark, str(source), str(tmp_path / "joined"), **other) == 2
+    joined = spark.read.parquet(str(tmp_path / "joined")).collect()
+    assert sorted(r.input_ids for r in joined) == sorted(r.input_ids for r in rows)
+    with pytest.raises(ValueError, match="tokeniser or a vocabulary"):
+        write_training_rows(spark, str(source), str(tmp_path / "x"), pad_id=9)
 
 
 def test_encoding_does_not_shuffle(spark):
