@@ -13,6 +13,7 @@ from parchmill.functions import masks
 from parchmill.operators.masking import apply_masks
 from parchmill.operators.policies import (
     desired_policies,
+    has_field,
     lookup_policy,
     parse_policies,
     policy_document,
@@ -21,6 +22,7 @@ from parchmill.operators.policies import (
     policy_rejects,
     policy_store_after,
     policy_upsert_plan,
+    stored_rules,
 )
 from parchmill.plans.masking_policies import apply_rule_list
 from parchmill.session import scratch_path
@@ -293,31 +295,77 @@ _AFTER = f"""{_WANTED}, after AS (
   FROM plan WHERE action = 'create')"""
 
 
+def _wanted(spark: SparkSession, sf: str) -> DataFrame:
+    policies = _policies(spark, sf).where("masking_option <> 'MASK_NULL'")
+    return desired_policies(policies, "warehouse")
+
+
 @query(f"WITH {_AFTER} SELECT * FROM after", name="policy_store_after")
 def policy_store_next(spark: SparkSession, sf: str) -> DataFrame:
-    return policy_store_after(_plan(spark, sf), _store(spark, sf))
+    return policy_store_after(_wanted(spark, sf), _store(spark, sf))
 
 
 @query(
-    f"""WITH {_AFTER} SELECT p.name, p.action, a.id, true AS succeeded
+    f"""WITH {_AFTER} SELECT p.name, p.action, a.id
         FROM plan p JOIN after a ON p.name = a.name""",
     name="policy_outcomes",
 )
 def policy_upsert_outcomes(spark: SparkSession, sf: str) -> DataFrame:
-    plan, store = _plan(spark, sf), _store(spark, sf)
-    return policy_outcomes(plan, policy_store_after(plan, store))
+    return policy_outcomes(_wanted(spark, sf), _store(spark, sf))
 
 
 @query(
-    f"""WITH {_DESIRED} SELECT name, 'create' AS action,
-          row_number() OVER (ORDER BY left(sha256(name), 3), name) AS id, true AS succeeded
-        FROM desired"""
+    f"""WITH {_DESIRED} SELECT id, name, 'warehouse' AS service, 0 AS policy_type, "database",
+          "table", "column", masking_option, true AS has_mask, false AS has_other
+        FROM (SELECT *, row_number() OVER (ORDER BY left(sha256(name), 3), name) AS id FROM desired)"""
 )
-def rule_list_job(spark: SparkSession, sf: str) -> DataFrame:
-    """A list in a file, in its order, to a policy store that is new."""
+def stored_policy_fields(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents written to a store and read back by field."""
+    empty = spark.createDataFrame([], "id bigint, name string, document string")
+    store = policy_store_after(desired_policies(_policies(spark, sf), "warehouse"), empty)
+    document = F.col("document")
+    marked = store.select(
+        F.col("id").alias("_id"),
+        has_field(document, "resources", "column").alias("has_mask"),
+        has_field(document, "resources", "schema").alias("has_other"),
+    )
+    return stored_rules(store).join(marked, F.col("id") == F.col("_id")).drop("_id")
+
+
+def _rule_job(spark: SparkSession, sf: str) -> tuple[str, str]:
+    """A list in a file, in its order, and a database for its store."""
     path = scratch_path(spark, "rules")
     _lines(spark, sf).orderBy("line_pos").select("line").write.text(path)
     database = "policies_" + posixpath.basename(path).rpartition("-")[2]
     place = scratch_path(spark, "database")
     spark.sql(f"CREATE DATABASE {database} LOCATION '{place}'")
+    return path, database
+
+
+@query(
+    f"""WITH {_DESIRED} SELECT name, 'create' AS action,
+          row_number() OVER (ORDER BY left(sha256(name), 3), name) AS id, true AS succeeded
+        FROM desired"""
+)
+def rule_list_job(spark: SparkSession, sf: str) -> DataFrame:
+    """A list to a policy store that is new."""
+    path, database = _rule_job(spark, sf)
+    return apply_rule_list(spark, path, database, "store", "warehouse", on_error="skip")
+
+
+@query(
+    f"""WITH {_DESIRED} SELECT d.name, CASE WHEN s.id IS NULL THEN 'create' ELSE 'update' END AS action,
+          coalesce(s.id, (SELECT max(id) FROM store) + row_number() OVER (
+            PARTITION BY s.id IS NULL ORDER BY left(sha256(d.name), 3), d.name)) AS id, true AS succeeded
+        FROM desired d LEFT JOIN store s ON d.name = s.name"""
+)
+def rule_list_job_on_a_store(spark: SparkSession, sf: str) -> DataFrame:
+    """The same list to a store that holds some of its policies: updates and creates."""
+    path, database = _rule_job(spark, sf)
+    place = scratch_path(spark, "store")
+    _store(spark, sf).write.parquet(place)
+    spark.sql(
+        f"CREATE TABLE {database}.store (id BIGINT, name STRING, document STRING) "
+        f"USING parquet LOCATION '{place}'"
+    )
     return apply_rule_list(spark, path, database, "store", "warehouse", on_error="skip")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parchmill.functions.text import split_fields, strip
 from parchmill.operators.numbering import number_by_key
+from parchmill.session import scratch_path
 from parchmill.sources.tables import table_name
 
 FIELDS = ("database", "table", "column", "masking_option")
@@ -153,63 +156,118 @@ def policy_upsert_plan(desired: DataFrame, store: DataFrame) -> DataFrame:
     )
 
 
-def policy_store_after(plan: DataFrame, store: DataFrame) -> DataFrame:
-    """(id, name, document) of the store once the plan is carried out."""
-    updated = plan.where(F.col("action") == "update").select(
-        "id", F.col("document").alias("_wanted")
-    )
-    highest = store.agg(F.coalesce(F.max("id"), F.lit(0)).alias("id")).scalar()
-    created = number_by_key(plan.where(F.col("action") == "create").drop("id"), "name", "n")
-    created = created.select((highest + F.col("n")).alias("id"), "name", "document")
-    stored = store.join(updated, "id", "left").select(
-        "id", "name", F.coalesce("_wanted", "document").alias("document")
+def merge_policies(wanted: DataFrame, store: DataFrame) -> DataFrame:
+    """(id, name, document, action) of the store once `wanted` (name, document) is
+    carried out: action is update, create or keep.
+
+    A name that is stored several times is updated where its id is smallest. Both sides
+    are read once: they are joined, the result is written to the shared folder, and new
+    ids, from the highest on, are counted on what was written.
+    """
+    spark = wanted.sparkSession
+    new = wanted.select(F.col("name").alias("_name"), F.col("document").alias("_wanted"))
+    both = store.select("id", "name", "document").join(new, F.col("name") == F.col("_name"), "full")
+    both = both.withColumn("name", F.coalesce("name", "_name"))
+    turn = F.row_number().over(Window.partitionBy("name").orderBy("id"))
+    action = (
+        F.when(F.col("_name").isNull() | (turn > 1), "keep")
+        .when(F.col("id").isNull(), "create")
+        .otherwise("update")
     )
-    return stored.unionByName(created)
+    both = both.withColumn("action", action)
+    document = F.when(F.col("action") == "keep", F.col("document")).otherwise(F.col("_wanted"))
+    path = scratch_path(spark, "policies")
+    both.select("id", "name", document.alias("document"), "action").write.parquet(path)
+    merged = spark.read.parquet(path)
 
+    highest = merged.agg(F.coalesce(F.max("id"), F.lit(0)).alias("id")).scalar()
+    created = number_by_key(merged.where(F.col("action") == "create").drop("id"), "name", "n")
+    created = created.select((highest + F.col("n")).alias("id"), "name", "document", "action")
+    return merged.where(F.col("action") != "create").unionByName(created)
 
-def policy_outcomes(plan: DataFrame, after: DataFrame) -> DataFrame:
-    """What happened to each desired policy: (name, action, id, succeeded).
 
-    A policy succeeded when the new store holds exactly the wanted document.
-    """
-    stored = after.select(
-        F.col("name"), F.col("document").alias("_document"), F.col("id").alias("_id")
-    )
-    match = (plan["name"] == stored["name"]) & (plan["document"] == stored["_document"])
-    return plan.join(stored, match, "left").select(
-        plan["name"],
-        "action",
-        F.col("_id").alias("id"),
-        F.col("_id").isNotNull().alias("succeeded"),
-    )
+def policy_store_after(wanted: DataFrame, store: DataFrame) -> DataFrame:
+    """(id, name, document) of the store once `wanted` is carried out."""
+    return merge_policies(wanted, store).select("id", "name", "document")
+
+
+def policy_outcomes(wanted: DataFrame, store: DataFrame) -> DataFrame:
+    """What happens to each wanted policy: (name, action, id)."""
+    merged = merge_policies(wanted, store)
+    return merged.where(F.col("action") != "keep").select("name", "action", "id")
 
 
 def apply_upsert(
     spark: SparkSession, database: str, table: str, desired: DataFrame
 ) -> DataFrame:
-    """Carry the upsert out on a catalog table and report the outcome per policy.
+    """Carry the upsert out on a catalog table and report (name, action, id, succeeded).
 
-    The plan is stored first, so that it is worked out once. The new state is
-    written beside the old one, which is kept under the name `{table}__previous`,
-    and then takes its name; so a job that fails on the way loses nothing, and the
-    next one starts from the state there was.
+    The new state is written to a folder of its own, which then becomes the table's
+    location: one change in the catalog, so readers see the old state or the new one and
+    never none, and a job that fails on the way changes nothing. Jobs share no names; of
+    two at once the last stands. The folder of the state before is left for those that
+    still read it. A policy succeeded if the table holds exactly its document.
     """
     name = table_name(database, table)
-    new, old = table_name(database, f"{table}__next"), table_name(database, f"{table}__previous")
-    planned = table_name(database, f"{table}__plan")
-    if not spark.catalog.tableExists(name) and spark.catalog.tableExists(old):
-        spark.sql(f"ALTER TABLE {old} RENAME TO {name}")  # a job was lost between the renames
     exists = spark.catalog.tableExists(name)
     store = (
         spark.table(name)
         if exists
         else spark.createDataFrame([], "id bigint, name string, document string")
     )
-    plan = policy_upsert_plan(desired, store).select("name", "action", "id", "document")
-    plan.write.mode("overwrite").saveAsTable(planned)
-    policy_store_after(spark.table(planned), store).write.mode("overwrite").saveAsTable(new)
+    merged = scratch_path(spark, "upsert")
+    merge_policies(desired, store).write.parquet(merged)
+    made = spark.read.parquet(merged)
+    folder = spark.catalog.getDatabase(database).locationUri.rstrip("/")
+    place = f"{folder}/{table}__{uuid.uuid4().hex}"
+    made.select("id", "name", "document").write.parquet(place)
+    where = place.replace("'", "\\'")
     if exists:
-        spark.sql(f"DROP TABLE IF EXISTS {old}")
-        spark.sql(f"ALTER TABLE {name} RENAME TO {old}")
-    spark.sql(f"ALTER TABLE {new} RENAME TO {name}")
-    return policy_outcomes(spark.table(planned), spark.table(name))
+        spark.sql(f"ALTER TABLE {name} SET LOCATION '{where}'")
+        spark.catalog.refreshTable(name)
+    else:
+        spark.sql(
+            f"CREATE TABLE {name} (id BIGINT, name STRING, document STRING) "
+            f"USING parquet LOCATION '{where}'"
+        )
+    held = spark.table(name).select("id", F.col("name").alias("_n"), F.col("document").alias("_d"))
+    changed = made.where(F.col("action") != "keep")
+    both = changed.join(held.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left")
+    same = F.coalesce((F.col("_n") == F.col("name")) & (F.col("_d") == F.col("document")), F.lit(False))
+    return both.select("name", "action", "id", same.alias("succeeded"))
+
+
+# The fields of a stored document that a rule decides.
+_STORED = (
+    "service string, name string, policyType int, resources struct<database:struct<values:"
+    "array<string>>,table:struct<values:array<string>>,column:struct<values:array<string>>>,"
+    "dataMaskPolicyItems array<struct<dataMaskInfo:struct<dataMaskType:string>>>"
+)
+
+
+def stored_rules(store: DataFrame) -> DataFrame:
+    """(id, name, service, policy_type, database, table, column, masking_option) read
+    back from stored documents; null where a document lacks the field or is none."""
+    document = F.from_json("document", _STORED)
+    read = store.select("id", F.col("name").alias("stored_name"), document.alias("d"))
+
+    def only(part: str) -> Column:
+        return F.get(F.col(f"d.resources.{part}.values"), F.lit(0)).alias(part)
+
+    option = F.get(F.col("d.dataMaskPolicyItems"), F.lit(0))["dataMaskInfo"]["dataMaskType"]
+    return read.select(
+        "id",
+        F.col("stored_name").alias("name"),
+        F.col("d.service").alias("service"),
+        F.col("d.policyType").alias("policy_type"),
+        *[only(p) for p in FIELDS[:3]],
+        option.alias("masking_option"),
+    )
+
+
+def has_field(document: Column, *names: str) -> Column:
+    """Whether a JSON document has a (nested) field, be it null."""
+    keys = document
+    for parent in names[:-1]:
+        keys = F.get_json_object(keys, f"$['{parent}']")
+    return F.coalesce(F.array_contains(F.json_object_keys(keys), names[-1]), F.lit(False))

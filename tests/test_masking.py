@@ -10,12 +10,15 @@ from parchmill.operators.policies import (
     InvalidPolicyLine,
     apply_upsert,
     desired_policies,
+    has_field,
     lookup_policy,
     parse_policies,
     policy_document,
+    policy_outcomes,
     policy_rejects,
     policy_store_after,
     policy_upsert_plan,
+    stored_rules,
 )
 from parchmill.plans.masking_policies import apply_rule_list
 from parchmill.sources.lines import scan_policy_lines
@@ -108,6 +111,16 @@ def test_apply_masks(spark, tmp_path):
     assert apply_masks(df, "mydb", "other", rules).collect() == df.collect()
 
 
+def test_columns_that_differ_in_case_only(spark, tmp_path):
+    rules = parse_policies(rule_file(spark, tmp_path, "d,t,ssn,MASK_NULL"))
+    spark.conf.set("spark.sql.caseSensitive", "true")
+    try:
+        df = spark.createDataFrame([("111", "222", "x")], ["ssn", "SSN", "n"])
+        assert apply_masks(df, "d", "t", rules).collect() == [(None, None, "x")]
+    finally:
+        spark.conf.unset("spark.sql.caseSensitive")
+
+
 def test_masked_plan_has_no_python_and_keeps_pushdown(spark, tmp_path):
     rules = parse_policies(rule_file(spark, tmp_path, "d,t,s,MASK_HASH\nd,t,n,MASK_NULL"))
     path = str(tmp_path / "t")
@@ -157,7 +170,7 @@ def test_upsert(spark):
     assert rows["masking-a-b-c"].masking_option == "MASK_HASH"
     assert rows["masking-a-b-c"].n_lines == 2 and not rows["masking-a-b-c"].ambiguous
     assert rows["masking-x-y-z-c"].ambiguous and rows["masking-x-y-z-c"].action == "create"
-    after = {r.id: (r.name, r.document) for r in policy_store_after(plan, store).collect()}
+    after = {r.id: (r.name, r.document) for r in policy_store_after(desired, store).collect()}
     assert after[3] == ("other", "kept") and after[9] == ("masking-a-b-c", "second")
     assert '"MASK_HASH"' in after[7][1]
     assert {after[i][0] for i in (10, 11)} == {"masking-x-y-z-c", "masking-n-n-n"}
@@ -183,22 +196,53 @@ def test_rule_list_job(spark, tmp_path):
         apply_rule_list(spark, str(path), "pol", "from_list", "svc")
 
 
-def test_apply_upsert_to_a_table(spark):
-    spark.sql("CREATE DATABASE IF NOT EXISTS pol")
-    first = apply_upsert(spark, "pol", "store", wanted(spark, ("a", "b", "c", "MASK")))
+def test_apply_upsert_to_a_table(spark, tmp_path):
+    folder = tmp_path / "pol2"
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS pol2 LOCATION '{folder}'")
+    first = apply_upsert(spark, "pol2", "store", wanted(spark, ("a", "b", "c", "MASK")))
     assert [(r.name, r.action, r.id, r.succeeded) for r in first.collect()] == [
         ("masking-a-b-c", "create", 1, True)
     ]
     again = wanted(spark, ("a", "b", "c", "MASK_NULL"), ("a", "b", "d", "MASK"))
-    second = {r.name: (r.action, r.id, r.succeeded) for r in apply_upsert(spark, "pol", "store", again).collect()}
+    second = {r.name: (r.action, r.id, r.succeeded) for r in apply_upsert(spark, "pol2", "store", again).collect()}
     assert second == {
         "masking-a-b-c": ("update", 1, True),
         "masking-a-b-d": ("create", 2, True),
     }
-    assert spark.table("pol.store").count() == 2
-    # A job that was lost after the old state had made way.
-    spark.sql("DROP TABLE pol.store__previous")
-    spark.sql("ALTER TABLE pol.store RENAME TO pol.store__previous")
-    third = apply_upsert(spark, "pol", "store", wanted(spark, ("a", "b", "e", "MASK")))
-    assert [(r.action, r.id) for r in third.collect()] == [("create", 3)]
-    assert spark.table("pol.store").count() == 3
+    assert spark.table("pol2.store").count() == 2
+    places = [p.name for p in folder.iterdir() if p.name.startswith("store__")]
+    assert len(places) == 2  # the state before is there for those that read it
+
+
+def test_an_upsert_that_fails_changes_nothing(spark):
+    spark.sql("CREATE DATABASE IF NOT EXISTS pol")
+    apply_upsert(spark, "pol", "kept", wanted(spark, ("a", "b", "c", "MASK")))
+    before = spark.table("pol.kept").collect()
+    broken = wanted(spark, ("a", "b", "c", "MASK_NULL")).withColumn(
+        "document", F.raise_error(F.lit("lost")).cast("string")
+    )
+    with pytest.raises(Exception, match="lost"):
+        apply_upsert(spark, "pol", "kept", broken)
+    assert spark.table("pol.kept").collect() == before
+
+
+def test_rules_and_store_are_read_once(spark, tmp_path):
+    rules, store = str(tmp_path / "rules"), str(tmp_path / "store")
+    wanted(spark, ("a", "b", "c", "MASK"), ("n", "n", "n", "MASK")).write.parquet(rules)
+    spark.createDataFrame([(4, "masking-a-b-c", "x")], "id bigint, name string, document string").write.parquet(store)
+    for made in (policy_store_after, policy_outcomes):
+        df = made(spark.read.parquet(rules), spark.read.parquet(store))
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert rules not in plan and store not in plan  # read before, once, to be merged
+        assert df.count() == 2
+
+
+def test_stored_documents_are_read_back(spark):
+    empty = spark.createDataFrame([], "id bigint, name string, document string")
+    store = policy_store_after(wanted(spark, ("d", "t", "c", "MASK_HASH")), empty)
+    store = store.unionByName(spark.createDataFrame([(9, "x", "no json"), (10, "y", "{}")], empty.schema))
+    rows = {r.id: r for r in stored_rules(store).collect()}
+    assert rows[1][1:] == ("masking-d-t-c", "svc", 0, "d", "t", "c", "MASK_HASH")
+    assert rows[9][2:] == rows[10][2:] == (None,) * 6
+    found = store.select("id", has_field(F.col("document"), "resources", "table").alias("f")).collect()
+    assert {r.id: r.f for r in found} == {1: True, 9: False, 10: False}
