@@ -109,28 +109,27 @@ def shape(*paragraphs: str) -> str:
     return f"<p:sp><p:txBody>{body}</p:txBody></p:sp>"
 
 
-def pdf(*pages: bytes, extra: bytes = b"", font: bytes = b"<< /Type /Font /Subtype /Type1 >>") -> bytes:
-    """Pages are content streams; object 3 is the font F1."""
-    kids = b" ".join(b"%d 0 R" % (10 + 2 * i) for i in range(len(pages)))
-    out = [
-        b"%PDF-1.4",
-        b"1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj",
-        b"2 0 obj << /Type /Pages /Kids [ %s ] /Count %d >> endobj" % (kids, len(pages)),
-        b"3 0 obj %s endobj" % font,
-        extra,
-    ]
-    for i, content in enumerate(pages):
-        out.append(
-            b"%d 0 obj << /Type /Page /Parent 2 0 R /Contents %d 0 R "
-            b"/Resources << /Font << /F1 3 0 R >> >> >> endobj" % (10 + 2 * i, 11 + 2 * i)
-        )
-        out.append(
-            b"%d 0 obj << /Length %d >> stream\n%s\nendstream endobj"
-            % (11 + 2 * i, len(content), content)
-        )
-    out.append(b"trailer << /Root 1 0 R >>\n%%EOF")
-    return b"\n".join(out)
+def error(value: str) -> str:
+    return f'<c t="e"><v>{value}</v></c>'
+
+
+def shared(index: int, ref: str = "") -> str:
+    at = f' r="{ref}"' if ref else ""
+    return f'<c{at} t="s"><v>{index}</v></c>'
 
 
-def page(text: str) -> bytes:
-    return b"BT /F1 12 Tf 72 700 Td (%s) Tj ET" % text.encode("cp1252")
+def strings(texts: list[str]) -> list[str]:
+    return [f"<si><t>{escape(t)}</t></si>" for t in texts]
+
+
+def truncated(text: str, kind: str) -> bytes:
+    """A file whose first part of content ends amid a tag."""
+    body = {"docx": docx, "pptx": pptx, "xlsx": lambda b: xlsx({"s": b}), "pdf": lambda b: package({"x": b})}
+    whole = body[kind](paragraph(text) if kind == "docx" else shape(text) if kind == "pptx" else row(text))
+    out = io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(whole)) as z, zipfile.ZipFile(out, "w") as short:
+        for name in z.namelist():
+            data = z.read(name)
+            cut = name.endswith(("document.xml", "s0.xml"))
+            short.writestr(name, data[:-9] if cut else data)
+    return out.getvalue()

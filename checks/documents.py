@@ -10,13 +10,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks import builders as build
-from checks.registry import given, query, spread
+from checks.registry import given, prepared, query, spread
 from parchmill.formats.storage import resolve
 from parchmill.functions import text as t
 from parchmill.operators import assemble
 from parchmill.operators.extract import extract_metrics, extract_texts
 from parchmill.operators.route import output_collisions, route, unsupported_files
-from parchmill.plans.extract_tree import extract_tree
+from parchmill.plans.extract_tree import extract_tree, run_extraction
 from parchmill.session import scratch_path
 from parchmill.sinks.text_files import write_text_files
 from parchmill.sources.documents import list_documents
@@ -24,11 +24,26 @@ from parchmill.sources.documents import list_documents
 # --- assembly ----------------------------------------------------------------
 
 
+def _segments_sql(pieces: str, order: str, start: int = 1) -> str:
+    """path, segment_no and text of pieces (path, piece, order columns): a segment ends
+    with the piece in which a multiple of SEGMENT_BYTES is passed."""
+    return f"""{pieces}, placed AS (
+      SELECT *, (sum(strlen(piece)) OVER (PARTITION BY path ORDER BY {order}
+                   ROWS UNBOUNDED PRECEDING) - strlen(piece)) // {assemble.SEGMENT_BYTES} AS s FROM pieces),
+    joined AS (SELECT path, s, string_agg(piece, '' ORDER BY {order}) AS text FROM placed GROUP BY ALL),
+    numbered AS (SELECT path, CAST(row_number() OVER (PARTITION BY path ORDER BY s) - 1 AS INTEGER)
+                   AS segment_no, text FROM joined)
+    SELECT path, segment_no, CASE WHEN segment_no = 0 THEN substr(text, {start}) ELSE text END AS text
+    FROM numbered"""
+
+
 @query(
-    f"""SELECT CAST(conv_id AS VARCHAR) AS path,
-               CAST(turn // {assemble.PARTS_PER_SEGMENT} AS INTEGER) AS segment_no,
-               string_agg(text, chr(10) ORDER BY turn, text) AS text
-        FROM conversations GROUP BY ALL"""
+    _segments_sql(
+        """WITH pieces AS (SELECT CAST(conv_id AS VARCHAR) AS path, turn, chr(10) || text AS piece
+           FROM conversations)""",
+        "turn, piece",
+        start=2,
+    )
 )
 def docx_join(spark: SparkSession, sf: str) -> DataFrame:
     elements = given(spark, sf, "conversations").select(
@@ -38,10 +53,11 @@ def docx_join(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""SELECT CAST(conv_id AS VARCHAR) AS path,
-               CAST((turn // 2) // {assemble.PARTS_PER_SEGMENT} AS INTEGER) AS segment_no,
-               string_agg(text || chr(10), '' ORDER BY turn, text) AS text
-        FROM conversations GROUP BY ALL"""
+    _segments_sql(
+        """WITH pieces AS (SELECT CAST(conv_id AS VARCHAR) AS path, turn, text || chr(10) AS piece
+           FROM conversations)""",
+        "turn, piece",
+    )
 )
 def pptx_shapes(spark: SparkSession, sf: str) -> DataFrame:
     elements = given(spark, sf, "conversations").select(
@@ -54,9 +70,12 @@ def pptx_shapes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """SELECT CAST(doc_id AS VARCHAR) AS path, CAST(0 AS INTEGER) AS segment_no,
-              replace(text, chr(10), '') AS text
-       FROM documents"""
+    _segments_sql(
+        """WITH parts AS (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents),
+           pieces AS (SELECT CAST(doc_id AS VARCHAR) AS path, unnest(p) AS piece,
+                        unnest(range(len(p))) AS n FROM parts)""",
+        "n",
+    )
 )
 def pdf_concat(spark: SparkSession, sf: str) -> DataFrame:
     elements = given(spark, sf, "documents").select(
@@ -94,20 +113,26 @@ def _order_cells(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""WITH lines AS (
-          SELECT o_custkey, o_orderkey,
+    _segments_sql(
+        """WITH pieces AS (
+             SELECT 'orders' AS path, o_custkey, o_orderkey,
                  CASE WHEN o_orderkey <> 0 THEN CAST(o_orderkey AS VARCHAR) || chr(9) ELSE '' END
                  || CASE WHEN o_orderstatus <> '' THEN o_orderstatus || chr(9) ELSE '' END
                  || CASE WHEN o_orderpriority <> '' THEN o_orderpriority || chr(9) ELSE '' END
-                 || chr(10) AS line
-          FROM orders)
-        SELECT 'orders' AS path, o_custkey AS part_no,
-               CAST(o_orderkey // {assemble.ROWS_PER_SEGMENT} AS INTEGER) AS segment_no,
-               string_agg(line, '' ORDER BY o_orderkey) AS text
-        FROM lines GROUP BY ALL"""
+                 || chr(10) AS piece
+             FROM orders)""",
+        "o_custkey, o_orderkey",
+    )
+    .replace("SELECT path, segment_no, CASE", "SELECT path, string_agg(CASE")
+    .replace("ELSE text END AS text", "ELSE text END, '' ORDER BY segment_no) AS text")
+    + " GROUP BY path"
 )
 def xlsx_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return assemble.join_cells(_order_cells(spark, sf))
+    """The whole workbook: its segments, which end within a row here and after one in
+    the check, joined in order."""
+    segments = F.sort_array(F.collect_list(F.struct("segment_no", "text")))
+    text = F.array_join(F.transform(segments, lambda s: s["text"]), "")
+    return assemble.join_cells(_order_cells(spark, sf)).groupBy("path").agg(text.alias("text"))
 
 
 @query(
@@ -174,33 +199,23 @@ def collisions(spark: SparkSession, sf: str) -> DataFrame:
 # --- extraction: every document becomes a file -------------------------------
 
 
-def _pdf(lines: list[str]) -> bytes:
-    """A page per line; codes are numbers the font's own table turns into text."""
-    codes = {c: b"%04x" % i for i, c in enumerate(sorted(set("".join(lines))), 1)}
-    table = b"%d beginbfchar %s endbfchar" % (
-        len(codes),
-        b" ".join(
-            b"<%s> <%s>" % (n, c.encode("utf-16-be").hex().encode()) for c, n in codes.items()
-        ),
-    )
-    extra = b"4 0 obj << /Length %d >> stream\n%s\nendstream endobj" % (len(table), table)
-    pages = (b"BT /F1 12 Tf <%s> Tj ET" % b"".join(codes[c] for c in line) for line in lines)
-    font = b"<< /Type /Font /Subtype /Type0 /ToUnicode 4 0 R >>"
-    return build.pdf(*pages, extra=extra, font=font)
-
-
 def _file(doc_id: int, text: str) -> tuple[str, bytes]:
     lines, folder = text.split("\n"), f"d{doc_id % 100:02d}"
     kind = doc_id % 7
     if kind == 0:
         return f"{folder}/{doc_id}.docx", build.docx("".join(map(build.paragraph, lines)))
     if kind == 1:
-        rows = "".join(build.row(line, 0) for line in lines)
-        return f"{folder}/{doc_id}.XLSX", build.xlsx({"lines": rows})
+        # A row a line: the line, inline or shared, nothing, and its number, which is
+        # true but for the first.
+        rows = "".join(
+            f"<row>{build.shared(k) if k % 2 else build.cell(line)}{build.cell(0)}{build.cell(k)}</row>"
+            for k, line in enumerate(lines)
+        )
+        return f"{folder}/{doc_id}.XLSX", build.xlsx({"lines": rows}, build.strings(lines))
     if kind == 2:
         return f"{folder}/{doc_id}.pptx", build.pptx("".join(map(build.shape, lines)))
     if kind == 3:
-        return f"{folder}/{doc_id}.pdf", _pdf(lines)
+        return f"{folder}/{doc_id}.pdf", b"%PDF-1.4 " + text.encode()  # no PDF file
     if kind == 4:
         return f"{folder}/.{doc_id}.docx", build.docx("".join(map(build.paragraph, lines)))
     if kind == 5:
@@ -212,7 +227,7 @@ _FILES_SQL = """files AS (
   SELECT doc_id, CASE doc_id % 7
       WHEN 0 THEN 'docx' WHEN 1 THEN 'xlsx' WHEN 2 THEN 'pptx' WHEN 3 THEN 'pdf'
       WHEN 4 THEN 'docx' WHEN 5 THEN 'docx' ELSE 'unsupported' END AS kind,
-    CASE doc_id % 7 WHEN 5 THEN 'error' WHEN 6 THEN 'unsupported' ELSE 'ok' END AS status,
+    CASE doc_id % 7 WHEN 3 THEN 'error' WHEN 5 THEN 'error' WHEN 6 THEN 'unsupported' ELSE 'ok' END AS status,
     'd' || lpad(CAST(doc_id % 100 AS VARCHAR), 2, '0') || '/'
       || CASE doc_id % 7 WHEN 4 THEN '.' ELSE '' END || CAST(doc_id AS VARCHAR)
       || CASE doc_id % 7 WHEN 1 THEN '.XLSX' WHEN 2 THEN '.pptx' WHEN 3 THEN '.pdf'
@@ -221,14 +236,17 @@ _FILES_SQL = """files AS (
     CASE doc_id % 7
       WHEN 0 THEN text WHEN 4 THEN text
       WHEN 1 THEN list_aggregate(list_transform(string_split(text, chr(10)),
-        lambda l: CASE WHEN l = '' THEN l ELSE l || chr(9) END || chr(10)), 'string_agg', '')
-      WHEN 2 THEN text || chr(10)
-      WHEN 3 THEN replace(text, chr(10), '') END AS text
+        lambda l, k: CASE WHEN l = '' THEN l ELSE l || chr(9) END
+          || CASE WHEN k = 1 THEN '' ELSE (k - 1) || chr(9) END || chr(10)), 'string_agg', '')
+      WHEN 2 THEN text || chr(10) END AS text
   FROM documents)"""
 
 
+_FILE_DDL = "path string, content binary"
+
+
 def _files(spark: SparkSession, sf: str) -> DataFrame:
-    """(path, content): one file per document, built in the tasks that read them."""
+    """(path, content): one file per document."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -236,8 +254,16 @@ def _files(spark: SparkSession, sf: str) -> DataFrame:
                 path, content = _file(doc_id, text)
                 yield pa.RecordBatch.from_pylist([{"path": path, "content": content}])
 
-    documents = spread(given(spark, sf, "documents").select("doc_id", "text"))
-    return documents.mapInArrow(pack, "path string, content binary")
+    def make(path: str) -> None:
+        documents = spread(given(spark, sf, "documents").select("doc_id", "text"))
+        documents.mapInArrow(pack, _FILE_DDL).write.parquet(path)
+
+    return spark.read.schema(_FILE_DDL).parquet(prepared(spark, sf, "files", make))
+
+
+def _tree(spark: SparkSession, sf: str) -> str:
+    """The same as a tree of files on disk."""
+    return prepared(spark, sf, "tree", lambda path: store_files(_files(spark, sf), path))
 
 
 def store_files(files: DataFrame, root: str) -> None:
@@ -255,21 +281,50 @@ def store_files(files: DataFrame, root: str) -> None:
     files.mapInArrow(store, "n bigint").agg(F.sum("n")).collect()
 
 
-def _plain_status() -> Column:
-    """ok for either PDF reader, and the error without its wording."""
-    return F.when(F.col("status") == "ok_basic", "ok").otherwise(F.col("status")).alias("status")
-
-
 @query(f"WITH {_FILES_SQL} SELECT path, out_name, kind, text, status FROM files")
 def extract_files(spark: SparkSession, sf: str) -> DataFrame:
     texts = extract_texts(_files(spark, sf))
-    return texts.select("path", "out_name", "kind", "text", _plain_status())
+    return texts.select("path", "out_name", "kind", "text", "status")
 
 
-@query(f"WITH {_FILES_SQL} SELECT path FROM files WHERE status = 'error'")
+_BROKEN = ("docx", "XLSX", "pptx", "pdf")
+
+
+@query(
+    """SELECT CAST(doc_id AS VARCHAR) || CASE doc_id % 4 WHEN 0 THEN '.docx' WHEN 1 THEN '.XLSX'
+         WHEN 2 THEN '.pptx' ELSE '.pdf' END AS path,
+         doc_id % 3 = 0 AND doc_id % 4 <> 3 AS no_zip, false AS has_text
+       FROM documents"""
+)
 def extract_errors(spark: SparkSession, sf: str) -> DataFrame:
-    texts = extract_texts(_files(spark, sf))
-    return texts.where("status = 'error' and error like 'BadZipFile%'").select("path")
+    """Broken files of every kind: no archive, an archive cut off in its part, a wrong
+    main part. Each is an error row and none fails the job."""
+
+    def broken(doc_id: int, text: str) -> tuple[str, bytes]:
+        kind = _BROKEN[doc_id % 4]
+        if doc_id % 3 == 0:
+            return f"{doc_id}.{kind}", text.encode()
+        if doc_id % 3 == 1:
+            return f"{doc_id}.{kind}", build.truncated(text, kind.lower())
+        return f"{doc_id}.{kind}", build.package({"other.xml": "<other/>"})
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                path, content = broken(doc_id, text)
+                yield pa.RecordBatch.from_pylist([{"path": path, "content": content}])
+
+    def make(path: str) -> None:
+        documents = spread(given(spark, sf, "documents").select("doc_id", "text"))
+        documents.mapInArrow(pack, _FILE_DDL).write.parquet(path)
+
+    files = spark.read.schema(_FILE_DDL).parquet(prepared(spark, sf, "broken", make))
+    texts = extract_texts(files)
+    return texts.where("status = 'error'").select(
+        "path",
+        F.col("error").startswith("BadZipFile").alias("no_zip"),
+        F.col("text").isNotNull().alias("has_text"),
+    )
 
 
 @query(
@@ -284,16 +339,31 @@ def metrics(spark: SparkSession, sf: str) -> DataFrame:
     return extract_metrics(extract_texts(_files(spark, sf)))
 
 
+def _below(path: str) -> Column:
+    return F.regexp_extract(path, r"/(d\d\d/[^/]*)\z", 1)
+
+
 @query(
     f"WITH {_FILES_SQL} SELECT path, out_name, kind, text, status FROM files",
     name="extract_tree",
 )
 def tree(spark: SparkSession, sf: str) -> DataFrame:
-    root = scratch_path(spark, "tree")
-    store_files(_files(spark, sf), root)
-    texts = extract_tree(spark, root)
-    below = F.regexp_extract("path", r"/(d\d\d/[^/]*)\z", 1).alias("path")
-    return texts.select(below, "out_name", "kind", "text", _plain_status())
+    texts = extract_tree(spark, _tree(spark, sf))
+    return texts.select(_below("path").alias("path"), "out_name", "kind", "text", "status")
+
+
+@query(
+    f"""WITH {_FILES_SQL} SELECT out_name AS name, CAST(strlen(text) AS BIGINT) AS length,
+          (SELECT count(*) FROM files WHERE status = 'error') AS n_errors
+        FROM files WHERE status = 'ok'"""
+)
+def extraction_job(spark: SparkSession, sf: str) -> DataFrame:
+    """A tree to a table and to text files; what is in their folder then."""
+    table, folder = scratch_path(spark, "table"), scratch_path(spark, "texts")
+    counts = run_extraction(spark, _tree(spark, sf), table, text_folder=folder)
+    return list_documents(spark, folder).select(
+        t.base_name(F.col("path")).alias("name"), "length", F.lit(counts["n_errors"]).alias("n_errors")
+    )
 
 
 def _texts(spark: SparkSession, sf: str) -> DataFrame:
@@ -302,7 +372,7 @@ def _texts(spark: SparkSession, sf: str) -> DataFrame:
         F.concat(F.lit("/in/"), name, F.lit(".docx")).alias("path"),
         F.concat(name, F.lit(".txt")).alias("out_name"),
         F.lit(0).alias("segment_no"),
-        F.lit(1).alias("n_segments"),
+        F.lit(True).alias("is_last"),
         "text",
         F.lit("ok").alias("status"),
     )
@@ -318,6 +388,40 @@ def text_sink_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _shared_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts of which ten at a time have one name."""
+    name = F.concat(F.lit("n"), F.floor(F.col("part") / 10).cast("string"), F.lit(".txt"))
+    texts = _texts(spark, sf).withColumn("part", F.regexp_extract("path", r"(\d+)\.docx", 1).cast("long"))
+    return texts.withColumn("out_name", name).drop("part")
+
+
+_NAMES = """shared AS (
+  SELECT text, '/in/doc-' || doc_id || '.docx' AS path, 'n' || (doc_id // 10) AS stem,
+    count(*) OVER (PARTITION BY doc_id // 10) AS n,
+    max('/in/doc-' || doc_id || '.docx') OVER (PARTITION BY doc_id // 10) AS last_path
+  FROM documents)"""
+
+
+def _written(spark: SparkSession, sf: str, on_collision: str) -> DataFrame:
+    root = scratch_path(spark, "texts")
+    write_text_files(_shared_names(spark, sf), root, on_collision)
+    stored = spark.read.text(root, wholetext=True)
+    return stored.select(F.col("_metadata.file_name").alias("name"), F.col("value").alias("text"))
+
+
+@query(f"WITH {_NAMES} SELECT stem || '.txt' AS name, text FROM shared WHERE path = last_path")
+def text_sink_last(spark: SparkSession, sf: str) -> DataFrame:
+    return _written(spark, sf, "last")
+
+
+@query(
+    f"""WITH {_NAMES} SELECT stem || CASE WHEN n > 1 THEN '-' || sha256(path) ELSE '' END || '.txt'
+          AS name, text FROM shared"""
+)
+def text_sink_suffix(spark: SparkSession, sf: str) -> DataFrame:
+    return _written(spark, sf, "suffix")
+
+
 @query(
     """SELECT 'doc-' || CAST(doc_id AS VARCHAR) || '.txt' AS name,
               CAST(strlen(text) AS BIGINT) AS length FROM documents""",

@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parchmill.session import ship_package
+from parchmill.session import scratch_path, ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -32,12 +32,24 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows of a one-file table dealt out to all cores, for queries that work long
-    on each row. A table of many files is read by many tasks anyway."""
-    if len(df.inputFiles()) > 1:
-        return df
+    """Rows dealt out to all cores, for queries that work long on each row: a given
+    table may be one file of one row group, which one task would read."""
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
+_PREPARED: dict[tuple[str, str, str], str] = {}
+
+
+def prepared(spark: SparkSession, sf: str, label: str, make: Callable[[str], object]) -> str:
+    """A path that `make` has filled with a query's input, once in a session. So a second
+    run of a query is a run of its operator alone."""
+    key = (spark.sparkContext.applicationId, sf, label)
+    if key not in _PREPARED:
+        path = scratch_path(spark, label)
+        make(path)
+        _PREPARED[key] = path
+    return _PREPARED[key]
+
+
 def given(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

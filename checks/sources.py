@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from checks import builders as build
 from checks.documents import store_files
-from checks.registry import given, query
+from checks.registry import given, prepared, query
 from parchmill.functions import text as t
 from parchmill.plans.job import run_job
 from parchmill.session import scratch_path
@@ -40,7 +40,6 @@ def scan_catalog(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _orders_csv(spark: SparkSession, sf: str) -> str:
-    path = scratch_path(spark, "orders-csv")
     orders = given(spark, sf, "orders").select(
         "o_orderkey",
         F.concat_ws(",", "o_orderstatus", "o_orderpriority").alias("o_both"),
@@ -48,8 +47,7 @@ def _orders_csv(spark: SparkSession, sf: str) -> str:
         F.when(F.col("o_orderkey") % 5 != 0, F.round("o_totalprice", 2)).alias("o_totalprice"),
         (F.col("o_orderstatus") == "O").alias("o_open"),
     )
-    orders.write.option("header", True).csv(path)
-    return path
+    return prepared(spark, sf, "orders-csv", orders.write.option("header", True).csv)
 
 
 _ORDERS_SQL = """SELECT CAST(o_orderkey AS INTEGER) AS o_orderkey,
@@ -96,9 +94,8 @@ def _raw_files(spark: SparkSession, sf: str, too_long: bool) -> str:
     given(spark, sf, "customer").createOrReplaceTempView("customer")
     line = "line" if too_long else "regexp_replace(line, ',more$', '')"
     lines = spark.sql(f"WITH {_RAW} SELECT {line} AS line FROM raw")
-    path = scratch_path(spark, "raw")
-    lines.repartition(3).mapInArrow(with_header, "line string").write.text(path)
-    return path
+    written = lines.repartition(3).mapInArrow(with_header, "line string").write
+    return prepared(spark, sf, f"raw-{too_long}", written.text)
 
 
 @query(
@@ -158,10 +155,8 @@ def _workbooks(spark: SparkSession, sf: str) -> str:
                 name = f"customers-{part[0]['c_custkey']}.xlsx"
                 yield pa.RecordBatch.from_pylist([{"path": name, "content": book}])
 
-    root = scratch_path(spark, "workbooks")
     files = given(spark, sf, "customer").mapInArrow(pack, "path string, content binary")
-    store_files(files, root)
-    return root
+    return prepared(spark, sf, "workbooks", lambda root: store_files(files, root))
 
 
 @query(_EXCEL_SQL, name="scan_excel")
@@ -175,13 +170,89 @@ def scan_excel_schema(spark: SparkSession, sf: str) -> DataFrame:
     return scan_excel(spark, _workbooks(spark, sf), schema)
 
 
+# Values of every kind: dates, times that are no dates, errors, texts that read like
+# errors, shared strings, a column without a header.
+_KINDS_SQL = """SELECT c_custkey AS "key", TIMESTAMP '2024-01-01' + to_days(CAST(c_custkey % 500 AS INTEGER))
+    + to_minutes(CAST(c_custkey % 1440 AS INTEGER)) AS "when", c_name AS shared,
+  CASE WHEN c_custkey % 3 = 0 THEN '#REF!' WHEN c_custkey % 3 = 1 THEN 'text' END AS said,
+  CASE WHEN c_custkey % 2 = 0 THEN c_acctbal END AS "Unnamed: 4" FROM customer"""
+
+
+@query(_KINDS_SQL)
+def scan_excel_kinds(spark: SparkSession, sf: str) -> DataFrame:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.to_pylist()
+            for at in range(0, len(rows), 400):
+                part = rows[at : at + 400]
+                names = [r["c_name"] for r in part]
+                body = build.row("key", "when", "shared", "said")
+                for k, r in enumerate(part):
+                    key = r["c_custkey"]
+                    day = 45292 + key % 500 + (key % 1440) / 1440
+                    said = "#REF!" if key % 3 == 0 else "text"
+                    cells = [build.cell(key), build.cell(day, style=1), build.shared(k)]
+                    cells.append(build.cell(said) if key % 3 < 2 else build.error("#REF!"))
+                    cells.append(build.cell(None if key % 2 else r["c_acctbal"]))
+                    body += "<row>" + "".join(cells) + "</row>"
+                styles = '<cellXfs><xf numFmtId="0"/><xf numFmtId="22"/></cellXfs>'
+                book = build.xlsx({"first": body}, build.strings(names), styles)
+                yield pa.RecordBatch.from_pylist([{"path": f"k{part[0]['c_custkey']}.xlsx", "content": book}])
+
+    customers = given(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal")
+    files = customers.mapInArrow(pack, "path string, content binary")
+    return scan_excel(spark, prepared(spark, sf, "kinds", lambda root: store_files(files, root)))
+
+
+def _job(spark: SparkSession, method: str, **sections: dict) -> DataFrame:
+    return run_job(spark, {"processing": {"method": method}, **sections})
+
+
 @query(_EXCEL_SQL)
 def run_named_job(spark: SparkSession, sf: str) -> DataFrame:
-    conf = {
-        "processing": {"method": "read_hdfs_excel"},
-        "hdfs": {"input_excel": _workbooks(spark, sf)},
-    }
-    return run_job(spark, conf)
+    return _job(spark, "read_hdfs_excel", hdfs={"input_excel": _workbooks(spark, sf)})
+
+
+@query(_EXCEL_SQL)
+def run_local_excel_job(spark: SparkSession, sf: str) -> DataFrame:
+    return _job(spark, "read_local_excel", local_files={"input_excel": _workbooks(spark, sf)})
+
+
+def _lineitem(spark: SparkSession, sf: str) -> dict:
+    database = _database(spark, sf)
+    spark.sql(
+        f"CREATE TABLE IF NOT EXISTS {database}.lineitem USING parquet LOCATION '{sf}/lineitem.parquet'"
+    )
+    return {"database": database, "table": "lineitem"}
+
+
+@query("SELECT * FROM lineitem")
+def run_catalog_job(spark: SparkSession, sf: str) -> DataFrame:
+    return _job(spark, "read_hive_spark", hive=_lineitem(spark, sf))
+
+
+@query("SELECT * FROM lineitem")
+def run_connector_job(spark: SparkSession, sf: str) -> DataFrame:
+    return _job(spark, "read_hive_hwc", hive=_lineitem(spark, sf))
+
+
+@query(_ORDERS_SQL)
+def run_load_job(spark: SparkSession, sf: str) -> DataFrame:
+    database = _database(spark, sf)
+    spark.sql(f"DROP TABLE IF EXISTS {database}.job_orders")
+    place = scratch_path(spark, "job-orders")
+    files = {"input_csv": _orders_csv(spark, sf)}
+    hive = {"database": database, "table": "job_orders", "location": place}
+    return _job(spark, "load_local_to_hive", hive=hive, local_files=files)
+
+
+@query(
+    f"""WITH {_RAW}, fields AS (
+          SELECT string_split(trim(regexp_replace(line, ',more$', ''), ' '), ',') AS p FROM raw)
+        SELECT p[1] AS "key", p[2] AS name, p[3] AS segment FROM fields"""
+)
+def run_raw_csv_job(spark: SparkSession, sf: str) -> DataFrame:
+    return _job(spark, "read_hdfs_pydoop", hdfs={"input_csv": _raw_files(spark, sf, too_long=False)})
 
 
 # --- text functions ----------------------------------------------------------

@@ -13,8 +13,7 @@ import pyarrow.fs as pafs
 
 # URI schemes of Hadoop connectors and what Arrow calls them.
 _SCHEMES = {"s3a": "s3", "s3n": "s3"}
-# Files up to this size are read at once; of larger ones only what is asked for.
-_READ_AT_ONCE = 256 << 20
+_BLOCK = 1 << 20
 
 
 @lru_cache(maxsize=64)
@@ -43,13 +42,42 @@ def reachable(uri: str) -> bool:
     return True
 
 
+class _Raw(io.RawIOBase):
+    """An Arrow file as Python's readers want it: no place before its start."""
+
+    def __init__(self, file: pa.NativeFile):
+        self.file = file
+
+    def readable(self) -> bool:
+        return True
+
+    def seekable(self) -> bool:
+        return True
+
+    def readinto(self, buffer) -> int:
+        data = self.file.read(len(buffer))
+        buffer[: len(data)] = data
+        return len(data)
+
+    def tell(self) -> int:
+        return self.file.tell()
+
+    def seek(self, offset: int, whence: int = io.SEEK_SET) -> int:
+        start = {io.SEEK_SET: 0, io.SEEK_CUR: self.file.tell(), io.SEEK_END: self.file.size()}
+        if start[whence] + offset < 0:
+            raise OSError("a place before the file's start")
+        self.file.seek(start[whence] + offset)
+        return self.file.tell()
+
+    def close(self) -> None:
+        self.file.close()
+        super().close()
+
+
 def open_file(uri: str) -> BinaryIO:
+    """A file to read and seek in; only what is asked for is read, a block at a time."""
     fs, path = resolve(uri)
-    file = fs.open_input_file(path)
-    if file.size() > _READ_AT_ONCE:
-        return file
-    with file:
-        return io.BytesIO(file.read())
+    return io.BufferedReader(_Raw(fs.open_input_file(path)), _BLOCK)
 
 
 def qualified(uri: str) -> str:

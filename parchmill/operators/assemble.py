@@ -1,59 +1,74 @@
 """Tables of text elements to texts, in document order.
 
 An element is (path, part_no, row_no, cell_no, text, keep). Positions count from
-0 and are unique within a path. A text comes out as one row per *segment*: a
-block of consecutive positions. Ordinary documents have one segment, and longer
-ones go on in the next, so neither a group nor a row grows with the largest
-document; joined in order, the segments are exactly the text. Each operator is
-one shuffle, on (path, block).
+0 and are unique within a path. A text comes out in rows: (path, segment_no, text),
+which joined in order are exactly the text. A row holds about SEGMENT_BYTES, so neither
+a group nor a row grows with the largest document.
+
+Where a segment ends follows from the bytes before an element. They are summed over
+blocks of positions first, so that no task has to walk through a document: one sum a
+block, then one group a segment.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PARTS_PER_SEGMENT = 16_384
-ROWS_PER_SEGMENT = 16_384
+SEGMENT_BYTES = 4 << 20
+# Positions whose bytes are summed together; rows of a sheet, parts of others.
+BLOCK = 4096
 # Position of the element that ends a row, after any cell.
 ROW_END = 2_147_483_647
 
 
-def _block(position: Column, size: int) -> Column:
-    return F.floor(position / F.lit(size)).cast("int").alias("segment_no")
-
-
-def _in_order(position: list[str], piece: Column, separator: str) -> Column:
-    pieces = F.sort_array(F.collect_list(F.struct(*position, piece.alias("piece"))))
-    return F.array_join(F.transform(pieces, lambda p: p["piece"]), separator)
-
+def _segmented(pieces: DataFrame, major: list[str], minor: list[str], segment_bytes: int) -> DataFrame:
+    """(path, segment_no, text) of (path, *major, *minor, piece) in order of the columns.
 
-def join_paragraphs(elements: DataFrame, per_segment: int = PARTS_PER_SEGMENT) -> DataFrame:
-    """Word text: paragraphs with a line feed between them.
-
-    A later segment starts with the line feed that divides it from the one before.
+    Rows that share `major` (one is split over blocks by its first column of `minor`)
+    and a block stay together only to be summed and cut.
     """
-    joined = _in_order(["part_no"], F.col("text"), "\n")
-    lead = F.when(F.col("segment_no") > 0, "\n").otherwise("")
-    return (
-        elements.groupBy("path", _block(F.col("part_no"), per_segment))
-        .agg(joined.alias("text"))
-        .select("path", "segment_no", F.concat(lead, F.col("text")).alias("text"))
+    sized = pieces.withColumn("_n", F.octet_length("piece").cast("long"))
+    sized = sized.withColumn("_block", F.floor(F.col(minor[0]) / BLOCK))
+    keys = ["path", *major, "_block"]
+    sums = sized.groupBy(*keys).agg(F.sum("_n").alias("_bytes"))
+    before = Window.partitionBy("path").orderBy(*major, "_block")
+    before = F.sum("_bytes").over(before.rowsBetween(Window.unboundedPreceding, -1))
+    starts = sums.select(*keys, F.coalesce(before, F.lit(0)).alias("_start"))
+    inside = Window.partitionBy(*keys).orderBy(*minor)
+    inside = F.sum("_n").over(inside.rowsBetween(Window.unboundedPreceding, -1))
+    placed = sized.join(starts, keys).withColumn(
+        "segment_no",
+        F.floor((F.col("_start") + F.coalesce(inside, F.lit(0))) / segment_bytes).cast("int"),
     )
+    ordered = F.sort_array(F.collect_list(F.struct(*major, *minor, "piece")))
+    joined = placed.groupBy("path", "segment_no").agg(ordered.alias("_o"))
+    text = F.array_join(F.transform("_o", lambda p: p["piece"]), "")
+    # Numbers without gaps: an element may be longer than a segment.
+    number = F.row_number().over(Window.partitionBy("path").orderBy("segment_no")) - 1
+    return joined.select("path", number.alias("segment_no"), text.alias("text"))
+
 
+def join_paragraphs(elements: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
+    """Word text: paragraphs with a line feed between them; a later segment begins with
+    the one that divides it from the segment before."""
+    piece = F.concat(F.lit("\n"), F.col("text")).alias("piece")
+    joined = _segmented(elements.select("path", "part_no", piece), [], ["part_no"], segment_bytes)
+    text = F.when(F.col("segment_no") == 0, F.expr("substring(text, 2)")).otherwise(F.col("text"))
+    return joined.withColumn("text", text)
 
-def concat_pages(elements: DataFrame, per_segment: int = PARTS_PER_SEGMENT) -> DataFrame:
+
+def concat_pages(elements: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
     """PDF text: pages with nothing between them."""
-    return elements.groupBy("path", _block(F.col("part_no"), per_segment)).agg(
-        _in_order(["part_no"], F.col("text"), "").alias("text")
-    )
+    pieces = elements.select("path", "part_no", F.col("text").alias("piece"))
+    return _segmented(pieces, [], ["part_no"], segment_bytes)
 
 
-def join_shapes(elements: DataFrame, per_segment: int = PARTS_PER_SEGMENT) -> DataFrame:
+def join_shapes(elements: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
     """Slide text: a line feed after every shape, by slide and then shape (row_no)."""
-    return elements.groupBy("path", _block(F.col("part_no"), per_segment)).agg(
-        _in_order(["part_no", "row_no"], F.concat("text", F.lit("\n")), "").alias("text")
-    )
+    piece = F.concat("text", F.lit("\n")).alias("piece")
+    pieces = elements.select("path", "part_no", "row_no", piece)
+    return _segmented(pieces, [], ["part_no", "row_no"], segment_bytes)
 
 
 def cell_piece(cell_no: Column, text: Column, keep: Column) -> Column:
@@ -65,13 +80,9 @@ def cell_piece(cell_no: Column, text: Column, keep: Column) -> Column:
     )
 
 
-def join_cells(elements: DataFrame, per_segment: int = ROWS_PER_SEGMENT) -> DataFrame:
-    """Workbook text: a tab after every kept cell, a line feed after every row.
-
-    Every row has a ROW_END element, so empty rows keep their line. Segments are
-    blocks of rows of one sheet: (path, part_no, segment_no) in order.
-    """
-    piece = cell_piece(F.col("cell_no"), F.col("text"), F.col("keep"))
-    return elements.groupBy("path", "part_no", _block(F.col("row_no"), per_segment)).agg(
-        _in_order(["row_no", "cell_no"], piece, "").alias("text")
-    )
+def join_cells(elements: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
+    """Workbook text, sheets in order: a tab after every kept cell, a line feed after
+    every row. Every row has a ROW_END element, so empty rows keep their line."""
+    piece = cell_piece(F.col("cell_no"), F.col("text"), F.col("keep")).alias("piece")
+    pieces = elements.select("path", "part_no", "row_no", "cell_no", piece)
+    return _segmented(pieces, ["part_no"], ["row_no", "cell_no"], segment_bytes)

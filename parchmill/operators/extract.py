@@ -1,9 +1,10 @@
-"""Document files to texts, one Spark stage from bytes to text.
+"""Document files to texts.
 
-Each file is parsed inside the task that read it. What Python returns is the
-ordered list of its elements, a bounded piece at a time; the text is put together
-by Spark expressions on that list. Elements of a file never leave their task, so
-there is no shuffle, and a broken file is a row with an error.
+A task cuts each file into records (paragraphs, shapes, rows, shared strings, pages) as
+a stream and hands them on in rows of about SEGMENT_BYTES, so it holds a piece of a file
+and not the file. The rows are written once to the shared folder. Spark expressions make
+the texts: paragraphs, shapes and pages where their row is, workbook cells after a join
+with their shared strings. A broken file is a row with an error.
 """
 
 from __future__ import annotations
@@ -16,32 +17,34 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from parchmill.formats import pdf, slides, storage, word
-from parchmill.formats.opc import Package
-from parchmill.formats.workbook import Workbook
-from parchmill.operators.assemble import ROW_END, cell_piece
+from parchmill.formats import cut, storage
+from parchmill.operators.assemble import ROW_END, SEGMENT_BYTES, cell_piece
+from parchmill.operators.cells import (
+    cells_of,
+    paragraph_text,
+    shape_text,
+    values_of,
+    with_strings,
+)
 from parchmill.operators.route import UNSUPPORTED, route
+from parchmill.session import scratch_path
 
-# A text longer than this goes on in a further row of the same path.
-SEGMENT_CHARS = 16_000_000
-SEGMENT_ELEMENTS = 1_000_000
-# One element longer than this would not fit a row.
-MAX_ELEMENT_CHARS = 400_000_000
 # What Python hands back at a time.
 _BATCH_ROWS = 64
-_BATCH_ELEMENTS = 20_000
-_BATCH_CHARS = 16_000_000
+_BATCH_BYTES = 16 << 20
 
 Element = tuple  # part_no, part_name, row_no, cell_no, text, keep
 Parser = Callable[[BinaryIO], Iterator[Element]]
 
-_ELEMENT = pa.struct(
+_RECORD = pa.struct(
     [
         ("part_no", pa.int32()),
         ("part_name", pa.string()),
         ("row_no", pa.int32()),
+        ("what", pa.string()),
+        ("content", pa.string()),
+        ("gap", pa.int32()),
         ("cell_no", pa.int32()),
-        ("text", pa.string()),
         ("keep", pa.bool_()),
     ]
 )
@@ -50,202 +53,245 @@ _PARSED = pa.schema(
         ("path", pa.string()),
         ("kind", pa.string()),
         ("segment_no", pa.int32()),
-        ("n_segments", pa.int32()),
-        ("elements", pa.list_(_ELEMENT)),
+        ("is_last", pa.bool_()),
+        ("records", pa.list_(_RECORD)),
         ("status", pa.string()),
         ("error", pa.string()),
     ]
 )
 _PARSED_DDL = (
-    "path string, kind string, segment_no int, n_segments int, elements array<struct<part_no:int,"
-    "part_name:string,row_no:int,cell_no:int,text:string,keep:boolean>>, status string, "
-    "error string"
+    "path string, kind string, segment_no int, is_last boolean, records array<struct<part_no:int,"
+    "part_name:string,row_no:int,what:string,content:string,gap:int,cell_no:int,keep:boolean>>, "
+    "status string, error string"
 )
 
-
-def _word(source: BinaryIO) -> Iterator[Element]:
-    for i, text in enumerate(word.paragraphs(Package(source, "document"))):
-        yield i, None, None, None, text, True
-
-
-def _slides(source: BinaryIO) -> Iterator[Element]:
-    for slide_no, shape_no, text in slides.shape_texts(Package(source, "presentation")):
-        yield slide_no, None, shape_no, None, text, True
-
-
-def _pdf(source: BinaryIO) -> Iterator[Element]:
-    for i, text in enumerate(pdf.page_texts(source)):
-        yield i, None, None, None, text, True
-
-
-def _workbook(source: BinaryIO) -> Iterator[Element]:
-    book = Workbook(Package(source, "workbook"), formulas=True)
-    for sheet_no, (name, kind, part) in enumerate(book.sheets):
-        if kind == "chartsheet":
-            raise ValueError(f"sheet {name!r} is a {kind} and has no rows")
-        for row_no, cells in book.rows(part, clip=True):
-            for column_no, value in cells:
-                yield sheet_no, name, row_no - 1, column_no - 1, str(value), bool(value)
-            yield sheet_no, name, row_no - 1, ROW_END, "", True
-
-
-PARSERS: dict[str, Parser] = {
-    "docx": _word,
-    "xlsx": _workbook,
-    "pdf": _pdf,
-    "pptx": _slides,
+_CUTTERS: dict[str, Callable[[BinaryIO], Iterator[cut.Record]]] = {
+    "docx": cut.word,
+    "xlsx": cut.workbook(first_sheet_only=False),
+    "pdf": cut.pdf,
+    "pptx": cut.slides,
 }
 
 
-def _segments(elements: Iterator[Element]) -> Iterator[list[Element]]:
-    piece: list[Element] = []
-    chars = 0
-    for e in elements:
-        if len(e[4]) > MAX_ELEMENT_CHARS:
-            raise ValueError(f"an element of {len(e[4])} characters")
-        if piece and (chars + len(e[4]) > SEGMENT_CHARS or len(piece) >= SEGMENT_ELEMENTS):
-            yield piece
-            piece, chars = [], 0
-        piece.append(e)
-        chars += len(e[4])
-    yield piece
-
-
-def _parse_one(path: str, kind: str, content: pa.Buffer | None, parser: Parser) -> list[tuple]:
+def _own(parser: Parser) -> Callable[[BinaryIO], Iterator[tuple]]:
+    def records(source: BinaryIO) -> Iterator[tuple]:
+        for part_no, part_name, row_no, cell_no, text, keep in parser(source):
+            yield part_no, part_name, row_no, "text", text, 0, cell_no, keep
+
+    return records
+
+
+def _segments(records: Iterator[tuple]) -> Iterator[tuple[int, bool, list[tuple]]]:
+    """(number, whether it is the last, records). Shared strings have numbers below 0."""
+    piece: list[tuple] = []
+    number, strings, size = 0, False, 0
+    for r in records:
+        n = len(r[4].encode()) + 64
+        if piece and (size + n > SEGMENT_BYTES or strings != (r[3] == "string")):
+            yield (-1 - number if strings else number), False, piece
+            number = number + 1 if strings == (r[3] == "string") else 0
+            piece, size = [], 0
+        strings = r[3] == "string"
+        piece.append(r if len(r) == len(_RECORD) else (*r, None, None))
+        size += n
+    if strings:
+        yield -1 - number, False, piece
+        piece, number = [], 0
+    yield number, True, piece
+
+
+def _rows_of(path: str, kind: str, content: pa.Buffer | None, parser: Callable) -> Iterator[tuple]:
+    if kind == UNSUPPORTED:
+        yield path, kind, 0, True, None, UNSUPPORTED, None
+        return
+    sent = -1
     try:
         with io.BytesIO(content) if content is not None else storage.open_file(path) as source:
-            done = "ok_basic" if parser is _pdf and pdf.pypdf is None else "ok"
-            pieces = list(_segments(parser(source)))
-        return [
-            (path, kind, i, len(pieces), piece, done, None) for i, piece in enumerate(pieces)
-        ]
+            for number, last, piece in _segments(parser(source)):
+                yield path, kind, number, last, piece, "ok", None
+                sent = max(sent, number)
     except Exception as e:  # one bad file is a row, not a failed job
-        return [(path, kind, 0, 1, None, "error", f"{type(e).__name__}: {e}")]
+        # Rows of the file that have left already go before this one.
+        yield path, kind, sent + 1, True, None, "error", f"{type(e).__name__}: {e}"
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    """Parsed rows as Arrow columns; a failed file has no list of elements."""
-    *head, pieces, statuses, errors = zip(*rows)
-    flat = [e for piece in pieces if piece is not None for e in piece]
-    columns = list(zip(*flat)) or [()] * len(_ELEMENT)
-    elements = pa.StructArray.from_arrays(
-        [pa.array(c, f.type) for c, f in zip(columns, _ELEMENT)], fields=list(_ELEMENT)
-    )
-    offsets, end = [], 0
-    for piece in pieces:
-        offsets.append(None if piece is None else end)
-        end += len(piece or ())
-    lists = pa.ListArray.from_arrays(pa.array([*offsets, end], pa.int32()), elements)
-    others = iter((*head, statuses, errors))
     return pa.RecordBatch.from_arrays(
-        [lists if f.name == "elements" else pa.array(next(others), f.type) for f in _PARSED],
+        [
+            pa.array(
+                [None if v is None else [dict(zip(_RECORD.names, r, strict=True)) for r in v] for v in column]
+                if f.name == "records"
+                else column,
+                f.type,
+            )
+            for f, column in zip(_PARSED, zip(*rows, strict=True), strict=True)
+        ],
         schema=_PARSED,
     )
 
 
 def _parse(
-    batches: Iterator[pa.RecordBatch], parsers: Mapping[str, Parser]
+    batches: Iterator[pa.RecordBatch], parsers: Mapping[str, Callable]
 ) -> Iterator[pa.RecordBatch]:
     rows: list[tuple] = []
-    n_elements = n_chars = 0
+    size = 0
     for batch in batches:
         for path, kind, content in zip(
             batch.column("path").to_pylist(),
             batch.column("kind").to_pylist(),
             batch.column("content"),
+            strict=True,
         ):
             data = content.as_buffer() if content.is_valid else None
-            for row in _parse_one(path, kind, data, parsers[kind]):
+            for row in _rows_of(path, kind, data, parsers.get(kind)):
                 rows.append(row)
-                n_elements += len(row[4] or ())
-                n_chars += sum(len(e[4]) for e in row[4] or ())
-                if (
-                    len(rows) >= _BATCH_ROWS
-                    or n_elements >= _BATCH_ELEMENTS
-                    or n_chars >= _BATCH_CHARS
-                ):
+                size += sum(len(r[4]) for r in row[4] or ())
+                if len(rows) >= _BATCH_ROWS or size >= _BATCH_BYTES:
                     yield _batch(rows)
-                    rows, n_elements, n_chars = [], 0, 0
+                    rows, size = [], 0
     if rows:
         yield _batch(rows)
 
 
+def cut_files(files: DataFrame, cutters: Mapping[str, Callable]) -> DataFrame:
+    """(path, kind, segment_no, is_last, records, status, error) of (path, kind, content)
+    rows, cut once by the function for their kind and written to the shared folder."""
+    cut_up = files.select("path", "kind", "content").mapInArrow(
+        lambda batches: _parse(batches, cutters), _PARSED_DDL
+    )
+    path = scratch_path(files.sparkSession, "parsed")
+    cut_up.write.parquet(path)
+    return files.sparkSession.read.schema(_PARSED_DDL).parquet(path)
+
+
 def parse_documents(files: DataFrame, parsers: Mapping[str, Parser] | None = None) -> DataFrame:
-    """(path, kind, segment_no, n_segments, elements, status, error) of (path, content) rows.
+    """The records of (path, content) rows, as cut_files() gives them.
 
-    `parsers` replaces the parser of a kind: a function from an open file to its
-    elements in order, each (part_no, part_name, row_no, cell_no, text, keep).
+    Null content means that the task opens the file by its path. Unsupported files have
+    a row that says so and are not opened. `parsers` replaces the parser of a kind: a
+    function from an open file to its elements in order, each (part_no, part_name,
+    row_no, cell_no, text, keep).
     """
-    chosen = {**PARSERS, **(parsers or {})}
+    chosen = {**_CUTTERS, **{k: _own(p) for k, p in (parsers or {}).items()}}
     routed = route(files.select("path", "content"))
-    supported = routed.where(F.col("kind") != UNSUPPORTED)
-    return supported.select("path", "kind", "content").mapInArrow(
-        lambda batches: _parse(batches, chosen), _PARSED_DDL
-    )
+    content = F.when(F.col("kind") != UNSUPPORTED, F.col("content"))
+    return cut_files(routed.withColumn("content", content), chosen)
+
 
+def workbook_cells(parsed: DataFrame, formulas: bool) -> DataFrame:
+    """(path, segment_no, part_no, part_name, row_no, cell_no, text, kind, keep)."""
+    records = parsed.where("kind = 'xlsx'").select("path", "segment_no", F.inline("records"))
+    rows = records.where(F.col("what").startswith("row"))
+    place = ("path", "segment_no", "part_no", "part_name", "row_no")
+    cells = cells_of(rows.select(*place, "what", "content"))
+    strings = records.where("what = 'string'").select("path", "row_no", "content")
+    # Only cells that name a shared string take part in the join.
+    named = with_strings(cells.where("type = 's'"), strings)
+    others = cells.where("type <> 's'").withColumn("shared", F.lit(None).cast("string"))
+    return values_of(named.unionByName(others), formulas)
 
-def _text(kind: Column, segment_no: Column, elements: Column) -> Column:
-    def pieces(of: Callable[[Column], Column]) -> Column:
-        return F.transform(elements, of)
 
-    lead = F.when(segment_no > 0, "\n").otherwise("")
+def _own_cells(parsed: DataFrame) -> DataFrame:
+    """Elements of workbooks that a user's parser read."""
+    records = parsed.where("kind = 'xlsx'").select("path", "segment_no", F.inline("records"))
+    place = ("path", "segment_no", "part_no", "part_name", "row_no", "cell_no")
+    return records.where("what = 'text'").select(*place, F.col("content").alias("text"), "keep")
+
+
+def _text_of(what: Column, content: Column) -> Column:
     return (
-        F.when(
-            kind == "docx", F.concat(lead, F.array_join(pieces(lambda e: e["text"]), "\n"))
-        )
-        .when(
-            kind == "xlsx",
-            F.array_join(pieces(lambda e: cell_piece(e["cell_no"], e["text"], e["keep"])), ""),
-        )
-        .when(kind == "pptx", F.array_join(pieces(lambda e: F.concat(e["text"], F.lit("\n"))), ""))
-        .otherwise(F.array_join(pieces(lambda e: e["text"]), ""))
+        F.when(what.startswith("paragraph"), paragraph_text(content))
+        .when(what.startswith("shape"), shape_text(content))
+        .otherwise(content)
     )
 
 
 def document_elements(parsed: DataFrame) -> DataFrame:
-    """One row per element, for users who want cells, pages or shapes."""
-    return parsed.where(F.col("elements").isNotNull()).select(
-        "path", "kind", F.inline("elements")
+    """One row per element, for users who want cells, pages or shapes: (path, kind,
+    part_no, part_name, row_no, cell_no, text, keep)."""
+    records = parsed.where("kind <> 'xlsx'").select("path", "kind", F.inline("records"))
+    texts = records.select(
+        "path",
+        "kind",
+        "part_no",
+        "part_name",
+        "row_no",
+        "cell_no",
+        _text_of(F.col("what"), F.col("content")).alias("text"),
+        F.coalesce("keep", F.lit(True)).alias("keep"),
+    )
+    cells = workbook_cells(parsed, formulas=True).drop("kind").unionByName(_own_cells(parsed))
+    return texts.unionByName(cells.drop("segment_no").withColumn("kind", F.lit("xlsx")))
+
+
+def _joined(kind: Column, records: Column) -> Column:
+    """The text of a row of paragraphs, shapes or pages; rows are joined as they are."""
+
+    def piece(r: Column) -> Column:
+        text = _text_of(r["what"], r["content"])
+        first = (r["part_no"] == 0) | (r["what"] == "paragraph+")
+        before = F.when((kind == "docx") & ~first, "\n").otherwise("")
+        after = F.when((kind == "pptx") & (r["what"] != "shape+"), "\n").otherwise("")
+        return F.concat(before, text, after)
+
+    return F.array_join(F.transform(records, piece), "")
+
+
+def _workbook_texts(parsed: DataFrame) -> DataFrame:
+    """(path, segment_no, text): a tab after every kept cell, a line feed after every
+    row, also after those that the file leaves out."""
+    records = parsed.where("kind = 'xlsx'").select("path", "segment_no", F.inline("records"))
+    rows = records.where(F.col("what").startswith("row"))
+    place = ("path", "segment_no", "part_no", "row_no")
+    cells = workbook_cells(parsed, formulas=True).select(*place, "cell_no", "text", "keep")
+    cells = cells.unionByName(_own_cells(parsed).select(*place, "cell_no", "text", "keep"))
+    pieces = cells.select(
+        *place, "cell_no", cell_piece(F.col("cell_no"), F.col("text"), F.col("keep")).alias("piece")
+    )
+    gaps = rows.where("gap > 0").select(
+        *place, F.lit(-1).alias("cell_no"), F.expr("repeat('\n', gap)").alias("piece")
+    )
+    ends = rows.where(~F.col("what").endswith("+")).select(
+        *place, F.lit(ROW_END).alias("cell_no"), F.lit("\n").alias("piece")
+    )
+    ordered = F.sort_array(F.collect_list(F.struct("part_no", "row_no", "cell_no", "piece")))
+    joined = pieces.unionByName(gaps).unionByName(ends).groupBy("path", "segment_no").agg(ordered.alias("o"))
+    return joined.select(
+        "path", "segment_no", F.array_join(F.transform("o", lambda p: p["piece"]), "").alias("text")
     )
 
 
 def document_texts(parsed: DataFrame) -> DataFrame:
-    """(path, out_name, kind, segment_no, n_segments, text, status, error).
+    """(path, out_name, kind, segment_no, is_last, text, status, error).
 
-    Nearly every file is one row. A text over SEGMENT_CHARS goes on in rows with
-    segment_no 1, 2, ...; joined in order they are the text.
+    Nearly every file is one row. A text of more than SEGMENT_BYTES goes on in rows with
+    segment_no 1, 2, ...; joined in order they are the text. A file that turns out
+    broken late has an error row after the rows before the break.
     """
-    return route(parsed).select(
-        "path",
-        "out_name",
-        "kind",
-        "segment_no",
-        "n_segments",
-        F.when(
-            F.col("elements").isNotNull(),
-            _text(F.col("kind"), F.col("segment_no"), F.col("elements")),
-        ).alias("text"),
-        "status",
-        "error",
-    )
+    columns = ("path", "out_name", "kind", "segment_no", "is_last", "text", "status", "error")
+    rows = route(parsed.where("segment_no >= 0").drop("kind"))
+    plain = rows.where("kind <> 'xlsx' OR records IS NULL")
+    text = F.when(F.col("records").isNotNull(), _joined(F.col("kind"), F.col("records")))
+    plain = plain.withColumn("text", text).select(*columns)
+    books = rows.where("kind = 'xlsx' AND records IS NOT NULL").drop("records")
+    found = _workbook_texts(parsed).withColumnsRenamed({"path": "_path", "segment_no": "_no"})
+    same = (F.col("path") == F.col("_path")) & (F.col("segment_no") == F.col("_no"))
+    books = books.join(found, same, "left").withColumn("text", F.coalesce("text", F.lit("")))
+    return plain.unionByName(books.select(*columns))
 
 
 def extract_texts(files: DataFrame) -> DataFrame:
     """Texts of (path, content) rows, with a row for unsupported files too."""
-    texts = document_texts(parse_documents(files))
-    others = route(files.select("path")).where(F.col("kind") == UNSUPPORTED)
-    return texts.unionByName(
-        others.select("path", "out_name", "kind", F.lit(UNSUPPORTED).alias("status")),
-        allowMissingColumns=True,
-    )
+    return document_texts(parse_documents(files))
 
 
 def _metric_columns() -> list[Column]:
     first = F.coalesce(F.col("segment_no"), F.lit(0)) == 0
+    ok, failed = F.col("status") == "ok", F.col("status") == "error"
     return [
         F.count_if(first).alias("n_files"),
-        F.count_if(first & F.col("status").startswith("ok")).alias("n_ok"),
-        F.count_if(F.col("status") == "error").alias("n_errors"),
+        (F.count_if(first & ok) - F.count_if(failed & ~first)).alias("n_ok"),
+        F.count_if(failed).alias("n_errors"),
         F.count_if(F.col("status") == UNSUPPORTED).alias("n_unsupported"),
         F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n_chars"),
     ]

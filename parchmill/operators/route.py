@@ -27,12 +27,6 @@ def kind_of(path: Column) -> Column:
     return kind
 
 
-def glob_of_supported() -> str:
-    """A file-name pattern for the scan: only these files are opened."""
-    any_case = lambda e: "".join(f"[{c}{c.upper()}]" for c in e)
-    return "*.{" + ",".join(any_case(e) for es in EXTENSIONS.values() for e in es) + "}"
-
-
 def route(files: DataFrame) -> DataFrame:
     """Add kind and out_name to a table with a path."""
     return files.withColumn("kind", kind_of(F.col("path"))).withColumn(

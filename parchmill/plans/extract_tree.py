@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 
 from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from parchmill.operators.extract import document_texts, observe_metrics, parse_documents
 from parchmill.operators.route import route
@@ -17,14 +18,12 @@ class TooManyErrors(RuntimeError):
 
 
 def extract_tree(spark: SparkSession, root: str, tasks: int | None = None) -> DataFrame:
-    """(path, out_name, kind, segment_no, n_segments, text, status, error) of every
-    file below `root`; status is ok, ok_basic, error or unsupported."""
-    files, unparsed = read_documents(spark, root, tasks)
+    """(path, out_name, kind, segment_no, is_last, text, status, error) of every
+    file below `root`; status is ok, error or unsupported."""
+    files, unreadable = read_documents(spark, root, tasks)
     texts = document_texts(parse_documents(files))
-    return texts.unionByName(
-        route(unparsed).select("path", "out_name", "kind", "status", "error"),
-        allowMissingColumns=True,
-    )
+    others = route(unreadable).withColumns({"segment_no": F.lit(0), "is_last": F.lit(True)})
+    return texts.unionByName(others, allowMissingColumns=True)
 
 
 def run_extraction(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import hashlib
 import uuid
 from collections.abc import Iterator
 from itertools import groupby
@@ -17,17 +18,27 @@ from parchmill.operators.route import output_collisions
 from parchmill.session import full_uri, scratch_path
 
 _MANIFEST = pa.schema([("path", pa.string()), ("out_name", pa.string()), ("n_bytes", pa.int64())])
+_DDL = "path string, out_name string, n_bytes bigint"
 
 
 class OutputCollision(ValueError):
     """Several documents would be written to the same file."""
 
 
+def _partial(path: str) -> str:
+    """The name a document's text has until it is known what name it gets."""
+    return hashlib.sha256(path.encode()).hexdigest()
+
+
 def _replace(fs: pafs.FileSystem, partial: str, name: str) -> None:
     try:
         fs.move(partial, name)
-    except OSError:  # some file systems do not rename onto a file
-        fs.delete_file(name)
+    except OSError:
+        if fs.get_file_info(partial).type == pafs.FileType.NotFound:
+            if fs.get_file_info(name).type == pafs.FileType.File:
+                return  # a task that ran before has done it
+            raise
+        fs.delete_file(name)  # some file systems do not rename onto a file
         fs.move(partial, name)
 
 
@@ -40,7 +51,7 @@ def _texts(
         n = 0
         for batch in batches:
             columns = (batch.column(c).to_pylist() for c in ("path", "out_name", "segment_no"))
-            for path, name, segment_no, text in zip(*columns, batch.column("text")):
+            for path, name, segment_no, text in zip(*columns, batch.column("text"), strict=True):
                 n += segment_no == 0
                 yield (n, path, name), text
 
@@ -48,76 +59,91 @@ def _texts(
         yield (path, name), (text for _, text in rows)
 
 
-def _resolved_names(texts: DataFrame, on_collision: str) -> DataFrame:
-    """Texts whose out_name is that of one path only."""
-    clashes = output_collisions(texts.where("segment_no = 0").select("path", "out_name"))
+def _named(written: DataFrame, on_collision: str) -> DataFrame:
+    """Written texts with final_name; null for those that others replace."""
+    clashes = output_collisions(written.select("path", "out_name"))
     if on_collision == "error":
         first = clashes.head(1)
         if first:
             raise OutputCollision(f"{first[0]['n_files']} files for {first[0]['out_name']}")
-        return texts
-    joined = texts.join(clashes.select("out_name", "last_path"), "out_name", "left")
+        return written.withColumn("final_name", F.col("out_name"))
+    joined = written.join(clashes.select("out_name", "last_path"), "out_name", "left")
+    alone = F.col("last_path").isNull()
     if on_collision == "last":
-        kept = joined.where(F.col("last_path").isNull() | (F.col("last_path") == F.col("path")))
-        return kept.drop("last_path")
-    tagged = F.concat(
-        F.regexp_replace("out_name", r"\.txt\z", "-"), F.sha2("path", 256), F.lit(".txt")
-    )
-    name = F.when(F.col("last_path").isNull(), F.col("out_name")).otherwise(tagged)
-    return joined.withColumn("out_name", name).drop("last_path")
+        name = F.when(alone | (F.col("last_path") == F.col("path")), F.col("out_name"))
+    else:
+        tagged = F.concat(
+            F.regexp_replace("out_name", r"\.txt\z", "-"), F.sha2("path", 256), F.lit(".txt")
+        )
+        name = F.when(alone, F.col("out_name")).otherwise(tagged)
+    return joined.withColumn("final_name", name).drop("last_path")
 
 
-def write_text_files(
-    texts: DataFrame, folder: str, on_collision: str = "error", clustered: bool = False
-) -> DataFrame:
+def write_text_files(texts: DataFrame, folder: str, on_collision: str = "error") -> DataFrame:
     """Write the texts that were extracted; returns (path, out_name, n_bytes).
 
-    Give a stored table of texts, since it is read more than once. Each file is
-    written beside the folder and then renamed into it, so a task that is lost
-    leaves nothing there and one that runs again replaces a file with the same.
-    Only texts of several segments are shuffled, to bring their rows together.
-    `clustered` says that these already follow each other in one partition, as
-    they do when they come straight from extraction; give it only with "error".
+    The texts are read once. Each is written beside the folder under a name that its
+    path decides, by the task that has it; only texts of several rows are shuffled, to
+    bring these together. Which names are shared is found on (path, out_name) alone, so
+    a name that very many files share moves no text. Then the files are renamed into the
+    folder. A task that is lost leaves nothing there, and one that runs again does the
+    same again. A file that turned out broken after some rows is not written.
 
     `on_collision`: "error" refuses names that several files share, "suffix" adds
     a hash of the path to them, "last" keeps the file with the greatest path.
     """
     if on_collision not in ("error", "suffix", "last"):
         raise ValueError("on_collision must be 'error', 'suffix' or 'last'")
-    folder = full_uri(texts.sparkSession, folder)
-    done = texts.where(F.col("status").startswith("ok") & F.col("text").isNotNull())
-    names = ("path", "out_name", "segment_no", "n_segments", "text")
-    rows = _resolved_names(done, on_collision).select(*names)
-    if on_collision != "error" or not clustered:
-        long = rows.where("n_segments > 1").repartition("path")
-        rows = rows.where("n_segments = 1").unionAll(
-            long.sortWithinPartitions("path", "segment_no")
-        )
-
+    spark = texts.sparkSession
+    folder = full_uri(spark, folder)
+    names = ("path", "out_name", "segment_no", "text")
+    ok = (F.col("status") == "ok") & F.col("text").isNotNull()
+    whole = F.col("is_last") & (F.col("segment_no") == 0)
+    # A broken file's last row has no text, which tells the writer to drop the file.
+    parts = texts.where(~whole).select(*names).repartition("path")
+    rows = texts.where(whole & ok).select(*names).unionAll(
+        parts.sortWithinPartitions("path", "segment_no")
+    )
     partials = f"{folder.rstrip('/')}.partial-{uuid.uuid4().hex}"
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, base = resolve(folder)
-        _, beside = resolve(partials)
-        fs.create_dir(base, recursive=True)
+        fs, beside = resolve(partials)
         fs.create_dir(beside, recursive=True)
         for (path, name), pieces in _texts(batches):
-            partial = f"{beside}/{uuid.uuid4().hex}"
-            n_bytes = 0
-            with fs.open_output_stream(partial) as out:
+            # Of two attempts at one text each has a file, and either may be the last.
+            attempt, n_bytes, complete = f"{beside}/{uuid.uuid4().hex}", 0, True
+            with fs.open_output_stream(attempt) as out:
                 for text in pieces:
-                    data = text.as_buffer()
-                    out.write(data)
-                    n_bytes += data.size
-            _replace(fs, partial, f"{base}/{name}")
-            yield pa.RecordBatch.from_pylist(
-                [{"path": path, "out_name": name, "n_bytes": n_bytes}], _MANIFEST
-            )
-
-    ddl = "path string, out_name string, n_bytes bigint"
-    written = scratch_path(texts.sparkSession, "written")
-    rows.mapInArrow(write, ddl).write.parquet(written)
-    fs, beside = resolve(partials)
-    with contextlib.suppress(OSError):  # what lost tasks left behind
-        fs.delete_dir(beside)
-    return texts.sparkSession.read.schema(ddl).parquet(written)
+                    complete = complete and text.is_valid
+                    if complete:
+                        data = text.as_buffer()
+                        out.write(data)
+                        n_bytes += data.size
+            if complete:
+                _replace(fs, attempt, f"{beside}/{_partial(path)}")
+                yield pa.RecordBatch.from_pylist(
+                    [{"path": path, "out_name": name, "n_bytes": n_bytes}], _MANIFEST
+                )
+
+    def rename(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, beside = resolve(partials)
+        _, base = resolve(folder)
+        fs.create_dir(base, recursive=True)
+        for batch in batches:
+            for row in batch.to_pylist():
+                _replace(fs, f"{beside}/{_partial(row['path'])}", f"{base}/{row['final_name']}")
+            done = batch.set_column(1, "out_name", batch.column("final_name"))
+            yield done.select(["path", "out_name", "n_bytes"])
+
+    try:
+        manifest = scratch_path(spark, "manifest")
+        rows.mapInArrow(write, _DDL).write.parquet(manifest)
+        named = _named(spark.read.schema(_DDL).parquet(manifest), on_collision)
+        named = named.where("final_name IS NOT NULL").select("path", "out_name", "n_bytes", "final_name")
+        written = scratch_path(spark, "written")
+        named.mapInArrow(rename, _DDL).write.parquet(written)
+        return spark.read.schema(_DDL).parquet(written)
+    finally:
+        fs, beside = resolve(partials)
+        with contextlib.suppress(OSError):  # what others replaced and lost tasks left
+            fs.delete_dir(beside)

@@ -4,16 +4,15 @@ from __future__ import annotations
 
 import math
 import re
-import warnings
 from collections.abc import Iterator
 from itertools import islice
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parchmill.formats.storage import children, qualified, reachable
-from parchmill.operators.route import UNSUPPORTED, glob_of_supported, route
+from parchmill.operators.route import UNSUPPORTED, route
 from parchmill.session import full_uri, scratch_path
 
 _LISTED = "path string, kind string, length bigint, modified double, problem string"
@@ -26,15 +25,13 @@ _LISTED_ARROW = pa.schema(
         ("problem", pa.string()),
     ]
 )
-# A file beyond this does not fit one row of a scan; its task opens it by path.
-MAX_SCANNED_BYTES = 1_000_000_000
-# With more files than this the scan's own file list would burden the driver.
-MAX_SCANNED_FILES = 2_000_000
-# How files are dealt out to tasks then: by size, with a charge per file, but not
-# to more tasks per core than the driver can well look after.
+# How files are dealt out to tasks: by size, with a charge per file.
 _BYTES_PER_TASK = 128 << 20
 _OPEN_COST = 256 << 10
-_TASKS_PER_CORE = 100
+
+
+class Unreachable(OSError):
+    """Python cannot reach a storage by itself."""
 
 
 def _list_folders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,79 +72,43 @@ def list_documents(spark: SparkSession, root: str) -> DataFrame:
     return files.select("path", "length", modified, "problem")
 
 
-def is_hidden(path: Column, root: str) -> Column:
-    """Whether Spark's file sources pass over the file for its name or a folder's."""
-    below = F.substr(path, F.lit(len(qualified(root).rstrip("/")) + 1))
-    # The names of folders and files that Spark's scans leave out.
-    folder = r"/(\.[^/]*|_(?!metadata|common_metadata)[^/=]*|[^/]*\._COPYING_)/"
-    file = r"/(\.[^/]*|_[^/=]*|[^/]*\._COPYING_)\z"
-    return F.regexp_like(below, F.lit(folder)) | F.regexp_like(below, F.lit(file))
-
-
-def _scan(spark: SparkSession, root: str, names: str) -> DataFrame:
+def scan_visible(spark: SparkSession, root: str) -> DataFrame:
+    """(path, content) of the files below `root` that a scan of Spark's sees, on any
+    storage that Spark can reach. It passes over hidden names and files that do not fit
+    a row, so this reads a part of a tree: ask for it by name."""
     return (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", names)
-        .load(re.sub(r"([\[\]{}*?\\])", r"\\\1", qualified(root)))
-    )
-
-
-def _read_by_scan_only(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """What Spark's scan alone sees, on storage only Spark can reach."""
-    warnings.warn(f"hidden and empty files below {root} are not reported", stacklevel=3)
-    too_large = F.col("length") > MAX_SCANNED_BYTES
-    listed = route(_scan(spark, root, "*").select("path", "length"))
-    supported = F.col("kind") != UNSUPPORTED
-    unparsed = listed.where(~supported | too_large).select(
-        "path",
-        F.when(supported, "error").otherwise(UNSUPPORTED).alias("status"),
-        F.when(supported, f"larger than {MAX_SCANNED_BYTES} bytes").alias("error"),
+        .load(re.sub(r"([\[\]{}*?\\])", r"\\\1", full_uri(spark, root)))
+        .select("path", "content")
     )
-    files = _scan(spark, root, glob_of_supported()).where(~too_large)
-    return files.select("path", "content"), unparsed
 
 
 def read_documents(
     spark: SparkSession, root: str, tasks: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """(files to parse, files that need no parsing) of a tree.
-
-    Files to parse are (path, content), supported kinds only. Where content is
-    null the parsing task opens the file by its path. That is so for what Spark's
-    scan passes over (hidden names), for files too large for a row, and for all
-    files if there are more than the driver should list for a scan, if there are
-    links to folders, which a scan would follow, or if a number of tasks is given.
-    No file is left out. Files that need no parsing are (path, status, error).
+    """(files, files that cannot be read) of a tree.
+
+    Files are (path, content) with null content: the task that parses a file opens it by
+    its path, whatever its name and size, so the driver holds no file list and no row a
+    file. They are dealt out to tasks by size, or to the number given. Files that cannot
+    be read, or have nothing in them though they should, are (path, status, error). No
+    file is left out. Raises Unreachable where only Spark can reach the storage;
+    `scan_visible` reads what Spark's scan sees of it.
     """
     root = full_uri(spark, root)
     if not reachable(root):
-        return _read_by_scan_only(spark, root)
-    entries = _listing(spark, root).withColumnRenamed("kind", "entry")
-    listed = route(entries.where("entry = 'file'"))
+        raise Unreachable(f"{root}: only Spark can reach this storage; see scan_visible")
+    listed = route(_listing(spark, root).where("kind = 'file'").drop("kind"))
     supported = F.col("kind") != UNSUPPORTED
-    readable = F.col("problem").isNull() & (F.col("length") > 0)
-    error = F.coalesce("problem", F.lit("empty file"))
-    failed = F.col("problem").isNotNull() | supported
-    unparsed = listed.where(~(supported & readable)).select(
-        "path",
-        F.when(failed, "error").otherwise(UNSUPPORTED).alias("status"),
-        F.when(failed, error).alias("error"),
+    failed = F.col("problem").isNotNull() | (supported & (F.col("length") == 0))
+    unreadable = listed.where(failed).select(
+        "path", F.lit("error").alias("status"), F.coalesce("problem", F.lit("empty file")).alias("error")
     )
-    to_parse = listed.where(supported & readable)
-    no_content = F.lit(None).cast("binary").alias("content")
-    size = to_parse.agg(
+    files = listed.where(~failed)
+    size = files.agg(
         F.count("*").alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes")
     ).first()
-    links = not entries.where("entry = 'link'").isEmpty()
-    if tasks or links or size["files"] > MAX_SCANNED_FILES:
-        cost = size["bytes"] + size["files"] * _OPEN_COST
-        most = _TASKS_PER_CORE * spark.sparkContext.defaultParallelism
-        n = tasks or min(max(1, math.ceil(cost / _BYTES_PER_TASK)), most)
-        return to_parse.select("path", no_content).repartition(n), unparsed
-
-    within = F.col("length").between(1, MAX_SCANNED_BYTES)
-    scanned = _scan(spark, root, glob_of_supported()).where(within).select("path", "content")
-    passed_over = is_hidden(F.col("path"), root) | (F.col("length") > MAX_SCANNED_BYTES)
-    by_path = to_parse.where(passed_over).select("path", no_content)
-    return scanned.unionByName(by_path), unparsed
+    n = tasks or max(1, math.ceil((size["bytes"] + size["files"] * _OPEN_COST) / _BYTES_PER_TASK))
+    no_content = F.lit(None).cast("binary").alias("content")
+    return files.select("path", no_content).repartition(n), unreadable

@@ -2,38 +2,30 @@
 
 from __future__ import annotations
 
-import datetime as dt
-import io
 from collections import Counter
-from collections.abc import Callable, Iterator
-from typing import Any
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parchmill.formats.opc import Package
-from parchmill.formats.workbook import Workbook
+from parchmill.formats.cut import workbook
+from parchmill.operators.extract import cut_files, workbook_cells
 from parchmill.session import scratch_path
 
 # Texts that stand for a missing value.
-MISSING = {
+MISSING = (
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
-}
-# Error texts a cell may show.
-_ERRORS = {"#NULL!", "#DIV/0!", "#VALUE!", "#REF!", "#NAME?", "#NUM!"}
-
-_ROWS_DDL = "header array<string>, cells array<string>, kinds array<string>"
-_BATCH_ROWS = 5_000
+)
+# Different first rows that the workbooks of one read may have.
+MAX_HEADERS = 1000
 
 
 class HeaderMismatch(ValueError):
     """The workbooks of one read do not have the same columns."""
 
 
-def column_names(header: list[Any]) -> list[str]:
+def column_names(header: list[str | None]) -> list[str]:
     """Blank headers are named by position, repeated ones numbered."""
     seen: Counter = Counter()
     names = []
@@ -47,78 +39,24 @@ def column_names(header: list[Any]) -> list[str]:
     return names
 
 
-def _typed(value: Any) -> tuple[str | None, str | None]:
-    """(text, kind) of a cell; kinds are those the type inference tells apart."""
-    if value is None or (isinstance(value, str) and value in MISSING | _ERRORS):
-        return None, None
-    if isinstance(value, bool):
-        return str(value), "boolean"
-    if isinstance(value, (int, float)):
-        if abs(value) < 2**63 and value == int(value):
-            return str(int(value)), "bigint"
-        return repr(float(value)), "double"
-    if isinstance(value, dt.datetime):
-        return str(value), "timestamp"
-    return str(value), "string"
-
-
-def _table_rows(content: Any) -> Iterator[tuple[list[str], list | None, list | None]]:
-    """(column names, cell texts, cell kinds) per row, at last with the names alone."""
-    book = Workbook(Package(io.BytesIO(content), "workbook"), formulas=False)
-    _, kind, part = book.sheets[0]
-    if kind == "chartsheet":
-        raise ValueError("the first sheet has no rows")
-    names: list[str] | None = None
-    blank = 0
-    for _, cells in book.rows(part, clip=False):
-        filled = {c - 1: v for c, v in cells if v != ""}
-        if names is None:
-            names = column_names([filled.get(i) for i in range(max(filled, default=-1) + 1)])
-            continue
-        if not filled:
-            blank += 1  # kept only if a filled row follows
-            continue
-        if len(names) > 1:
-            yield from ([names, [None] * len(names), [None] * len(names)] for _ in range(blank))
-        blank = 0
-        if max(filled) >= len(names):
-            raise ValueError(f"a cell right of the last of {len(names)} headers")
-        typed = [_typed(filled.get(i)) for i in range(len(names))]
-        yield names, [t for t, _ in typed], [k for _, k in typed]
-    if names is not None:
-        yield names, None, None
-
-
-def _reader(columns: list[str] | None) -> Callable:
-    strings = pa.list_(pa.string())
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def emit(rows: list[tuple]) -> pa.RecordBatch:
-            arrays = [pa.array(c, strings) for c in zip(*rows)]
-            return pa.RecordBatch.from_arrays(arrays, ["header", "cells", "kinds"])
-
-        for batch in batches:
-            for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
-                rows = []
-                try:
-                    for names, cells, kinds in _table_rows(content.as_buffer()):
-                        if columns is not None:
-                            if sorted(names) != sorted(columns):
-                                raise HeaderMismatch(f"expected {columns}, found {names}")
-                            if cells is None:
-                                continue
-                            cells, kinds = [cells[names.index(c)] for c in columns], None
-                        # The names travel once per workbook, not with each row.
-                        rows.append((names if cells is None else None, cells, kinds))
-                        if len(rows) == _BATCH_ROWS:
-                            yield emit(rows)
-                            rows = []
-                except Exception as e:
-                    raise ValueError(f"{path}: {type(e).__name__}: {e}") from e
-                if rows:
-                    yield emit(rows)
-
-    return read
+def _typed(cells: DataFrame) -> DataFrame:
+    """Cells with a value, their kinds those that the type inference tells apart. Error
+    cells and texts that stand for a missing value have none; a text that reads like an
+    error is a text."""
+    missing = (F.col("kind") == "error") | ((F.col("kind") == "string") & F.col("text").isin(*MISSING))
+    number = F.col("text").try_cast("double")
+    whole = (F.col("kind") == "double") & (F.abs(number) < 2.0**63) & (number == F.floor(number))
+    text = F.when(whole, number.cast("bigint").cast("string")).otherwise(F.col("text"))
+    kind = F.when(whole, "bigint").otherwise(F.col("kind"))
+    return cells.where(~missing).select("path", "row_no", "cell_no", text.alias("text"), kind.alias("kind"))
+
+
+def _names(header: list, width: int) -> list[str]:
+    """Names of the columns of a first row; columns right of it have none of their own."""
+    texts: list[str | None] = [None] * max(width, 1 + max((h["cell_no"] for h in header), default=-1))
+    for h in header:
+        texts[h["cell_no"]] = h["text"]
+    return column_names(texts)
 
 
 def _cast(cell: Column, data_type: T.DataType) -> Column:
@@ -127,27 +65,11 @@ def _cast(cell: Column, data_type: T.DataType) -> Column:
     return cell.cast(data_type)
 
 
-def _project(rows: DataFrame, schema: T.StructType) -> DataFrame:
-    return rows.select(
-        *[
-            _cast(F.col("cells")[i], f.dataType).alias(f.name)
-            for i, f in enumerate(schema.fields)
-        ]
-    )
-
-
-def _inferred(rows: DataFrame) -> T.StructType:
-    """Column names and types over all workbooks; the driver gets one row per
-    column and kind."""
-    headers = rows.where("header is not null").select("header").distinct().head(2)
-    if not headers:
-        raise ValueError("no header in any workbook")
-    if len(headers) > 1:
-        raise HeaderMismatch(f"{headers[0]['header']} and {headers[1]['header']}")
+def _inferred(cells: DataFrame, names: list[str]) -> T.StructType:
+    """Types over all workbooks; the driver gets one row per column and kind."""
     found: dict[int, set[str]] = {}
-    kinds = rows.select(F.posexplode("kinds").alias("i", "kind")).where("kind is not null")
-    for r in kinds.distinct().collect():
-        found.setdefault(r["i"], set()).add(r["kind"])
+    for r in cells.select("cell_no", "kind").distinct().collect():
+        found.setdefault(r["cell_no"], set()).add(r["kind"])
 
     def type_of(i: int) -> str:
         seen = found.get(i, set())
@@ -155,28 +77,75 @@ def _inferred(rows: DataFrame) -> T.StructType:
             return next(iter(seen))
         return "double" if seen == {"bigint", "double"} else "string"
 
-    names = headers[0]["header"]
-    return T.StructType(
-        [T.StructField(n, T._parse_datatype_string(type_of(i))) for i, n in enumerate(names)]
-    )
+    quoted = (n.replace("`", "``") for n in names)
+    return T.StructType.fromDDL(", ".join(f"`{n}` {type_of(i)}" for i, n in enumerate(quoted)))
 
 
 def read_workbooks(files: DataFrame, schema: T.StructType | str | None = None) -> DataFrame:
-    """The first sheet of each (path, content) row; its first row names the columns.
-
-    With a schema this is one narrow pass. Without one the parsed rows are
-    written once to the shared folder, and names and types are taken from all of
-    them: whole numbers, numbers, truth values, dates, else text.
+    """The first sheet of each (path, content) row; its first filled row names the columns.
+
+    Tasks cut the sheets into rows, which are written once to the shared folder; Spark
+    makes the cells, so the rows of one large workbook are worked on by many tasks.
+    Without a schema names and types are taken from all workbooks: whole numbers,
+    numbers, truth values, dates and times without a zone, else text. Columns right of
+    the last header are named by position. With a schema, workbooks may have its columns
+    in any order.
     """
     spark = files.sparkSession
-    files = files.select("path", "content")
-    if schema is not None:
-        wanted = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
-        return _project(files.mapInArrow(_reader(wanted.fieldNames()), _ROWS_DDL), wanted)
-    parsed = scratch_path(spark, "workbooks")
-    files.mapInArrow(_reader(None), _ROWS_DDL).write.parquet(parsed)
-    rows = spark.read.schema(_ROWS_DDL).parquet(parsed)
-    return _project(rows.where("cells is not null"), _inferred(rows))
+    one = files.select("path", F.lit("xlsx").alias("kind"), "content")
+    parsed = cut_files(one, {"xlsx": workbook(first_sheet_only=True)})
+    broken = parsed.where("status = 'error'").select("path", "error").head(1)
+    if broken:
+        raise ValueError(f"{broken[0]['path']}: {broken[0]['error']}")
+    stored = scratch_path(spark, "cells")
+    workbook_cells(parsed, formulas=False).where("text <> ''").write.parquet(stored)
+    cells = spark.read.parquet(stored)
+
+    data = _typed(cells.where("part_no = 1"))
+    entry = F.struct("cell_no", "text")
+    heads = cells.where("part_no = 0").groupBy("path").agg(F.sort_array(F.collect_list(entry)).alias("header"))
+    headers = [r["header"] for r in heads.select("header").distinct().limit(MAX_HEADERS + 1).collect()]
+    if not headers:
+        raise ValueError("no header in any workbook")
+    width = data.agg(F.coalesce(F.max("cell_no") + 1, F.lit(0))).first()[0]
+    if schema is None:
+        if len(headers) > 1:
+            raise HeaderMismatch(f"{_names(headers[0], 0)} and {_names(headers[1], 0)}")
+        wanted = _inferred(data, _names(headers[0], width))
+    else:
+        wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    places = []
+    for header in headers[:MAX_HEADERS]:
+        names = _names(header, width)
+        if sorted(names) != sorted(wanted.fieldNames()) or len(headers) > MAX_HEADERS:
+            raise HeaderMismatch(f"expected {wanted.fieldNames()}, found {names}")
+        places.append([names.index(c) for c in wanted.fieldNames()])
+
+    sheet = parsed.where("segment_no >= 0").select("path", F.inline("records"))
+    rows = sheet.where("part_no = 1").select("path", "row_no", "gap", "what")
+    rows = rows.where(F.col("what").startswith("row")).groupBy("path", "row_no").agg(F.max("gap").alias("gap"))
+    values = data.groupBy("path", "row_no").agg(
+        F.map_from_entries(F.collect_list(entry)).alias("cells")
+    )
+    rows = rows.join(values, ["path", "row_no"], "left")
+    if len(wanted) > 1:  # rows without a value before a filled one are rows too
+        empty = F.lit(None).cast("map<int,string>")
+        copies = F.concat(F.array_repeat(empty, F.col("gap")), F.array("cells"))
+        rows = rows.select("path", F.explode(copies).alias("cells"))
+    if len(places) == 1:
+        place = [F.lit(p) for p in places[0]]
+    else:
+        kind = heads.schema["header"].dataType
+        shape = T.StructType().add("header", kind).add("place", T.ArrayType(T.IntegerType()))
+        order = spark.createDataFrame(list(zip(headers, places, strict=True)), shape)
+        rows = rows.join(heads.join(F.broadcast(order), "header").select("path", "place"), "path")
+        place = [F.get("place", F.lit(i)) for i in range(len(wanted))]
+    return rows.select(
+        *[
+            _cast(F.try_element_at("cells", place[i]), f.dataType).alias(f.name)
+            for i, f in enumerate(wanted.fields)
+        ]
+    )
 
 
 def scan_excel(

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from parchmill.operators import assemble
 
 
@@ -15,22 +17,25 @@ def joined(df, *order):
     return out
 
 
-def test_paragraphs_pages_and_shapes(spark):
+@pytest.mark.parametrize(("segment_bytes", "block"), [(40, 7), (10**6, 4096)])
+def test_paragraphs_pages_and_shapes(spark, monkeypatch, segment_bytes, block):
     # One document holds a third of all rows and spans many segments.
+    monkeypatch.setattr(assemble, "BLOCK", block)
     sizes = {"hot": 100, "b": 7, "c": 1} | {f"d{i}": 20 for i in range(10)}
-    rows = [(p, i, 0, f"{p}{i}" if i % 3 else "") for p, n in sizes.items() for i in range(n)]
+    rows = [(p, i, 0, f"{p}{i}é" if i % 3 else "") for p, n in sizes.items() for i in range(n)]
     texts = {p: [r[3] for r in rows if r[0] == p] for p in sizes}
     df = shuffled(spark, rows, "path string, part_no int, row_no int, text string")
-    assert joined(assemble.join_paragraphs(df, 8), "segment_no") == {
-        p: "\n".join(t) for p, t in texts.items()
-    }
-    assert joined(assemble.concat_pages(df, 8), "segment_no") == {
-        p: "".join(t) for p, t in texts.items()
-    }
-    assert joined(assemble.join_shapes(df, 8), "segment_no") == {
-        p: "".join(x + "\n" for x in t) for p, t in texts.items()
-    }
-    assert assemble.join_paragraphs(df).count() == len(sizes)
+    for join, expected in (
+        (assemble.join_paragraphs, {p: "\n".join(t) for p, t in texts.items()}),
+        (assemble.concat_pages, {p: "".join(t) for p, t in texts.items()}),
+        (assemble.join_shapes, {p: "".join(x + "\n" for x in t) for p, t in texts.items()}),
+    ):
+        out = join(df, segment_bytes)
+        assert joined(out, "segment_no") == expected
+        found = out.collect()
+        assert max(len(r.text.encode()) for r in found) < segment_bytes + 20
+        numbers = sorted(r.segment_no for r in found if r.path == "hot")
+        assert numbers == list(range(len(numbers))) and (len(numbers) > 5) == (segment_bytes == 40)
 
 
 def test_workbook_cells(spark):
@@ -51,12 +56,5 @@ def test_workbook_cells(spark):
         expected[path] = text
     ddl = "path string, part_no int, row_no int, cell_no int, text string, keep boolean"
     df = shuffled(spark, rows, ddl)
-    for per_segment in (4, 10_000):
-        out = assemble.join_cells(df, per_segment)
-        assert joined(out, "part_no", "segment_no") == expected
-
-
-def test_one_shuffle(spark):
-    df = shuffled(spark, [("a", 0, "t")], "path string, part_no int, text string")
-    plan = assemble.join_paragraphs(df)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 1
+    for segment_bytes in (10, 10**6):
+        assert joined(assemble.join_cells(df, segment_bytes), "segment_no") == expected

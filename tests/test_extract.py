@@ -1,18 +1,26 @@
 import datetime as dt
-import zlib
+import io
+import tracemalloc
+import zipfile
 
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from checks.builders import cell, docx, page, paragraph, pdf, pptx, row, shape, xlsx
-from parchmill.formats import storage
+from checks.builders import cell, docx, paragraph, pptx, row, shape, shared, strings, truncated, xlsx
+from parchmill.formats import cut, storage
 from parchmill.operators import extract
-from parchmill.operators.extract import document_elements, extract_texts, parse_documents
+from parchmill.operators.extract import (
+    document_elements,
+    document_texts,
+    extract_metrics,
+    extract_texts,
+    parse_documents,
+)
 from parchmill.plans.extract_tree import TooManyErrors, extract_tree, run_extraction
 from parchmill.sinks.text_files import OutputCollision, write_text_files
 from parchmill.sources import documents
-from parchmill.sources.documents import list_documents
+from parchmill.sources.documents import Unreachable, list_documents, scan_visible
 
 
 def text_of(spark, name, data):
@@ -61,6 +69,12 @@ def test_workbook_values(spark):
         + cell(1e7, "F4")
         + cell(59, "G4", 1)
         + cell(True, "H4")
+        + cell(0.5004, "I4", 3)
+        + cell(45292.000005787, "J4", 3)
+        + cell(-1.25, "K4", 4)
+        + cell(1e-7, "L4")
+        + cell(123456789012345678901, "M4")
+        + cell(3e6, "N4", 1)
         + "</row><row r='5'><c r='A5'><f>SUM(B1:B2)</f><v>3</v></c><c r='B5' t='e'><v>#N/A</v></c>"
         + "<c r='C5'><f t='shared' si='0' ref='C5:C6'>A1+$B$1</f><v>1</v></c></row>"
         + "<row r='6'><c r='C6'><f t='shared' si='0'/><v>1</v></c></row>"
@@ -78,9 +92,15 @@ def test_workbook_values(spark):
         "10000000.0",
         "1900-02-28 00:00:00",
         "True",
+        "12:00:34.560000",
+        "2024-01-01 00:00:00.500000",
+        "-2 days, 18:00:00",
+        "1e-07",
+        "123456789012345678901",
+        "#VALUE!",
     ]
     assert lines[4] == "=SUM(B1:B2)\t#N/A\t=A1+$B$1\t"
-    assert lines[5] == "=A2+$B$1\t"
+    assert lines[5] == "=\t"  # as stored: the formula is another cell's
 
 
 def test_workbook_stated_size_clips(spark):
@@ -103,52 +123,61 @@ def test_slides(spark):
     assert r.text == "t1\n\nt2\nt3\nu\vv\n"
 
 
-def test_pdf_pages(spark):
-    r = text_of(spark, "/d/e.pdf", pdf(page("P1"), page("P2")))
-    assert r.text == "P1P2" and r.status in ("ok", "ok_basic")
-
-
-def test_pdf_strings_and_maps(spark):
-    if extract.pdf.pypdf is not None:
-        pytest.skip("the basic reader is not in use")
-    table = b"2 beginbfchar <0001> <4F60> <0002> <D83DDE00> endbfchar 1 beginbfrange <0010> <0012> <0061> endbfrange"
-    packed = zlib.compress(table)
-    extra = b"4 0 obj << /Length %d /Filter /FlateDecode >> stream\n%s\nendstream endobj" % (
-        len(packed),
-        packed,
-    )
-    font = b"<< /Type /Font /Subtype /Type0 /ToUnicode 4 0 R >>"
-    content = b"BT /F1 9 Tf <00010002> Tj [<0010> -20 <00110012>] TJ ET"
-    assert text_of(spark, "e.pdf", pdf(content, extra=extra, font=font)).text == "你😀abc"
-    content = b"BT /F1 9 Tf (a\\(b\\)\\101(c)) Tj T* (d) Tj ET"
-    assert text_of(spark, "e.pdf", pdf(content)).text == "a(b)A(c)\nd"
-
-
-def test_pdf_lines_and_gaps(spark):
-    if extract.pdf.pypdf is not None:
-        pytest.skip("the basic reader is not in use")
-    content = (
-        b"q 1 0 0 1 0 10 cm BT /F1 10 Tf 1 0 0 1 50 700 Tm [(two) -300 (words) 20 (!)] TJ "
-        b"5 0 Td (same) Tj ET Q BT /F1 10 Tf 1 0 0 1 50 698 Tm (next) Tj 0 -12 TD (third) Tj "
-        b"(fourth) ' ET BT /F1 10 Tf 1 0 0 1 200 674 Tm (also) Tj ET"
-    )
-    text = text_of(spark, "e.pdf", pdf(content)).text
-    assert text == "two words!same\nnext\nthird\nfourthalso"
-
-
-def test_pdf_forms_images_and_strays(spark):
-    if extract.pdf.pypdf is not None:
-        pytest.skip("the basic reader is not in use")
-    form = b"BT /F1 9 Tf (inner) Tj ET"
-    extra = (
-        b"5 0 obj << /Type /XObject /Subtype /Form /Length %d >> stream\n%s\nendstream endobj"
-        % (len(form), form)
-    )
-    content = b"/X1 Do BI /W 1 ID \x80(>>\x00 EI ) BT (after) Tj ET"
-    data = pdf(content, extra=extra).replace(
-        b"/Font << /F1 3 0 R >>", b"/Font << /F1 3 0 R >> /XObject << /X1 5 0 R >>"
-    )
-    assert text_of(spark, "e.pdf", data).text == "innerafter"
+def test_workbook_strings_are_joined(spark):
+    texts = ["a & <b>", "", "same", "tab\there"]
+    rows = "".join(f"<row>{shared(k)}{shared(2)}</row>" for k in range(4))
+    r = text_of(spark, "/d/a.xlsx", xlsx({"s": rows, "t": f"<row>{shared(0)}</row>"}, strings(texts)))
+    assert r.text == "a & <b>\tsame\t\nsame\t\nsame\tsame\t\ntab\there\tsame\t\na & <b>\t\n"
+
+
+def test_dates_from_1904(spark):
+    styles = '<cellXfs><xf numFmtId="0"/><xf numFmtId="14"/></cellXfs>'
+    data = xlsx({"s": f"<row>{cell(0.25, style=1)}{cell(1, style=1)}</row>"}, styles=styles)
+    out = io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(data)) as z, zipfile.ZipFile(out, "w") as new:
+        for name in z.namelist():
+            part = z.read(name)
+            if name == "xl/workbook.xml":
+                part = part.replace(b"<sheets>", b'<workbookPr date1904="1"/><sheets>')
+            new.writestr(name, part)
+    assert text_of(spark, "/d/a.xlsx", out.getvalue()).text == "06:00:00\t1904-01-02 00:00:00\t\n"
+
+
+def test_pdf_without_a_library_says_so(spark):
+    try:
+        import pypdf  # noqa: F401
+    except ImportError:
+        r = text_of(spark, "/d/e.pdf", b"%PDF-1.4")
+        assert r.status == "error" and "pypdf" in r.error and r.kind == "pdf"
+
+
+def test_missing_rows_cost_nothing(spark):
+    """A gap of a million rows is a number until Spark makes its line feeds."""
+    far = f'<row r="1000000">{cell("far", "A1000000")}</row>'
+    data = xlsx({"s": row("x") + far})
+    tracemalloc.start()
+    rows = list(extract._rows_of("a.xlsx", "xlsx", pa.py_buffer(data), cut.workbook(False)))
+    assert tracemalloc.get_traced_memory()[1] < 20_000_000
+    tracemalloc.stop()
+    assert len(rows) == 1 and len(rows[0][4]) == 2
+    text = text_of(spark, "/d/a.xlsx", data).text
+    assert text == "x\t\n" + "\n" * 999_998 + "far\t\n"
+    beyond = xlsx({"s": f'<row r="5000000">{cell("far")}</row>'})
+    assert "last row" in text_of(spark, "/d/b.xlsx", beyond).error
+
+
+def test_a_packed_workbook_is_read_in_pieces():
+    """A small file of a million cells: a task holds a segment of it."""
+    data = xlsx({"s": row(*[0] * 100) * 10_000})
+    assert len(data) < 200_000
+    rows = extract._rows_of("a.xlsx", "xlsx", pa.py_buffer(data), cut.workbook(False))
+    tracemalloc.start()
+    segments = [(r[2], r[3], len(r[4])) for r in rows]
+    assert tracemalloc.get_traced_memory()[1] < 60_000_000
+    tracemalloc.stop()
+    assert [s[0] for s in segments] == list(range(len(segments))) and len(segments) > 3
+    assert [s[1] for s in segments] == [False] * (len(segments) - 1) + [True]
+    assert sum(s[2] for s in segments) == 10_000
 
 
 def test_own_parser(spark):
@@ -158,9 +187,17 @@ def test_own_parser(spark):
 
     files = spark.createDataFrame([("a.pdf", bytearray(b"x|y"))], "path string, content binary")
     parsed = parse_documents(files, {"pdf": lines})
-    assert extract.document_texts(parsed).first().text == "xy"
+    assert document_texts(parsed).first().text == "xy"
     assert parsed.first().status == "ok"
 
+    def cells(source):
+        yield 0, "s", 0, 0, "v", True
+        yield 0, "s", 0, 1, "w", False
+        yield 0, "s", 0, extract.ROW_END, "", True
+
+    files = spark.createDataFrame([("a.xlsx", bytearray(b""))], "path string, content binary")
+    assert document_texts(parse_documents(files, {"xlsx": cells})).first().text == "v\t\n"
+
 
 def test_wrong_main_part_is_an_error(spark):
     r = text_of(spark, "/d/a.docx", pptx(shape("t")))
@@ -176,7 +213,7 @@ def make_tree(root):
         "c.xltx": xlsx({"s": row("2")}),
         "deep/er/c.xltm": xlsx({"s": row("3")}),
         "d.pptx": pptx(shape("t1")),
-        "e.pdf": pdf(page("P1"), page("P2")),
+        "e.pdf": b"no pdf",
         "bad.docx": b"not a zip",
         "empty.docx": b"",
         "_x.docx": docx(paragraph("under")),
@@ -218,15 +255,10 @@ def test_extract_tree(spark, tmp_path):
     assert got["n.jpg"].status == got["old.doc"].status == "unsupported"
 
 
-def test_files_opened_by_path_give_the_same(spark, tmp_path, monkeypatch):
+def test_any_number_of_tasks_gives_the_same(spark, tmp_path):
     make_tree(tmp_path)
-    scanned = sorted(map(repr, extract_tree(spark, str(tmp_path)).collect()))
-    assert sorted(map(repr, extract_tree(spark, str(tmp_path), tasks=3).collect())) == scanned
-    monkeypatch.setattr(documents, "MAX_SCANNED_FILES", 5)
-    assert sorted(map(repr, extract_tree(spark, str(tmp_path)).collect())) == scanned
-    monkeypatch.setattr(documents, "MAX_SCANNED_FILES", 1000)
-    monkeypatch.setattr(documents, "MAX_SCANNED_BYTES", 500)
-    assert sorted(map(repr, extract_tree(spark, str(tmp_path)).collect())) == scanned
+    some = sorted(map(repr, extract_tree(spark, str(tmp_path)).collect()))
+    assert sorted(map(repr, extract_tree(spark, str(tmp_path), tasks=3).collect())) == some
 
 
 def test_odd_trees(spark, tmp_path):
@@ -267,11 +299,11 @@ def test_every_name_is_read_once(spark, tmp_path):
 def test_storage_only_spark_can_reach(spark, tmp_path, monkeypatch):
     files = make_tree(tmp_path)
     monkeypatch.setattr(documents, "reachable", lambda uri: False)
-    with pytest.warns(UserWarning, match="not reported"):
-        rows = extract_tree(spark, str(tmp_path)).collect()
+    with pytest.raises(Unreachable, match="scan_visible"):
+        extract_tree(spark, str(tmp_path))
+    rows = extract_texts(scan_visible(spark, str(tmp_path))).collect()
     names = {r.path.removeprefix(f"file:{tmp_path}/") for r in rows}
-    hidden = {"_x.docx", ".y.docx", ".hidden/z.docx", "empty.docx"}
-    assert names == set(files) - hidden and len(rows) == len(names)
+    assert names == set(files) - {"_x.docx", ".y.docx", ".hidden/z.docx", "empty.docx"}
 
 
 def test_uris():
@@ -294,7 +326,7 @@ def test_run_extraction(spark, tmp_path):
     counts = run_extraction(
         spark, str(root), str(tmp_path / "t1"), str(tmp_path / "last"), on_collision="last"
     )
-    assert (counts["n_files"], counts["n_errors"], counts["n_unsupported"]) == (16, 2, 2)
+    assert (counts["n_files"], counts["n_errors"], counts["n_unsupported"]) == (16, 3, 2)
     out = tmp_path / "last"
     assert (out / "c.txt").read_text() == "3\t\n"  # the greatest path wins
     assert (out / "a.txt").read_text() == "hi\n\nbye"
@@ -308,32 +340,57 @@ def test_run_extraction(spark, tmp_path):
 
 
 def test_long_texts_go_on_in_segments(spark, tmp_path, monkeypatch):
-    lines = [f"line {i}" for i in range(20)]
-    data = docx("".join(paragraph(t) for t in lines))
-    monkeypatch.setattr(extract, "SEGMENT_CHARS", 40)
-    pieces = extract._parse_one("/d/a.docx", "docx", pa.py_buffer(data), extract._word)
-    assert len(pieces) > 2 and {p[3] for p in pieces} == {len(pieces)}
-    ddl = extract._PARSED_DDL
-    parsed = spark.createDataFrame([tuple(p) for p in pieces], ddl).repartition(4)
-    texts = extract.document_texts(parsed)
-    joined = "".join(r.text for r in texts.orderBy("segment_no").collect())
-    assert joined == "\n".join(lines)
-    written = write_text_files(texts, str(tmp_path / "out")).collect()
-    assert (tmp_path / "out" / "a.txt").read_text() == joined
-    assert len(written) == 1 and written[0].n_bytes == len(joined)
-
-
-def test_element_too_long_for_a_row_is_an_error(spark, monkeypatch):
-    monkeypatch.setattr(extract, "MAX_ELEMENT_CHARS", 5)
-    row = extract._parse_one("a.docx", "docx", pa.py_buffer(docx(paragraph("123456"))), extract._word)
-    assert row[0][5:] == ("error", "ValueError: an element of 6 characters")
+    """Segments, pieces of a record and batches of any size give the same texts."""
+    lines = [f"line {i} & <more>" for i in range(20)]
+    files = {
+        "/d/a.docx": docx("".join(paragraph(t) for t in lines)),
+        "/d/b.xlsx": xlsx({"s": "".join(f"<row>{cell(t)}{shared(k)}{cell(k)}</row>" for k, t in enumerate(lines))}, strings(lines)),
+        "/d/c.pptx": pptx("".join(shape(t, t) for t in lines), shape("end")),
+        "/d/d.docx": truncated("x " * 3000, "docx"),
+        "/d/e.docx": b"broken",
+        "/d/f.docx": docx(""),
+    }
+
+    def texts():
+        made = []
+        for path, data in files.items():
+            kind = path.rpartition(".")[2]
+            made += extract._rows_of(path, kind, pa.py_buffer(data), extract._CUTTERS[kind])
+        parsed = pa.Table.from_batches([extract._batch([r]) for r in made])
+        return document_texts(spark.createDataFrame(parsed.to_pandas(), extract._PARSED_DDL).repartition(4))
+
+    def by_path(df):
+        out = {}
+        for r in df.orderBy("path", "segment_no").collect():
+            out.setdefault(r.path, []).append((r.status, r.is_last, r.text))
+        return out
+
+    whole = by_path(texts())
+    assert {len(v) for v in whole.values()} == {1}
+    monkeypatch.setattr(extract, "SEGMENT_BYTES", 100)
+    monkeypatch.setattr(cut, "PIECE_CHARS", 7)
+    df = texts()
+    pieces = by_path(df)
+    assert len(pieces["/d/a.docx"]) > 3 and len(pieces["/d/b.xlsx"]) > 3
+    for path, rows in pieces.items():
+        assert [r[1] for r in rows] == [False] * (len(rows) - 1) + [True]
+        assert rows[-1][0] == whole[path][0][0]
+        if rows[-1][0] == "ok":
+            assert "".join(r[2] for r in rows) == whole[path][0][2]
+    counts = extract_metrics(df).first()
+    assert (counts.n_files, counts.n_ok, counts.n_errors) == (6, 4, 2)
+    written = {r.path: r.n_bytes for r in write_text_files(df, str(tmp_path / "out")).collect()}
+    assert set(written) == {p for p in files if whole[p][0][0] == "ok"}
+    for path, n in written.items():
+        text = whole[path][0][2].encode()
+        assert (tmp_path / "out" / path[3:].replace(path[-4:], "txt")).read_bytes() == text and n == len(text)
 
 
 def test_batches_are_bounded(monkeypatch):
-    monkeypatch.setattr(extract, "_BATCH_CHARS", 10)
+    monkeypatch.setattr(extract, "_BATCH_BYTES", 20)
     files = [docx(paragraph("12345678")) for _ in range(5)] + [b"broken"]
     columns = {"path": [f"{i}.docx" for i in range(6)], "kind": ["docx"] * 6, "content": files}
-    out = list(extract._parse(iter([pa.RecordBatch.from_pydict(columns)]), extract.PARSERS))
+    out = list(extract._parse(iter([pa.RecordBatch.from_pydict(columns)]), extract._CUTTERS))
     assert [b.num_rows for b in out] == [2, 2, 2]
     assert [r["status"] for b in out for r in b.to_pylist()] == ["ok"] * 5 + ["error"]
 
@@ -348,10 +405,13 @@ def test_elements_table(spark):
     ]
 
 
-def test_extraction_is_one_stage(spark):
-    files = spark.createDataFrame([("a.docx", bytearray(b""))], "path string, content binary")
-    plan = extract_texts(files)._jdf.queryExecution().executedPlan().toString()
-    assert "MapInArrow" in plan and "Exchange" not in plan
+def test_files_are_parsed_once_and_cells_are_made_by_spark(spark):
+    data = [("a.docx", bytearray(b"")), ("b.md", bytearray(b"x"))]
+    files = spark.createDataFrame(data, "path string, content binary")
+    texts = extract_texts(files)
+    plan = texts._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "regexp_extract_all" in plan
+    assert sorted(r.status for r in texts.collect()) == ["error", "unsupported"]
 
 
 def test_supported_names_in_any_case(spark):

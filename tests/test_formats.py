@@ -1,64 +1,49 @@
 """Random texts survive the way into a file and out of it again."""
 
-import io
-
-from hypothesis import given, settings
+import pyarrow as pa
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from checks.builders import docx, paragraph, pptx, row, shape, xlsx
-from checks.documents import _pdf
-from parchmill.formats import pdf, slides, word
-from parchmill.formats.opc import Package
-from parchmill.formats.workbook import Workbook
+from parchmill.operators.extract import document_elements, document_texts, parse_documents
 
 # What XML can carry as it is; a carriage return would come back as a line feed.
 CHARS = st.characters(exclude_categories=("Cs", "Cc"), exclude_characters="\ufffe\uffff")
-LINES = st.lists(st.text(CHARS, max_size=20), max_size=12)
+TEXT = st.text(CHARS, max_size=20)
+LINES = st.lists(TEXT, max_size=12)
 NUMBERS = st.one_of(st.integers(-(10**12), 10**12), st.floats(allow_nan=False, allow_infinity=False))
-CELLS = st.lists(st.lists(st.one_of(st.text(CHARS), NUMBERS, st.booleans()), max_size=5), max_size=8)
-QUICK = settings(max_examples=60, deadline=None)
-
-
-@QUICK
-@given(LINES)
-def test_word(lines):
-    data = docx("".join(map(paragraph, lines)))
-    assert list(word.paragraphs(Package(io.BytesIO(data), "document"))) == lines
+CELLS = st.lists(st.lists(st.one_of(TEXT, NUMBERS, st.booleans()), max_size=5), max_size=8)
+# Many files at once: a Spark job costs more than a file.
+QUICK = settings(
+    max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture]
+)
 
 
-@QUICK
-@given(st.lists(LINES, max_size=4))
-def test_slides(decks):
-    data = pptx(*["".join(map(shape, lines)) for lines in decks])
-    found = list(slides.shape_texts(Package(io.BytesIO(data), "presentation")))
-    assert found == [(i, j, t) for i, lines in enumerate(decks) for j, t in enumerate(lines)]
-
-
-@QUICK
-@given(CELLS)
-def test_workbook(rows):
-    data = xlsx({"s": "".join(row(*r) for r in rows)})
-    book = Workbook(Package(io.BytesIO(data), "workbook"), formulas=True)
-    found = list(book.rows(book.sheets[0][2], clip=False))
-    assert [n for n, _ in found] == list(range(1, len(rows) + 1))
-    assert [cells for _, cells in found] == [list(enumerate(r, 1)) for r in rows]
-    assert [[type(v) for _, v in cells] for _, cells in found] == [list(map(type, r)) for r in rows]
+def parsed(spark, files):
+    table = pa.table({"path": list(files), "content": list(files.values())})
+    return parse_documents(spark.createDataFrame(table))
 
 
 @QUICK
-@given(LINES)
-def test_pdf(lines):
-    if pdf.pypdf is None:
-        assert list(pdf.page_texts(io.BytesIO(_pdf(lines)))) == lines
+@given(st.lists(LINES, min_size=5, max_size=40))
+def test_word_and_slides(spark, texts):
+    files = {f"{k}.docx": docx("".join(map(paragraph, t))) for k, t in enumerate(texts)}
+    files |= {f"{k}.pptx": pptx("".join(map(shape, t)), shape(*t)) for k, t in enumerate(texts)}
+    found = {r.path: r.text for r in document_texts(parsed(spark, files)).collect()}
+    for k, t in enumerate(texts):
+        assert found[f"{k}.docx"] == "\n".join(t)
+        assert found[f"{k}.pptx"] == "".join(x + "\n" for x in t) + "\n".join(t) + "\n"
 
 
 @QUICK
-@given(st.binary(max_size=200))
-def test_damaged_pdf_ends(data):
-    """Damage gives an error or some text, and never an endless loop."""
-    whole = _pdf(["one", "two"])
-    for broken in (b"%PDF-1.4 " + data, whole[: len(whole) // 2] + data, whole + data):
-        try:
-            list(pdf.page_texts(io.BytesIO(broken)))
-        except Exception:
-            pass
+@given(st.lists(CELLS, min_size=5, max_size=40))
+def test_workbooks(spark, books):
+    files = {f"{k}.xlsx": xlsx({"s": "".join(row(*r) for r in b)}) for k, b in enumerate(books)}
+    found = {}
+    elements = document_elements(parsed(spark, files)).where(F.col("cell_no") >= 0)
+    for r in elements.orderBy("path", "row_no", "cell_no").collect():
+        found.setdefault(r.path, []).append((r.row_no, r.cell_no, r.text, r.keep))
+    for k, b in enumerate(books):
+        expected = [(i, j, str(v), bool(v)) for i, r in enumerate(b) for j, v in enumerate(r)]
+        assert found.get(f"{k}.xlsx", []) == expected

@@ -6,7 +6,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.errors import AnalysisException
 
-from checks.builders import cell, row, xlsx
+from checks.builders import cell, error, row, xlsx
 from parchmill.plans.job import METHODS, run_job
 from parchmill.session import python_env_conf
 from parchmill.sinks.tables import create_table_if_absent, load_table
@@ -63,17 +63,24 @@ class Recorder:
 
 
 def test_jdbc_options():
-    whole = scan_jdbc(Recorder(), "jdbc:x", "d", "t", driver="org.x.Driver").seen
+    whole = scan_jdbc(Recorder(), "jdbc:x", "d", "t", driver="org.x.Driver", one_task=True).seen
     assert whole == {
-        "url": "jdbc:x", "dbtable": "d.t", "fetchsize": "10000", "driver": "org.x.Driver",
+        "url": "jdbc:x", "dbtable": '"d"."t"', "fetchsize": "10000", "driver": "org.x.Driver",
     }
+    query = "(select 1) x; drop"  # a name, whatever it says
+    assert scan_jdbc(Recorder(), "jdbc:x", "", query, one_task=True, quote="`").seen["dbtable"] == f"`{query}`"
+    with pytest.raises(ValueError, match="one_task"):
+        scan_jdbc(Recorder(), "jdbc:x", "d", "t")
     split = dict(partition_column="id", lower_bound=1, upper_bound=9, num_partitions=3)
     seen = scan_jdbc(Recorder(), "jdbc:x", "d", "t", properties={"user": "u"}, **split).seen
     assert seen["partitionColumn"] == "id" and seen["numPartitions"] == "3"
     assert (seen["lowerBound"], seen["upperBound"], seen["user"]) == ("1", "9", "u")
-    section = {"host": "h", "port": "21050", "database": "d", "table": "t"}
+    section = {"host": "h", "port": "21050", "database": "d", "table": "t", "one_task": "true"}
+    section |= {"user": "u", "password": "p", "auth_mechanism": "PLAIN"}
     conf = {"processing": {"method": "read_impala"}, "impala": section}
-    assert run_job(Recorder(), conf).seen["url"] == "jdbc:impala://h:21050/d"
+    seen = run_job(Recorder(), conf).seen
+    assert seen["url"] == "jdbc:impala://h:21050/d" and seen["dbtable"] == "`d`.`t`"
+    assert (seen["user"], seen["password"], seen["auth_mechanism"]) == ("u", "p", "PLAIN")
 
 
 # --- CSV ---------------------------------------------------------------------
@@ -151,6 +158,17 @@ def test_raw_csv_headers_differ(spark, tmp_path):
         raw(spark, tmp_path, "a,b\n1,2\n", "a,c\n1,2\n")
 
 
+def test_raw_csv_with_columns_given(spark, tmp_path):
+    folder = tmp_path / "raw"
+    folder.mkdir()
+    for name, text in (("0", "a,b\n1,2\na,b\n"), ("1", "c,d\n3,4\n"), ("2", "")):
+        (folder / name).write_text(text)
+    df = scan_csv_raw(spark, str(folder), columns=["x", "y"])
+    assert df.columns == ["x", "y"] and rows_of(df) == [("1", "2"), ("3", "4"), ("a", "b")]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Exchange" not in plan
+
+
 def test_raw_csv_long_lines(spark, tmp_path):
     df, folder = raw(spark, tmp_path, "a,b\n1,2\n1,2,3\n")
     with pytest.raises(Exception, match="more than 2 fields: 1,2,3"):
@@ -202,7 +220,7 @@ def test_excel_types(spark, tmp_path):
     df = scan_excel(spark, store(tmp_path / "x", one=data))
     assert df.dtypes == [
         ("id", "bigint"), ("name", "string"), ("amount", "double"), ("active", "boolean"),
-        ("when", "timestamp"), ("Unnamed: 5", "string"), ("name.1", "string"), ("mixed", "string"),
+        ("when", "timestamp_ntz"), ("Unnamed: 5", "string"), ("name.1", "string"), ("mixed", "string"),
     ]
     rows = {r["id"]: tuple(r) for r in df.collect()}
     assert rows[1] == (1, "a", 1.5, True, dt.datetime(2024, 1, 1), None, "x", "1")
@@ -222,7 +240,36 @@ def test_excel_many_workbooks_in_one_schema(spark, tmp_path):
     assert sorted(map(tuple, df.collect())) == [(1, 2.0), (3, 4.5)]
     given = scan_excel(spark, folder, "v double, id string")
     assert sorted(map(tuple, given.collect())) == [(2.0, "1"), (4.5, "3")]
-    assert "Exchange" not in given._jdf.queryExecution().executedPlan().toString()
+
+
+def test_excel_columns_in_any_order(spark, tmp_path):
+    folder = store(
+        tmp_path / "x",
+        a=xlsx({"s": row("id", "v", "id") + row(1, "x", 7)}),
+        b=xlsx({"s": row("v", "id", "id") + row("y", 2, 8)}),
+    )
+    given = scan_excel(spark, folder, "v string, `id.1` bigint, id bigint")
+    assert sorted(map(tuple, given.collect())) == [("x", 7, 1), ("y", 8, 2)]
+    with pytest.raises(excel.HeaderMismatch, match="expected"):
+        scan_excel(spark, folder, "v string, id bigint")
+
+
+def test_excel_columns_right_of_the_header(spark, tmp_path):
+    data = xlsx({"s": row("id") + row(1, None, "x") + row(2)})
+    df = scan_excel(spark, store(tmp_path / "x", a=data))
+    assert df.columns == ["id", "Unnamed: 1", "Unnamed: 2"]
+    assert sorted(map(tuple, df.collect())) == [(1, None, "x"), (2, None, None)]
+
+
+def test_excel_errors_and_texts_that_read_like_them(spark, tmp_path):
+    data = xlsx({"s": row("a", "b") + f"<row>{cell('#REF!')}{error('#REF!')}</row>" + row("x", 1)})
+    df = scan_excel(spark, store(tmp_path / "x", a=data))
+    assert sorted(map(tuple, df.collect())) == [("#REF!", None), ("x", 1)]
+
+
+def test_excel_broken_workbook_fails_the_read(spark, tmp_path):
+    with pytest.raises(ValueError, match="BadZipFile"):
+        scan_excel(spark, store(tmp_path / "x", a=b"no workbook"))
 
 
 def test_excel_large_numbers(spark, tmp_path):
