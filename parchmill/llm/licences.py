@@ -302,5 +302,7 @@ def _runs(numbers: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, list[
     start, end = np.flatnonzero(starts), np.flatnonzero(ends) + 1
     row = np.searchsorted(offsets, start, "right") - 1
     edges = np.flatnonzero(np.diff(row, prepend=-1))
+    if not len(edges):
+        return
     for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(row)], strict=True):
         yield int(row[a]), list(zip(start[a:b].tolist(), end[a:b].tolist(), strict=True))
