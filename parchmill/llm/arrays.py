@@ -6,7 +6,7 @@ that a task's memory is bounded by that and by its longest single text.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -20,6 +20,14 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+def fresh(taken: Iterable[str], name: str) -> str:
+    """A column name like `name` that is none of `taken`, in any case."""
+    lowered = {c.lower() for c in taken}
+    while name.lower() in lowered:
+        name += "_"
+    return name
+
+
 class Texts(NamedTuple):
     """Some consecutive rows: row r is `data[offsets[r]:offsets[r + 1]]`; nulls are empty."""
 

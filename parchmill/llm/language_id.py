@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parchmill.llm.arrays import Texts, text_slices
+from parchmill.llm.arrays import Texts, fresh, text_slices
 
 PIECE = 1024
 UNDETERMINED = "und"
@@ -111,6 +111,7 @@ class Automaton:
             for symbol, target in edges.items():
                 table[state, symbol] = target
         missing = table == 0  # no move leads back to the root
+        missing[0] = True  # whatever leaves the root begins a phrase
         table = np.where(missing, table[0], table) * (n * 2) + missing
         self.moves = table.astype(np.int32).ravel()
 
@@ -238,7 +239,8 @@ def identify(
     repeated rows, an empty table an empty one.
     """
     kept = dict.fromkeys((id_col, *keep))
-    taken = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").alias("__text"))
+    text = fresh(kept, "text")
+    taken = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").alias(text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from parchmill.llm.arrays import Texts, text_slices
+from parchmill.llm.arrays import Texts, fresh, text_slices
 
 MARKER = "▁"
 LANES = 1 << 15
@@ -289,7 +289,8 @@ def encode(
     every task.
     """
     kept = [c for c in docs.columns if c.lower() != ids_col.lower()]
-    taken = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").alias("__text"))
+    text = fresh(kept, "text")
+    taken = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").alias(text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -313,7 +314,8 @@ def decode(
     columns stay, but for one named like `text_col`, which is replaced.
     """
     kept = [c for c in rows.columns if c.lower() != text_col.lower()]
-    taken = rows.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{ids_col}`").alias("__ids"))
+    ids = fresh(kept, "ids")
+    taken = rows.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{ids_col}`").alias(ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
