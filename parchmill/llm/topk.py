@@ -153,7 +153,8 @@ def top_k(
     Rows take no part if their id or vector is null or a component is null or not
     finite; vectors of different lengths have no score. A repeated query row is a query
     of its own; repeated candidates are candidates each. Other columns are not read.
-    An empty table gives an empty result.
+    An empty table gives an empty result. Vectors so long that a score may not fit a
+    long raise ValueError.
 
     The queries' vectors travel once to each of `slices` (by default as many as shuffle
     partitions) and pass, the candidates' once a pass.
@@ -176,6 +177,8 @@ def top_k(
     bounds = longest.first()
     reach = math.ceil((bounds["all"] or 0.0) * (bounds["asked"] or 0.0) * (1 + 1e-9)) + 1
 
+    if reach >= 2**62:
+        raise ValueError("scores of these vectors do not fit a long")
     keyless = rows.withColumn("key", F.lit(0).cast("long"))
     blocks = stored(keyless.mapInArrow(_pack(BLOCK, slices), _BLOCKS), "candidates")
     blocks = blocks.select("slice", "length", F.col("ids").alias("c_ids"), F.col("values").alias("c_values"))
