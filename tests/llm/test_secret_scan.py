@@ -1,0 +1,142 @@
+"""Candidates against a plain search; the forest on held-out findings; redaction."""
+
+import random
+import re
+
+from pyspark.sql import functions as F
+
+from parchmill.llm import queries
+from parchmill.llm.secret_scan import (
+    FEATURES,
+    candidates,
+    classify,
+    label_by_rule,
+    redact,
+    scan,
+    train,
+    with_features,
+)
+
+RUN = re.compile(r"[A-Za-z0-9+/_=\-]{16,}")
+
+
+def plain(text):
+    found = [m for m in RUN.finditer(text or "") if re.search("[0-9]", m.group())]
+    return [(k, m.start(), m.group()) for k, m in enumerate(found)]
+
+
+def test_candidates_of_all_documents(spark, sf_dir, documents):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = candidates(docs).collect()
+    found = sorted((r["id"], r["nth"], r["start"], r["candidate"]) for r in rows)
+    assert found == sorted((d["doc_id"], *c) for d in documents for c in plain(d["text"]))
+    text = {d["doc_id"]: d["text"] for d in documents}
+    for r in rows:
+        before = text[r["id"]][: r["start"]]
+        assert before.endswith(r["before"]) and len(r["before"]) <= 48
+
+
+def test_candidates_of_edges(make):
+    run = "a1" * 10
+    texts = [None, "", run, f"\u0001{run}\u0001 \U0001f600 {run}", f"{run} " * 2500, "x" * 40, f"é{run}é", run, run]
+    df = make(list(enumerate(texts)), id="p", p="q", candidate="r", source="s")
+    found = sorted((r["id"], r["nth"], r["start"], r["candidate"]) for r in candidates(df).collect())
+    assert found == [(k, *c) for k, t in enumerate(texts) for c in plain(t)]
+    assert candidates(make([], source="s")).collect() == []
+    assert {r["path"] for r in candidates(df, path_col=None).collect()} == {None}
+
+
+def corpus(seed, n=400):
+    """(doc_id, text, is_secret): secrets, and things that look alike but are none."""
+    rng = random.Random(seed)
+
+    def some(letters, size):
+        return "".join(rng.choice(letters) for _ in range(size))
+
+    hexa, mixed = "0123456789abcdef", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    rows = []
+    for k in range(n):
+        kind = k % 6
+        if kind == 0:
+            text, label = f'my token = "{some(hexa, 40)}" for it', 1
+        elif kind == 1:
+            text, label = f"export API_KEY={some(mixed, 32)} and on", 1
+        elif kind == 2:
+            text, label = f"the commit {some(hexa, 40)} fixed the build", 0
+        elif kind == 3:
+            text, label = f"call the number {some('0123456789', 16)} today", 0
+        elif kind == 4:
+            text, label = f"class=\"user-data-config-page-list-{rng.randrange(99)}\" here", 0
+        else:
+            text, label = f"order id: {some('0123456789', 18)}, thanks", 0
+        rows.append((k, text, float(label)))
+    return rows
+
+
+def labelled(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string, truth double")
+    docs = docs.withColumn("source", F.lit("src/app.ini"))
+    truth = docs.select(F.col("doc_id").alias("id"), F.col("truth").alias("label"))
+    return docs, candidates(docs).join(truth, "id")
+
+
+def test_held_out_accuracy(spark):
+    _, learned = labelled(spark, corpus(1))
+    _, asked = labelled(spark, corpus(2))
+    model = train(learned)
+    made = classify(asked, model).collect()
+    right = sum(r["is_secret"] == bool(r["label"]) for r in made)
+    assert len(made) >= 400 and right >= 0.97 * len(made)
+    again = classify(asked.repartition(3), train(learned.repartition(5))).collect()
+    assert sorted(map(str, made)) == sorted(map(str, again))
+
+
+def test_features(spark):
+    rows = [("aB3" * 8, 'secret = "', '" x'), ("0" * 20, "phone number ", ""), ("the-version-for-2024", "", "")]
+    df = spark.createDataFrame([(c, b, a, None) for c, b, a in rows], "candidate string, before string, after string, path string")
+    found = {r["candidate"]: r for r in with_features(df).collect()}
+    first, number, words = (found[c] for c, _, _ in rows)
+    assert first["f_changes"] == 1.0 and first["f_assigned"] == first["f_quoted"] == first["f_secret_word"] == 1.0
+    assert number["f_hex"] == 1.0 and number["f_changes"] == 1 / 20 and number["f_harmless_word"] == 1.0
+    assert words["f_dictionary"] > 0.6 > first["f_dictionary"] and words["f_path_depth"] == 0.0
+    assert all(isinstance(first[c], float) for c in FEATURES)
+
+
+def test_nothing_to_learn_rules_nothing_out(spark, make):
+    docs = make([(1, "the commit " + "a1" * 20)], source="s")
+    assert [(r["probability"], r["is_secret"]) for r in scan(docs).collect()] == [(1.0, True)]
+    assert train(label_by_rule(candidates(make([], source="s")))) is None
+    assert scan(make([(1, None), (2, "")], source="s")).collect() == []
+
+
+def test_no_python_on_the_main_path(spark, sf_dir, capfd):
+    queries.QUERIES["op5_secret_scan"](spark, sf_dir).explain()
+    plan = capfd.readouterr().out
+    assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_redaction(spark, make):
+    key, other = "k3y+" + "aB1" * 8, "0f" * 20
+    rows = [(1, f'token = "{key}" and {key}x{other}'), (2, f"commit {other}"), (3, None), (None, key), (1, "no more")]
+    docs = make(rows, source="s", n="1")
+    findings = spark.createDataFrame(
+        [(1, key, True), (1, key, True), (2, other, False), (9, other, True)],
+        "doc_id long, candidate string, is_secret boolean",
+    )
+    clean = redact(docs, findings)
+    assert clean.schema == docs.schema
+    expected = [(1, f'token = "[SECRET]" and {key}x{other}'), *rows[1:]]
+    assert sorted(((r["doc_id"], r["text"]) for r in clean.collect()), key=str) == sorted(expected, key=str)
+
+
+def test_query_finds_the_assigned_values(spark, sf_dir, documents):
+    rows = queries.QUERIES["op5_secret_scan"](spark, sf_dir).collect()
+    text = {d["doc_id"]: d["text"] for d in documents}
+    assert len(rows) == sum(len(plain(t)) for t in text.values())
+    assigned = [bool(re.search(r'(?i)token = "$', text[r["doc_id"]][: r["start"]])) for r in rows]
+    assert all(r["is_secret"] for r, a in zip(rows, assigned, strict=True) if a)
+    if min(sum(assigned), len(rows) - sum(assigned)) < 5:
+        return  # hardly anything to learn from in the smallest tables
+    for r in rows:
+        if re.fullmatch("[0-9]+", text[r["doc_id"]][r["start"] : r["start"] + r["length"]]):
+            assert not r["is_secret"]

@@ -75,7 +75,7 @@ def test_repeated_and_missing_ids(make):
     found = compare_with_edits(make(rows)).collect()
     assert len(found) == 4
     last = next(r for r in found if r["doc_id"] is None)  # followed by the largest id
-    assert last["edited_sha256"] == hashlib.sha256(b"g h i jm n").hexdigest()
+    assert last["edited_sha256"] == hashlib.sha256(b"g h i j m n").hexdigest()
 
 
 def test_equal_texts_and_slices(spark, make):
