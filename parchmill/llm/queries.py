@@ -246,3 +246,21 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str, path: str = PIECE_MODEL)
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document, of its edited text, and how alike they are."""
     return simhash.compare_with_edits(table(spark, sf_dir, "documents"))
+
+
+@query
+def simhash_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For the fingerprint of every fiftieth id all other fingerprints within three bits:
+    the smallest id that has each, and how many documents have the one found."""
+    marks = simhash.fingerprint(table(spark, sf_dir, "documents"))
+    path = scratch_path(spark, "fingerprints")
+    marks.write.parquet(path)
+    marks = spark.read.parquet(path)
+    near = simhash.near_fingerprints(marks, radius=3, queries=F.col("doc_id") % 50 == 0)
+    held = marks.groupBy("fingerprint").agg(F.min("doc_id").alias("id"), F.count("*").alias("n"))
+    query_of = held.select(F.col("fingerprint").alias("x"), F.col("id").alias("query_id"))
+    found_of = held.select(
+        F.col("fingerprint").alias("y"), F.col("id").alias("doc_id"), F.col("n").alias("n_documents")
+    )
+    named = near.join(query_of, "x").join(found_of, "y")
+    return named.select("query_id", "doc_id", "n_documents", "distance")

@@ -114,3 +114,21 @@ def test_search_equals_all_pairs(spark, radius):
     pairs = {(a, b) for a in asked for b in distinct if a != b and near(a, b)}
     found = near_fingerprints(df, radius, queries=F.col("asked")).collect()
     assert {(bits(r["x"]), bits(r["y"])) for r in found} == pairs and len(found) == len(pairs)
+
+
+def test_search_query(spark, sf_dir, documents):
+    marks = {d["doc_id"]: int(fingerprints(pa.array([d["text"]], pa.large_string()))[0]) for d in documents}
+    least, many = {}, {}
+    for i, m in sorted(marks.items()):
+        least.setdefault(m, i)
+        many[m] = many.get(m, 0) + 1
+    asked = {m for i, m in marks.items() if i % 50 == 0}
+    expected = [
+        (least[a], least[b], many[b], (a ^ b).bit_count())
+        for a in asked
+        for b in many
+        if a != b and (a ^ b).bit_count() <= 3
+    ]
+    rows = queries.QUERIES["simhash_search"](spark, sf_dir).collect()
+    found = [(r["query_id"], r["doc_id"], r["n_documents"], r["distance"]) for r in rows]
+    assert sorted(found) == sorted(expected)
