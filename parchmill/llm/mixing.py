@@ -93,6 +93,14 @@ def mix(
     arguments are read. An empty table gives an empty result.
     """
     spark = docs.sparkSession
+
+    def stored(df: DataFrame, label: str) -> DataFrame:
+        """A table of sources with a known size: Spark sends a small one to the rows, so
+        that the rows are not shuffled by a source that most of them may have."""
+        path = scratch_path(spark, f"mix-{label}")
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
     liking = F.lit(1.0) if propensity is None else propensity.cast("double")
     path = scratch_path(spark, "mix")
     docs.select(
@@ -111,7 +119,7 @@ def mix(
     targets = targets.alias("t").join(
         sizes.select("source", "liked").alias("s"), F.col("t.source").eqNullSafe(F.col("s.source"))
     )
-    targets = targets.select("t.*", "s.liked")
+    targets = stored(targets.select("t.*", "s.liked"), "targets")
 
     def with_source(df: DataFrame, per_source: DataFrame) -> DataFrame:
         """Joined on the source; columns of `per_source` are new ones."""
@@ -128,7 +136,7 @@ def mix(
     rest = targets.join(
         sure.withColumnRenamed("source", "s2"), F.col("source").eqNullSafe(F.col("s2")), "left"
     ).select("source", (F.col("target") - F.col("sure")).alias("rest"))
-    rows = with_source(rows, rest)
+    rows = with_source(rows, stored(rest, "rest"))
 
     chance = F.col("expected") - F.col("certain")
     usual = F.col("rest") / F.col("source_size")  # the mean chance, by words
@@ -154,7 +162,7 @@ def mix(
     border = sums.where("upto > rest").groupBy("source").agg(
         F.min("interval").alias("border"), F.min_by(F.col("upto") - F.col("words"), "interval").alias("before")
     )
-    rows = with_source(rows, border)
+    rows = with_source(rows, stored(border, "border"))
     kept = ["id", "source", "size", "source_size", "target", "certain"]
     at_border = rows.where("interval = border")
     inside = Window.partitionBy("source", "interval").orderBy("rank", "id", "size")
