@@ -19,6 +19,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parchmill.session import scratch_path
+
 MIN_LENGTH = 16
 BESIDE = 48  # characters before and after a candidate that count as beside it
 MAX_TRAINING = 20_000  # labelled findings that the forest learns from, at most
@@ -218,7 +220,9 @@ def scan(
     labelled by rule. Columns: the id, nth, start, candidate, before, after, path,
     probability, is_secret. See candidates() for nulls, empty and repeated rows.
     """
-    found = candidates(docs, id_col, text_col, path_col)
+    path = scratch_path(docs.sparkSession, "candidates")
+    candidates(docs, id_col, text_col, path_col).write.parquet(path)  # texts are read once
+    found = docs.sparkSession.read.parquet(path)
     model = train(labelled if labelled is not None else label_by_rule(found))
     return classify(found, model).withColumnRenamed("id", id_col)
 
