@@ -22,7 +22,7 @@ tells which documents may be candidates, so the texts are not shuffled for that.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -168,7 +168,9 @@ def _close_sizes(percent: int, a: str, b: str):
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def _across_components(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _across_components(
+    members: DataFrame, sets: DataFrame, percent: int, stored: Callable[[DataFrame, str], DataFrame]
+) -> DataFrame:
     """Pairs x, y of `members` (id, n, component) of different components that may be
     similar enough: none that is similar enough is left out.
 
@@ -190,6 +192,7 @@ def _across_components(members: DataFrame, sets: DataFrame, percent: int) -> Dat
     first = first.select(
         "id", "n", "component", F.col("col.s").alias("s"), (F.col("alone") + F.col("pos")).alias("at")
     )
+    first = stored(first, "prefixes")
     counts = first.groupBy("s", "component").agg(F.count(F.lit(1)).alias("k"))
     most = counts.groupBy("s").agg(F.max_by("component", "k").alias("most"), F.count(F.lit(1)).alias("several"))
     first = first.join(most.where("several > 1").select("s", "most"), "s")
@@ -264,7 +267,7 @@ def near_duplicates(
     ends = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"))
     divided = placed.join(ends.where("a != b").select("key"), "key")
     divided = divided.select("id", "n", "component").distinct()
-    rest = stored(_across_components(divided, sets, percent), "rest")
+    rest = stored(_across_components(divided, sets, percent, stored), "rest")
     rest = rest.join(pairs, ["x", "y"], "left_anti")
     more = _links(rest, sets, percent)
     stars = reached.select(F.col("vertex").alias("x"), F.col("component").alias("y"))
