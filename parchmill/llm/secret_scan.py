@@ -3,7 +3,7 @@
 Everything is SQL functions and Spark's own forest; no row passes through Python.
 
 A candidate is a run of letters, digits and + / _ = - of MIN_LENGTH or more that holds a
-digit. What is known of it: its length, the changes between its kinds of characters,
+digit. A run NAME=value is cut after its '=': the name stands beside the value. What is known of it: its length, the changes between its kinds of characters,
 the share of it that dictionary words cover, the words beside it, and the path its
 document came from. The forest learns from labelled findings.
 """
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from parchmill.session import scratch_path
 
 MIN_LENGTH = 16
+MIN_VALUE = 6  # characters of a value that is cut off its name
 BESIDE = 48  # characters before and after a candidate that count as beside it
 MAX_TRAINING = 20_000  # labelled findings that the forest learns from, at most
 _MARK = "\u0001"
@@ -55,20 +56,44 @@ FEATURES = (
 )
 
 
+_SECRET_NAME = rf"(?<![a-z0-9])(?:{'|'.join(SECRET_WORDS)})[a-z0-9_\-]*"
+_ASSIGNED = rf"{_SECRET_NAME}[\"'`]?\s*[=:]\s*[\"'`]?(?:(?:bearer|basic)\s+)?"
+_SENT = r"(?<![a-z0-9])(?:bearer|authorization)\s+[\"'`]?"
+# A value follows, whatever it holds. Of several names one that means a secret counts,
+# the first of them, as its value may hold '='; otherwise the last.
+_VALUE_AHEAD = rf"(?=[^=].{{{MIN_VALUE - 1}}})"
+_SECRET_HEAD = rf"(?i)^(.*?{_SECRET_NAME}=){_VALUE_AHEAD}"
+_LAST_HEAD = rf"^((?:.*[^A-Za-z0-9_\-])?[A-Za-z_][A-Za-z0-9_\-]*=){_VALUE_AHEAD}"
+
+
+def _head(run: Column) -> Column:
+    """What of a run stands before its value, up to the '='; empty if it has no name."""
+    secret, last = (F.regexp_extract(run, pattern, 1) for pattern in (_SECRET_HEAD, _LAST_HEAD))
+    return F.when(~run.contains("="), "").when(secret != "", secret).otherwise(last)
+
+
+def _is_run(part: Column) -> Column:
+    return (F.length(part) >= MIN_LENGTH) & part.rlike("[0-9]")
+
+
+def _marked(text: Column) -> Column:
+    """The text, which holds no _MARK, with one on both sides of each run."""
+    return F.regexp_replace(text, rf"([A-Za-z0-9+/_=\-]{{{MIN_LENGTH},}})", f"{_MARK}$1{_MARK}")
+
+
 def candidates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source"
 ) -> DataFrame:
     """Every candidate of every whole text, one row each: id, nth (from 0), start (in
-    code points), candidate, before, after, path.
+    code points), candidate, before, after, path. Of a run NAME=value the value is a
+    candidate, and what is before the '=' another if it would be one alone.
 
     A text without candidates gives no row, and so do null and empty ones. A text is
     cut at its candidates once, so its length and their number cost in proportion.
     Repeated rows give repeated rows. Columns other than those named are not read.
     """
-    run = rf"[A-Za-z0-9+/_=\-]{{{MIN_LENGTH},}}"
-    # A sign that no text holds after this stands on both sides of each candidate.
-    marked = F.translate(F.col(f"`{text_col}`"), _MARK, " ")
-    marked = F.regexp_replace(marked, f"({run})", f"{_MARK}$1{_MARK}")
+    # A sign that no text holds after this stands on both sides of each run.
+    marked = _marked(F.translate(F.col(f"`{text_col}`"), _MARK, " "))
     path = F.col(f"`{path_col}`").cast("string") if path_col else F.lit(None).cast("string")
     parts = docs.select(F.col(f"`{id_col}`").alias("id"), path.alias("path"), marked.alias("marked"))
     parts = parts.where(F.instr("marked", _MARK) > 0)
@@ -77,19 +102,35 @@ def candidates(
     totals = F.transform("runs", lambda r: F.element_at(r, -1))
     parts = parts.withColumn("starts", _running_sums(totals))
 
-    def one(part: Column, k: Column) -> Column:
+    def cut(part: Column, k: Column) -> Column:
         block, place = F.floor(k / _BLOCK).cast("int"), k % _BLOCK
         return F.struct(
-            k.alias("k"),
             (F.get(F.col("starts"), block) + F.get(F.get(F.col("runs"), block), place)).alias("start"),
-            part.alias("candidate"),
-            F.right(F.get(F.col("p"), k - 1), F.lit(BESIDE)).alias("before"),
-            F.left(F.get(F.col("p"), k + 1), F.lit(BESIDE)).alias("after"),
+            part.alias("run"),
+            F.when(k % 2 == 1, _head(part)).alias("head"),  # every second part is a run
+            F.get(F.col("p"), k - 1).alias("before"),
+            F.get(F.col("p"), k + 1).alias("after"),
         )
 
-    # Every second part is a candidate.
-    digits = F.filter(F.transform("p", one), lambda c: (c["k"] % 2 == 1) & c["candidate"].rlike("[0-9]"))
-    found = parts.select("id", "path", F.posexplode(digits).alias("nth", "c"))
+    def found_in(c: Column) -> Column:
+        size = F.length(c["head"])
+        name, value = F.left(c["head"], size - 1), F.right(c["run"], F.length(c["run"]) - size)
+
+        def one(start: Column, candidate: Column, before: Column, after: Column) -> Column:
+            return F.struct(
+                start.alias("start"),
+                candidate.alias("candidate"),
+                F.right(before, F.lit(BESIDE)).alias("before"),
+                F.left(after, F.lit(BESIDE)).alias("after"),
+            )
+
+        as_name = one(c["start"], name, c["before"], F.concat(F.lit("="), value, c["after"]))
+        as_value = one(c["start"] + size, value, F.concat(c["before"], c["head"]), c["after"])
+        return F.when(_is_run(name), F.array(as_name, as_value)).otherwise(F.array(as_value))
+
+    cuts = F.filter(F.transform("p", cut), lambda c: c["head"].isNotNull() & _is_run(c["run"]))
+    found = F.flatten(F.transform(cuts, found_in))
+    found = parts.select("id", "path", F.posexplode(found).alias("nth", "c"))
     return found.select("id", "nth", "c.start", "c.candidate", "c.before", "c.after", "path")
 
 
@@ -158,9 +199,8 @@ def with_features(found: DataFrame, dictionary: Sequence[str] = DICTIONARY) -> D
 
 def label_by_rule(found: DataFrame) -> DataFrame:
     """Findings labelled without a person: a value assigned to a name that means a
-    secret is one (label 1.0), anything else is not (0.0)."""
-    named = rf"(?i)(?<![a-z0-9])({'|'.join(SECRET_WORDS)})[a-z0-9_\-]*[\"'`]?\s*[=:]\s*[\"'`]?$"
-    return found.withColumn("label", F.col("before").rlike(named).cast("double"))
+    secret, or sent as one (Bearer ...), is one (label 1.0), anything else is not (0.0)."""
+    return found.withColumn("label", F.col("before").rlike(rf"(?i)(?:{_ASSIGNED}|{_SENT})$").cast("double"))
 
 
 def train(
@@ -244,15 +284,22 @@ def redact(
     secrets = secrets.groupBy(F.col(id_col).alias("__id")).agg(F.collect_set("candidate").alias("__secrets"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
     both = rows.join(secrets, F.col("__row")[id_col] == F.col("__id"), "left")
-    # Longest first, so that a secret that begins another doesn't cut it.
-    ordered = F.array_sort("__secrets", lambda a, b: F.length(b) - F.length(a))
-    edges = r"(?<![A-Za-z0-9+/_=\-])", r"(?![A-Za-z0-9+/_=\-])"
-    any_of = F.array_join(F.transform(ordered, lambda s: F.regexp_replace(s, r"([+\-])", r"\\$1")), "|")
-    pattern = F.concat(F.lit(f"{edges[0]}("), any_of, F.lit(f"){edges[1]}"))
     text = F.col("__row")[text_col]
-    clean = F.when(F.col("__secrets").isNull(), text).otherwise(
-        F.regexp_replace(text, pattern, F.lit(stand_in))
-    )
+    # The text is cut as for candidates(), with signs like _MARK spelled in others.
+    spelled = F.replace(F.replace(text, F.lit("\u0002"), F.lit("\u0002\u0004")), F.lit(_MARK), F.lit("\u0002\u0003"))
+
+    def cleaned(part: Column, k: Column) -> Column:
+        def stood_in(c: Column) -> Column:
+            return F.when(F.array_contains("__secrets", c), F.lit(stand_in)).otherwise(c)
+
+        head = _head(part)
+        name, value = F.left(head, F.length(head) - 1), F.right(part, F.length(part) - F.length(head))
+        head = F.when(_is_run(name), F.concat(stood_in(name), F.lit("="))).otherwise(head)
+        return F.when((k % 2 == 0) | ~_is_run(part), part).otherwise(F.concat(head, stood_in(value)))
+
+    clean = F.array_join(F.transform(F.split(_marked(spelled), _MARK), cleaned), "")
+    clean = F.replace(F.replace(clean, F.lit("\u0002\u0003"), F.lit(_MARK)), F.lit("\u0002\u0004"), F.lit("\u0002"))
+    clean = F.when(F.col("__secrets").isNull(), text).otherwise(clean)
     return both.select(
         *[clean.alias(c) if c == text_col else F.col("__row")[c].alias(c) for c in docs.columns]
     )

@@ -140,3 +140,54 @@ def test_query_finds_the_assigned_values(spark, sf_dir, documents):
     for r in rows:
         if re.fullmatch("[0-9]+", text[r["doc_id"]][r["start"] : r["start"] + r["length"]]):
             assert not r["is_secret"]
+
+
+FORMS = [
+    ("API_KEY={}", "API_KEY="),
+    ("password={}", "password="),
+    ("see https://host/x?access_token={}&page=2", "access_token="),
+    ("Authorization: Bearer {}", "Bearer "),
+    ("x/y+MODE=API_KEY={}", "API_KEY="),
+]
+
+
+def test_unquoted_values_are_labelled_and_redacted(spark, make):
+    rng = random.Random(3)
+
+    def value():
+        return "".join(rng.choice("0123456789abcdef") for _ in range(20))
+
+    rows, secret, other = [], {}, {}
+    for k in range(60):
+        for form, _ in FORMS:
+            secret[len(rows)] = value()
+            rows.append((len(rows), form.format(secret[len(rows)])))
+        other[len(rows)] = value()
+        rows.append((len(rows), f"the commit={other[len(rows)]} fixed it"))
+    docs = make(rows, source="s")
+    found = {r["id"]: r for r in label_by_rule(candidates(docs)).collect()}
+    assert len(found) == len(rows) and {i: found[i]["candidate"] for i in secret} == secret
+    assert {i: r["label"] for i, r in found.items()} == dict.fromkeys(secret, 1.0) | dict.fromkeys(other, 0.0)
+    for i, text in rows:
+        at = text.index(found[i]["candidate"])
+        assert found[i]["start"] == at and found[i]["before"] == text[:at]
+    made = scan(docs)
+    assert {r["doc_id"] for r in made.collect() if r["is_secret"]} == set(secret)
+    clean = {r["doc_id"]: r["text"] for r in redact(docs, made).collect()}
+    assert clean == {i: t.replace(secret.get(i, "-"), "[SECRET]") for i, t in rows}
+
+
+def test_cut_values(make):
+    v = "abcD1234efgh5678ijkl"
+    texts = [f"password={v}=x{v}", f"A={v}==", f"A=B={v}", f"{v}==", f"{v}=abcdefg", f"n\u0001A={v}\u0002"]
+    docs = make(list(enumerate(texts)), source="s")
+    found = sorted((r["id"], r["nth"], r["start"], r["candidate"]) for r in candidates(docs).collect())
+    assert found == [
+        (0, 0, 9, f"{v}=x{v}"), (1, 0, 2, f"{v}=="), (2, 0, 4, v), (3, 0, 0, f"{v}=="),
+        (4, 0, 0, v), (4, 1, 21, "abcdefg"), (5, 0, 4, v),
+    ]
+    clean = redact(docs, scan(docs, labelled=None).withColumn("is_secret", F.lit(True))).collect()
+    assert {r["doc_id"]: r["text"] for r in clean} == {
+        0: "password=[SECRET]", 1: "A=[SECRET]", 2: "A=B=[SECRET]", 3: "[SECRET]",
+        4: "[SECRET]=[SECRET]", 5: "n\u0001A=[SECRET]\u0002",
+    }
