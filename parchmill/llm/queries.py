@@ -248,19 +248,46 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.compare_with_edits(table(spark, sf_dir, "documents"))
 
 
-@query
-def simhash_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For the fingerprint of every fiftieth id all other fingerprints within three bits:
-    the smallest id that has each, and how many documents have the one found."""
+def _fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     marks = simhash.fingerprint(table(spark, sf_dir, "documents"))
     path = scratch_path(spark, "fingerprints")
     marks.write.parquet(path)
-    marks = spark.read.parquet(path)
-    near = simhash.near_fingerprints(marks, radius=3, queries=F.col("doc_id") % 50 == 0)
+    return spark.read.parquet(path)
+
+
+@query
+def simhash_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprint of every document: who is meant by one that simhash_search found."""
+    return simhash.fingerprint(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint")
+
+
+@query
+def simhash_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every fiftieth id all fingerprints within three bits that other documents have,
+    its own among them (distance 0): the smallest of their ids and how many they are.
+    simhash_members has all of them by fingerprint. Documents that share an id are
+    searched each."""
+    marks = _fingerprints(spark, sf_dir)
+    asked = F.col("doc_id") % 50 == 0
+    near = simhash.near_fingerprints(marks, radius=3, queries=asked)
     held = marks.groupBy("fingerprint").agg(F.min("doc_id").alias("id"), F.count("*").alias("n"))
-    query_of = held.select(F.col("fingerprint").alias("x"), F.col("id").alias("query_id"))
-    found_of = held.select(
-        F.col("fingerprint").alias("y"), F.col("id").alias("doc_id"), F.col("n").alias("n_documents")
+    # What is left of a fingerprint's documents without the one that asks.
+    ids = marks.groupBy("fingerprint", "doc_id").agg(F.count("*").alias("k"))
+    ids = ids.join(held.where("n > 1"), "fingerprint")
+    left = ids.groupBy("fingerprint", "id", "n").agg(
+        F.min(F.when((F.col("doc_id") > F.col("id")) | (F.col("k") > 1), F.col("doc_id"))).alias("second")
+    )
+    queries = marks.where(asked).select(F.col("doc_id").alias("query_id"), F.col("fingerprint").alias("x"))
+    copies = queries.join(left, F.col("x") == F.col("fingerprint")).select(
+        "query_id",
+        F.when(F.col("query_id") == F.col("id"), F.col("second")).otherwise(F.col("id")).alias("doc_id"),
+        "fingerprint",
+        (F.col("n") - 1).alias("n_documents"),
+        F.lit(0).alias("distance"),
+    )
+    found = held.select(
+        F.col("id").alias("doc_id"), F.col("fingerprint").alias("y"), F.col("n").alias("n_documents")
     )
-    named = near.join(query_of, "x").join(found_of, "y")
-    return named.select("query_id", "doc_id", "n_documents", "distance")
+    others = queries.join(near.join(found, "y"), "x")
+    others = others.select("query_id", "doc_id", F.col("y").alias("fingerprint"), "n_documents", "distance")
+    return copies.unionByName(others)

@@ -132,3 +132,31 @@ def test_search_query(spark, sf_dir, documents):
     rows = queries.QUERIES["simhash_search"](spark, sf_dir).collect()
     found = [(r["query_id"], r["doc_id"], r["n_documents"], r["distance"]) for r in rows]
     assert sorted(found) == sorted(expected)
+
+
+def test_search_finds_copies_for_every_query_id(spark, tmp_path):
+    texts = {0: "one two three four", 1: "other words are here", 2: "alone in this table", 3: None}
+    rows = [(k, texts[k % 2]) for k in range(40, 170, 3)] + [(50, texts[0]), (100, texts[1]), (100, texts[1])]
+    rows += [(200, texts[2]), (None, texts[0]), (250, None), (None, ""), (300, texts[0] + " five")]
+    rows += [(k, f"{'many words in a long text ' * 40} and {k}") for k in range(400, 420)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    marks = [int(fingerprints(pa.array([t], pa.large_string()))[0]) for _, t in rows]
+    expected = []
+    for q, (i, _) in enumerate(rows):
+        if i is None or i % 50:
+            continue
+        near = {}
+        for k, (j, _) in enumerate(rows):
+            if k != q and (marks[q] ^ marks[k]).bit_count() <= 3:
+                near.setdefault(marks[k], []).append(j)
+        for m, js in near.items():
+            least = min((j for j in js if j is not None), default=None)
+            expected.append((i, least, f"{m:016x}", len(js), (m ^ marks[q]).bit_count()))
+    found = queries.QUERIES["simhash_search"](spark, str(tmp_path)).collect()
+    assert sorted(map(str, map(tuple, found))) == sorted(map(str, expected))
+    assert {r["distance"] for r in found} > {0} and {r["query_id"] for r in found} >= {50, 100, 250, 400}
+    members = queries.QUERIES["simhash_members"](spark, str(tmp_path)).collect()
+    assert sorted(map(str, map(tuple, members))) == sorted(
+        str((i, f"{m:016x}")) for (i, _), m in zip(rows, marks, strict=True)
+    )
