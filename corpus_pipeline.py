@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parchmill.llm import language_id, minhash, mixing, pieces, secret_scan
@@ -14,6 +14,18 @@ from parchmill.session import scratch_path
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+ROW = "__row_number"
+
+
+def numbered(spark: SparkSession, docs: DataFrame, *more: Column) -> DataFrame:
+    """The rows (and further columns) written down with a number of their own in ROW:
+    ids may be missing or repeated."""
+    path = scratch_path(spark, "pipeline-rows")
+    rows = docs.select("*", *more, F.monotonically_increasing_id().alias(ROW))
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of no determined language go; a missing label is filled in."""
     prepare(spark)
@@ -35,9 +47,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced in the text; every document stays."""
+    """Secrets are replaced in the text; every document stays. Findings are those of a
+    row, whatever its id."""
     prepare(spark)
-    made = secret_scan.redact(docs, secret_scan.scan(docs))
+    rows = numbered(spark, docs)
+    made = secret_scan.redact(rows, secret_scan.scan(rows, id_col=ROW), id_col=ROW)
     return made.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

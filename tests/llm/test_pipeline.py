@@ -99,3 +99,17 @@ def test_stages_stand_rows_of_nulls(spark, sf_dir):
             assert [f.name for f in docs.schema] == ["doc_id", "text", "lang", "source", "n_chars"]
             docs = spark.createDataFrame(docs.collect(), kinds)
         corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).collect()
+
+
+KINDS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_secrets_of_rows_without_an_id_are_redacted(spark, sf_dir):
+    rows, clean = [], []
+    for k in range(60):
+        i, key = (None, None, 7)[k % 3], f"{k * 7919 + 10**19:x}"
+        for before, after in ((f'my token = "{key}" here', 'my token = "[SECRET]" here'), (f"the commit {key}1 is it",) * 2):
+            rows.append((i, before, "en", "s", len(before)))
+            clean.append((i, after, "en", "s", len(after)))
+    made = corpus_pipeline.redact_secrets(spark, spark.createDataFrame(rows, KINDS), sf_dir).collect()
+    assert sorted(map(str, map(tuple, made))) == sorted(map(str, clean))
