@@ -58,11 +58,9 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     prepare(spark)
-    mixed = mixing.mix(docs, mixing.word_count(F.col("text")))
-    taken = mixed.where("copies > 0").select(F.col("doc_id").alias("id"), "copies")
-    both = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("id")))
+    mixed = mixing.mix(docs, mixing.word_count(F.col("text")), row_col="row")
     copies = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
-    return both.withColumn("copy", copies).select(*docs.columns)
+    return mixed.where("copies > 0").select("row", copies.alias("copy")).select("row.*")
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

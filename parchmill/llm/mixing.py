@@ -77,9 +77,11 @@ def mix(
     cap: int = 3,
     seed: int = 7,
     propensity: Column | None = None,
+    row_col: str | None = None,
 ) -> DataFrame:
     """For each row its id, source, size, source_size, target (its source's) and
-    copies, how often the mix takes it: 0 to `cap`.
+    copies, how often the mix takes it: 0 to `cap`. `row_col` names a further column
+    that holds the row itself, as a struct.
 
     `size` and `propensity` are expressions over `docs`; sizes are whole and 0 or more
     (null: 0). A document's expected copies are in proportion to its propensity (1 if
@@ -90,7 +92,7 @@ def mix(
 
     Sources are compared by code points; null is a source of its own, the last. Rows
     without words get their whole copies like others. Only columns named in the
-    arguments are read. An empty table gives an empty result.
+    arguments are read, and all with `row_col`. An empty table gives an empty result.
     """
     spark = docs.sparkSession
 
@@ -102,6 +104,7 @@ def mix(
         return spark.read.schema(df.schema).parquet(path)
 
     liking = F.lit(1.0) if propensity is None else propensity.cast("double")
+    whole = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if row_col else []
     path = scratch_path(spark, "mix")
     docs.select(
         F.col(f"`{id_col}`").alias("id"),
@@ -109,6 +112,7 @@ def mix(
         F.coalesce(size.cast("long"), F.lit(0)).alias("size"),
         F.when(liking > 0, liking).otherwise(1.0).alias("liking"),
         uniform(seed, F.col(f"`{id_col}`")).alias("u"),
+        *whole,
     ).write.parquet(path)  # the texts are read once
     rows = spark.read.parquet(path)
 
@@ -163,7 +167,7 @@ def mix(
         F.min("interval").alias("border"), F.min_by(F.col("upto") - F.col("words"), "interval").alias("before")
     )
     rows = with_source(rows, stored(border, "border"))
-    kept = ["id", "source", "size", "source_size", "target", "certain"]
+    kept = ["id", "source", "size", "source_size", "target", "certain", *(["row"] if row_col else [])]
     at_border = rows.where("interval = border")
     inside = Window.partitionBy("source", "interval").orderBy("rank", "id", "size")
     upto = F.col("before") + F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0))
@@ -181,4 +185,5 @@ def mix(
         "source_size",
         "target",
         (F.col("certain") + F.col("more")).cast("long").alias("copies"),
+        *([F.col("row").alias(row_col)] if row_col else []),
     )

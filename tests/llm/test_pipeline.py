@@ -113,3 +113,14 @@ def test_secrets_of_rows_without_an_id_are_redacted(spark, sf_dir):
             clean.append((i, after, "en", "s", len(after)))
     made = corpus_pipeline.redact_secrets(spark, spark.createDataFrame(rows, KINDS), sf_dir).collect()
     assert sorted(map(str, map(tuple, made))) == sorted(map(str, clean))
+
+
+def test_mix_of_repeated_and_missing_ids(spark, sf_dir):
+    rows = [(None, f"some words {k % 9}" + " more" * (k % 5), "en", "s", k) for k in range(120)]
+    rows += [(7, f"other text {k}", "en", "t", k) for k in range(80)]
+    rows += [(8, "the same row", "en", None, 0)] * 40 + [(k, "a b c", "en", "u", k) for k in range(100, 200)]
+    made = corpus_pipeline.mix_sources(spark, spark.createDataFrame(rows, KINDS), sf_dir).collect()
+    given, taken = Counter(rows), Counter(map(tuple, made))
+    assert set(taken) <= set(given) and all(n <= 3 * given[r] for r, n in taken.items())
+    words = sum(len(r[1].split()) for r in rows)
+    assert abs(sum(len(r["text"].split()) for r in made) - words) <= 4 * 7 / 2
