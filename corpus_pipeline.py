@@ -36,14 +36,25 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays, once.
-
-    Rows without an id cannot be named as copies of others; of equal ones one stays."""
+    """Of each group of near-duplicates one row stays, that of the smallest id; rows
+    without an id come last. Of texts without words only equal ones of one id, or of
+    none, are duplicates."""
     prepare(spark)
-    found = minhash.near_duplicates(docs)
-    gone = found.where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").withColumn("__hash", F.xxhash64("text"))
-    return kept.dropDuplicates(["doc_id", "__hash"]).select(*docs.columns)
+    rows = numbered(spark, docs, F.xxhash64("text").alias("__hash"))
+    found = minhash.near_duplicates(rows, id_col=ROW).drop("kept")
+    found = found.join(rows.select(ROW, F.col("doc_id").alias("id"), F.col("__hash").alias("hash")), ROW)
+    wordless = F.when(F.col("n_shingles") == 0, F.struct("id", "hash"))
+    group = F.when(wordless.isNull(), F.col("component_id"))
+    order = F.struct(F.col("id").isNull().alias("last"), "id", F.col(ROW).alias("row"))
+    found = found.select(ROW, group.alias("group"), wordless.alias("wordless"), order.alias("order"))
+    path = scratch_path(spark, "pipeline-groups")
+    found.write.parquet(path)
+    found = spark.read.schema(found.schema).parquet(path)
+    first = found.groupBy("group", "wordless").agg(F.min("order").alias("first"), F.count("*").alias("n"))
+    first = first.where("n > 1").select(F.col("group").alias("g"), F.col("wordless").alias("w"), "first")
+    same = F.col("group").eqNullSafe(F.col("g")) & F.col("wordless").eqNullSafe(F.col("w"))
+    gone = found.join(first, same).where(F.col(ROW) != F.col("first.row")).select(ROW)
+    return rows.join(gone, ROW, "left_anti").select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -124,3 +124,23 @@ def test_mix_of_repeated_and_missing_ids(spark, sf_dir):
     assert set(taken) <= set(given) and all(n <= 3 * given[r] for r, n in taken.items())
     words = sum(len(r[1].split()) for r in rows)
     assert abs(sum(len(r["text"].split()) for r in made) - words) <= 4 * 7 / 2
+
+
+def test_near_duplicates_of_repeated_and_missing_ids(spark, sf_dir):
+    def text(name, n=40):
+        return " ".join(f"{name}{k}" for k in range(n))
+
+    texts = [
+        (None, text("a")), (None, text("a", 41)), (None, text("b")), (5, text("b")),  # copies without an id
+        (1, text("c")), (9, text("c")), (9, text("d")),  # two texts under one id
+        (7, text("e")), (7, text("e")), (None, text("f")), (None, None), (None, None), (3, ""), (3, ""), (4, ""),
+    ]
+    rows = [(i, t, "en", "s", k) for k, (i, t) in enumerate(texts)]
+    docs = spark.createDataFrame(rows, KINDS)
+    made = corpus_pipeline.drop_near_duplicates(spark, docs, sf_dir)
+    assert made.columns == docs.columns
+    found = Counter((r["doc_id"], r["text"]) for r in made.collect())
+    one_of_a = [t for i, t in found if t in (text("a"), text("a", 41))]
+    assert len(one_of_a) == 1
+    expected = [(5, text("b")), (1, text("c")), (9, text("d")), (7, text("e")), (None, text("f")), (None, None)]
+    assert found == Counter([(None, one_of_a[0]), *expected, (3, ""), (4, "")])
