@@ -3,7 +3,8 @@
 Everything is SQL functions and Spark's own forest; no row passes through Python.
 
 A candidate is a run of letters, digits and + / _ = - of MIN_LENGTH or more that holds a
-digit. A run NAME=value is cut after its '=': the name stands beside the value. What is known of it: its length, the changes between its kinds of characters,
+digit, or any value without blanks of MIN_VALUE or more that is assigned to a name that
+means a secret. A run NAME=value is cut after its '=': the name stands beside the value. What is known of it: its length, the changes between its kinds of characters,
 the share of it that dictionary words cover, the words beside it, and the path its
 document came from. The forest learns from labelled findings.
 """
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from parchmill.session import scratch_path
 
 MIN_LENGTH = 16
-MIN_VALUE = 6  # characters of a value that is cut off its name
+MIN_VALUE = 6  # characters of a value assigned to a name
 BESIDE = 48  # characters before and after a candidate that count as beside it
 MAX_TRAINING = 20_000  # labelled findings that the forest learns from, at most
 _MARK = "\u0001"
@@ -57,10 +58,21 @@ FEATURES = (
 
 
 _SECRET_NAME = rf"(?<![a-z0-9])(?:{'|'.join(SECRET_WORDS)})[a-z0-9_\-]*"
-_ASSIGNED = rf"{_SECRET_NAME}[\"'`]?\s*[=:]\s*[\"'`]?(?:(?:bearer|basic)\s+)?"
+# Blanks are all signs up to the space, _MARK among them.
+_ASSIGNED = (
+    rf"{_SECRET_NAME}+[\"'`]?[\x00-\x20]*+(?::=|=>|[=:])[\x00-\x20]*+[\"'`]?(?:(?:bearer|basic)[\x00-\x20]++)?"
+)
+# A quote ends a quoted value; another one ends before the next NAME= of a list and
+# before closing punctuation.
+_VALUE = (
+    rf"(?=[^\x00-\x20\"'`]{{{MIN_VALUE}}})(?:(?<=[\"'`])[^\x00-\x20\"'`]++"
+    r"|[^\x00-\x20\"'`=:&;,][^\x00-\x20\"'`&;,]*(?:[&;,](?![A-Za-z0-9_.\-]+[=:])[^\x00-\x20\"'`&;,]*){0,20}"
+    r"(?<![&;,.)\]}>]))"
+)
 _SENT = r"(?<![a-z0-9])(?:bearer|authorization)\s+[\"'`]?"
 # A value follows, whatever it holds. Of several names one that means a secret counts,
 # the first of them, as its value may hold '='; otherwise the last.
+_NEAR = 1024  # characters before a value that are searched for its name
 _VALUE_AHEAD = rf"(?=[^=].{{{MIN_VALUE - 1}}})"
 _SECRET_HEAD = rf"(?i)^(.*?{_SECRET_NAME}=){_VALUE_AHEAD}"
 _LAST_HEAD = rf"^((?:.*[^A-Za-z0-9_\-])?[A-Za-z_][A-Za-z0-9_\-]*=){_VALUE_AHEAD}"
@@ -77,8 +89,26 @@ def _is_run(part: Column) -> Column:
 
 
 def _marked(text: Column) -> Column:
-    """The text, which holds no _MARK, with one on both sides of each run."""
-    return F.regexp_replace(text, rf"([A-Za-z0-9+/_=\-]{{{MIN_LENGTH},}})", f"{_MARK}$1{_MARK}")
+    """The text, which holds no _MARK, with one on both sides of each assigned value
+    and of each other run."""
+    run = rf"[A-Za-z0-9+/_=\-]{{{MIN_LENGTH},}}"
+    return F.regexp_replace(text, f"((?i:{_ASSIGNED}))({_VALUE})|({run})", f"$1{_MARK}$2$3{_MARK}")
+
+
+def _assigned(before: Column) -> Column:
+    return F.right(before, F.lit(_NEAR)).rlike(f"(?i){_ASSIGNED}$")
+
+
+def _is_candidate(run: Column, head: Column, before: Column) -> Column:
+    """Whether what follows `head` in the run counts: a run with a digit, its name
+    included, or a value assigned to a name that means a secret."""
+    value = F.length(run) - F.length(head) >= MIN_VALUE
+    return _is_run(run) | (value & _assigned(F.concat(F.right(before, F.lit(_NEAR)), head)))
+
+
+def _value_head(run: Column, before: Column) -> Column:
+    """_head, but a value that is already parted from its name is whole."""
+    return F.when(_assigned(before), "").otherwise(_head(run))
 
 
 def candidates(
@@ -107,7 +137,8 @@ def candidates(
         return F.struct(
             (F.get(F.col("starts"), block) + F.get(F.get(F.col("runs"), block), place)).alias("start"),
             part.alias("run"),
-            F.when(k % 2 == 1, _head(part)).alias("head"),  # every second part is a run
+            # Every second part is a run.
+            F.when(k % 2 == 1, _value_head(part, F.get(F.col("p"), k - 1))).alias("head"),
             F.get(F.col("p"), k - 1).alias("before"),
             F.get(F.col("p"), k + 1).alias("after"),
         )
@@ -126,9 +157,11 @@ def candidates(
 
         as_name = one(c["start"], name, c["before"], F.concat(F.lit("="), value, c["after"]))
         as_value = one(c["start"] + size, value, F.concat(c["before"], c["head"]), c["after"])
-        return F.when(_is_run(name), F.array(as_name, as_value)).otherwise(F.array(as_value))
+        values = F.when(_is_candidate(c["run"], c["head"], c["before"]), F.array(as_value))
+        values = F.coalesce(values, F.filter(F.array(as_value), lambda c: F.lit(False)))
+        return F.when(_is_run(name), F.concat(F.array(as_name), values)).otherwise(values)
 
-    cuts = F.filter(F.transform("p", cut), lambda c: c["head"].isNotNull() & _is_run(c["run"]))
+    cuts = F.filter(F.transform("p", cut), lambda c: c["head"].isNotNull())
     found = F.flatten(F.transform(cuts, found_in))
     found = parts.select("id", "path", F.posexplode(found).alias("nth", "c"))
     return found.select("id", "nth", "c.start", "c.candidate", "c.before", "c.after", "path")
@@ -181,11 +214,11 @@ def with_features(found: DataFrame, dictionary: Sequence[str] = DICTIONARY) -> D
         "f_changes": F.length(F.regexp_replace(kinds, r"(.)\1+", "$1")) / n,
         "f_digits": share("0-9"),
         "f_upper": share("A-Z"),
-        "f_symbols": share(r"+/_=\-"),
+        "f_symbols": F.length(F.regexp_replace(c, "[A-Za-z0-9]", "")) / n,
         "f_kinds_of_character": F.size(F.array_distinct(F.split(c, ""))) / n,
         "f_hex": c.rlike("^([0-9a-f]+|[0-9A-F]+)$").cast("double"),
         "f_dictionary": 1 - F.length(uncovered) / n,
-        "f_assigned": before.rlike(r"[=:]\s*[\"'`]?$").cast("double"),
+        "f_assigned": before.rlike(r"([=:]|=>)\s*[\"'`]?$").cast("double"),
         "f_quoted": (before.rlike("[\"'`]$") & after.rlike("^[\"'`]")).cast("double"),
         "f_secret_word": _has_word(before, SECRET_WORDS).cast("double"),
         "f_harmless_word": _has_word(beside, HARMLESS_WORDS).cast("double"),
@@ -288,16 +321,21 @@ def redact(
     # The text is cut as for candidates(), with signs like _MARK spelled in others.
     spelled = F.replace(F.replace(text, F.lit("\u0002"), F.lit("\u0002\u0004")), F.lit(_MARK), F.lit("\u0002\u0003"))
 
+    parts = F.col("__parts")
+
     def cleaned(part: Column, k: Column) -> Column:
         def stood_in(c: Column) -> Column:
             return F.when(F.array_contains("__secrets", c), F.lit(stand_in)).otherwise(c)
 
-        head = _head(part)
+        before = F.get(parts, k - 1)
+        head = _value_head(part, before)
         name, value = F.left(head, F.length(head) - 1), F.right(part, F.length(part) - F.length(head))
+        value = F.when(_is_candidate(part, head, before), stood_in(value)).otherwise(value)
         head = F.when(_is_run(name), F.concat(stood_in(name), F.lit("="))).otherwise(head)
-        return F.when((k % 2 == 0) | ~_is_run(part), part).otherwise(F.concat(head, stood_in(value)))
+        return F.when(k % 2 == 0, part).otherwise(F.concat(head, value))
 
-    clean = F.array_join(F.transform(F.split(_marked(spelled), _MARK), cleaned), "")
+    both = both.withColumn("__parts", F.when(F.col("__secrets").isNotNull(), F.split(_marked(spelled), _MARK)))
+    clean = F.array_join(F.transform(parts, cleaned), "")
     clean = F.replace(F.replace(clean, F.lit("\u0002\u0003"), F.lit(_MARK)), F.lit("\u0002\u0004"), F.lit("\u0002"))
     clean = F.when(F.col("__secrets").isNull(), text).otherwise(clean)
     return both.select(
