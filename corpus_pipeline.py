@@ -27,9 +27,12 @@ def numbered(spark: SparkSession, docs: DataFrame, *more: Column) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of no determined language go; a missing label is filled in."""
+    """Documents of no determined language go; a missing label is filled in. Where no
+    text is labelled nothing can be determined: all texts with a letter stay as they are."""
     prepare(spark)
     samples = language_id.learn(docs)
+    if not samples.texts:
+        return docs.where(language_id.has_letter(F.col("text")))
     found = language_id.identify(docs, samples, keep=tuple(docs.columns))
     kept = found.where(F.col("lang_pred") != language_id.UNDETERMINED)
     return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)

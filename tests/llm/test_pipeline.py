@@ -144,3 +144,13 @@ def test_near_duplicates_of_repeated_and_missing_ids(spark, sf_dir):
     assert len(one_of_a) == 1
     expected = [(5, text("b")), (1, text("c")), (9, text("d")), (7, text("e")), (None, text("f")), (None, None)]
     assert found == Counter([(None, one_of_a[0]), *expected, (3, ""), (4, "")])
+
+
+def test_texts_without_any_label_stay(spark, sf_dir):
+    texts = ["Some words", "mehr Wörter", "слова", None, "", "12 + 3"]
+    rows = [(k, t, None, "a", 0) for k, t in enumerate(texts)] + [(None, "more words", None, None, None)]
+    rows += [(9, None, "en", "a", 0), (10, "1 2", "en", "a", 0)]
+    docs = spark.createDataFrame(rows, KINDS)
+    made = corpus_pipeline.identify_language(spark, docs, sf_dir)
+    assert made.schema == docs.schema
+    assert sorted(map(str, map(tuple, made.collect()))) == sorted(map(str, [*rows[:3], rows[6]]))
