@@ -8,12 +8,13 @@ are reached: a sample whose size, in words, is fixed and whose chances are unequ
 
 A source may hold any share of the rows. Its cumulated sizes come from sums over
 RANK_BUCKETS intervals of the rank; only documents of the one interval in which the
-target falls are put in order.
+target falls are put in order, those of equal rank, id and size as one. Where only some
+of such equals are taken, they are counted by partition and numbered in one of these.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -112,6 +113,7 @@ def mix(
         F.coalesce(size.cast("long"), F.lit(0)).alias("size"),
         F.when(liking > 0, liking).otherwise(1.0).alias("liking"),
         uniform(seed, F.col(f"`{id_col}`")).alias("u"),
+        F.monotonically_increasing_id().alias("place"),
         *whole,
     ).write.parquet(path)  # the texts are read once
     rows = spark.read.parquet(path)
@@ -158,7 +160,9 @@ def mix(
     )
     rows = rows.withColumn("interval", F.when(F.col("rank").isNotNull(), interval.cast("int")))
 
-    sums = rows.where("interval IS NOT NULL").groupBy("source", "interval")
+    # Rows of no chance or of a source that needs no more are not taken.
+    ranked = F.coalesce((F.col("interval") < RANK_BUCKETS) & (F.col("rest") > 0), F.lit(False))
+    sums = rows.where(ranked).groupBy("source", "interval")
     sums = sums.agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
     upto = Window.partitionBy("source").orderBy("interval")
     sums = sums.withColumn("upto", F.sum("words").over(upto))
@@ -166,19 +170,18 @@ def mix(
     border = sums.where("upto > rest").groupBy("source").agg(
         F.min("interval").alias("border"), F.min_by(F.col("upto") - F.col("words"), "interval").alias("before")
     )
-    rows = with_source(rows, stored(border, "border"))
-    kept = ["id", "source", "size", "source_size", "target", "certain", *(["row"] if row_col else [])]
-    at_border = rows.where("interval = border")
-    inside = Window.partitionBy("source", "interval").orderBy("rank", "id", "size")
-    upto = F.col("before") + F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0))
-    taken = (upto - F.col("size") / 2 <= F.col("rest")).cast("long")
-    at_border = at_border.select(*kept, taken.alias("more"))
+    border = stored(border, "border")
+    at_border = with_source(rows, border).where(ranked & (F.col("interval") == F.col("border")))
+    at_border = stored(at_border.select("source", "rank", "id", "size", "place", "rest", "before"), "at-border")
+    last = stored(_last_taken(at_border, with_source), "last")
+    rows = with_source(with_source(rows, border), last)
+    # In the order of the rank what is taken comes first, so the last of it decides.
+    at_last = F.struct("rank", "id", "size", "place") <= F.col("last")
     # Without a border all ranked rows are taken.
-    within = F.coalesce((F.col("interval") < F.col("border")) | F.col("border").isNull(), F.lit(False))
-    ranked = F.col("interval").isNotNull() & (F.col("rest") > 0)
-    elsewhere = rows.where(~F.coalesce(F.col("interval") == F.col("border"), F.lit(False)))
-    elsewhere = elsewhere.select(*kept, (within & ranked).cast("long").alias("more"))
-    return at_border.unionAll(elsewhere).select(
+    more = F.when(F.col("border").isNull() | (F.col("interval") < F.col("border")), F.lit(True))
+    more = more.otherwise((F.col("interval") == F.col("border")) & F.coalesce(at_last, F.lit(False)))
+    rows = rows.withColumn("more", (ranked & more).cast("long"))
+    return rows.select(
         F.col("id").alias(id_col),
         F.col("source").alias(source_col),
         "size",
@@ -187,3 +190,49 @@ def mix(
         (F.col("certain") + F.col("more")).cast("long").alias("copies"),
         *([F.col("row").alias(row_col)] if row_col else []),
     )
+
+
+def _last_taken(
+    at_border: DataFrame, with_source: Callable[[DataFrame, DataFrame], DataFrame]
+) -> DataFrame:
+    """source and last, the (rank, id, size, place) of the last row taken of its border;
+    sources of whose border nothing is taken are left out."""
+    groups = at_border.groupBy("source", "rank", "id", "size").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.max("place").alias("place"),
+        F.first("rest").alias("rest"),
+        F.first("before").alias("before"),
+    )
+    order = Window.partitionBy("source").orderBy("rank", "id", "size")
+    earlier = F.sum(F.col("size") * F.col("n")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    groups = groups.withColumn("before", F.col("before") + F.coalesce(earlier, F.lit(0)))
+
+    def fits(k: Column) -> Column:
+        return F.col("before") + k * F.col("size") - F.col("size") / 2 <= F.col("rest")
+
+    about = F.when(F.col("size") > 0, F.floor((F.col("rest") - F.col("before")) / F.col("size") + 0.5))
+    about = F.least(F.greatest(F.coalesce(about, F.col("n")), F.lit(0)), F.col("n"))
+    groups = groups.withColumn("about", about)
+    k = F.col("about")
+    # Rounding may put the number beside the last one that fits.
+    taken = F.when((k < F.col("n")) & fits(k + 1), k + 1).when((k < 1) | fits(k), k).otherwise(
+        F.when(F.col("size") > 0, k - 1).otherwise(0)
+    )
+    ends = groups.withColumn("taken", taken).where("taken > 0").groupBy("source")
+    ends = ends.agg(F.max(F.struct("rank", "id", "size", "taken", "n", "place")).alias("end"))
+
+    # The place of the last taken one of equal rows: first its partition, then the row.
+    some = with_source(at_border, ends.where("end.taken < end.n"))
+    equal = (F.col("rank") == F.col("end.rank")) & F.col("id").eqNullSafe(F.col("end.id"))
+    some = some.where(equal & (F.col("size") == F.col("end.size")))
+    some = some.select("source", "place", F.shiftright("place", 33).alias("part"), F.col("end.taken").alias("taken"))
+    parts = some.groupBy("source", "part").agg(F.count(F.lit(1)).alias("n"), F.first("taken").alias("taken"))
+    upto = F.sum("n").over(Window.partitionBy("source").orderBy("part"))
+    parts = parts.withColumn("left", F.col("taken") - (upto - F.col("n")))
+    parts = parts.where((F.col("left") > 0) & (F.col("left") <= F.col("n")))
+    parts = parts.select("source", F.col("part").alias("its_part"), "left")
+    number = F.row_number().over(Window.partitionBy("source").orderBy("place"))
+    inside = with_source(some, parts).where(F.col("part") == F.col("its_part")).withColumn("number", number)
+    inside = inside.where(F.col("number") == F.col("left")).select("source", F.col("place").alias("at"))
+    last = F.struct("end.rank", "end.id", "end.size", F.coalesce("at", "end.place").alias("place"))
+    return with_source(ends, inside).select("source", last.alias("last"))

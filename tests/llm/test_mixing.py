@@ -1,12 +1,13 @@
 """The mix against its SQL and the properties of the sample."""
 
+import hashlib
 import re
 from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
-from parchmill.llm import queries
+from parchmill.llm import mixing, queries
 from parchmill.llm.mixing import mix, source_targets, word_count
 
 
@@ -93,3 +94,51 @@ def test_word_count(spark):
     texts = ["a b\tc\x0bd\x0ce\rf\ng", None, "", "  ", "\x85\xa0x", "\x1c y"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert [r[0] for r in df.select(word_count(F.col("t"))).collect()] == [7, 0, 0, 0, 1, 2]
+
+
+def plainly_mixed(rows, targets, cap=3):
+    """Copies as a multiset of (id, source, size, copies), row by row in order."""
+    out = []
+    for s, target in targets.items():
+        mine = [r for r in rows if r[1] == s]
+        size = sum(r[2] for r in mine)
+        e = min(float(cap), target / size) if size else 0.0
+        whole, rest = int(e), target - int(e) * size
+        certain = [(*r[:3], whole) for r in mine]
+        if whole >= cap or e == whole:
+            out += certain
+            continue
+
+        def u(i):
+            return int(hashlib.md5(f"7:{'' if i is None else i}".encode()).hexdigest()[:13], 16) / (1 << 52)
+
+        upto = 0
+        for i, _, n in sorted((r[:3] for r in mine), key=lambda r: (u(r[0]), r[0] is not None, r[0] or 0, r[2])):
+            upto += n
+            out.append((i, s, n, whole + (upto - n / 2 <= rest)))
+    return out
+
+
+def test_equal_ranks_and_whole_copies(spark):
+    rows = [(None, "a", 4) for _ in range(700)] + [(None, "a", k % 5) for k in range(500)]
+    rows += [(k, "a", k % 11) for k in range(300)] + [(None, "b", 9)] * 1000 + [(5, "c", 2)] * 900
+    rows += [(k, "c", 3) for k in range(50)] + [(None, None, 50)] * 333
+    df = spark.createDataFrame([(*r, 1.0) for r in rows], "doc_id long, source string, n long, liking double")
+    sizes = defaultdict(int)
+    for r in rows:
+        sizes[r[1]] += r[2]
+    for table, sizes in ((df.repartition(6), sizes), (df.where("source = 'b'"), {"b": sizes["b"]})):
+        found = mix(table, F.col("n"), row_col="whole").collect()
+        mine = [r for r in rows if r[1] in sizes]
+        expected = plainly_mixed(mine, filled(sizes, (5, 2, 1), 3))
+        assert sorted(str((r[0], r[1], r[2], r["copies"])) for r in found) == sorted(map(str, expected))
+        assert all(tuple(r["whole"])[:3] == r[:3] for r in found)
+
+
+def test_a_source_of_whole_copies_has_no_border(spark, monkeypatch):
+    asked = []
+    real = mixing._last_taken
+    monkeypatch.setattr(mixing, "_last_taken", lambda at, join: asked.append(at.count()) or real(at, join))
+    rows = [(k, "a", 10, None) for k in range(500)]
+    found = mix(docs(spark, rows), F.col("n")).collect()
+    assert asked == [0] and [r["copies"] for r in found] == [1] * 500
