@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parchmill.llm import language_id, minhash, mixing, pieces, secret_scan
@@ -18,12 +19,23 @@ ROW = "__row_number"
 
 
 def numbered(spark: SparkSession, docs: DataFrame, *more: Column) -> DataFrame:
-    """The rows (and further columns) written down with a number of their own in ROW:
-    ids may be missing or repeated."""
+    """The rows (and further columns) with a number of their own in ROW: ids may be
+    missing or repeated. Rows of files have the number of their file and their place in
+    it, the same in every scan; others are written down with theirs."""
     path = scratch_path(spark, "pipeline-rows")
-    rows = docs.select("*", *more, F.monotonically_increasing_id().alias(ROW))
-    rows.write.parquet(path)
-    return spark.read.schema(rows.schema).parquet(path)
+    try:
+        rows = docs.select("*", *more, F.col("_metadata.file_path"), F.col("_metadata.row_index"))
+    except AnalysisException:  # no file, or none that numbers its rows
+        rows = docs.select("*", *more, F.monotonically_increasing_id().alias(ROW))
+        rows.write.parquet(path)
+        return spark.read.schema(rows.schema).parquet(path)
+    files = docs.select(F.col("_metadata.file_path").alias("its_file")).distinct()
+    files = files.withColumn("number", F.row_number().over(Window.orderBy("its_file")).cast("long"))
+    files.write.parquet(path)
+    files = spark.read.schema(files.schema).parquet(path)
+    rows = rows.join(files, F.col("file_path") == F.col("its_file"))
+    row = F.shiftleft("number", 40).bitwiseOR(F.col("row_index")).alias(ROW)
+    return rows.select(*rows.columns[:-4], row)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -154,3 +154,19 @@ def test_texts_without_any_label_stay(spark, sf_dir):
     made = corpus_pipeline.identify_language(spark, docs, sf_dir)
     assert made.schema == docs.schema
     assert sorted(map(str, map(tuple, made.collect()))) == sorted(map(str, [*rows[:3], rows[6]]))
+
+
+def test_rows_of_files_keep_their_numbers(spark, tmp_path):
+    rows = [(None, f"text {k}", "en", "s", k) for k in range(500)]
+    spark.createDataFrame(rows, KINDS).repartition(5).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    made = corpus_pipeline.numbered(spark, docs)
+    assert made.columns == [*docs.columns, corpus_pipeline.ROW]
+    first = {r[corpus_pipeline.ROW]: r["n_chars"] for r in made.collect()}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        again = {r[corpus_pipeline.ROW]: r["n_chars"] for r in made.where("n_chars >= 0").repartition(3).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert first == again and sorted(first.values()) == list(range(500))
