@@ -4,20 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parchmill.llm import (
     language_id,
     licences,
+    merkle,
     minhash,
     mixing,
     pieces,
     secret_scan,
     sharding,
     simhash,
+    simhash_dups,
     topk,
     warc,
+    whitening,
 )
 from parchmill.session import scratch_path, ship_package
 
@@ -248,6 +251,111 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.compare_with_edits(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_simhash_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicates of all documents by fingerprints of at most two differing bits."""
+    return simhash_dups.near_duplicates(table(spark, sf_dir, "documents"), radius=2)
+
+
+_CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+# Levels of all groups' trees at once, then those over the subroots; then every leaf's
+# way up, with the tampered digest folded and the siblings put one after the other.
+_MERKLE_SQL = f"""
+WITH RECURSIVE fields AS (
+  SELECT doc_id, lang, text,
+         coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-')
+         || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+         || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
+         translate(text, '{_CAPITALS}', '{_CAPITALS.lower()}') AS lowered,
+         list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(1, strlen(doc_id::VARCHAR) + 1),
+           lambda k: ascii(substr(doc_id::VARCHAR, k::INT, 1))::UBIGINT)),
+           lambda c, b: list_reduce(list_prepend(xor(c, b), list_transform(range(8), lambda k: k::UBIGINT)),
+             lambda r, k: xor(r >> 1, (r & 1) * 3988292384::UBIGINT))) AS crc
+  FROM documents
+), hashed AS (
+  SELECT doc_id, lang, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+         CASE WHEN xor(crc, 4294967295::UBIGINT) % 3 = 0
+              THEN sha256(head || coalesce(strlen(lowered) || ':' || lowered, '-')) END AS altered
+  FROM fields
+), leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM hashed
+), levels AS (
+  SELECT 0 AS level, lang, i, leaf AS digest, count(*) OVER (PARTITION BY lang) AS size FROM leaves
+  UNION ALL
+  SELECT level + 1, lang, i // 8, sha256(string_agg(digest, '' ORDER BY i)), ceil(any_value(size) / 8)::BIGINT
+  FROM levels WHERE size > 1 GROUP BY level, lang, i // 8
+), subroots AS (
+  SELECT lang, digest, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS size
+  FROM levels WHERE size = 1
+), high AS (
+  SELECT 0 AS level, i, digest, size FROM subroots
+  UNION ALL
+  SELECT level + 1, i // 8, sha256(string_agg(digest, '' ORDER BY i)), ceil(any_value(size) / 8)::BIGINT
+  FROM high WHERE size > 1 GROUP BY level, i // 8
+), runs AS (
+  SELECT level, lang, i // 8 AS run, list(digest ORDER BY i) AS kids FROM levels WHERE size > 1
+  GROUP BY level, lang, i // 8
+), high_runs AS (
+  SELECT level, i // 8 AS run, list(digest ORDER BY i) AS kids FROM high WHERE size > 1 GROUP BY level, i // 8
+), climb AS (
+  SELECT lang, i AS leaf_no, 0 AS level, i, coalesce(altered, leaf) AS fold, '' AS siblings, false AS last FROM leaves
+  UNION ALL
+  SELECT c.lang, c.leaf_no, c.level + 1, c.i // 8,
+         CASE WHEN r.run IS NULL THEN c.fold ELSE sha256(array_to_string(
+           list_concat(r.kids[1:(c.i % 8)], [c.fold], r.kids[(c.i % 8) + 2:]), '')) END,
+         CASE WHEN r.run IS NULL THEN c.siblings ELSE c.siblings || array_to_string(
+           list_concat(r.kids[1:(c.i % 8)], r.kids[(c.i % 8) + 2:]), '') END,
+         r.run IS NULL
+  FROM climb c LEFT JOIN runs r ON r.level = c.level AND r.lang IS NOT DISTINCT FROM c.lang AND r.run = c.i // 8
+  WHERE NOT c.last
+), over AS (
+  SELECT c.lang, c.leaf_no, 0 AS level, s.i, c.fold, c.siblings, false AS last
+  FROM climb c JOIN subroots s ON s.lang IS NOT DISTINCT FROM c.lang WHERE c.last
+  UNION ALL
+  SELECT c.lang, c.leaf_no, c.level + 1, c.i // 8,
+         CASE WHEN r.run IS NULL THEN c.fold ELSE sha256(array_to_string(
+           list_concat(r.kids[1:(c.i % 8)], [c.fold], r.kids[(c.i % 8) + 2:]), '')) END,
+         CASE WHEN r.run IS NULL THEN c.siblings ELSE c.siblings || array_to_string(
+           list_concat(r.kids[1:(c.i % 8)], r.kids[(c.i % 8) + 2:]), '') END,
+         r.run IS NULL
+  FROM over c LEFT JOIN high_runs r ON r.level = c.level AND r.run = c.i // 8 WHERE NOT c.last
+), root AS (
+  SELECT digest AS root FROM high WHERE size = 1
+)
+SELECT l.doc_id, l.leaf, s.digest AS subroot, root.root, sha256(o.siblings) AS proof_sha256,
+       o.fold AS folded_root, o.fold = root.root AS verified
+FROM leaves l JOIN subroots s ON s.lang IS NOT DISTINCT FROM l.lang
+JOIN over o ON o.last AND o.lang IS NOT DISTINCT FROM l.lang AND o.leaf_no = l.i, root
+"""
+
+
+@in_sql(_MERKLE_SQL)
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A manifest of all documents by language; where three divides the checksum of the
+    id, the verifier sees the text in lower case."""
+
+    def leaf(text: Column) -> Column:
+        return F.concat(*map(merkle.field, [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]), merkle.field(text))
+
+    lowered = F.translate("text", _CAPITALS, _CAPITALS.lower())
+    chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    found = merkle.manifest(
+        table(spark, sf_dir, "documents"),
+        key=F.col("doc_id"),
+        group=F.col("lang"),
+        leaf=leaf(F.col("text")),
+        tampered=F.when(chosen, leaf(lowered)),
+    )
+    return found.withColumnRenamed("key", "doc_id")
+
+
+@query
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight whitened components of every vector."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=8)
+
+
 def _fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     marks = simhash.fingerprint(table(spark, sf_dir, "documents"))
     path = scratch_path(spark, "fingerprints")
