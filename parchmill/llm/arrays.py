@@ -13,7 +13,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 4 << 20  # of text handled at once; a longer text is handled alone
+SLICE_BYTES = 1 << 20  # of text handled at once; a longer text is handled alone
 
 # A-Z become a-z, as the contracts of the operators ask; other bytes stay.
 LOWER = np.arange(256, dtype=np.uint8)
@@ -85,36 +85,47 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 _BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+_NEAR_POWERS = 1 << 12
 
 
 @lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def _powers(n: int, step: int = 1) -> np.ndarray:
+    """base ** (step * k) for k below n, modulo 2^64."""
+    out, done = np.ones(n, np.uint64), 1
     with np.errstate(over="ignore"):
-        up, down = np.empty(n, np.uint64), np.empty(n, np.uint64)
-        for out, base in ((up, _BASE), (down, _INVERSE)):
-            out[0], done = 1, 1
-            while done < n:  # doubling
-                more = min(done, n - done)
-                out[done : done + more] = out[:more] * np.uint64(pow(base, done, 1 << 64))
-                done += more
-    return up, down
-
-
-def _powers_for(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = SLICE_BYTES + 1
-    while size < n:
-        size *= 2
-    return _powers(size)
+        while done < n:  # doubling
+            more = min(done, n - done)
+            out[done : done + more] = out[:more] * np.uint64(pow(_BASE, step * done, 1 << 64))
+            done += more
+    return out
 
 
 def word_hashes(data: np.ndarray, words: Words, byte_values: np.ndarray = LOWER) -> np.ndarray:
-    """A 64-bit hash of each word, by prefix sums; `byte_values` maps bytes first."""
-    up, down = _powers_for(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
+    """A 64-bit hash of each word, a polynomial of its bytes; `byte_values` maps them first.
+
+    A megabyte of words is handled at once, or one longer word.
+    """
+    out = np.zeros(len(words.start), np.uint64)
     values = byte_values.astype(np.uint64) + np.uint64(1)
-    np.cumsum(values[data] * up[: len(data)], out=total[1:])
-    return mixed((total[words.end] - total[words.start]) * down[words.start])
+    size = words.end - words.start
+    upto = np.cumsum(size)
+    k = 0
+    while k < len(out):
+        limit = (upto[k - 1] if k else 0) + SLICE_BYTES
+        end = max(k + 1, int(np.searchsorted(upto, limit, "right")))
+        here = size[k:end]
+        first = np.cumsum(here) - here
+        place = np.arange(int(here.sum())) - np.repeat(first, here)
+        terms = values[data[place + np.repeat(words.start[k:end], here)]]
+        longest = int(here.max())
+        if longest <= _NEAR_POWERS:
+            terms *= _powers(_NEAR_POWERS)[place]
+        else:  # of places and of rounds of places
+            rounds = _powers(-(-longest // _NEAR_POWERS), _NEAR_POWERS)
+            terms *= _powers(_NEAR_POWERS)[place % _NEAR_POWERS] * rounds[place // _NEAR_POWERS]
+        out[k:end] = np.add.reduceat(terms, first)
+        k = end
+    return mixed(out)
 
 
 def shingle_hashes(hashes: np.ndarray, offsets: np.ndarray, width: int):

@@ -6,8 +6,10 @@ in that sample. The language that needs the fewest phrases, each weighed by the
 bits that name a place in its sample, wins.
 
 Texts are read as UTF-8 bytes: A-Z as a-z; a run of other ASCII characters is one
-space. A text is parsed in pieces of PIECE bytes, each beginning a phrase, which
-lets thousands of pieces step through an automaton together.
+space. Thousands of pieces of PIECE bytes step through an automaton together, each as if
+a phrase began with it. Then every piece is entered again with the phrase that runs into
+it, until both ways begin a phrase at one byte, from where on they are the same. So the
+phrases are those of the whole text.
 """
 
 from __future__ import annotations
@@ -21,10 +23,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from parchmill.llm.arrays import Texts, fresh, text_slices
+from parchmill.llm.arrays import Texts, text_slices
 
 PIECE = 1024
+_SLICE = 2 << 20  # bytes of text at once
+_FEW = 32  # pieces that are entered one by one
 UNDETERMINED = "und"
 _SPACE = 32
 
@@ -51,9 +56,10 @@ def learn(
 ) -> Samples:
     """Samples of each labelled language.
 
-    The bound: `sample_docs` texts a language, of which `sample_chars` characters
-    each. The texts are those of the smallest hash in `sample_docs` hash buckets, so
-    equal texts count once and the sample does not depend on the order of rows. It is
+    The bound: `sample_docs` texts a language, of each a window of `sample_chars`
+    characters at a place that its hash gives. The texts are those of the smallest hash
+    in `sample_docs` hash buckets, so equal texts count once and the sample does not
+    depend on the order of rows. It is
     gathered with partial aggregation: a language may hold any share of the rows.
     Rows without text, letters or label teach nothing.
     """
@@ -61,9 +67,11 @@ def learn(
         F.col("l").isNotNull() & has_letter(F.col("t"))
     )
     key = F.xxhash64("t")
+    places = F.greatest(F.length("t") - sample_chars, F.lit(0)) + 1
+    begin = (1 + F.pmod(F.xxhash64(F.lit(1), "t"), places)).cast("int")
     found = (
         rows.groupBy("l", F.pmod(key, F.lit(sample_docs)).alias("b"))
-        .agg(F.min_by(F.substring("t", 1, sample_chars), key).alias("t"))
+        .agg(F.min_by(F.substring("t", begin, F.lit(sample_chars)), key).alias("t"))
         .orderBy("l", "b")
         .collect()  # at most sample_docs short rows a language
     )
@@ -144,19 +152,68 @@ class Automaton:
             last = new
         return after
 
-    def phrases(self, steps: np.ndarray, active: np.ndarray) -> np.ndarray:
-        """How many phrases each piece needs. `steps[i]` holds the i-th bytes of the
-        pieces, longest piece first, of which `active[i]` are that long."""
-        state = np.zeros(steps.shape[1], np.int32)
-        count = np.zeros(steps.shape[1], np.int32)
-        count[: active[0] if len(active) else 0] = 1
+    def phrases(self, steps: np.ndarray, active: np.ndarray, follows: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """How many phrases begin in each piece. `steps[i]` holds the i-th bytes of the
+        pieces, longest piece first, of which `active[i]` are that long. Piece k goes on
+        where piece `follows[k]` ends, or begins a text if that is -1; `number[k]` is its
+        place among all pieces."""
+        lanes = steps.shape[1]
+        state = np.zeros(lanes, np.int32)
+        begins = np.zeros(steps.shape, bool)
         symbols = self.symbol[steps]
         for i, n in enumerate(active.tolist()):
             move = self.moves[state[:n] + symbols[i, :n]]
-            if i:
-                count[:n] += move & 1
+            begins[i, :n] = move & 1
             state[:n] = move >> 1
-        return count
+        begins[0, : active[0] if len(active) else 0] = True
+        after = np.full(lanes, -1)
+        after[follows[follows >= 0]] = np.flatnonzero(follows >= 0)
+        size = np.searchsorted(-active, -np.arange(lanes), "left")  # steps of each piece
+        more = np.zeros(lanes, np.int64)  # phrases that begin there beyond those counted
+        entered = np.flatnonzero(follows >= 0)
+        # What has found no common beginning ends otherwise, and so the next piece begins.
+        redone = set()
+        for lane, s in self._entered(symbols, begins, size, entered, state[follows[entered]], more, number):
+            if lane not in redone:
+                lane, met = int(after[lane]), False
+                while lane >= 0 and not met:
+                    redone.add(lane)
+                    more[lane], s, met = self._walk(symbols[: size[lane], lane], begins[: size[lane], lane], s)
+                    lane = int(after[lane])
+        return begins.sum(axis=0) + more
+
+    def _entered(self, symbols, begins, size, lanes, state, more, number) -> list[tuple[int, int]]:
+        """Enter pieces in given states, and count into `more`. Gives (piece, its end
+        state) of those without a common beginning, in the order of their text."""
+        left, i = [], 0
+        while lanes.size:
+            ended = size[lanes] <= i
+            left += zip(lanes[ended].tolist(), state[ended].tolist(), strict=True)
+            lanes, state = lanes[~ended], state[~ended]
+            if len(lanes) <= _FEW:
+                break
+            move = self.moves[state + symbols[i, lanes]]
+            mine, counted = (move & 1).astype(bool), begins[i, lanes]
+            more[lanes] += mine.astype(np.int64) - counted
+            apart = ~(mine & counted)
+            lanes, state, i = lanes[apart], (move >> 1)[apart], i + 1
+        for lane, s in zip(lanes.tolist(), state.tolist(), strict=True):
+            extra, s, met = self._walk(symbols[i : size[lane], lane], begins[i : size[lane], lane], s)
+            more[lane] += extra
+            if not met:
+                left.append((lane, s))
+        return sorted(left, key=lambda found: number[found[0]])
+
+    def _walk(self, symbols: np.ndarray, begins: np.ndarray, state: int) -> tuple[int, int, bool]:
+        """(phrases begun beyond those counted, end state, whether both ways met)."""
+        moves, more = self.moves, 0
+        for symbol, counted in zip(symbols.tolist(), begins.tolist(), strict=True):
+            move = int(moves[state + symbol])
+            state = move >> 1
+            if move & 1 and counted:
+                return more, state, True
+            more += (move & 1) - counted
+        return more, state, False
 
 
 @lru_cache(maxsize=4)
@@ -174,6 +231,8 @@ def _costs(samples: Samples, texts: Texts) -> np.ndarray:
     start = offsets[row] + (np.arange(first[-1]) - first[row]) * PIECE
     size = np.minimum(PIECE, offsets[1:][row] - start)
     order = np.argsort(-size, kind="stable")
+    place = np.argsort(order)
+    before = np.where(start > offsets[row], np.concatenate([[-1], place])[: len(place)], -1)[order]
     start, size, row = start[order], size[order], row[order]
     out = np.zeros((len(samples.texts), texts.rows))
     if not len(start):
@@ -182,7 +241,7 @@ def _costs(samples: Samples, texts: Texts) -> np.ndarray:
     active = np.searchsorted(-size, -np.arange(1, longest + 1), "right")
     steps = read[np.minimum(start + np.arange(longest)[:, None], len(read) - 1)]
     for k, automaton in enumerate(_automata(samples)):
-        counts = automaton.phrases(steps, active)
+        counts = automaton.phrases(steps, active, before, order)
         out[k] = np.bincount(row, counts, texts.rows) * automaton.bits
     return out
 
@@ -204,7 +263,7 @@ def _lettered(texts: Texts) -> np.ndarray:
 def _predicted(samples: Samples, column: pa.Array) -> tuple[pa.Array, pa.Array]:
     names, scores = [], []
     langs = np.array([lang for lang, _ in samples.texts], dtype=object)
-    for texts in text_slices(column):
+    for texts in text_slices(column, _SLICE):
         lettered = _lettered(texts)
         if not len(langs):
             names += [UNDETERMINED] * texts.rows
@@ -235,20 +294,33 @@ def identify(
     the best language's bits over the second best's: 0 for a tie, which goes to the
     smaller name, 1 if only one language was learned. A text that is null or has no
     letter is `und` with score 0, and so is every text if nothing was learned. Other
-    columns are not read; `keep` may not name lang_pred or score. Repeated rows give
-    repeated rows, an empty table an empty one.
+    columns are not read; a kept one named lang_pred or score, in any case, is refused.
+    Of a very long text a task holds some 30 bytes a byte. Repeated rows give repeated
+    rows, an empty table an empty one.
     """
-    kept = dict.fromkeys((id_col, *keep))
-    text = fresh(kept, "text")
-    taken = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").alias(text))
+    kept = list(dict.fromkeys((id_col, *keep)))
+    clash = [c for c in kept if c.lower() in ("lang_pred", "score")]
+    if clash:
+        raise ValueError(f"the result has a column {clash[0]} of its own")
+    return predicted(docs.select(*[F.col(f"`{c}`") for c in kept if c != text_col], f"`{text_col}`"), samples, text_col).select(
+        *[F.col(f"`{c}`") for c in kept], "lang_pred", "score"
+    )
+
+
+def predicted(
+    docs: DataFrame,
+    samples: Samples,
+    text_col: str = "text",
+    lang_col: str = "lang_pred",
+    score_col: str = "score",
+) -> DataFrame:
+    """All columns of the rows, and two more of the names given: see identify()."""
+    at = docs.columns.index(text_col)
+    names = [*docs.columns, lang_col, score_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, scores = _predicted(samples, batch.column(len(kept)))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[: len(kept)], names, scores], [*kept, "lang_pred", "score"]
-            )
-
-    types = {f.name: f.dataType.simpleString() for f in taken.schema}
-    fields = ", ".join(f"`{c}` {types[c]}" for c in kept)
-    return taken.mapInArrow(run, f"{fields}, lang_pred string, score double")
+            yield pa.RecordBatch.from_arrays([*batch.columns, *_predicted(samples, batch.column(at))], names)
+
+    schema = StructType([*docs.schema.fields]).add(lang_col, "string").add(score_col, "double")
+    return docs.mapInArrow(run, schema)

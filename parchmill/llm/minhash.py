@@ -9,15 +9,17 @@ only pairs whose full shingle sets are similar enough are links.
 Stages, each written to the shared folder where a later one reads it more than once:
 
 1. per document: size and digest of its shingle set, one key a band (one scan);
-2. documents of equal sets become one class, named by its smallest id;
+2. documents of equal sets become one class, named by its smallest row;
 3. in each band bucket, every class is compared with the bucket's smallest: as many
    pairs as rows, however large the bucket. What this links becomes components;
 4. members of buckets that still hold several components are searched across them,
    by their rarest shingles, so no similar pair of different components is left;
 5. components of all links, joined back to the documents.
 
-The sets of candidates are made in a second scan. A bitmap of fixed size (BITMAP_BITS)
-tells which documents may be candidates, so the texts are not shuffled for that.
+Rows have numbers of their own (rows.numbered), as ids may be missing or repeated. The
+sets of candidates are made in a second scan. A bitmap of some bits a candidate tells
+which rows may be candidates, so the texts are not shuffled for that; from MOST_BITS on
+it no longer grows, and the sets that it lets through in vain are dropped by a join.
 """
 
 from __future__ import annotations
@@ -32,10 +34,12 @@ from pyspark.sql import functions as F
 
 from parchmill.llm.arrays import mixed, shingle_hashes, split_words, text_slices, word_hashes
 from parchmill.llm.components import connected_components
+from parchmill.llm.rows import numbered
 from parchmill.session import scratch_path
 
 UNIVERSE = 1 << 20
-BITMAP_BITS = 1 << 25  # 4 MB, whatever the number of documents
+BITS_EACH = 16  # of the bitmap, for each candidate
+LEAST_BITS, MOST_BITS = 1 << 16, 1 << 28  # 32 MB at most
 
 # Words are runs of anything but space and the ASCII controls from tab to return.
 _IN_WORD = np.ones(256, bool)
@@ -78,9 +82,9 @@ def _arrays(rows: list[np.ndarray]) -> pa.Array:
 def signatures(
     docs: DataFrame, width: int, bands: int, rows: int, seed: int
 ) -> DataFrame:
-    """id, n_shingles, a 128-bit digest of the shingle set, and a key for each band.
+    """id, doc, n_shingles, a 128-bit digest of the shingle set, and a key for each band.
 
-    `docs` has columns id and text. A document without words has no bands.
+    `docs` has columns id, text and doc. A document without words has no bands.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,7 +92,7 @@ def signatures(
         number = mixed(np.arange(bands, dtype=np.uint64) + np.uint64(0xB5))
         none = np.zeros(0, np.uint64)
         for batch in batches:
-            for first, sets in _sets(batch.column(1), width):
+            for first, sets in _sets(batch.column("text"), width):
                 keys, sizes, one, two = [], [], [], []
                 for s in sets:
                     sizes.append(len(s))
@@ -99,47 +103,47 @@ def signatures(
                         keys.append(mixed((made * weigh).sum(axis=1, dtype=np.uint64) + number))
                     else:
                         keys.append(none)
-                ids = batch.column(0).slice(first, len(sets))
+                named = [batch.column(c).slice(first, len(sets)) for c in ("id", "doc")]
                 digests = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (one, two)]
-                columns = [ids, pa.array(sizes, pa.int64()), *digests, _arrays(keys)]
+                columns = [*named, pa.array(sizes, pa.int64()), *digests, _arrays(keys)]
                 yield pa.RecordBatch.from_arrays(columns, _SIGNATURE)
 
-    kind = docs.schema["id"].dataType.simpleString()
-    fields = f"id {kind}, n_shingles long, set_a long, set_b long, bands array<long>"
-    return docs.mapInArrow(run, fields)
+    kind = docs.schema["doc"].dataType.simpleString()
+    fields = f"id long, doc {kind}, n_shingles long, set_a long, set_b long, bands array<long>"
+    return docs.select("id", "doc", "text").mapInArrow(run, fields)
 
 
-_SIGNATURE = ["id", "n_shingles", "set_a", "set_b", "bands"]
+_SIGNATURE = ["id", "doc", "n_shingles", "set_a", "set_b", "bands"]
 
 
-def _bit(column: str):
-    return F.pmod(F.xxhash64(column), F.lit(BITMAP_BITS))
-
-
-def _bitmap(ids: DataFrame) -> bytes:
-    """Bits of the ids' hashes, gathered in pieces by Spark: at most BITMAP_BITS bits."""
+def _bitmap(ids: DataFrame) -> tuple[bytes, int]:
+    """Bits of the ids' hashes, gathered in pieces by Spark, and how many bits there are."""
+    bits = LEAST_BITS
+    most = min(ids.count() * BITS_EACH, MOST_BITS)
+    while bits < most:
+        bits *= 2
     rows = (
-        ids.select(_bit("id").alias("bit"))
+        ids.select(F.expr(f"pmod(xxhash64(id), {bits}L)").alias("bit"))
         .groupBy(F.expr("bitmap_bucket_number(bit)").alias("piece"))
         .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit))").alias("bits"))
         .collect()
     )
     step = 32768 // 8
-    out = bytearray(BITMAP_BITS // 8 + step)
+    out = bytearray(bits // 8 + step)
     for row in rows:  # pieces count from 1 for the bits from 1 on, and bit 0 is in piece 0
         at = row["piece"] * step
         out[at : at + step] = row["bits"]
-    return bytes(out)
+    return bytes(out), bits
 
 
 def _candidate_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """id and sorted shingle set of at least the documents that `ids` names."""
-    bits = _bitmap(ids)
-    asked = docs.withColumn("piece", F.expr(f"bitmap_bucket_number(pmod(xxhash64(id), {BITMAP_BITS}L))"))
-    asked = asked.withColumn("bit", F.expr(f"bitmap_bit_position(pmod(xxhash64(id), {BITMAP_BITS}L))"))
+    """id and sorted shingle set of the documents that `ids` (distinct ones) names."""
+    held, bits = _bitmap(ids)
+    asked = docs.select("id", "text").withColumn("piece", F.expr(f"bitmap_bucket_number(pmod(xxhash64(id), {bits}L))"))
+    asked = asked.withColumn("bit", F.expr(f"bitmap_bit_position(pmod(xxhash64(id), {bits}L))"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have = np.frombuffer(bits, np.uint8)
+        have = np.frombuffer(held, np.uint8)
         for batch in batches:
             at = batch.column("piece").to_numpy() * 32768 + batch.column("bit").to_numpy()
             wanted = pa.array((have[at >> 3] >> (at & 7)) & 1 == 1)
@@ -148,8 +152,8 @@ def _candidate_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
                 ids = some.column("id").slice(first, len(sets))
                 yield pa.RecordBatch.from_arrays([ids, _arrays(sets)], ["id", "shingles"])
 
-    kind = docs.schema["id"].dataType.simpleString()
-    return asked.where(F.col("id").isNotNull()).mapInArrow(run, f"id {kind}, shingles array<long>")
+    sets = asked.mapInArrow(run, "id long, shingles array<long>")
+    return sets.join(ids, "id", "left_semi") if bits == MOST_BITS else sets
 
 
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -218,6 +222,7 @@ def near_duplicates(
     bands: int = 32,
     rows: int = 5,
     seed: int = 1,
+    row_col: str | None = None,
 ) -> DataFrame:
     """For each row its id, n_shingles, component_id and kept.
 
@@ -228,13 +233,20 @@ def near_duplicates(
     the row whose id that is. With the defaults, a pair of exactly that similarity is
     missed with a chance of 3 in a million; links are never wrong.
 
-    Null or wordless texts have 0 shingles and are linked with nothing. Rows without
-    an id are linked to rows of equal sets only. Repeated rows stay, each with the
-    same result; ids are compared, so two texts under one id are one vertex. Columns
-    other than the two are not read. An empty table gives an empty result.
+    Null or wordless texts have 0 shingles and are linked with nothing. Rows are
+    compared, not ids: rows without an id link others as well, and two texts under one
+    id are two documents. component_id is null where a component has no id at all, and
+    kept false in a row without one. Repeated rows stay, each with the same result. Of a
+    very long text a task holds some 30 bytes a byte. Columns other than the two are not
+    read, whatever their names; `row_col` may name a long that tells rows apart, else
+    they are numbered. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    taken = [F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text_col}`").alias("text")]
+    if row_col is None:
+        docs = numbered(docs, *taken, key="id")
+    else:
+        docs = docs.select(*taken, F.col(f"`{row_col}`").alias("id"))
 
     def stored(df: DataFrame, label: str) -> DataFrame:
         path = scratch_path(spark, f"minhash-{label}")
@@ -243,7 +255,7 @@ def near_duplicates(
 
     made = stored(signatures(docs, width, bands, rows, seed), "signatures")
     nonempty = made.where("n_shingles > 0")
-    classes = nonempty.groupBy("set_a", "set_b").agg(F.min("id").alias("class"))
+    classes = nonempty.groupBy("set_a", "set_b").agg(F.min("id").alias("class"), F.min("doc").alias("least"))
     named = made.join(classes.select(F.col("class").alias("id")).distinct(), "id", "left_semi")
     keyed = named.where("n_shingles > 0").select(
         "id", F.col("n_shingles").alias("n"), F.explode("bands").alias("key")
@@ -257,7 +269,7 @@ def near_duplicates(
 
     pairs = shared.where((F.col("id") != F.col("pivot")) & _close_sizes(percent, "n", "pivot_n"))
     pairs = pairs.select(F.col("id").alias("x"), F.col("pivot").alias("y")).distinct()
-    sets = stored(_candidate_sets(docs, shared.select("id"), width), "sets")
+    sets = stored(_candidate_sets(docs, shared.select("id").distinct(), width), "sets")
     links = stored(_links(pairs, sets, percent), "links")
     reached = connected_components(links)
 
@@ -274,19 +286,21 @@ def near_duplicates(
     reached = connected_components(stars.unionAll(more))
 
     placed = classes.join(reached, F.col("class") == F.col("vertex"), "left").select(
-        "set_a", "set_b", F.coalesce("component", "class").alias("component")
+        "set_a", "set_b", "least", F.coalesce("component", "class").alias("its")
     )
+    named = placed.groupBy(F.col("its").alias("component")).agg(F.min("least").alias("component_id"))
+    placed = placed.join(named, F.col("its") == F.col("component"))
     # The empty set takes part in no class; its digest is zero and joins with nothing.
     mine = (F.col("m.set_a") == F.col("c.set_a")) & (F.col("m.set_b") == F.col("c.set_b"))
-    component = F.coalesce(F.when(F.col("m.n_shingles") > 0, F.col("c.component")), F.col("m.id"))
+    component = F.when(F.col("m.n_shingles") > 0, F.col("c.component_id")).otherwise(F.col("m.doc"))
     return (
-        made.select("id", "n_shingles", "set_a", "set_b")
+        made.select("doc", "n_shingles", "set_a", "set_b")
         .alias("m")
         .join(placed.alias("c"), mine, "left")
         .select(
-            F.col("m.id").alias(id_col),
+            F.col("m.doc").alias(id_col),
             "m.n_shingles",
             component.alias("component_id"),
-            F.coalesce(F.col("m.id") == component, F.lit(False)).alias("kept"),
+            F.coalesce(F.col("m.doc") == component, F.lit(False)).alias("kept"),
         )
     )

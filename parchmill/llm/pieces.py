@@ -28,6 +28,7 @@ from parchmill.llm.arrays import Texts, fresh, text_slices
 
 MARKER = "▁"
 LANES = 1 << 15
+LANE_BYTES = 1 << 20  # of all units that step together, each as long as the longest
 LONG_UNIT = 512  # bytes; longer units are solved one by one
 UNKNOWN_PENALTY = 10.0  # fixed value: what an unknown character costs beyond the worst piece
 _SPACE = 32
@@ -256,9 +257,12 @@ class PieceModel:
             for at, found in self._one(unit):
                 out[start[k] + at] = found if found >= 0 else -2
         rest = order[many:]
-        for k in range(0, len(rest), LANES):
-            chosen = rest[k : k + LANES]
+        k = 0
+        while k < len(rest):
+            most = max(1, min(LANES, LANE_BYTES // int(size[rest[k]])))
+            chosen = rest[k : k + most]
             self._lanes(data, start[chosen], size[chosen], out)
+            k += most
         unknown = np.flatnonzero(out == -2)
         width = _CHAR_SIZE[data[unknown]]
         for k in range(4):  # the pieces of its bytes
@@ -279,22 +283,28 @@ def _char_size(first: int) -> int:
 
 
 def encode(
-    docs: DataFrame, model: PieceModel, text_col: str = "text", ids_col: str = "ids"
+    docs: DataFrame,
+    model: PieceModel,
+    text_col: str = "text",
+    ids_col: str = "ids",
+    keep: Sequence[str] | None = None,
 ) -> DataFrame:
     """The rows with a column of their whole text's piece ids, in one pass.
 
     Null and empty texts have no ids. A marker in the text is taken for a space. The
-    columns of `docs` stay, but for one named like `ids_col`, which is replaced.
-    Repeated rows stay. The model (a few megabytes, by its number of pieces) goes to
+    columns of `docs` (or those in `keep`) stay, but for one named like `ids_col`, in
+    any case, which is replaced. Repeated rows stay. The model (a few megabytes, by its number of pieces) goes to
     every task.
     """
-    kept = [c for c in docs.columns if c.lower() != ids_col.lower()]
-    text = fresh(kept, "text")
-    taken = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").alias(text))
+    kept = [c for c in (docs.columns if keep is None else keep) if c.lower() != ids_col.lower()]
+    taken = docs.select(*[F.col(f"`{c}`") for c in kept])
+    at = kept.index(text_col) if text_col in kept else len(kept)
+    if at == len(kept):
+        taken = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").alias(fresh(kept, "text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = pc.replace_substring(batch.column(len(kept)), MARKER, " ")
+            column = pc.replace_substring(batch.column(at), MARKER, " ")
             for texts in text_slices(column):
                 ids, offsets = model.encode_texts(texts)
                 made = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))

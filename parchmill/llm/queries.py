@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,7 +35,7 @@ def prepare(spark: SparkSession) -> None:
     ship_package(spark)
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     # Texts travel to Python in batches of at most this size.
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def query(run: Query) -> Query:
@@ -208,7 +209,12 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+def piece_model(spark: SparkSession) -> str:
+    """The model file that the session's setting names."""
+    path = spark.conf.get("parchmill.pieceModel", "/opt/tokenizers/piece_bpe_32k.model")
+    if not Path(path).is_file():
+        raise FileNotFoundError(f"no piece model at {path}: name one in the setting parchmill.pieceModel")
+    return path
 
 
 _TOP_K_SQL = """
@@ -236,9 +242,9 @@ def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query
-def op9_sentencepiece(spark: SparkSession, sf_dir: str, path: str = PIECE_MODEL) -> DataFrame:
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's piece ids, and whether decoding them gives its text back."""
-    model = pieces.PieceModel.load(path)
+    model = pieces.PieceModel.load(piece_model(spark))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     made = pieces.decode(pieces.encode(docs, model), model)
     same = pieces.same_text(F.col("text"), F.col("decoded"))

@@ -63,16 +63,16 @@ _ASSIGNED = (
     rf"{_SECRET_NAME}+[\"'`]?[\x00-\x20]*+(?::=|=>|[=:])[\x00-\x20]*+[\"'`]?(?:(?:bearer|basic)[\x00-\x20]++)?"
 )
 # A quote ends a quoted value; another one ends before the next NAME= of a list and
-# before closing punctuation.
+# before closing punctuation. No part of it is tried twice.
+_SOLID = r"[^\x00-\x20\"'`&;,.)\]}>]"
 _VALUE = (
     rf"(?=[^\x00-\x20\"'`]{{{MIN_VALUE}}})(?:(?<=[\"'`])[^\x00-\x20\"'`]++"
-    r"|[^\x00-\x20\"'`=:&;,][^\x00-\x20\"'`&;,]*(?:[&;,](?![A-Za-z0-9_.\-]+[=:])[^\x00-\x20\"'`&;,]*){0,20}"
-    r"(?<![&;,.)\]}>]))"
+    rf"|(?:(?![=:]){_SOLID}|[.)\]}}>]++(?={_SOLID}))"
+    rf"(?:{_SOLID}|(?:[.)\]}}>]|[&;,](?![A-Za-z0-9_.\-]++[=:]))++(?={_SOLID}))*+)"
 )
 _SENT = r"(?<![a-z0-9])(?:bearer|authorization)\s+[\"'`]?"
 # A value follows, whatever it holds. Of several names one that means a secret counts,
 # the first of them, as its value may hold '='; otherwise the last.
-_NEAR = 1024  # characters before a value that are searched for its name
 _VALUE_AHEAD = rf"(?=[^=].{{{MIN_VALUE - 1}}})"
 _SECRET_HEAD = rf"(?i)^(.*?{_SECRET_NAME}=){_VALUE_AHEAD}"
 _LAST_HEAD = rf"^((?:.*[^A-Za-z0-9_\-])?[A-Za-z_][A-Za-z0-9_\-]*=){_VALUE_AHEAD}"
@@ -96,14 +96,14 @@ def _marked(text: Column) -> Column:
 
 
 def _assigned(before: Column) -> Column:
-    return F.right(before, F.lit(_NEAR)).rlike(f"(?i){_ASSIGNED}$")
+    return before.rlike(f"(?i){_ASSIGNED}$")
 
 
 def _is_candidate(run: Column, head: Column, before: Column) -> Column:
     """Whether what follows `head` in the run counts: a run with a digit, its name
     included, or a value assigned to a name that means a secret."""
     value = F.length(run) - F.length(head) >= MIN_VALUE
-    return _is_run(run) | (value & _assigned(F.concat(F.right(before, F.lit(_NEAR)), head)))
+    return _is_run(run) | (value & _assigned(F.concat(before, head)))
 
 
 def _value_head(run: Column, before: Column) -> Column:
@@ -111,11 +111,15 @@ def _value_head(run: Column, before: Column) -> Column:
     return F.when(_assigned(before), "").otherwise(_head(run))
 
 
+def _without_last(run: Column, first: Column) -> Column:
+    return F.transform(F.slice(run, F.lit(1), F.size(run) - 1), lambda x: first + x)
+
+
 def candidates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source"
 ) -> DataFrame:
-    """Every candidate of every whole text, one row each: id, nth (from 0), start (in
-    code points), candidate, before, after, path. Of a run NAME=value the value is a
+    """Every candidate of every whole text, one row each: id, nth (from 0), slot (where
+    redact() finds it), start (in code points), candidate, before, after, path. Of a run NAME=value the value is a
     candidate, and what is before the '=' another if it would be one alone.
 
     A text without candidates gives no row, and so do null and empty ones. A text is
@@ -130,15 +134,18 @@ def candidates(
     parts = parts.select("id", "path", F.split("marked", _MARK).alias("p"))
     parts = parts.withColumn("runs", _running_lengths("p"))
     totals = F.transform("runs", lambda r: F.element_at(r, -1))
-    parts = parts.withColumn("starts", _running_sums(totals))
+    firsts = F.slice(_running_sums(totals), F.lit(1), F.size("runs"))
+    starts = F.zip_with("runs", firsts, _without_last)
+    # An array looked up in a lambda may be made anew for each element; one zipped is not.
+    zipped = F.arrays_zip(F.col("p").alias("run"), F.flatten(starts).alias("start"))
 
     def cut(part: Column, k: Column) -> Column:
-        block, place = F.floor(k / _BLOCK).cast("int"), k % _BLOCK
         return F.struct(
-            (F.get(F.col("starts"), block) + F.get(F.get(F.col("runs"), block), place)).alias("start"),
-            part.alias("run"),
+            (k * 2).alias("slot"),
+            part["start"].alias("start"),
+            part["run"].alias("run"),
             # Every second part is a run.
-            F.when(k % 2 == 1, _value_head(part, F.get(F.col("p"), k - 1))).alias("head"),
+            F.when(k % 2 == 1, _value_head(part["run"], F.get(F.col("p"), k - 1))).alias("head"),
             F.get(F.col("p"), k - 1).alias("before"),
             F.get(F.col("p"), k + 1).alias("after"),
         )
@@ -147,24 +154,25 @@ def candidates(
         size = F.length(c["head"])
         name, value = F.left(c["head"], size - 1), F.right(c["run"], F.length(c["run"]) - size)
 
-        def one(start: Column, candidate: Column, before: Column, after: Column) -> Column:
+        def one(slot: Column, start: Column, candidate: Column, before: Column, after: Column) -> Column:
             return F.struct(
+                slot.alias("slot"),
                 start.alias("start"),
                 candidate.alias("candidate"),
                 F.right(before, F.lit(BESIDE)).alias("before"),
                 F.left(after, F.lit(BESIDE)).alias("after"),
             )
 
-        as_name = one(c["start"], name, c["before"], F.concat(F.lit("="), value, c["after"]))
-        as_value = one(c["start"] + size, value, F.concat(c["before"], c["head"]), c["after"])
+        as_name = one(c["slot"], c["start"], name, c["before"], F.concat(F.lit("="), value, c["after"]))
+        as_value = one(c["slot"] + 1, c["start"] + size, value, F.concat(c["before"], c["head"]), c["after"])
         values = F.when(_is_candidate(c["run"], c["head"], c["before"]), F.array(as_value))
         values = F.coalesce(values, F.filter(F.array(as_value), lambda c: F.lit(False)))
         return F.when(_is_run(name), F.concat(F.array(as_name), values)).otherwise(values)
 
-    cuts = F.filter(F.transform("p", cut), lambda c: c["head"].isNotNull())
+    cuts = F.filter(F.transform(zipped, cut), lambda c: c["head"].isNotNull())
     found = F.flatten(F.transform(cuts, found_in))
     found = parts.select("id", "path", F.posexplode(found).alias("nth", "c"))
-    return found.select("id", "nth", "c.start", "c.candidate", "c.before", "c.after", "path")
+    return found.select("id", "nth", "c.slot", "c.start", "c.candidate", "c.before", "c.after", "path")
 
 
 _BLOCK = 512
@@ -180,8 +188,8 @@ def _running_sums(numbers: Column) -> Column:
 
 
 def _running_lengths(parts: str) -> Column:
-    """_running_sums of the parts' lengths in blocks of _BLOCK, which keeps the work in
-    proportion to their number."""
+    """Sums of the lengths of the parts before each, in blocks of _BLOCK, which keeps the
+    work in proportion to their number; the last one of all is the sum of all."""
     blocks = F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / _BLOCK).cast("int"))
     return F.transform(
         blocks,
@@ -230,12 +238,50 @@ def with_features(found: DataFrame, dictionary: Sequence[str] = DICTIONARY) -> D
     return found.select("*", *[F.coalesce(v.cast("double"), F.lit(0.0)).alias(k) for k, v in values.items()])
 
 
+# The shapes of well-known keys and tokens.
+KEY_SHAPES = (
+    "AKIA[0-9A-Z]{16}", "AIza[0-9A-Za-z_-]{35}", "eyJ[A-Za-z0-9_-]{8,}[.]eyJ[A-Za-z0-9_-]{8,}[.][A-Za-z0-9_-]+",
+    "gh[opsu]_[0-9A-Za-z]{36}", "glpat-[0-9A-Za-z_-]{20}", "[rs]k_(?:live|test)_[0-9A-Za-z]{16,}",
+    "xox[abps]-[0-9A-Za-z-]{10,}",
+)
+# Parts of values that stand where a secret would.
+PLACEHOLDERS = (
+    "[<{$%]", "change.?me", "dummy", "example", "fake", "insert", "placeholder", "redacted", "replace", "sample",
+    "test", "todo", "your.?", "xxx", "[*][*]",
+)
+
+
 def label_by_rule(found: DataFrame) -> DataFrame:
-    """Findings labelled without a person: a value assigned to a name that means a
+    """Findings labelled by their name alone: a value assigned to a name that means a
     secret, or sent as one (Bearer ...), is one (label 1.0), anything else is not (0.0)."""
     return found.withColumn("label", F.col("before").rlike(rf"(?i)(?:{_ASSIGNED}|{_SENT})$").cast("double"))
 
 
+def label_by_evidence(found: DataFrame) -> DataFrame:
+    """Findings labelled without a person, where there is evidence beyond the name.
+
+    A secret (1.0) has the shape of a known key, or a secret's name and a value of many
+    different characters of several kinds. None (0.0) is a placeholder, a UUID, a value
+    that hardly changes, a number, or a digest that its name or prefix calls one. What
+    there is no evidence on has no label: the forest is to judge it, not to learn that it
+    is harmless.
+    """
+    c, before = F.col("candidate"), F.col("before")
+    named = before.rlike(rf"(?i)(?:{_ASSIGNED}|{_SENT})$")
+    known = c.rlike(f"^(?:{'|'.join(KEY_SHAPES)})$")
+    different = F.size(F.array_distinct(F.split(c, "")))
+    kinds = sum(c.rlike(p).cast("int") for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
+    strong = (different >= 8) & (kinds >= 2)
+    placeholder = c.rlike(f"(?i){'|'.join(PLACEHOLDERS)}")
+    uuid = c.rlike("(?i)^[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}$")
+    digest = c.rlike("^[0-9a-f]{16,128}$") & before.rlike(
+        r"(?i)(?<![a-z0-9])(?:checksum|commit|digest|etag|integrity|md5|revision|sha-?\d+)[\"'`]?[\s:=]+[\"'`]?$"
+    )
+    harmless = placeholder | uuid | digest | c.rlike("^[0-9.,:+/ -]+$") | (different <= 4)
+    label = F.when(known & ~placeholder, 1.0).when(harmless, 0.0).when(named & strong, 1.0)
+    return found.withColumn("label", label)
+
+
 def train(
     labelled: DataFrame,
     trees: int = 20,
@@ -290,13 +336,13 @@ def scan(
     """All findings of all texts, with the forest's probability and verdict.
 
     `labelled` are candidates with a label; by default those of `docs` themselves,
-    labelled by rule. Columns: the id, nth, start, candidate, before, after, path,
+    labelled by evidence. Columns: the id, nth, start, candidate, before, after, path,
     probability, is_secret. See candidates() for nulls, empty and repeated rows.
     """
     path = scratch_path(docs.sparkSession, "candidates")
     candidates(docs, id_col, text_col, path_col).write.parquet(path)  # texts are read once
     found = docs.sparkSession.read.parquet(path)
-    model = train(labelled if labelled is not None else label_by_rule(found))
+    model = train(labelled if labelled is not None else label_by_evidence(found))
     return classify(found, model).withColumnRenamed("id", id_col)
 
 
@@ -309,35 +355,44 @@ def redact(
 ) -> DataFrame:
     """The rows with each secret of their text replaced; all other text stays.
 
-    A secret is replaced wherever a text of that id has it as a candidate of its own.
-    Findings are gathered by id, each secret once. Rows without an id, text or secret
-    stay as they are. The columns of `docs` keep names, order and types.
+    `findings` are scan()'s of these rows, and `id_col` tells rows apart: number them
+    (rows.numbered) where ids are missing or repeated. A secret is replaced wherever the
+    row's text has the same value as a candidate, whatever the verdict there. Rows
+    without an id, text or secret stay as they are, and so do all columns' names, order
+    and types. The work grows with the text and its candidates, not their product.
     """
-    secrets = findings.where("is_secret").where(F.col(id_col).isNotNull())
-    secrets = secrets.groupBy(F.col(id_col).alias("__id")).agg(F.collect_set("candidate").alias("__secrets"))
+    same = findings.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id"), "candidate")
+    same = same.agg(F.max("is_secret").alias("secret"), F.collect_list("slot").alias("slots"))
+    # One byte a slot, 1 for those to replace: a place among bytes is read at once.
+    slots = F.array_sort(F.flatten(F.collect_list("slots")))
+    secrets = same.where("secret").groupBy("__id").agg(slots.alias("slots"))
+    after = F.concat(F.array(F.lit(-1)), F.col("slots"))
+    gaps = F.zip_with("slots", F.slice(after, F.lit(1), F.size("slots")), lambda here, last: here - last - 1)
+    marks = F.array_join(F.transform(gaps, lambda g: F.concat(F.repeat(F.lit("0"), g), F.lit("1"))), "")
+    secrets = secrets.select("__id", F.encode(marks, "UTF-8").alias("__marks"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
     both = rows.join(secrets, F.col("__row")[id_col] == F.col("__id"), "left")
     text = F.col("__row")[text_col]
     # The text is cut as for candidates(), with signs like _MARK spelled in others.
     spelled = F.replace(F.replace(text, F.lit("\u0002"), F.lit("\u0002\u0004")), F.lit(_MARK), F.lit("\u0002\u0003"))
-
+    both = both.withColumn("__parts", F.when(F.col("__marks").isNotNull(), F.split(_marked(spelled), _MARK)))
     parts = F.col("__parts")
 
     def cleaned(part: Column, k: Column) -> Column:
-        def stood_in(c: Column) -> Column:
-            return F.when(F.array_contains("__secrets", c), F.lit(stand_in)).otherwise(c)
+        def stood_in(c: Column, slot: Column) -> Column:
+            hidden = F.substring(F.col("__marks"), slot + 1, F.lit(1)) == F.lit(b"1")
+            return F.when(hidden, F.lit(stand_in)).otherwise(c)
 
         before = F.get(parts, k - 1)
         head = _value_head(part, before)
         name, value = F.left(head, F.length(head) - 1), F.right(part, F.length(part) - F.length(head))
-        value = F.when(_is_candidate(part, head, before), stood_in(value)).otherwise(value)
-        head = F.when(_is_run(name), F.concat(stood_in(name), F.lit("="))).otherwise(head)
+        value = F.when(_is_candidate(part, head, before), stood_in(value, k * 2 + 1)).otherwise(value)
+        head = F.when(_is_run(name), F.concat(stood_in(name, k * 2), F.lit("="))).otherwise(head)
         return F.when(k % 2 == 0, part).otherwise(F.concat(head, value))
 
-    both = both.withColumn("__parts", F.when(F.col("__secrets").isNotNull(), F.split(_marked(spelled), _MARK)))
     clean = F.array_join(F.transform(parts, cleaned), "")
     clean = F.replace(F.replace(clean, F.lit("\u0002\u0003"), F.lit(_MARK)), F.lit("\u0002\u0004"), F.lit("\u0002"))
-    clean = F.when(F.col("__secrets").isNull(), text).otherwise(clean)
+    clean = F.when(F.col("__marks").isNull(), text).otherwise(clean)
     return both.select(
         *[clean.alias(c) if c == text_col else F.col("__row")[c].alias(c) for c in docs.columns]
     )

@@ -7,7 +7,7 @@ import zlib
 import pytest
 
 from parchmill.llm import queries
-from parchmill.llm.language_id import PIECE, Samples, identify, learn
+from parchmill.llm.language_id import Samples, identify, learn
 
 
 def read(text):
@@ -23,15 +23,14 @@ def read(text):
 def phrases(text, sample):
     """Greedy longest matches, with Python's own search."""
     count, text, sample = 0, read(text), read(sample.decode())
-    for p in range(0, len(text), PIECE):
-        piece, at = text[p : p + PIECE], 0
-        while at < len(piece):
+    at = 0
+    while at < len(text):
+        n = 1
+        while at + n < len(text) and text[at : at + n + 1] in sample:
+            n += 1
+        if n > 1 and text[at : at + 1] not in sample:
             n = 1
-            while at + n < len(piece) and piece[at : at + n + 1] in sample:
-                n += 1
-            if n > 1 and piece[at : at + 1] not in sample:
-                n = 1
-            count, at = count + 1, at + n
+        count, at = count + 1, at + n
     return count * math.log2(len(sample) + 2)
 
 
@@ -51,6 +50,19 @@ def test_equals_a_plain_parse(make, seed):
         assert found[k]["score"] == pytest.approx(1 - min(costs) / max(costs))
 
 
+def test_phrases_run_over_the_edges_of_pieces(make):
+    """Texts whose pieces have no common beginning with what runs into them, too."""
+    samples = Samples((("x", b"a" * 700 + b" " + b"ab" * 500), ("y", b"abcabcab" * 90)))
+    texts = ["a" * 9000, "ab" * 4000, "abc" * 3000, "a" * 5000 + "ab" * 3000 + "b" * 2000, "ba" * 511 + "a" * 3000]
+    texts += ["a" * n for n in (1023, 1024, 1025, 2048, 2049)]
+    found = {r["doc_id"]: r for r in identify(make(list(enumerate(texts * 20))), samples).collect()}
+    for k, t in enumerate(texts):
+        costs = [phrases(t, s) for _, s in samples.texts]
+        assert found[k]["lang_pred"] == ("x" if costs[0] <= costs[1] else "y")
+        assert found[k]["score"] == pytest.approx(1 - min(costs) / max(costs))
+        assert {found[k + len(texts) * j]["score"] for j in range(20)} == {found[k]["score"]}
+
+
 def test_query_accuracy_on_held_out_documents(spark, sf_dir, documents):
     rows = {r["doc_id"]: r for r in queries.QUERIES["op7_language_id"](spark, sf_dir).collect()}
     assert len(rows) == len(documents)
@@ -83,6 +95,8 @@ def test_edges(spark, make):
     assert {(r["lang_pred"], r["score"]) for r in identify(make(rows), nothing).collect()} == {("und", 0.0)}
     one = learn(train.where("lang = 'en'"))
     assert [r["score"] for r in identify(make(rows[3:4]), one).collect()] == [1.0]
+    with pytest.raises(ValueError, match="Lang_Pred"):
+        identify(make(rows, Lang_Pred="a"), samples, keep=("Lang_Pred",))
     kept = identify(make(rows[:4], lang="z"), samples, keep=("lang", "text")).columns
     assert kept == ["doc_id", "lang", "text", "lang_pred", "score"]
 

@@ -2,9 +2,11 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 
-from parchmill.llm import queries
+from parchmill.llm import minhash, queries
+from parchmill.llm.arrays import split_words, text_slices, word_hashes
 from parchmill.llm.components import connected_components
 from parchmill.llm.minhash import near_duplicates
 
@@ -115,15 +117,38 @@ def test_edge_cases(make):
     assert near_duplicates(make([])).collect() == []
 
 
-def test_rows_without_an_id(make):
-    rows = [(None, "a b c"), (4, "a b c"), (None, "d e f"), (None, None)]
+def test_rows_without_an_id_or_with_the_same(make):
+    words = [f"w{k}" for k in range(30)]
+    near = [" ".join(words[:n]) for n in (28, 29, 30)]
+    rows = [(None, near[0]), (9, near[1]), (4, near[2]), (None, "d e f"), (None, None), (7, "x y z"), (7, "p q r"), (5, "x y z")]
     found = near_duplicates(make(rows)).collect()
-    assert sorted((r["doc_id"] or 0, r["component_id"] or 0, r["kept"]) for r in found) == [
-        (0, 0, False),
-        (0, 0, False),
-        (0, 4, False),
-        (4, 4, True),
-    ]
+    said = [(r["doc_id"], r["component_id"], r["kept"]) for r in found]
+    expected = [(None, 4, False), (9, 4, False), (4, 4, True), (None, None, False), (None, None, False)]
+    expected += [(7, 5, False), (7, 7, True), (5, 5, True)]
+    assert sorted(map(str, said)) == sorted(map(str, expected))
+
+
+def test_a_full_bitmap_changes_nothing(make, monkeypatch):
+    rows = near_copies(3)
+    monkeypatch.setattr(minhash, "LEAST_BITS", 64)
+    monkeypatch.setattr(minhash, "MOST_BITS", 64)
+    assert got(near_duplicates(make(rows), width=3)) == brute(rows, 3, 80)
+
+
+def test_word_hashes_of_long_and_short_words():
+    """Words have one hash wherever they stand, alone or among others."""
+    texts = ["a" * 5000 + " b", "b " + "a" * 5000, "x" * (1 << 20) + " b " + "a" * 5000, "é", "B"]
+    found = []
+    for part in ([t] for t in texts):
+        for piece in text_slices(pa.array(part)):
+            words = split_words(piece, minhash._IN_WORD)
+            found.append(word_hashes(piece.data, words).tolist())
+    long, b = found[0]
+    assert found[1] == [b, long] and found[2][1:] == [b, long] and found[4] == [b]
+    together = next(text_slices(pa.array(texts), 1 << 30))
+    words = split_words(together, minhash._IN_WORD)
+    assert word_hashes(together.data, words).tolist() == sum(found, [])
+    assert len({*sum(found, [])}) == 4
 
 
 def test_components_of_a_path_a_hub_and_a_circle(spark):

@@ -4,9 +4,12 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from parchmill.llm.pieces import PieceModel
+from parchmill.llm.queries import piece_model
+from parchmill.llm.rows import numbered
 from parchmill.session import scratch_path
 from tests.llm.test_minhash import brute
 
@@ -75,9 +78,9 @@ def test_mix(stages):
     assert abs(sum(words.values()) - sum(size.values())) <= largest / 2 * len(size)
 
 
-def test_pieces(stages):
+def test_pieces(spark, stages):
     before, after = stages[4:6]
-    model = PieceModel.load(corpus_pipeline.PIECE_MODEL)
+    model = PieceModel.load(piece_model(spark))
     text = {d["doc_id"]: d["text"] for d in before}
     assert Counter(ids(before)) == Counter(ids(after))
     for r in after:
@@ -160,13 +163,36 @@ def test_rows_of_files_keep_their_numbers(spark, tmp_path):
     rows = [(None, f"text {k}", "en", "s", k) for k in range(500)]
     spark.createDataFrame(rows, KINDS).repartition(5).write.parquet(str(tmp_path / "docs"))
     docs = spark.read.parquet(str(tmp_path / "docs"))
-    made = corpus_pipeline.numbered(spark, docs)
-    assert made.columns == [*docs.columns, corpus_pipeline.ROW]
-    first = {r[corpus_pipeline.ROW]: r["n_chars"] for r in made.collect()}
+    made = numbered(docs, F.col("n_chars"))
+    assert made.columns == ["n_chars", "key"]
+    first = {r["key"]: r["n_chars"] for r in made.collect()}
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
     try:
-        again = {r[corpus_pipeline.ROW]: r["n_chars"] for r in made.where("n_chars >= 0").repartition(3).collect()}
+        again = {r["key"]: r["n_chars"] for r in made.where("n_chars >= 0").repartition(3).collect()}
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert first == again and sorted(first.values()) == list(range(500))
+
+
+CLASHING = (
+    "score", "Lang_Pred", "file_path", "ROW_INDEX", "number", "__hash", "__row_number", "_metadata", "ids",
+    "row", "key", "group", "order", "candidate", "marks", "copies",
+)
+
+
+@pytest.mark.parametrize("from_files", [False, True])
+def test_stages_stand_any_further_columns(spark, sf_dir, tmp_path, from_files):
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(40)
+    docs = rows.select("*", *[F.concat(F.lit(f"{c} of "), "doc_id").alias(c) for c in CLASHING])
+    names = docs.columns
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        if from_files:
+            docs.write.parquet(str(tmp_path / f"{k}"))
+            docs = spark.read.parquet(str(tmp_path / f"{k}"))
+        docs = stage(spark, docs, sf_dir)
+        if k < 4:
+            assert docs.columns == names
+            for r in docs.collect():
+                assert all(r[c] == f"{c} of {r['doc_id']}" for c in CLASHING)
+    assert docs.columns == ["doc_id", "lang", "source", "ids", "n_tokens"] and docs.count() > 20
