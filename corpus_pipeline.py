@@ -4,38 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parchmill.llm import language_id, minhash, mixing, pieces, secret_scan
-from parchmill.llm.queries import PIECE_MODEL, prepare
+from parchmill.llm.arrays import fresh
+from parchmill.llm.queries import piece_model, prepare
+from parchmill.llm.rows import numbered
 from parchmill.session import scratch_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-ROW = "__row_number"
+def whole(docs: DataFrame, *but: str) -> Column:
+    """The rows' columns, but for some, in one: so no name of theirs can clash."""
+    return F.struct(F.lit(0), *[F.col(f"`{c}`") for c in docs.columns if c not in but]).alias("row")
 
 
-def numbered(spark: SparkSession, docs: DataFrame, *more: Column) -> DataFrame:
-    """The rows (and further columns) with a number of their own in ROW: ids may be
-    missing or repeated. Rows of files have the number of their file and their place in
-    it, the same in every scan; others are written down with theirs."""
-    path = scratch_path(spark, "pipeline-rows")
-    try:
-        rows = docs.select("*", *more, F.col("_metadata.file_path"), F.col("_metadata.row_index"))
-    except AnalysisException:  # no file, or none that numbers its rows
-        rows = docs.select("*", *more, F.monotonically_increasing_id().alias(ROW))
-        rows.write.parquet(path)
-        return spark.read.schema(rows.schema).parquet(path)
-    files = docs.select(F.col("_metadata.file_path").alias("its_file")).distinct()
-    files = files.withColumn("number", F.row_number().over(Window.orderBy("its_file")).cast("long"))
-    files.write.parquet(path)
-    files = spark.read.schema(files.schema).parquet(path)
-    rows = rows.join(files, F.col("file_path") == F.col("its_file"))
-    row = F.shiftleft("number", 40).bitwiseOR(F.col("row_index")).alias(ROW)
-    return rows.select(*rows.columns[:-4], row)
+def columns_of(docs: DataFrame, **replaced: Column) -> list[Column]:
+    """The columns of whole(), some replaced, in the order and with the types of `docs`."""
+    return [replaced.get(f.name, F.col(f"row.`{f.name}`")).cast(f.dataType).alias(f.name) for f in docs.schema]
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,9 +33,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     samples = language_id.learn(docs)
     if not samples.texts:
         return docs.where(language_id.has_letter(F.col("text")))
-    found = language_id.identify(docs, samples, keep=tuple(docs.columns))
-    kept = found.where(F.col("lang_pred") != language_id.UNDETERMINED)
-    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    said, score = fresh(docs.columns, "lang_pred"), fresh(docs.columns, "score")
+    found = language_id.predicted(docs, samples, lang_col=said, score_col=score)
+    kept = found.where(F.col(said) != language_id.UNDETERMINED)
+    return kept.withColumn("lang", F.coalesce("lang", said)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,30 +44,33 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     without an id come last. Of texts without words only equal ones of one id, or of
     none, are duplicates."""
     prepare(spark)
-    rows = numbered(spark, docs, F.xxhash64("text").alias("__hash"))
-    found = minhash.near_duplicates(rows, id_col=ROW).drop("kept")
-    found = found.join(rows.select(ROW, F.col("doc_id").alias("id"), F.col("__hash").alias("hash")), ROW)
+    rows = numbered(docs, whole(docs))
+    texts = rows.select("key", F.col("row.text").alias("text"))
+    found = minhash.near_duplicates(texts, id_col="key", row_col="key").drop("kept")
+    marks = rows.select(F.col("key").alias("k"), F.col("row.doc_id").alias("id"), F.xxhash64("row.text").alias("hash"))
+    found = found.join(marks, F.col("key") == F.col("k"))
     wordless = F.when(F.col("n_shingles") == 0, F.struct("id", "hash"))
     group = F.when(wordless.isNull(), F.col("component_id"))
-    order = F.struct(F.col("id").isNull().alias("last"), "id", F.col(ROW).alias("row"))
-    found = found.select(ROW, group.alias("group"), wordless.alias("wordless"), order.alias("order"))
+    order = F.struct(F.col("id").isNull().alias("last"), "id", "key")
+    found = found.select("key", group.alias("group"), wordless.alias("wordless"), order.alias("order"))
     path = scratch_path(spark, "pipeline-groups")
     found.write.parquet(path)
     found = spark.read.schema(found.schema).parquet(path)
     first = found.groupBy("group", "wordless").agg(F.min("order").alias("first"), F.count("*").alias("n"))
     first = first.where("n > 1").select(F.col("group").alias("g"), F.col("wordless").alias("w"), "first")
     same = F.col("group").eqNullSafe(F.col("g")) & F.col("wordless").eqNullSafe(F.col("w"))
-    gone = found.join(first, same).where(F.col(ROW) != F.col("first.row")).select(ROW)
-    return rows.join(gone, ROW, "left_anti").select(*docs.columns)
+    gone = found.join(first, same).where(F.col("key") != F.col("first.key")).select("key")
+    return rows.join(gone, "key", "left_anti").select(*columns_of(docs))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced in the text; every document stays. Findings are those of a
     row, whatever its id."""
     prepare(spark)
-    rows = numbered(spark, docs)
-    made = secret_scan.redact(rows, secret_scan.scan(rows, id_col=ROW), id_col=ROW)
-    return made.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    rows = numbered(docs, whole(docs, "text"), F.col("text"))
+    found = secret_scan.scan(rows.select("key", "text", F.col("row.source").alias("source")), id_col="key")
+    made = secret_scan.redact(rows, found, id_col="key")
+    return made.select(*columns_of(docs, text=F.col("text"), n_chars=F.length("text")))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -92,8 +84,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, ids and n_tokens."""
     prepare(spark)
-    model = pieces.PieceModel.load(PIECE_MODEL)
-    made = pieces.encode(docs, model)
+    model = pieces.PieceModel.load(piece_model(spark))
+    made = pieces.encode(docs, model, keep=("doc_id", "lang", "source"))
     return made.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"))
 
 
