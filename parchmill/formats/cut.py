@@ -1,8 +1,8 @@
 """Cut the XML parts of Office files into records, as a stream.
 
-A record is one paragraph, shape, row or shared string. What comes out of a task is its
-bare markup: the tags that carry text or a value, without prefixes and in order. Text,
-values and dates are made of it by Spark expressions.
+A record is one paragraph, shape or row. What comes out of a task is its bare markup (the
+tags that carry text, without prefixes and in order) or, of a row, the fields of its
+cells as they are stored. Text, values and dates are made of it by Spark expressions.
 """
 
 from __future__ import annotations
@@ -11,15 +11,18 @@ from collections.abc import Callable, Iterator
 from typing import BinaryIO
 from xml.etree import ElementTree as ET
 from xml.parsers import expat
-from xml.sax.saxutils import escape, quoteattr
+from xml.sax.saxutils import escape
 
 from parchmill.formats.opc import Package, local
+from parchmill.formats.strings import SharedStrings
 
 _CHUNK = 1 << 16
 # Characters of a record after which it goes on in another piece.
 PIECE_CHARS = 4_000_000
 # Fixed value: the last row a sheet can have.
 LAST_ROW = 1_048_576
+# Between the cells of a row and the fields of a cell: signs that no XML text can hold.
+CELL, FIELD = "\x1e", "\x1f"
 
 Attributes = dict[str, str]
 
@@ -166,6 +169,10 @@ class _Strings(_Cutter):
     def __init__(self):
         super().__init__(("sst", "si"))
 
+    def _characters(self, data: str) -> None:
+        if self.text:
+            self.out.append(data)
+
     def begin(self, below: tuple[str, ...], attributes: Attributes) -> None:
         self.text = below in (("t",), ("r", "t"))
 
@@ -186,23 +193,28 @@ def _position(ref: str) -> tuple[int, int]:
 
 
 class _Rows(_Cutter):
-    """<c n="column from 0" t="type" d="number format"> with <v>, <f> and <is> in it.
+    """The cells of a row, in order: column from 0, type, number format, value, formula and
+    inline or shared text. The last four are empty, or a sign and what there is: `=` for
+    what is a value, `:` for the others.
 
-    `formats` has the number format of each cell style that is not the general one."""
+    `formats` has the number format of each cell style that is not the general one. Of
+    several cells of one column the last one counts."""
 
-    def __init__(self, formats: list[str | None], clip: bool):
+    def __init__(self, formats: list[str | None], clip: bool, strings: SharedStrings | None):
         super().__init__(("worksheet", "sheetData", "row"))
-        self.formats, self.clip = formats, clip
+        self.formats, self.clip, self.strings = formats, clip, strings
         self.columns: dict[str, int] = {}
         self.column, self.last_column, self.last_row = 0, float("inf"), float("inf")
-        self.skip, self.number, self.value = False, False, ""
+        self.skip, self.kind, self.shown = False, "n", ""
+        self.cells: dict[int, str] = {}
+        self.fields: dict[str, str] = {}
 
     def outside(self, path: tuple[str, ...], attributes: Attributes) -> None:
         if path == ("worksheet", "dimension") and self.clip and "ref" in attributes:
             self.last_row, self.last_column = _position(attributes["ref"].rpartition(":")[2])
 
     def record_begins(self) -> None:
-        self.column = 0
+        self.column, self.cells = 0, {}
 
     def begin(self, below: tuple[str, ...], attributes: Attributes) -> None:
         if below == ("c",):
@@ -211,39 +223,51 @@ class _Rows(_Cutter):
                 self.columns[letters] = column_number(letters)
             self.column = self.columns.get(letters) or self.column + 1
             self.skip = self.column > self.last_column
-            kind, style = attributes.get("t", "n"), int(attributes.get("s") or 0)
-            self.number = kind == "n"
-            shown = self.formats[style] if self.number and style < len(self.formats) else None
-            if not self.skip:
-                said = f" d={quoteattr(shown)}" if shown else ""
-                self.out.append(f'<c n="{self.column - 1}" t="{kind}"{said}>')
+            self.kind, style = attributes.get("t", "n"), int(attributes.get("s") or 0)
+            shown = self.formats[style] if self.kind == "n" and style < len(self.formats) else None
+            self.shown, self.fields = f":{shown}" if shown else "", {}
         elif not self.skip:
-            if below in (("c", "v"), ("c", "f")):
-                self.out.append(f"<{below[-1]}>")
-                self.text = True
-                self.value = len(self.out)
-            elif below == ("c", "is"):
-                self.out.append("<is>")
+            if below in (("c", "v"), ("c", "f"), ("c", "is")):
+                self.out, self.text = [], below[1] != "is"
             elif below in (("c", "is", "t"), ("c", "is", "r", "t")):
                 self.text = True
 
+    def _characters(self, data: str) -> None:
+        if self.text:
+            self.out.append(data)
+            self.size += len(data)
+
     def end(self, below: tuple[str, ...]) -> None:
         if self.skip:
             return
         self.text = False
-        if below == ("c", "v") and self.number:
-            # The number as Python spells it, which is how it appears in a text.
-            said = "".join(self.out[self.value :])
-            if said and not said.lstrip("-").isdigit():
-                self.out[self.value :] = [repr(float(said))]
-        if below in (("c", "v"), ("c", "f"), ("c", "is"), ("c",)):
-            self.out.append(f"</{below[-1]}>")
-        if below == ("c",) and self.size > PIECE_CHARS:
-            self.piece(more=True)
+        if below in (("c", "v"), ("c", "f"), ("c", "is")):
+            said = "".join(self.out)
+            if below[1] == "v" and self.kind == "n" and said and not said.lstrip("-").isdigit():
+                said = repr(float(said))  # as Python spells it, which is how it appears in a text
+            self.fields[below[1]] = f":{said}" if below[1] == "f" else f"={said}"
+        elif below == ("c",):
+            field = self.fields
+            if self.kind == "s" and len(field.get("v", "")) > 1:
+                found = self.strings.get(int(field["v"][1:])) if self.strings else None
+                field["is"] = "" if found is None else f"={found}"
+                self.size += len(field["is"])
+            self.cells[self.column] = FIELD.join(
+                (str(self.column - 1), self.kind, self.shown, field.get("v", ""), field.get("f", ""), field.get("is", ""))
+            )
+            if self.size > PIECE_CHARS:
+                self.piece(more=True)
+
+    def piece(self, more: bool) -> None:
+        cells = self.cells
+        ordered = cells if list(cells) == sorted(cells) else sorted(cells)
+        self.done.append((self.attributes, CELL.join(cells[c] for c in ordered), more))
+        self.cells, self.out, self.size = {}, [], 0
 
 
 # part_no, part_name, row_no, what, content, gap. A record in several pieces: of a
-# paragraph all but the first are paragraph+, of a shape or row all but the last shape+, row+.
+# paragraph all but the first are paragraph+, of a shape or row all but the last shape+ or
+# row+, and the last of such a row is row-.
 Record = tuple[int, str | None, int | None, str, str, int]
 
 
@@ -291,29 +315,30 @@ def _formats(package: Package, part: str | None) -> list[str | None]:
     return [codes.get(n, f"#{n}") if n else None for n in used]
 
 
-def _sheet(package: Package, name: str, formats: list[str | None], clip: bool):
-    """(row number from 0, markup, whether the row goes on) of a sheet."""
-    cutter, row_no, before = _Rows(formats, clip), 0, False
+def _sheet(package: Package, name: str, formats: list[str | None], clip: bool, strings: SharedStrings | None):
+    """(row number from 0, cells, sign of a piece of a row) of a sheet."""
+    cutter, row_no, before = _Rows(formats, clip, strings), 0, False
     with package.open(name) as part:
-        for attributes, markup, more in cutter.records(part):
+        for attributes, cells, more in cutter.records(part):
             number = int(attributes.get("r") or (row_no if before else row_no + 1))
             if number > cutter.last_row:
                 return
             if number > LAST_ROW:
                 raise ValueError(f"row {number} is beyond the last row of a sheet")
             if number > row_no or before:
+                sign = "+" if more else "-" if before else ""
                 row_no, before = number, more
-                yield number - 1, markup, more
+                yield number - 1, cells, sign
 
 
-def workbook(first_sheet_only: bool) -> Callable[[BinaryIO], Iterator[Record]]:
-    """Shared strings, then the rows of the sheets, each with the number of rows that
-    are missing before it.
+def workbook(first_sheet_only: bool, strings_folder: str | None = None) -> Callable[[BinaryIO], Iterator[Record]]:
+    """The rows of the sheets, each with the number of rows that are missing before it.
 
     The first sheet alone is read as a table: its first row with a value is part 0 and
     the others are part 1; rows without a value count as missing, and the stated size of
-    a sheet does not matter. Dates count from 1904 in some workbooks,
-    which `part_name` cannot say, so their rows are `row1904`."""
+    a sheet does not matter. Dates count from 1904 in some workbooks, which `part_name`
+    cannot say, so their rows are `row1904`. Shared strings that take much room are
+    looked up in a file below `strings_folder`."""
 
     def read(source: BinaryIO) -> Iterator[Record]:
         package = Package(source, "workbook")
@@ -328,25 +353,30 @@ def workbook(first_sheet_only: bool) -> Callable[[BinaryIO], Iterator[Record]]:
         mac = bool(props) and props[0].get("date1904") in ("1", "true")
         parts = dict(package.relations(package.main).values())
         formats = _formats(package, parts.get("styles"))
+        strings = None
         if parts.get("sharedStrings") in package.names:
             with package.open(parts["sharedStrings"]) as part:
-                for k, (_, text, _) in enumerate(_Strings().records(part)):
-                    # Fixed value: the escape of an escape sign in shared strings.
-                    yield 0, None, k, "string", text.replace("x005F_", ""), 0
-        for sheet_no, (name, kind, part) in enumerate(listed[:1] if first_sheet_only else listed):
-            if kind == "chartsheet":
-                raise ValueError(f"sheet {name!r} is a {kind} and has no rows")
-            done, header = 0, None
-            for row_no, markup, more in _sheet(package, part, formats, not first_sheet_only):
-                if first_sheet_only and not ("<v>" in markup or "<is>" in markup):
-                    continue
-                what = ("row1904" if mac else "row") + "+" * more
-                if first_sheet_only:
-                    header = row_no if header is None else header
-                    yield int(row_no > header), name, row_no, what, markup, max(0, row_no - done)
-                else:
-                    yield sheet_no, name, row_no, what, markup, max(0, row_no - done)
-                done = row_no + 1
+                # Fixed value: the escape of an escape sign in shared strings.
+                texts = (text.replace("x005F_", "") for _, text, _ in _Strings().records(part))
+                strings = SharedStrings(texts, strings_folder)
+        try:
+            for sheet_no, (name, kind, part) in enumerate(listed[:1] if first_sheet_only else listed):
+                if kind == "chartsheet":
+                    raise ValueError(f"sheet {name!r} is a {kind} and has no rows")
+                done, header = 0, None
+                for row_no, cells, sign in _sheet(package, part, formats, not first_sheet_only, strings):
+                    if first_sheet_only and FIELD + "=" not in cells:
+                        continue
+                    what = ("row1904" if mac else "row") + sign
+                    part_no = sheet_no
+                    if first_sheet_only:
+                        header = row_no if header is None else header
+                        part_no = int(row_no > header)
+                    yield part_no, name, row_no, what, cells, max(0, row_no - done)
+                    done = row_no + 1
+        finally:
+            if strings is not None:
+                strings.close()
 
     return read
 

@@ -1,10 +1,11 @@
-"""Values of workbook cells and texts of paragraphs and shapes, from their bare markup."""
+"""Values of workbook cells and texts of paragraphs and shapes, from what tasks cut."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from parchmill.formats.cut import CELL, FIELD
 from parchmill.functions.text import truthy
 
 # Built-in number formats that show dates, times or a duration.
@@ -45,44 +46,6 @@ def shape_text(markup: Column) -> Column:
     return _tokens(markup, {"p": "\n", "br": "\v"})
 
 
-def cells_of(rows: DataFrame) -> DataFrame:
-    """Rows (what, content and others) to one row a cell: the others, cell_no, type,
-    shown (number format), value, formula and inline text; what a cell lacks is null."""
-    cells = F.regexp_extract_all("content", F.lit(r"(?s)<c .*?</c>"), F.lit(0))
-    others = [c for c in rows.columns if c != "content"]
-    split = rows.select(*others, F.explode(cells).alias("c"))
-
-    def part(pattern: str) -> Column:
-        return F.when(F.col("c").rlike(pattern), unescaped(F.regexp_extract("c", pattern, 1)))
-
-    return split.select(
-        *others,
-        F.regexp_extract("c", r'\A<c n="(\d+)"', 1).cast("int").alias("cell_no"),
-        F.regexp_extract("c", r'\A<c n="\d+" t="([^"]*)"', 1).alias("type"),
-        F.coalesce(
-            part(r'\A<c n="\d+" t="[^"]*" d="([^"]*)"'), part(r"\A<c n=\"\d+\" t=\"[^\"]*\" d='([^']*)'")
-        ).alias("shown"),
-        part(r"(?s)<v>(.+?)</v>").alias("value"),
-        part(r"(?s)<f>(.*?)</f>").alias("formula"),
-        part(r"(?s)<is>(.*?)</is>").alias("inline"),
-    )
-
-
-def with_strings(cells: DataFrame, strings: DataFrame) -> DataFrame:
-    """Cells with `shared`, the shared string that a cell of type s names.
-
-    A join on (path, index): a workbook is spread over its strings, and a string that is
-    very frequent is split by Spark."""
-    named = strings.select(
-        F.col("path").alias("_path"), F.col("row_no").alias("_index"), F.col("content").alias("shared")
-    )
-    index = F.when(F.col("type") == "s", F.col("value").cast("int"))
-    both = cells.withColumn("_of", index).join(
-        named, (F.col("path") == F.col("_path")) & (F.col("_of") == F.col("_index")), "left"
-    )
-    return both.withColumn("shared", unescaped(F.col("shared"))).drop("_path", "_index", "_of")
-
-
 def _is_duration(shown: Column) -> Column:
     return (shown == _BUILTIN_DURATION) | F.substring_index(shown, ";", 1).rlike(r"(?i)\[(h+|m+|s+)\]")
 
@@ -118,44 +81,64 @@ def _serial(number: Column, mac: Column) -> tuple[Column, Column]:
     return days, F.pmod(ms, F.lit(_DAY_MS))
 
 
-def values_of(cells: DataFrame, formulas: bool) -> DataFrame:
-    """Cells with a value: the columns before it, cell_no, text, kind and keep.
+def _after_sign(field: Column, empty: bool) -> Column:
+    """What a field holds; null if it has no sign, or nothing after it and not `empty`."""
+    return F.when(F.length(field) > (0 if empty else 1), F.substring(field, F.lit(2), F.length(field)))
 
-    `text` is the value as Python spells it. `kind` is bigint, double, boolean,
-    timestamp_ntz, string, or error. `keep` is whether the value is a true one.
-    `formulas` gives cells with a formula as that formula, as stored: cells that share
-    another's have none of their own. Otherwise it is the result stored with it.
-    """
-    value, kind = F.col("value"), F.col("type")
-    mac = F.col("what").startswith("row1904")
-    number = value.cast("double")
+
+def _stored(f: Column) -> Column:
+    return F.struct(
+        f[0].cast("int").alias("cell_no"),
+        f[1].alias("type"),
+        _after_sign(f[2], True).alias("shown"),
+        _after_sign(f[3], False).alias("value"),
+        _after_sign(f[4], True).alias("formula"),
+        _after_sign(f[5], True).alias("inline"),
+    )
+
+
+def _dated(c: Column, mac: Column) -> Column:
+    """The cell, and of a date its day (from 1899-12-30), milliseconds of the day and kind
+    of date; all null in other cells."""
+    number = c["value"].cast("double")
     days, ms = _serial(number, mac)
-    day = F.date_add(F.lit("1899-12-30").cast("date"), days.cast("int"))
-    moment = F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit(" "), _clock(ms, _two(F.floor(ms / 3_600_000))))
-    total = F.bround(number * _DAY_MS).cast("long")
+    is_time = (number >= 0) & (F.floor(F.bround(number * _DAY_MS) / _DAY_MS) == 0)
+    kind = (
+        F.when(_is_duration(c["shown"]), "duration")
+        .when(is_time, "time")
+        .when(~days.between(_FIRST_DAY, _LAST_DAY), "outside")
+        .otherwise("date")
+    )
+    is_date = (c["type"] == "n") & c["shown"].isNotNull() & _is_date(c["shown"])
+    moment = F.struct(days.alias("days"), ms.alias("ms"), kind.alias("kind"), F.bround(number * _DAY_MS).cast("long").alias("total"))
+    return F.struct(c.alias("c"), F.when(is_date, moment).alias("date"))
+
+
+def _value(both: Column, formulas: bool) -> Column:
+    """cell_no, text, kind and keep of a cell."""
+    c, date = both["c"], both["date"]
+    value, kind = c["value"], c["type"]
+    is_formula = c["formula"].isNotNull() if formulas else F.lit(False)
+    ms, total = date["ms"], date["total"]
+    clock = _clock(ms, _two(F.floor(ms / 3_600_000)))
+    day = F.date_add(F.lit("1899-12-30").cast("date"), date["days"].cast("int"))
     whole = F.floor(total / _DAY_MS)
     rest = total - whole * _DAY_MS
     plural = F.when(F.abs(whole) == 1, " day, ").otherwise(" days, ")
     lead = F.when(whole == 0, "").otherwise(F.concat(whole.cast("string"), plural))
-    duration = F.concat(lead, _clock(rest, F.floor(rest / 3_600_000).cast("string")))
-    is_date = (kind == "n") & F.coalesce(_is_date(F.col("shown")), F.lit(False))
-    is_duration = is_date & _is_duration(F.col("shown"))
-    is_time = is_date & (number >= 0) & (F.floor(F.bround(number * _DAY_MS) / _DAY_MS) == 0)
-    outside = is_date & ~days.between(_FIRST_DAY, _LAST_DAY)
     iso = F.regexp_replace(F.replace(value, F.lit("T"), F.lit(" ")), "Z$", "")
-    whole_number = value.rlike(r"\A-?\d+\z")
-    is_formula = F.col("formula").isNotNull() if formulas else F.lit(False)
-
+    dated = (
+        F.when(date["kind"] == "duration", F.concat(lead, _clock(rest, F.floor(rest / 3_600_000).cast("string"))))
+        .when(date["kind"] == "time", clock)
+        .when(date["kind"] == "outside", "#VALUE!")
+        .otherwise(F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit(" "), clock))
+    )
     text = (
-        F.when(is_formula, F.concat(F.lit("="), F.col("formula")))
-        .when(kind == "inlineStr", F.col("inline"))
-        .when(kind == "s", F.col("shared"))
+        F.when(is_formula, F.concat(F.lit("="), c["formula"]))
+        .when(kind.isin("inlineStr", "s"), c["inline"])
         .when(kind == "b", F.when(value == "0", "False").otherwise("True"))
         .when(kind == "d", iso)
-        .when(is_duration, duration)
-        .when(is_time, _clock(ms, _two(F.floor(ms / 3_600_000))))
-        .when(outside, "#VALUE!")
-        .when(is_date, moment)
+        .when(date.isNotNull(), dated)
         .otherwise(value)
     )
     named = (
@@ -163,24 +146,45 @@ def values_of(cells: DataFrame, formulas: bool) -> DataFrame:
         .when(kind == "b", "boolean")
         .when(kind == "e", "error")
         .when(kind == "d", F.when(iso.rlike(r"\A\d+-\d+-\d+"), "timestamp_ntz").otherwise("string"))
-        .when(is_duration | is_time, "string")
-        .when(outside, "error")
-        .when(is_date, "timestamp_ntz")
-        .when(whole_number & value.try_cast("bigint").isNotNull(), "bigint")
+        .when(date["kind"].isin("duration", "time"), "string")
+        .when(date["kind"] == "outside", "error")
+        .when(date["kind"] == "date", "timestamp_ntz")
+        .when(value.rlike(r"\A-?\d+\z") & value.try_cast("bigint").isNotNull(), "bigint")
         .otherwise("double")
     )
     keep = (
         F.when(kind == "b", value != "0")
         .when(is_formula, True)
-        .when(is_duration, total != 0)
-        .when((kind == "n") & ~is_date, number != 0)
-        .otherwise(truthy(text, "string"))
+        .when(date["kind"] == "duration", total != 0)
+        .when((kind == "n") & date.isNull(), value.cast("double") != 0)
+        .when(kind.isin("inlineStr", "s"), truthy(c["inline"], "string"))
+        .when(kind == "d", truthy(iso, "string"))
+        .otherwise(value != "")
     )
-    present = is_formula | F.when(kind == "inlineStr", F.col("inline").isNotNull()).otherwise(value.isNotNull())
-    known = [c for c in cells.columns if c not in ("type", "shown", "value", "formula", "inline", "shared", "what")]
-    return cells.where(present).select(
-        *known,
+    return F.struct(
+        c["cell_no"].alias("cell_no"),
         F.coalesce(text, F.lit("")).alias("text"),
         named.alias("kind"),
         F.coalesce(keep, F.lit(False)).alias("keep"),
     )
+
+
+def row_cells(content: Column, what: Column, formulas: bool) -> Column:
+    """The cells with a value of a row's piece, in order: an array of cell_no, text, kind
+    and keep.
+
+    `text` is the value as Python spells it. `kind` is bigint, double, boolean,
+    timestamp_ntz, string, or error. `keep` is whether the value is a true one.
+    `formulas` gives cells with a formula as that formula, as stored: cells that share
+    another's have none of their own. Otherwise it is the result stored with it.
+    """
+    fields = F.transform(F.split(content, CELL), lambda c: F.split(c, FIELD))
+    cells = F.transform(F.filter(fields, lambda f: F.size(f) == 6), _stored)
+
+    def present(c: Column) -> Column:
+        held = F.when(c["type"] == "inlineStr", c["inline"].isNotNull()).otherwise(c["value"].isNotNull())
+        return held | c["formula"].isNotNull() if formulas else held
+
+    mac = what.startswith("row1904")
+    dated = F.transform(F.filter(cells, present), lambda c: _dated(c, mac))
+    return F.transform(dated, lambda both: _value(both, formulas))

@@ -1,10 +1,9 @@
 """Document files to texts.
 
-A task cuts each file into records (paragraphs, shapes, rows, shared strings, pages) as
-a stream and hands them on in rows of about SEGMENT_BYTES, so it holds a piece of a file
-and not the file. The rows are written once to the shared folder. Spark expressions make
-the texts: paragraphs, shapes and pages where their row is, workbook cells after a join
-with their shared strings. A broken file is a row with an error.
+A task cuts each file into records (paragraphs, shapes, rows, pages) as a stream and
+hands them on in rows of about SEGMENT_BYTES, so it holds a piece of a file and not the
+file. The rows are written once to the shared folder. Spark expressions make the texts
+where their row is: nothing moves. A broken file is a row with an error.
 """
 
 from __future__ import annotations
@@ -14,18 +13,12 @@ from collections.abc import Callable, Iterator, Mapping
 from typing import BinaryIO
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from parchmill.formats import cut, storage
-from parchmill.operators.assemble import ROW_END, SEGMENT_BYTES, cell_piece
-from parchmill.operators.cells import (
-    cells_of,
-    paragraph_text,
-    shape_text,
-    values_of,
-    with_strings,
-)
+from parchmill.operators.assemble import SEGMENT_BYTES, cell_piece
+from parchmill.operators.cells import paragraph_text, row_cells, shape_text
 from parchmill.operators.route import UNSUPPORTED, route
 from parchmill.session import scratch_path
 
@@ -65,12 +58,16 @@ _PARSED_DDL = (
     "status string, error string"
 )
 
-_CUTTERS: dict[str, Callable[[BinaryIO], Iterator[cut.Record]]] = {
-    "docx": cut.word,
-    "xlsx": cut.workbook(first_sheet_only=False),
-    "pdf": cut.pdf,
-    "pptx": cut.slides,
-}
+def _cutters(spark: SparkSession) -> dict[str, Callable[[BinaryIO], Iterator[cut.Record]]]:
+    books = cut.workbook(first_sheet_only=False, strings_folder=strings_folder(spark))
+    return {"docx": cut.word, "xlsx": books, "pdf": cut.pdf, "pptx": cut.slides}
+
+
+def strings_folder(spark: SparkSession) -> str | None:
+    """Where tasks put shared strings that take much room; none where storage is out of
+    their reach."""
+    folder = scratch_path(spark, "strings")
+    return folder if storage.reachable(folder) else None
 
 
 def _own(parser: Parser) -> Callable[[BinaryIO], Iterator[tuple]]:
@@ -82,21 +79,16 @@ def _own(parser: Parser) -> Callable[[BinaryIO], Iterator[tuple]]:
 
 
 def _segments(records: Iterator[tuple]) -> Iterator[tuple[int, bool, list[tuple]]]:
-    """(number, whether it is the last, records). Shared strings have numbers below 0."""
+    """(number, whether it is the last, records)."""
     piece: list[tuple] = []
-    number, strings, size = 0, False, 0
+    number, size = 0, 0
     for r in records:
         n = len(r[4].encode()) + 64
-        if piece and (size + n > SEGMENT_BYTES or strings != (r[3] == "string")):
-            yield (-1 - number if strings else number), False, piece
-            number = number + 1 if strings == (r[3] == "string") else 0
-            piece, size = [], 0
-        strings = r[3] == "string"
+        if piece and size + n > SEGMENT_BYTES:
+            yield number, False, piece
+            number, piece, size = number + 1, [], 0
         piece.append(r if len(r) == len(_RECORD) else (*r, None, None))
         size += n
-    if strings:
-        yield -1 - number, False, piece
-        piece, number = [], 0
     yield number, True, piece
 
 
@@ -172,30 +164,16 @@ def parse_documents(files: DataFrame, parsers: Mapping[str, Parser] | None = Non
     function from an open file to its elements in order, each (part_no, part_name,
     row_no, cell_no, text, keep).
     """
-    chosen = {**_CUTTERS, **{k: _own(p) for k, p in (parsers or {}).items()}}
+    chosen = {**_cutters(files.sparkSession), **{k: _own(p) for k, p in (parsers or {}).items()}}
     routed = route(files.select("path", "content"))
     content = F.when(F.col("kind") != UNSUPPORTED, F.col("content"))
     return cut_files(routed.withColumn("content", content), chosen)
 
 
-def workbook_cells(parsed: DataFrame, formulas: bool) -> DataFrame:
-    """(path, segment_no, part_no, part_name, row_no, cell_no, text, kind, keep)."""
-    records = parsed.where("kind = 'xlsx'").select("path", "segment_no", F.inline("records"))
-    rows = records.where(F.col("what").startswith("row"))
-    place = ("path", "segment_no", "part_no", "part_name", "row_no")
-    cells = cells_of(rows.select(*place, "what", "content"))
-    strings = records.where("what = 'string'").select("path", "row_no", "content")
-    # Only cells that name a shared string take part in the join.
-    named = with_strings(cells.where("type = 's'"), strings)
-    others = cells.where("type <> 's'").withColumn("shared", F.lit(None).cast("string"))
-    return values_of(named.unionByName(others), formulas)
-
-
-def _own_cells(parsed: DataFrame) -> DataFrame:
-    """Elements of workbooks that a user's parser read."""
-    records = parsed.where("kind = 'xlsx'").select("path", "segment_no", F.inline("records"))
-    place = ("path", "segment_no", "part_no", "part_name", "row_no", "cell_no")
-    return records.where("what = 'text'").select(*place, F.col("content").alias("text"), "keep")
+def _cells(what: Column, content: Column, cell_no: Column, keep: Column, formulas: bool) -> Column:
+    """The cells of one record of a workbook, an element of a user's parser being one."""
+    own = F.struct(cell_no.alias("cell_no"), content.alias("text"), F.lit("string").alias("kind"), keep.alias("keep"))
+    return F.when(what == "text", F.array(own)).otherwise(row_cells(content, what, formulas))
 
 
 def _text_of(what: Column, content: Column) -> Column:
@@ -220,47 +198,35 @@ def document_elements(parsed: DataFrame) -> DataFrame:
         _text_of(F.col("what"), F.col("content")).alias("text"),
         F.coalesce("keep", F.lit(True)).alias("keep"),
     )
-    cells = workbook_cells(parsed, formulas=True).drop("kind").unionByName(_own_cells(parsed))
-    return texts.unionByName(cells.drop("segment_no").withColumn("kind", F.lit("xlsx")))
+    books = parsed.where("kind = 'xlsx'").select("path", "kind", F.inline("records"))
+    place = ("path", "kind", "part_no", "part_name", "row_no")
+    cells = _cells(F.col("what"), F.col("content"), F.col("cell_no"), F.col("keep"), formulas=True)
+    each = books.select(*place, F.explode(cells).alias("c"))
+    return texts.unionByName(each.select(*place, "c.cell_no", "c.text", "c.keep"))
+
+
+def _row_text(r: Column) -> Column:
+    """A tab after every kept cell, a line feed after every row, also after those that
+    the file leaves out."""
+    cells = _cells(r["what"], r["content"], r["cell_no"], r["keep"], formulas=True)
+    pieces = F.transform(cells, lambda c: cell_piece(c["cell_no"], c["text"], c["keep"]))
+    end = F.when((r["what"] == "text") | r["what"].endswith("+"), "").otherwise("\n")
+    return F.concat(F.repeat(F.lit("\n"), r["gap"]), F.array_join(pieces, ""), end)
 
 
 def _joined(kind: Column, records: Column) -> Column:
-    """The text of a row of paragraphs, shapes or pages; rows are joined as they are."""
+    """The text of a row of records; rows are joined as they are."""
 
     def piece(r: Column) -> Column:
         text = _text_of(r["what"], r["content"])
         first = (r["part_no"] == 0) | (r["what"] == "paragraph+")
         before = F.when((kind == "docx") & ~first, "\n").otherwise("")
         after = F.when((kind == "pptx") & (r["what"] != "shape+"), "\n").otherwise("")
-        return F.concat(before, text, after)
+        return F.when(kind == "xlsx", _row_text(r)).otherwise(F.concat(before, text, after))
 
     return F.array_join(F.transform(records, piece), "")
 
 
-def _workbook_texts(parsed: DataFrame) -> DataFrame:
-    """(path, segment_no, text): a tab after every kept cell, a line feed after every
-    row, also after those that the file leaves out."""
-    records = parsed.where("kind = 'xlsx'").select("path", "segment_no", F.inline("records"))
-    rows = records.where(F.col("what").startswith("row"))
-    place = ("path", "segment_no", "part_no", "row_no")
-    cells = workbook_cells(parsed, formulas=True).select(*place, "cell_no", "text", "keep")
-    cells = cells.unionByName(_own_cells(parsed).select(*place, "cell_no", "text", "keep"))
-    pieces = cells.select(
-        *place, "cell_no", cell_piece(F.col("cell_no"), F.col("text"), F.col("keep")).alias("piece")
-    )
-    gaps = rows.where("gap > 0").select(
-        *place, F.lit(-1).alias("cell_no"), F.expr("repeat('\n', gap)").alias("piece")
-    )
-    ends = rows.where(~F.col("what").endswith("+")).select(
-        *place, F.lit(ROW_END).alias("cell_no"), F.lit("\n").alias("piece")
-    )
-    ordered = F.sort_array(F.collect_list(F.struct("part_no", "row_no", "cell_no", "piece")))
-    joined = pieces.unionByName(gaps).unionByName(ends).groupBy("path", "segment_no").agg(ordered.alias("o"))
-    return joined.select(
-        "path", "segment_no", F.array_join(F.transform("o", lambda p: p["piece"]), "").alias("text")
-    )
-
-
 def document_texts(parsed: DataFrame) -> DataFrame:
     """(path, out_name, kind, segment_no, is_last, text, status, error).
 
@@ -269,15 +235,8 @@ def document_texts(parsed: DataFrame) -> DataFrame:
     broken late has an error row after the rows before the break.
     """
     columns = ("path", "out_name", "kind", "segment_no", "is_last", "text", "status", "error")
-    rows = route(parsed.where("segment_no >= 0").drop("kind"))
-    plain = rows.where("kind <> 'xlsx' OR records IS NULL")
     text = F.when(F.col("records").isNotNull(), _joined(F.col("kind"), F.col("records")))
-    plain = plain.withColumn("text", text).select(*columns)
-    books = rows.where("kind = 'xlsx' AND records IS NOT NULL").drop("records")
-    found = _workbook_texts(parsed).withColumnsRenamed({"path": "_path", "segment_no": "_no"})
-    same = (F.col("path") == F.col("_path")) & (F.col("segment_no") == F.col("_no"))
-    books = books.join(found, same, "left").withColumn("text", F.coalesce("text", F.lit("")))
-    return plain.unionByName(books.select(*columns))
+    return route(parsed.drop("kind")).withColumn("text", text).select(*columns)
 
 
 def extract_texts(files: DataFrame) -> DataFrame:

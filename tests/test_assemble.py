@@ -58,3 +58,41 @@ def test_workbook_cells(spark):
     df = shuffled(spark, rows, ddl)
     for segment_bytes in (10, 10**6):
         assert joined(assemble.join_cells(df, segment_bytes), "segment_no") == expected
+
+
+def test_ranges_edges_and_giants(spark, monkeypatch):
+    """Segments equal those cut from the whole text, however the rows are ranged."""
+    monkeypatch.setattr(assemble, "BLOCK", 3)
+    rng = random.Random(4)
+    rows = []
+    for p in range(12):
+        for i in range(rng.choice([1, 2, 40, 200])):
+            rows.append((f"p{p}", i, rng.choice(["", "é", "ab", "c" * 9, None]) if rng.random() > 0.02 else "x" * 95))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        for partitions, adaptive, batch in (("1", "true", "10000"), ("7", "false", "5"), ("40", "false", "10000")):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+            df = shuffled(spark, list(rows), "path string, part_no int, text string")
+            for size in (30, 10**6):
+                expected = []
+                for p in sorted({r[0] for r in rows}):
+                    cut, offset = {}, 0
+                    for t in (r[2] or "" for r in rows if r[0] == p):
+                        cut[offset // size] = cut.get(offset // size, "") + t
+                        offset += len(t.encode())
+                    expected += [(p, k, cut[s]) for k, s in enumerate(sorted(cut))]
+                found = assemble.concat_pages(df, size).collect()
+                assert sorted(tuple(r) for r in found) == sorted(expected)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
+
+
+def test_no_elements(spark):
+    empty = spark.createDataFrame([], "path string, part_no int, text string")
+    assert assemble.concat_pages(empty).collect() == []
+    nulls = spark.createDataFrame([(None, 0, "a"), ("p", 0, None)], "path string, part_no int, text string")
+    assert [tuple(r) for r in assemble.concat_pages(nulls).collect()] == [("p", 0, "")]

@@ -1,5 +1,6 @@
 import datetime as dt
 import io
+import random
 import tracemalloc
 import zipfile
 
@@ -9,7 +10,9 @@ from pyspark.sql import functions as F
 
 from checks.builders import cell, docx, paragraph, pptx, row, shape, shared, strings, truncated, xlsx
 from parchmill.formats import cut, storage
+from parchmill.formats import strings as strings_module
 from parchmill.operators import extract
+from parchmill.operators.assemble import ROW_END
 from parchmill.operators.extract import (
     document_elements,
     document_texts,
@@ -168,8 +171,8 @@ def test_missing_rows_cost_nothing(spark):
 
 def test_a_packed_workbook_is_read_in_pieces():
     """A small file of a million cells: a task holds a segment of it."""
-    data = xlsx({"s": row(*[0] * 100) * 10_000})
-    assert len(data) < 200_000
+    data = xlsx({"s": row(*[0] * 100) * 20_000})
+    assert len(data) < 400_000
     rows = extract._rows_of("a.xlsx", "xlsx", pa.py_buffer(data), cut.workbook(False))
     tracemalloc.start()
     segments = [(r[2], r[3], len(r[4])) for r in rows]
@@ -177,7 +180,7 @@ def test_a_packed_workbook_is_read_in_pieces():
     tracemalloc.stop()
     assert [s[0] for s in segments] == list(range(len(segments))) and len(segments) > 3
     assert [s[1] for s in segments] == [False] * (len(segments) - 1) + [True]
-    assert sum(s[2] for s in segments) == 10_000
+    assert sum(s[2] for s in segments) == 20_000
 
 
 def test_own_parser(spark):
@@ -193,7 +196,7 @@ def test_own_parser(spark):
     def cells(source):
         yield 0, "s", 0, 0, "v", True
         yield 0, "s", 0, 1, "w", False
-        yield 0, "s", 0, extract.ROW_END, "", True
+        yield 0, "s", 0, ROW_END, "", True
 
     files = spark.createDataFrame([("a.xlsx", bytearray(b""))], "path string, content binary")
     assert document_texts(parse_documents(files, {"xlsx": cells})).first().text == "v\t\n"
@@ -355,7 +358,7 @@ def test_long_texts_go_on_in_segments(spark, tmp_path, monkeypatch):
         made = []
         for path, data in files.items():
             kind = path.rpartition(".")[2]
-            made += extract._rows_of(path, kind, pa.py_buffer(data), extract._CUTTERS[kind])
+            made += extract._rows_of(path, kind, pa.py_buffer(data), extract._cutters(spark)[kind])
         parsed = pa.Table.from_batches([extract._batch([r]) for r in made])
         return document_texts(spark.createDataFrame(parsed.to_pandas(), extract._PARSED_DDL).repartition(4))
 
@@ -386,15 +389,44 @@ def test_long_texts_go_on_in_segments(spark, tmp_path, monkeypatch):
         assert (tmp_path / "out" / path[3:].replace(path[-4:], "txt")).read_bytes() == text and n == len(text)
 
 
-def test_batches_are_bounded(monkeypatch):
+def test_batches_are_bounded(spark, monkeypatch):
     monkeypatch.setattr(extract, "_BATCH_BYTES", 20)
     files = [docx(paragraph("12345678")) for _ in range(5)] + [b"broken"]
     columns = {"path": [f"{i}.docx" for i in range(6)], "kind": ["docx"] * 6, "content": files}
-    out = list(extract._parse(iter([pa.RecordBatch.from_pydict(columns)]), extract._CUTTERS))
+    out = list(extract._parse(iter([pa.RecordBatch.from_pydict(columns)]), extract._cutters(spark)))
     assert [b.num_rows for b in out] == [2, 2, 2]
     assert [r["status"] for b in out for r in b.to_pylist()] == ["ok"] * 5 + ["error"]
 
 
+@pytest.mark.parametrize("limit", [10**6, 0, 40])
+def test_shared_strings_by_offset(tmp_path, monkeypatch, limit):
+    monkeypatch.setattr(strings_module, "IN_MEMORY", limit)
+    monkeypatch.setattr(strings_module, "BLOCK", 3)
+    monkeypatch.setattr(strings_module, "CACHED", 2)
+    given = [f"é{k}" * (k % 5) for k in range(100)]
+    table = strings_module.SharedStrings(iter(given), str(tmp_path / "s"))
+    for order in (range(100), random.Random(1).sample(range(100), 100)):
+        assert [table.get(k) for k in order] == [given[k] for k in order]
+    assert table.get(100) is None and table.get(-1) is None and len(table.blocks) <= 2
+    assert len(list((tmp_path / "s").glob("*"))) == (limit < 10**6)
+    table.close()
+    assert not list((tmp_path / "s").glob("*"))
+    assert strings_module.SharedStrings(iter([]), str(tmp_path / "s")).get(0) is None
+    assert strings_module.SharedStrings(iter(given), None).get(99) == given[99]
+
+
+def test_shared_strings_in_a_file_give_the_same_texts(spark, monkeypatch):
+    names = [f"name {k} & <é>" for k in range(300)]
+    rows = "".join(f"<row>{shared(k)}{shared(299 - k)}{shared(777)}</row>" for k in range(300))
+    data = xlsx({"s": rows}, strings(names))
+    expected = "".join(f"{names[k]}\t{names[299 - k]}\t\n" for k in range(300))
+    assert text_of(spark, "/d/a.xlsx", data).text == expected
+    cutter = cut.workbook(False, extract.strings_folder(spark))
+    monkeypatch.setattr(strings_module, "IN_MEMORY", 100)
+    found = [r for r in cutter(io.BytesIO(data))]
+    assert names[5] in found[5][4] and names[294] in found[5][4]
+
+
 def test_elements_table(spark):
     data = xlsx({"s": row("x", 0)})
     files = spark.createDataFrame([("a.xlsx", bytearray(data))], "path string, content binary")

@@ -1,5 +1,6 @@
 import configparser
 import datetime as dt
+import itertools
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -250,6 +251,35 @@ def test_excel_columns_in_any_order(spark, tmp_path):
         scan_excel(spark, folder, "v string, id bigint")
 
 
+def test_excel_any_number_of_headers(spark, tmp_path):
+    """Workbooks of one schema may all have their columns in orders of their own."""
+    names = ["a", "b", "c", "d", "e"]
+    books = {}
+    for k, order in enumerate(itertools.islice(itertools.permutations(range(5)), 40)):
+        body = row(*[names[i] for i in order]) + row(*[k * 10 + i for i in order])
+        books[f"w{k}"] = xlsx({"s": body})
+    df = scan_excel(spark, store(tmp_path / "x", **books), "a int, b int, c int, d int, e int")
+    assert sorted(map(tuple, df.collect())) == [tuple(k * 10 + i for i in range(5)) for k in range(40)]
+    with pytest.raises(excel.HeaderMismatch):
+        scan_excel(spark, store(tmp_path / "x"))
+
+
+def test_excel_rows_longer_than_a_piece(spark, tmp_path):
+    long = "x" * 3_000_000
+    data = xlsx({"s": row("a", "b", "c", "d") + row(long, long, "y", 7) + row("p", "q", "r", 8)})
+    df = scan_excel(spark, store(tmp_path / "x", a=data))
+    assert df.dtypes == [("a", "string"), ("b", "string"), ("c", "string"), ("d", "bigint")]
+    rows = {r["d"]: tuple(r)[:3] for r in df.collect()}
+    assert rows == {7: (long, long, "y"), 8: ("p", "q", "r")}
+
+
+def test_excel_last_of_repeated_cells_and_cells_out_of_order(spark, tmp_path):
+    body = row("a", "b") + f'<row>{cell(1, "A2")}{cell(2, "B2")}{cell(3, "A2")}</row>'
+    body += f'<row>{cell(5, "B3")}{cell(4, "A3")}</row>'
+    df = scan_excel(spark, store(tmp_path / "x", book=xlsx({"s": body})))
+    assert sorted(map(tuple, df.collect())) == [(3, 2), (4, 5)]
+
+
 def test_excel_columns_right_of_the_header(spark, tmp_path):
     data = xlsx({"s": row("id") + row(1, None, "x") + row(2)})
     df = scan_excel(spark, store(tmp_path / "x", a=data))
