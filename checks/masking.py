@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from checks.registry import given, query
 from parchmill.functions import masks
 from parchmill.operators.masking import apply_masks
+from parchmill.operators.masked_views import create_masked_view
 from parchmill.operators.policies import (
+    apply_upsert,
     desired_policies,
     has_field,
     lookup_policy,
@@ -22,6 +24,7 @@ from parchmill.operators.policies import (
     policy_rejects,
     policy_store_after,
     policy_upsert_plan,
+    store_as_of,
     stored_rules,
 )
 from parchmill.plans.masking_policies import apply_rule_list
@@ -87,6 +90,38 @@ def masked_orders(spark: SparkSession, sf: str) -> DataFrame:
     return apply_masks(given(spark, sf, "orders"), "shop", "orders", rules)
 
 
+def _masked_view(spark: SparkSession, sf: str, name: str, **exempt: list[str]) -> DataFrame:
+    """What SQL readers of a view of the orders see."""
+    place = scratch_path(spark, "database")
+    database = "views_" + posixpath.basename(place).rpartition("-")[2]
+    spark.sql(f"CREATE DATABASE {database} LOCATION '{place}'")
+    spark.sql(f"CREATE TABLE {database}.orders USING parquet LOCATION '{sf}/orders.parquet'")
+    rules = _rules(
+        spark,
+        f"{database},orders,o_orderpriority,MASK_SHOW_LAST_4",
+        f"{database},orders,o_totalprice,MASK_NULL",
+        f"{database},orders,o_custkey,MASK",
+    )
+    create_masked_view(spark, database, "orders", name, rules, **exempt)
+    return spark.sql(f"SELECT * FROM {database}.{name} WHERE o_orderkey > 10")
+
+
+@query(
+    f"""SELECT o_orderkey, {_ones("o_custkey", "BIGINT")} AS o_custkey, o_orderstatus,
+               CAST(NULL AS DOUBLE) AS o_totalprice, o_orderdate,
+               {_last_4("o_orderpriority")} AS o_orderpriority
+        FROM orders WHERE o_orderkey > 10"""
+)
+def masked_view_public(spark: SparkSession, sf: str) -> DataFrame:
+    return _masked_view(spark, sf, "orders_seen", exempt_users=["somebody else"])
+
+
+@query("SELECT * FROM orders WHERE o_orderkey > 10")
+def masked_view_exempt(spark: SparkSession, sf: str) -> DataFrame:
+    me = spark.sql("SELECT current_user()").first()[0]
+    return _masked_view(spark, sf, "orders_seen", exempt_users=[me])
+
+
 def _masked(df: DataFrame, key: str, option: str) -> DataFrame:
     return df.select(
         key,
@@ -369,3 +404,15 @@ def rule_list_job_on_a_store(spark: SparkSession, sf: str) -> DataFrame:
         f"USING parquet LOCATION '{place}'"
     )
     return apply_rule_list(spark, path, database, "store", "warehouse", on_error="skip")
+
+
+@query(
+    f"""WITH {_DESIRED} SELECT row_number() OVER (ORDER BY left(sha256(name), 3), name) AS id, name, document
+        FROM desired"""
+)
+def policy_store_as_of(spark: SparkSession, sf: str) -> DataFrame:
+    """A store's first version, after a second list has changed most of its policies."""
+    path, database = _rule_job(spark, sf)
+    apply_rule_list(spark, path, database, "store", "warehouse", on_error="skip")
+    apply_upsert(spark, database, "store", desired_policies(_policies(spark, sf).where("masking_option <> 'MASK_NULL'"), "other"))
+    return store_as_of(spark, database, "store", 1)

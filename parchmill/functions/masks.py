@@ -64,3 +64,23 @@ def mask(c: Column, data_type: T.DataType, option: str) -> Column:
     except KeyError:
         raise ValueError(f"no mask named {option!r}; known: {', '.join(MASKS)}") from None
     return build(c, data_type)
+
+
+def mask_sql(c: str, data_type: T.DataType, option: str) -> str:
+    """The same as SQL text, for views. `c` is a quoted column name."""
+    if option not in MASKS:
+        raise ValueError(f"no mask named {option!r}; known: {', '.join(MASKS)}")
+    kind, text = data_type.simpleString(), f"CAST({c} AS STRING)"
+    ones, head = f"translate({{}}, '0123456789', '{'1' * 10}')", f"left({text}, greatest(length({text}) - 4, 0))"
+    is_text, is_whole = isinstance(data_type, _TEXT), isinstance(data_type, _WHOLE_NUMBERS)
+    if option == "MASK" and is_text:
+        return f"mask({c})"
+    if option == "MASK" and is_whole:
+        return f"CAST({ones.format(text)} AS {kind})"
+    if option == "MASK_SHOW_LAST_4" and is_text:
+        return f"concat(mask({head}, 'x', 'x', 'x', NULL), right({text}, 4))"
+    if option == "MASK_SHOW_LAST_4" and is_whole:
+        return f"CAST(concat({ones.format(head)}, right({text}, 4)) AS {kind})"
+    if option == "MASK_HASH" and is_text:
+        return f"sha2({c}, 256)"
+    return f"CAST(NULL AS {kind})"

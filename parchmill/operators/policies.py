@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -197,51 +199,112 @@ def policy_outcomes(wanted: DataFrame, store: DataFrame) -> DataFrame:
     return merged.where(F.col("action") != "keep").select("name", "action", "id")
 
 
+def _version_table(table: str, version: int) -> str:
+    return f"{table}__v{version:010d}"
+
+
+def store_versions(spark: SparkSession, database: str, table: str) -> list[int]:
+    """The numbers of a store's states, from the first on."""
+    pattern = re.compile(re.escape(table.lower()) + r"__v(\d{10})")
+    tables = spark.catalog.listTables(_bare(database), f"{table}__v*")
+    found = (pattern.fullmatch(t.name.lower()) for t in tables)
+    return sorted(int(m[1]) for m in found if m)
+
+
+def store_as_of(spark: SparkSession, database: str, table: str, version: int) -> DataFrame:
+    """(id, name, document) of the store as one of its versions left it; version 0 is the
+    store before its first."""
+    if version == 0:
+        return spark.createDataFrame([], _STORE)
+    return spark.table(table_name(database, _version_table(table, version)))
+
+
+def _bare(database: str) -> str:
+    return "`" + database.replace("`", "``") + "`"
+
+
+def _published(spark: SparkSession, database: str, table: str) -> None:
+    """Let the store's own name stand for its last version. A job that was slower than
+    another finds that one's version afterwards, and sets the name again."""
+    name = table_name(database, table)
+    shown = 0
+    while (last := store_versions(spark, database, table)[-1]) != shown:
+        version = table_name(database, _version_table(table, last))
+        place = spark.sql(f"DESCRIBE TABLE EXTENDED {version}").where("col_name = 'Location'").first()["data_type"]
+        where = place.replace("'", "\\'")
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({_STORE}) USING parquet LOCATION '{where}'")
+        spark.sql(f"ALTER TABLE {name} SET LOCATION '{where}'")
+        spark.catalog.refreshTable(name)
+        shown = last
+
+
 def apply_upsert(
     spark: SparkSession, database: str, table: str, desired: DataFrame
 ) -> DataFrame:
     """Carry the upsert out on a catalog table and report (name, action, id, succeeded).
 
-    The new state is written to a folder of its own, which then becomes the table's
-    location: one change in the catalog, so readers see the old state or the new one and
-    never none, and a job that fails on the way changes nothing. Jobs share no names; of
-    two at once the last stands. The folder of the state before is left for those that
-    still read it. A policy succeeded if the table holds exactly its document.
+    The store's states are versions: tables table__v0000000001 and so on, each with a
+    folder of its own. A job merges into the last version it sees and creates the next
+    one, which the catalog allows to one job only: one that comes second merges again,
+    into what the first has left, so neither loses its updates. Then the store's own name
+    gets the last version's location in one change: readers see the old state or the new
+    one, and a job that fails on the way changes nothing. A store that had no versions has
+    its state kept as the first. Old versions stay for store_as_of() and for those that
+    still read them, until drop_versions(). A policy succeeded if the version holds
+    exactly its document.
     """
     name = table_name(database, table)
-    exists = spark.catalog.tableExists(name)
-    store = (
-        spark.table(name)
-        if exists
-        else spark.createDataFrame([], "id bigint, name string, document string")
-    )
-    merged = scratch_path(spark, "upsert")
-    merge_policies(desired, store).write.parquet(merged)
-    made = spark.read.parquet(merged)
-    folder = spark.catalog.getDatabase(database).locationUri.rstrip("/")
-    place = f"{folder}/{table}__{uuid.uuid4().hex}"
-    made.select("id", "name", "document").write.parquet(place)
-    where = place.replace("'", "\\'")
-    if exists:
-        spark.sql(f"ALTER TABLE {name} SET LOCATION '{where}'")
-        spark.catalog.refreshTable(name)
-    else:
-        spark.sql(
-            f"CREATE TABLE {name} (id BIGINT, name STRING, document STRING) "
-            f"USING parquet LOCATION '{where}'"
-        )
-    held = spark.table(name).select("id", F.col("name").alias("_n"), F.col("document").alias("_d"))
+    folder = spark.catalog.getDatabase(_bare(database)).locationUri.rstrip("/")
+    while True:
+        versions = store_versions(spark, database, table)
+        if not versions and spark.catalog.tableExists(name):
+            _created(spark, database, table, 1, folder, spark.table(name).select("id", "name", "document"))
+            continue
+        last = versions[-1] if versions else 0
+        merged = scratch_path(spark, "upsert")
+        merge_policies(desired, store_as_of(spark, database, table, last)).write.parquet(merged)
+        made = spark.read.parquet(merged)
+        if _created(spark, database, table, last + 1, folder, made.select("id", "name", "document")):
+            break
+    _published(spark, database, table)
+    held = store_as_of(spark, database, table, last + 1)
+    held = held.select(F.col("id").alias("_id"), F.col("name").alias("_n"), F.col("document").alias("_d"))
     changed = made.where(F.col("action") != "keep")
-    both = changed.join(held.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left")
+    both = changed.join(held, F.col("id") == F.col("_id"), "left")
     same = F.coalesce((F.col("_n") == F.col("name")) & (F.col("_d") == F.col("document")), F.lit(False))
     return both.select("name", "action", "id", same.alias("succeeded"))
 
 
+def _created(spark: SparkSession, database: str, table: str, version: int, folder: str, state: DataFrame) -> bool:
+    """Write a state and make it a version; false if another job has made that one."""
+    place = f"{folder}/{table}__{uuid.uuid4().hex}"
+    state.write.parquet(place)
+    where = place.replace("'", "\\'")
+    name = table_name(database, _version_table(table, version))
+    try:
+        spark.sql(f"CREATE TABLE {name} ({_STORE}) USING parquet LOCATION '{where}'")
+    except AnalysisException as e:
+        if e.getCondition() != "TABLE_OR_VIEW_ALREADY_EXISTS":
+            raise
+        return False
+    return True
+
+
+def drop_versions(spark: SparkSession, database: str, table: str, keep: int) -> None:
+    """Forget all versions but the last `keep` (one at least). Their folders stay for the
+    storage's own cleaning."""
+    for version in store_versions(spark, database, table)[: -max(keep, 1)]:
+        spark.sql(f"DROP TABLE {table_name(database, _version_table(table, version))}")
+
+
+_STORE = "id BIGINT, name STRING, document STRING"
+
 # The fields of a stored document that a rule decides.
 _STORED = (
     "service string, name string, policyType int, resources struct<database:struct<values:"
     "array<string>>,table:struct<values:array<string>>,column:struct<values:array<string>>>,"
-    "dataMaskPolicyItems array<struct<dataMaskInfo:struct<dataMaskType:string>>>"
+    "dataMaskPolicyItems array<struct<dataMaskInfo:struct<dataMaskType:string>,"
+    "users:array<string>,groups:array<string>>>"
 )
 
 
@@ -265,6 +328,24 @@ def stored_rules(store: DataFrame) -> DataFrame:
     )
 
 
+def stored_items(store: DataFrame) -> DataFrame:
+    """(id, name, database, table, column, items) of stored documents: the masks in their
+    order, each an option, users and groups."""
+    read = store.select("id", "name", F.from_json("document", _STORED).alias("d"))
+
+    def item(i: Column) -> Column:
+        return F.struct(
+            i["dataMaskInfo"]["dataMaskType"].alias("option"), i["users"].alias("users"), i["groups"].alias("groups")
+        )
+
+    return read.select(
+        "id",
+        "name",
+        *[F.get(F.col(f"d.resources.{p}.values"), F.lit(0)).alias(p) for p in FIELDS[:3]],
+        F.transform("d.dataMaskPolicyItems", item).alias("items"),
+    )
+
+
 def has_field(document: Column, *names: str) -> Column:
     """Whether a JSON document has a (nested) field, be it null."""
     keys = document

@@ -4,12 +4,15 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from parchmill.functions.masks import mask
+from parchmill.functions.masks import MASKS, mask, mask_sql
+from parchmill.operators import policies
+from parchmill.operators.masked_views import create_masked_view
 from parchmill.operators.masking import apply_masks
 from parchmill.operators.policies import (
     InvalidPolicyLine,
     apply_upsert,
     desired_policies,
+    drop_versions,
     has_field,
     lookup_policy,
     parse_policies,
@@ -18,6 +21,9 @@ from parchmill.operators.policies import (
     policy_rejects,
     policy_store_after,
     policy_upsert_plan,
+    store_as_of,
+    store_versions,
+    stored_items,
     stored_rules,
 )
 from parchmill.plans.masking_policies import apply_rule_list
@@ -226,6 +232,135 @@ def test_an_upsert_that_fails_changes_nothing(spark):
     assert spark.table("pol.kept").collect() == before
 
 
+def test_two_upserts_at_once_both_count(spark, monkeypatch):
+    """A second job commits between the reading and the commit of the first."""
+    spark.sql("CREATE DATABASE IF NOT EXISTS pol")
+    apply_upsert(spark, "pol", "busy", wanted(spark, ("a", "b", "c", "MASK"), ("a", "b", "d", "MASK")))
+    merge, waiting = policies.merge_policies, [wanted(spark, ("a", "b", "c", "MASK_NULL"), ("a", "b", "x", "MASK"))]
+
+    def interrupted(new, store):
+        merged = merge(new, store)
+        if waiting:
+            other = waiting.pop()
+            apply_upsert(spark, "pol", "busy", other)
+        return merged
+
+    monkeypatch.setattr(policies, "merge_policies", interrupted)
+    rows = apply_upsert(spark, "pol", "busy", wanted(spark, ("a", "b", "d", "MASK_HASH"), ("a", "b", "y", "MASK"))).collect()
+    assert sorted((r.name, r.action, r.succeeded) for r in rows) == [
+        ("masking-a-b-d", "update", True), ("masking-a-b-y", "create", True),
+    ]
+    held = {r.column: r.masking_option for r in stored_rules(spark.table("pol.busy")).collect()}
+    assert held == {"c": "MASK_NULL", "d": "MASK_HASH", "x": "MASK", "y": "MASK"}
+    ids = [r.id for r in spark.table("pol.busy").collect()]
+    assert sorted(ids) == [1, 2, 3, 4]
+    assert store_versions(spark, "pol", "busy") == [1, 2, 3]
+    first, second = ({r.column for r in stored_rules(store_as_of(spark, "pol", "busy", v)).collect()} for v in (1, 2))
+    assert first == {"c", "d"} and second == {"c", "d", "x"}
+    assert store_as_of(spark, "pol", "busy", 0).collect() == []
+    drop_versions(spark, "pol", "busy", keep=1)
+    assert store_versions(spark, "pol", "busy") == [3] and spark.table("pol.busy").count() == 4
+    apply_upsert(spark, "pol", "busy", wanted(spark, ("a", "b", "z", "MASK")))
+    assert spark.table("pol.busy").count() == 5
+
+
+def test_a_store_without_versions_keeps_its_state(spark):
+    spark.sql("CREATE DATABASE IF NOT EXISTS pol")
+    spark.createDataFrame([(4, "masking-a-b-c", "{}")], "id bigint, name string, document string").write.saveAsTable("pol.old")
+    apply_upsert(spark, "pol", "old", wanted(spark, ("a", "b", "c", "MASK"), ("a", "b", "d", "MASK")))
+    assert [tuple(r) for r in store_as_of(spark, "pol", "old", 1).collect()] == [(4, "masking-a-b-c", "{}")]
+    assert {r.id for r in spark.table("pol.old").collect()} == {4, 5}
+
+
+# --- views -------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def people(spark):
+    spark.sql("CREATE DATABASE IF NOT EXISTS seen")
+    rows = [(k, f"Name-{k}é", k * 1000 + 7, k / 7, k % 2 == 0, "x'y") for k in range(50)] + [(None,) * 6]
+    kinds = "id int, name string, number bigint, share double, flag boolean, `odd``col` string"
+    spark.createDataFrame(rows, kinds).repartition(1).write.mode("overwrite").saveAsTable("seen.people")
+    spark.createDataFrame([(me(spark), "staff"), ("other", "admins")], "user_name string, group_name string").write.mode(
+        "overwrite"
+    ).saveAsTable("seen.members")
+    return spark.table("seen.people")
+
+
+def me(spark):
+    return spark.sql("SELECT current_user()").first()[0]
+
+
+def rules_for(spark, *pairs):
+    rows = [(k, "seen", "people", c, o) for k, (c, o) in enumerate(pairs)]
+    return spark.createDataFrame(rows, "line_pos int, database string, table string, column string, masking_option string")
+
+
+def rows_of(df):
+    return sorted(map(str, df.collect()))
+
+
+@pytest.mark.parametrize("option", sorted(MASKS))
+def test_a_view_masks_like_the_function(spark, people, option):
+    rules = rules_for(spark, *[(c.upper(), option) for c in people.columns if c != "id"])
+    create_masked_view(spark, "seen", "people", "view", rules)
+    view = spark.table("seen.view")
+    assert view.schema.simpleString() == people.schema.simpleString()
+    assert rows_of(view) == rows_of(apply_masks(people, "seen", "people", rules))
+    with pytest.raises(ValueError, match="no mask"):
+        mask_sql("`a`", people.schema["id"].dataType, "MASK_NO")
+
+
+def test_who_reads_a_view_decides(spark, people):
+    rules = rules_for(spark, ("name", "MASK_NULL"))
+    masked_rows, plain = rows_of(apply_masks(people, "seen", "people", rules)), rows_of(people)
+
+    def seen(**exempt):
+        create_masked_view(spark, "seen", "people", "view", rules, members=("seen", "members"), **exempt)
+        return rows_of(spark.sql("SELECT * FROM seen.view"))
+
+    assert seen() == seen(exempt_users=["o'ther"]) == seen(exempt_groups=["admins"]) == masked_rows
+    assert seen(exempt_users=["x", me(spark)]) == seen(exempt_groups=["staff"]) == plain
+    with pytest.raises(ValueError, match="members"):
+        create_masked_view(spark, "seen", "people", "view", rules, exempt_groups=["staff"])
+
+
+def test_stored_policies_with_several_items(spark, people):
+    def document(column, *items):
+        return json.dumps(
+            {
+                "resources": {k: {"values": [v]} for k, v in (("database", "seen"), ("table", "people"), ("column", column))},
+                "dataMaskPolicyItems": [
+                    {"dataMaskInfo": {"dataMaskType": o}, "users": u, "groups": g} for o, u, g in items
+                ],
+            }
+        )
+
+    rows = [
+        (1, "a", document("name", ("MASK_NONE", [me(spark)], []), ("MASK", [], ["public"]))),
+        (2, "b", document("number", ("MASK_NONE", ["nobody"], []), ("MASK_HASH", [], ["staff"]), ("MASK", [], ["public"]))),
+        (3, "c", document("share", ("MASK_NULL", [], ["admins"]))),
+        (4, "d", document("id", ("MASK_NULL", ["nobody"], []))),
+        (5, "e", "no json"),
+    ]
+    store = spark.createDataFrame(rows, "id bigint, name string, document string")
+    create_masked_view(spark, "seen", "people", "view", stored_items(store), members=("seen", "members"))
+    expected = apply_masks(people, "seen", "people", rules_for(spark, ("number", "MASK_HASH")))
+    assert rows_of(spark.table("seen.view")) == rows_of(expected)
+
+
+def test_filters_on_columns_without_a_mask_reach_the_scan(spark, people):
+    rules = rules_for(spark, ("name", "MASK"))
+    for exempt, pushed in ((["nobody"], ["IsNotNull(id)"]), ([me(spark)], ["IsNotNull(id)", "IsNotNull(name)"])):
+        create_masked_view(spark, "seen", "people", "view", rules, exempt_users=exempt)
+        df = spark.sql("SELECT id, name FROM seen.view WHERE id > 3 AND name = 'Name-5é'")
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        filters = plan.partition("PushedFilters: [")[2].partition("]")[0]
+        assert all(p in filters for p in pushed) and ("name" in filters) == (len(pushed) > 1)
+        assert "number" not in plan.partition("ReadSchema")[2]
+        assert df.count() == (len(pushed) > 1)
+
+
 def test_rules_and_store_are_read_once(spark, tmp_path):
     rules, store = str(tmp_path / "rules"), str(tmp_path / "store")
     wanted(spark, ("a", "b", "c", "MASK"), ("n", "n", "n", "MASK")).write.parquet(rules)

@@ -6,6 +6,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.errors import AnalysisException
+from pyspark.sql import functions as F
 
 from checks.builders import cell, error, row, xlsx
 from parchmill.plans.job import METHODS, run_job
@@ -36,6 +37,29 @@ def test_load_and_scan(spark):
         scan_table(spark, "src", "people; DROP TABLE people")
 
 
+def test_a_load_leaves_no_gap(spark, tmp_path):
+    spark.sql("CREATE DATABASE IF NOT EXISTS src")
+    for path in (None, str(tmp_path / "here")):
+        spark.sql("DROP TABLE IF EXISTS src.swapped")
+        load_table(spark.range(10).toDF("n"), "src", "swapped", path)
+        table = spark.table("src.swapped")
+        for k in range(1, 4):  # from itself
+            load_table(table.select((table.n + 1).alias("n")), "src", "swapped", path)
+            assert sorted(r.n for r in spark.table("src.swapped").collect()) == list(range(k, k + 10))
+            table = spark.table("src.swapped")
+        broken = spark.range(3).select(F.when(F.col("id") < 9, F.raise_error(F.lit("lost")).cast("bigint")).alias("n"))
+        with pytest.raises(Exception, match="lost"):
+            load_table(broken, "src", "swapped", path)
+        assert sorted(r.n for r in spark.table("src.swapped").collect()) == list(range(3, 13))
+        load_table(table.select(table.n.cast("string").alias("other")), "src", "swapped", path)
+        assert spark.table("src.swapped").dtypes == [("other", "string")] and spark.table("src.swapped").count() == 10
+        load_table(spark.table("src.swapped").limit(0), "src", "swapped", path)
+        assert spark.table("src.swapped").count() == 0
+    spark.range(4).withColumn("p", F.col("id") % 2).write.partitionBy("p").mode("overwrite").saveAsTable("src.parts")
+    load_table(spark.table("src.parts").where("p = 1"), "src", "parts")
+    assert sorted(r.id for r in spark.table("src.parts").collect()) == [1, 3]
+
+
 def test_jdbc_split_needs_all_its_parts(spark):
     with pytest.raises(ValueError, match="together"):
         scan_jdbc(spark, "jdbc:none:x", "d", "t", partition_column="id")
