@@ -119,9 +119,12 @@ def near_links(marks: DataFrame, radius: int = 2) -> DataFrame:
     if not 0 <= radius <= 4:
         raise ValueError("radius must be 0 to 4")
     mark = F.col(f"`{marks.columns[0]}`").alias("x")
-    values = marks.select(mark).where(F.col("x").isNotNull()).distinct()
+    # A ball is many rows: few small partitions become large ones, so none are joined here.
+    parts = int(marks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    values = marks.select(mark).where(F.col("x").isNotNull()).distinct().repartition(parts)
     emitted = values.select("x", F.explode(ball(F.col("x"), (radius + 1) // 2)).alias("variant"))
-    buckets = emitted.groupBy("variant").agg(F.collect_list("x").alias("met")).where(F.size("met") > 1)
+    # Hardly any variant comes twice from one task: gathering before the shuffle is in vain.
+    buckets = emitted.repartition("variant").groupBy("variant").agg(F.collect_list("x").alias("met")).where(F.size("met") > 1)
     if radius % 2 == 0:
         centre = buckets.select(F.array_min("met").alias("y"), F.explode("met").alias("x"))
     else:
