@@ -4,21 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from parchmill.functions.text import WHITESPACE
+from parchmill.operators.heavy import Summary
+from parchmill.operators.subwords import PieceTrie
 from parchmill.session import scratch_path
 
 # White space of any script; the four separators are not in Java's class.
 _SPLIT = r"(?U)[\s\x1c-\x1f]+"
 
-# Words that more than this share of all words in the texts are, in one thousandth,
-# are spread over salts when a vocabulary is joined; there are a thousand at most.
+# Words that are at least one in so many of all words in the texts are spread over salts
+# when a vocabulary is joined.
 _FREQUENT = 1000
 _SALTS = 64
+_ADDED = ("input_ids", "attention_mask")
 
 
 class RepeatedToken(ValueError):
@@ -60,14 +65,24 @@ def encode_fixed_length(
     length: int = 2048,
     pad_id: int = 0,
 ) -> DataFrame:
-    """Add input_ids and attention_mask, both of `length` entries.
+    """Add input_ids and attention_mask, both of `length` entries; columns of these names
+    are replaced, all others stay.
 
     `tokenise` maps a string column to an array<int> column: a pandas or Arrow
-    UDF around any tokeniser, or `vocabulary_tokeniser`. One narrow stage; the
-    padding comes last, so no shuffle ever carries it.
+    UDF around any tokeniser, `vocabulary_tokeniser` or `subword_tokeniser`. One narrow
+    stage; the padding comes last, so no shuffle ever carries it.
     """
-    ids = df.withColumn("_ids", tokenise(F.col(text)))
-    return ids.select(*df.columns, *fixed_length(F.col("_ids"), length, pad_id))
+    rows = df.select(F.struct(*map(_quoted, df.columns)).alias("row"), tokenise(F.col(_quoted(text))).alias("ids"))
+    return rows.select(*_others(df), *fixed_length(F.col("ids"), length, pad_id))
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _others(df: DataFrame) -> list[Column]:
+    """The columns of a row kept as `row`, but for those that encoding adds."""
+    return [F.col(f"row.{_quoted(c)}") for c in df.columns if c.lower() not in _ADDED]
 
 
 def shipped_vocabulary(vocabulary: DataFrame) -> pa.Table:
@@ -116,6 +131,50 @@ def vocabulary_tokeniser(
     return encode
 
 
+def subword_tokeniser(
+    vocabulary: pa.Table, unk_id: int, length: int, continuation: str = "##", max_bytes: int | None = None
+) -> Callable[[Column], Column]:
+    """Split on white space, then cut every word into the longest pieces of the vocabulary
+    from its left, as an Arrow UDF: whole batches, no row loop, no shuffle.
+
+    Pieces after a word's first are those that the vocabulary has with `continuation`
+    before them. A word that cannot be cut to its end, or is longer than `max_bytes`, is
+    `unk_id` as a whole. A text is cut to `length` pieces. The vocabulary goes to every
+    task as a trie in arrays, some 20 bytes a byte of its tokens.
+    """
+    trie = PieceTrie.of(vocabulary["token"].to_pylist(), vocabulary["id"].to_pylist(), continuation)
+
+    @F.arrow_udf("array<int>")
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            split = _split(texts, length)
+            flat = split.flatten()
+            coded = flat.dictionary_encode()  # each distinct word of a batch is cut once
+            ids, ends = trie.cut(coded.dictionary, unk_id, max_bytes)
+            which = coded.indices.to_numpy(zero_copy_only=False)
+            count = np.diff(ends)[which] if len(which) else np.zeros(0, np.int64)
+            upto = np.concatenate([[0], np.cumsum(count)])
+            row_ends = np.asarray(split.offsets, np.int64) - (split.offsets[0].as_py() if len(split) else 0)
+            row_ends = upto[row_ends] if len(split) else np.zeros(1, np.int64)
+            place = np.arange(upto[-1]) - np.repeat(upto[:-1], count) + np.repeat(ends[which] if len(which) else count, count)
+            found = pa.ListArray.from_arrays(pa.array(row_ends.astype(np.int32)), pa.array(ids[place], pa.int32()))
+            yield pc.list_slice(found, 0, length)
+
+    return encode
+
+
+def _split(texts: pa.Array, length: int) -> pa.ListArray:
+    """The first `length` words of each text; none of a null or blank one."""
+    texts = pc.fill_null(pc.utf8_trim_whitespace(texts), "")
+    kept = pc.list_slice(pc.utf8_split_whitespace(texts, max_splits=length), 0, length)
+    blank = pc.equal(texts, "")
+    if not pc.any(blank).as_py():
+        return kept
+    sizes = pc.if_else(blank, 0, pc.list_value_length(kept)).to_numpy(zero_copy_only=False)
+    words = kept.flatten().filter(pa.array(np.repeat(~blank.to_numpy(zero_copy_only=False), pc.list_value_length(kept).to_numpy())))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), words)
+
+
 def encode_with_vocabulary(
     spark: SparkSession,
     df: DataFrame,
@@ -125,13 +184,17 @@ def encode_with_vocabulary(
     pad_id: int,
     length: int = 2048,
     ship: bool = True,
+    subwords: bool = False,
 ) -> DataFrame:
     """Encode with a (token, id) table; a repeated token raises RepeatedToken.
 
-    `ship` sends the vocabulary to every task, which must have room for it, and shuffles
+    `subwords` cuts words into pieces (see subword_tokeniser), which needs `ship`. `ship` sends the vocabulary to every task, which must have room for it, and shuffles
     nothing; without it the words are joined with the vocabulary, whatever its size."""
+    if subwords and not ship:
+        raise ValueError("pieces of words are looked up in tasks: the vocabulary must be shipped")
     if ship:
-        tokenise = vocabulary_tokeniser(shipped_vocabulary(vocabulary), unk_id, length)
+        make = subword_tokeniser if subwords else vocabulary_tokeniser
+        tokenise = make(shipped_vocabulary(vocabulary), unk_id, length)
         return encode_fixed_length(df, text, tokenise, length, pad_id)
     return encode_by_join(spark, df, text, vocabulary, unk_id, pad_id, length)
 
@@ -148,37 +211,64 @@ def encode_by_join(
     """The same by a join on words, for a vocabulary too large to ship to every task.
 
     The rows are written once with their numbers, so that the numbers stay the
-    same if a task runs again. Words that are at least a thousandth of all, of which
-    there are a thousand at most, are spread over salts, and only these entries of the
+    same if a task runs again. In the same pass each task sums its words up (heavy.Summary);
+    merged, the summaries name every word that is at least a thousandth of all, and two
+    thousand words at most. These are spread over salts, and only their entries of the
     vocabulary are repeated. A group in the last step is one text cut to `length`
     words, so it is bounded.
     """
     path = scratch_path(spark, "encode")
-    df.withColumn("_row", F.monotonically_increasing_id()).write.parquet(path)
-    kept = spark.read.parquet(path)
+    numbered = df.select(
+        F.struct(*map(_quoted, df.columns)).alias("row"),
+        F.col(_quoted(text)).alias("text"),
+        F.monotonically_increasing_id().alias("key"),
+    )
 
-    tokens = kept.select("_row", F.posexplode(words(F.col(text), length)).alias("_pos", "token"))
-    counts = tokens.groupBy("token").agg(F.count("*").alias("n"))
-    total = tokens.count()
-    frequent = [r["token"] for r in counts.where(F.col("n") * _FREQUENT > total).collect()]
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        summary, last = Summary(2 * _FREQUENT), None
+        for batch in batches:
+            summary.add(_split(batch.column("text"), length).flatten())
+            if last is not None:
+                yield _with_heavy(last, None)
+            last = batch
+        if last is not None and len(last):  # a task's summary goes with its last row
+            yield _with_heavy(last.slice(0, len(last) - 1), None)
+            yield _with_heavy(last.slice(len(last) - 1), summary)
+
+    schema = StructType([*numbered.schema.fields, *StructType.fromDDL(f"heavy {_HEAVY}").fields])
+    numbered.mapInArrow(summed, schema).write.parquet(path)
+    kept = spark.read.schema(schema).parquet(path)
+
+    summaries = kept.where("heavy IS NOT NULL").select("heavy")
+    total = summaries.agg(F.coalesce(F.sum("heavy.total"), F.lit(0))).first()[0]
+    counts = summaries.select(F.explode("heavy.words").alias("w")).groupBy("w.token").agg(F.sum("w.n").alias("n"))
+    # A summary counts a word short by its total over its size at most.
+    frequent = counts.where((F.col("n") + total / (2 * _FREQUENT)) * _FREQUENT >= total)
+    frequent = [r["token"] for r in frequent.select("token").collect()]
+
+    tokens = kept.select("key", F.posexplode(words(F.col("text"), length)).alias("pos", "token"))
     often = F.col("token").isin(frequent) if frequent else F.lit(False)
-    salt = F.when(often, F.pmod(F.col("_row") + F.col("_pos"), F.lit(_SALTS))).otherwise(0)
+    salt = F.when(often, F.pmod(F.col("key") + F.col("pos"), F.lit(_SALTS))).otherwise(0)
     salts = F.when(often, F.sequence(F.lit(0), F.lit(_SALTS - 1))).otherwise(F.array(F.lit(0)))
-    spread = _unique(vocabulary).withColumn("_salt", F.explode(salts))
+    spread = _unique(vocabulary).withColumn("salt", F.explode(salts))
+    entry = F.struct("pos", F.coalesce("id", F.lit(unk_id)).alias("id"))
     ids = (
-        tokens.withColumn("_salt", salt.cast("int"))
-        .join(spread, ["token", "_salt"], "left")
-        .groupBy("_row")
-        .agg(
-            F.sort_array(
-                F.collect_list(
-                    F.struct("_pos", F.coalesce("id", F.lit(unk_id)).alias("id"))
-                )
-            ).alias("_found")
-        )
-        .select("_row", F.transform("_found", lambda t: t["id"]).alias("_ids"))
-    )
-    found = F.coalesce("_ids", F.array().cast("array<int>"))
-    return kept.join(ids, "_row", "left").select(
-        *df.columns, *fixed_length(found, length, pad_id)
+        tokens.withColumn("salt", salt.cast("int"))
+        .join(spread, ["token", "salt"], "left")
+        .groupBy(F.col("key").alias("of"))
+        .agg(F.transform(F.sort_array(F.collect_list(entry)), lambda t: t["id"]).alias("ids"))
     )
+    found = F.coalesce("ids", F.array().cast("array<int>"))
+    joined = kept.select("row", "key").join(ids, F.col("key") == F.col("of"), "left")
+    return joined.select(*_others(df), *fixed_length(found, length, pad_id))
+
+
+_HEAVY = "struct<total:bigint,words:array<struct<token:string,n:bigint>>>"
+
+
+def _with_heavy(batch: pa.RecordBatch, summary: Summary | None) -> pa.RecordBatch:
+    kind = pa.struct([("total", pa.int64()), ("words", pa.list_(pa.struct([("token", pa.string()), ("n", pa.int64())])))])
+    held = [None] * len(batch)
+    if summary is not None:
+        held = [{"total": summary.total, "words": [{"token": w, "n": n} for w, n in summary.counts.items()]}]
+    return pa.RecordBatch.from_arrays([*batch.columns, pa.array(held, kind)], [*batch.schema.names, "heavy"])

@@ -1,4 +1,7 @@
+import random
+
 import pandas as pd
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -7,6 +10,8 @@ from pyspark.sql import functions as F
 
 from parchmill.functions.text import WHITESPACE
 from parchmill.operators import encode, prompts
+from parchmill.operators.heavy import Summary
+from parchmill.operators.subwords import PieceTrie
 from parchmill.plans.training_rows import write_training_rows
 from parchmill.sources.lines import scan_prompt_lines
 
@@ -120,6 +125,96 @@ def test_both_ways_give_the_same(spark):
         assert sorted(map(tuple, out.collect()), key=repr) == encoded(texts, vocabulary, 8, 0, 2)
 
 
+def pieces_of(word, vocabulary, unk, most=None):
+    """The longest pieces from the left, in a plain loop."""
+    out, at = [], 0
+    if most is not None and len(word.encode()) > most:
+        return [unk]
+    while at < len(word):
+        for end in range(len(word), at, -1):
+            found = vocabulary.get(("##" if at else "") + word[at:end])
+            if found is not None:
+                break
+        else:
+            return [unk]
+        out.append(found)
+        at = end
+    return out
+
+
+@QUICK
+@given(st.lists(st.one_of(st.none(), st.text(" abcdé\t", max_size=40)), min_size=1, max_size=20), st.randoms())
+def test_subwords_as_in_a_plain_loop(spark, texts, rng):
+    letters = "abcdé"
+    tokens = {"".join(rng.choice(letters) for _ in range(rng.randrange(1, 4))) for _ in range(12)}
+    tokens |= {"##" + "".join(rng.choice(letters) for _ in range(rng.randrange(1, 4))) for _ in range(20)} | {"", "##", "#"}
+    vocabulary = {t: k + 10 for k, t in enumerate(sorted(tokens))}
+    usable = {t: k for t, k in vocabulary.items() if t not in ("", "##")}
+    texts = texts + ["abcabc # dd", "a" * 60, None, ""]
+    df = spark.createDataFrame([(x,) for x in texts], "t string")
+    out = encode.encode_with_vocabulary(spark, df, "t", vocabulary_of(spark, vocabulary), 0, 2, 9, subwords=True)
+    expected = []
+    for t in texts:
+        ids = sum((pieces_of(w, usable, 0) for w in (t or "").split()), [])[:9]
+        expected.append((t, ids + [2] * (9 - len(ids)), [1] * len(ids) + [0] * (9 - len(ids))))
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted(expected, key=repr)
+
+
+def test_subwords_of_long_words_other_signs_and_no_vocabulary(spark):
+    words = pa.array(["abab", "", "ab" * 3000, "x", "ba"])
+    trie = PieceTrie.of(["ab", "b", "a"], [1, 2, 3], "")
+    ids, ends = trie.cut(words, 9, max_bytes=4)
+    assert ids.tolist() == [1, 1, 9, 9, 2, 3] and ends.tolist() == [0, 2, 2, 3, 4, 6]
+    assert trie.cut(words.slice(2, 1), 9)[0].tolist() == [1] * 3000
+    empty = PieceTrie.of([], [], "##")
+    assert empty.cut(words, 9)[0].tolist() == [9, 9, 9, 9]
+    with pytest.raises(ValueError, match="shipped"):
+        df = spark.createDataFrame([("a",)], "t string")
+        encode.encode_with_vocabulary(spark, df, "t", vocabulary_of(spark, {"a": 1}), 0, 2, ship=False, subwords=True)
+
+
+@pytest.mark.parametrize("ship", [True, False])
+def test_columns_of_any_name_stay(spark, ship):
+    names = ("_ids", "_row", "row", "key", "text", "heavy", "token", "pos", "salt", "a`b.c", "Input_IDs")
+    df = spark.createDataFrame([("a b", *range(len(names)))], ["t", *names])
+    out = encode.encode_with_vocabulary(spark, df, "t", vocabulary_of(spark, {"a": 5}), 0, 2, 3, ship=ship)
+    assert out.columns == ["t", *names[:-1], "input_ids", "attention_mask"]
+    assert tuple(out.first()) == ("a b", *range(len(names) - 1), [5, 0, 2], [1, 1, 0])
+
+
+def test_summaries_name_every_frequent_value():
+    rng = random.Random(5)
+    values = ["hot"] * 4000 + [f"often{k % 7}" for k in range(2100)] + [f"rare{k}" for k in range(9000)]
+    rng.shuffle(values)
+    size = 60
+    merged, total = {}, 0
+    for part in range(5):
+        summary = Summary(size)
+        mine = values[part::5]
+        for k in range(0, len(mine), 97):
+            summary.add(pa.array(mine[k : k + 97]))
+        assert len(summary.counts) <= size and summary.total == len(mine)
+        total += summary.total
+        for v, n in summary.counts.items():
+            merged[v] = merged.get(v, 0) + n
+    for v in set(values):
+        true = values.count(v) if v in merged or not v.startswith("rare") else 1
+        assert merged.get(v, 0) <= true <= merged.get(v, 0) + total / size
+    assert merged["hot"] > 3500 and {f"often{k}" for k in range(7)} <= set(merged)
+    empty = Summary(3)
+    empty.add(pa.array([], pa.string()))
+    assert empty.counts == {} and empty.total == 0
+
+
+def test_frequent_words_are_salted_in_one_pass(spark):
+    """Half of all words are one word; the vocabulary's other entries are not repeated."""
+    texts = ["the " * 20 + f"w{k} w{k + 1}" for k in range(300)]
+    vocabulary = {"the": 5} | {f"w{k}": k + 10 for k in range(300)}
+    df = spark.createDataFrame([(x,) for x in texts], "t string").repartition(4)
+    out = encode.encode_with_vocabulary(spark, df, "t", vocabulary_of(spark, vocabulary), 0, 2, 22, ship=False)
+    assert sorted(map(tuple, out.collect()), key=repr) == encoded(texts, vocabulary, 22, 0, 2)
+
+
 @pytest.mark.parametrize("ship", [True, False])
 def test_repeated_tokens_are_refused(spark, ship):
     df = spark.createDataFrame([("a b",)], "t string")
