@@ -18,10 +18,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.types import StructType
 
+from parchmill.session import scratch_path
+
 BUCKET_BYTES = 32 << 20
-HOT_IDS = 10_000  # ids repeated so often that they are spread; at most so many exist
 
 
 def consistent_shard(id_value: Column, shards: int, seed: int) -> Column:
@@ -30,11 +32,18 @@ def consistent_shard(id_value: Column, shards: int, seed: int) -> Column:
     return (F.array_position(votes, F.array_max(votes)) - 1).cast("int")
 
 
-def _sizes(docs: DataFrame, text: Column) -> tuple[int, int]:
-    row = docs.select(
-        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("b")
-    ).first()
-    return row["n"], row["b"] + 8 * row["n"]
+def _row_bytes(docs: DataFrame) -> Column:
+    """About how much a row holds, in all its columns."""
+    total = F.lit(8).cast("long")
+    for f in docs.schema.fields:
+        value = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            total = total + F.coalesce(F.octet_length(value), F.lit(0))
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):
+            total = total + F.coalesce(F.octet_length(F.to_json(F.struct(value))), F.lit(0))
+        else:
+            total = total + 8
+    return total
 
 
 def write_shards(
@@ -51,36 +60,39 @@ def write_shards(
     Columns: shard int, bucket int, place long (order in its bucket, from 0), and row,
     a struct with all columns of `docs`, so their names clash with nothing. Files hold
     rows in order of bucket and place. The same rows and seed give the same shards,
-    buckets and places, however the input is split; only rows of an id that more than
-    one in HOT_IDS rows (and more than 1000) carry are spread by their place in the
-    input, so that no id fills a bucket. Rows with null ids or texts are kept; repeated
-    rows too; an empty table writes an empty one. `path` must be on storage that all
-    executors share, and must not exist. Lost tasks are done again from the input.
+    buckets and places, however the input is split; only rows of equal id and text that
+    together hold more than a quarter of a bucket are spread by their place in the input,
+    so that a bucket holds about `bucket_bytes`, all columns counted, or one longer row.
+    Rows with null ids or texts are kept; repeated rows too; an empty table writes an
+    empty one. `path` must be on storage that all executors share, and must not exist.
+    Lost tasks are done again from the input.
     """
     spark = docs.sparkSession
     id_value, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
-    n, total = _sizes(docs, text)
+    mark = F.xxhash64(F.lit(seed), id_value, text)
+    counted = docs.select(mark.alias("m"), _row_bytes(docs).alias("b")).groupBy("m")
+    counted = counted.agg(F.sum("b").alias("b"), F.count(F.lit(1)).alias("n"))
+    found = scratch_path(spark, "marks")
+    counted.write.parquet(found)
+    counted = spark.read.schema(counted.schema).parquet(found)
+    total = counted.agg(F.coalesce(F.sum("b"), F.lit(0))).first()[0]
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     each = math.ceil(max(total / bucket_bytes, 4 * partitions) / shards)
+    # Stored, so that Spark knows how few they are.
+    heavy_path = scratch_path(spark, "heavy-marks")
+    counted.where((F.col("n") > 1) & (F.col("b") > bucket_bytes / 4)).select("m").write.parquet(heavy_path)
+    heavy = spark.read.schema("m long").parquet(heavy_path)
 
-    often = max(1000, n // HOT_IDS)
-    counts = docs.groupBy(id_value.alias("id")).agg(F.count(F.lit(1)).alias("n"))
-    hot = [r["id"] for r in counts.where(F.col("n") > often).collect()]  # HOT_IDS at most
-    spread = F.lit(0).cast("long")
-    if hot:
-        isnull = id_value.isNull() if None in hot else F.lit(False)
-        is_hot = isnull | F.coalesce(id_value.isin([i for i in hot if i is not None]), F.lit(False))
-        spread = F.when(is_hot, F.monotonically_increasing_id()).otherwise(spread)
-
-    mark = F.xxhash64(F.lit(seed), id_value, text)
-    scattered = docs.select(
+    taken = docs.select(
         consistent_shard(id_value, shards, seed).alias("shard"),
         mark.alias("mark"),
-        spread.alias("spread"),
+        F.monotonically_increasing_id().alias("at"),
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
-    ).select(
+    ).join(heavy, F.col("mark") == F.col("m"), "left")
+    spread = F.when(F.col("m").isNotNull(), F.col("at")).otherwise(F.lit(0))
+    scattered = taken.select(
         "shard",
-        (F.col("shard") * each + F.pmod(F.xxhash64("mark", "spread"), F.lit(each)).cast("int")).alias("bucket"),
+        (F.col("shard") * each + F.pmod(F.xxhash64("mark", spread), F.lit(each)).cast("int")).alias("bucket"),
         "mark",
         "row",
     )

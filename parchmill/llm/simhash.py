@@ -165,14 +165,15 @@ def compare_with_edits(
 
     Texts are shuffled once, into ranges of ids, and streamed in order; a task holds a
     few megabytes of them and its longest one. Only the texts at the ends of ranges
-    move again. Rows repeated exactly share a range, and stream through it.
+    move again. Rows repeated exactly, whose order is all one, are dealt to several ranges
+    by a random number that is the same whenever the scan is repeated.
     """
     spark = docs.sparkSession
     taken = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     kind = taken.schema["id"].dataType.simpleString()
-    order = [F.desc_nulls_last("id"), F.desc("hash")]
+    order = [F.desc_nulls_last("id"), F.desc("hash"), F.asc("salt")]
     sorted_rows = (
-        taken.withColumn("hash", F.xxhash64("text"))
+        taken.withColumns({"hash": F.xxhash64("text"), "salt": F.rand(7)})
         .repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .select("id", "text")

@@ -21,6 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parchmill.llm.rows import numbered
 from parchmill.session import scratch_path
 
 BINS = 256
@@ -81,10 +82,10 @@ def _scored(batches: Iterator[pa.RecordBatch]):
     for batch in batches:
         for row in range(len(batch)):
             length = batch.column("length")[row].as_py()
-            keys, ids = _list(batch, "keys", row), _list(batch, "c_ids", row)
+            keys, ids, others = (_list(batch, c, row) for c in ("keys", "c_ids", "c_keys"))
             q = _list(batch, "values", row).reshape(len(keys), length)
             c = _list(batch, "c_values", row).reshape(len(ids), length)
-            own = _list(batch, "ids", row)[:, None] == ids
+            own = keys[:, None] == others
             state = (_list(batch, name, row) for name in ("low", "width", "wanted"))
             yield keys, *state, ids, _scores(q, c), own
 
@@ -148,8 +149,8 @@ def top_k(
     """query_id, rank (from 1), vec_id and score: the k best candidates of each query.
 
     Components x become floor(scale * x); the score is the inner product, as a long.
-    Queries are the rows for which `is_query` holds; candidates are all rows of another
-    id. Equal scores go to the smaller id; with fewer than k candidates all are given.
+    Queries are the rows for which `is_query` holds; candidates are all rows but the
+    query's own, others of its id among them. Equal scores go to the smaller id; with fewer than k candidates all are given.
     Rows take no part if their id or vector is null or a component is null or not
     finite; vectors of different lengths have no score. A repeated query row is a query
     of its own; repeated candidates are candidates each. Other columns are not read.
@@ -161,7 +162,8 @@ def top_k(
     """
     spark = vectors.sparkSession
     slices = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = vectors.select(
+    rows = numbered(
+        vectors,
         F.col(f"`{id_col}`").cast("long").alias("id"),
         whole_vector(F.col(f"`{vector_col}`"), scale).alias("vector"),
         F.coalesce(is_query, F.lit(False)).alias("asked"),
@@ -179,11 +181,10 @@ def top_k(
 
     if reach >= 2**62:
         raise ValueError("scores of these vectors do not fit a long")
-    keyless = rows.withColumn("key", F.lit(0).cast("long"))
-    blocks = stored(keyless.mapInArrow(_pack(BLOCK, slices), _BLOCKS), "candidates")
-    blocks = blocks.select("slice", "length", F.col("ids").alias("c_ids"), F.col("values").alias("c_values"))
-    asked = rows.where("asked").withColumn("key", F.monotonically_increasing_id())
-    asked = stored(asked.select("key", "id", "vector"), "queries")
+    blocks = stored(rows.mapInArrow(_pack(BLOCK, slices), _BLOCKS), "candidates")
+    renamed = [F.col(c).alias(f"c_{c}") for c in ("keys", "ids", "values")]
+    blocks = blocks.select("slice", "length", *renamed)
+    asked = stored(rows.where("asked").select("key", "id", "vector"), "queries")
     packed = stored(asked.mapInArrow(_pack(QUERY_BLOCK, slices), _BLOCKS), "query-blocks")
     # Each query's range: `wanted` of its k best lie in it, the others above.
     width = 1

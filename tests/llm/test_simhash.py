@@ -70,6 +70,21 @@ def test_edges(spark, make, partitions):
     assert compare_with_edits(make([])).collect() == []
 
 
+def test_rows_repeated_exactly_are_dealt_to_several_ranges(spark, make, monkeypatch):
+    rows = [(7, "the same text again")] * 300 + [(k, f"text {k} of others") for k in range(20)]
+    df = compare_with_edits(make(rows).repartition(3))
+    found = df.collect()
+    assert len(found) == len(rows)
+    ordered = sorted(rows, key=lambda r: -r[0])
+    hashes = []
+    for k, (_, text) in enumerate(ordered):
+        following = ordered[(k + 1) % len(ordered)][1]
+        cut = len(text) // 3
+        hashes.append(hashlib.sha256((text[: len(text) - cut] + following[:cut]).encode()).hexdigest())
+    # Id 7 has another text, too, which comes before or after the equal ones.
+    assert sum(r["edited_sha256"] in set(hashes) for r in found) >= len(rows) - 3
+
+
 def test_repeated_and_missing_ids(make):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "g h i j k l"), (2, "m n o")]
     found = compare_with_edits(make(rows)).collect()

@@ -2,6 +2,7 @@
 
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -77,6 +78,18 @@ def test_repeated_rows(spark):
     assert found == sorted(best * 2)  # each query row its own two
 
 
+def test_rows_that_share_an_id_are_candidates(spark, tmp_path):
+    rows = [(100, [1.0]), (100, [2.0]), (101, [0.5]), (None, [9.0])]
+    expected = [(100, 1, 100, 2 * 1024**2), (100, 1, 100, 2 * 1024**2), (100, 2, 101, 1024**2 // 2), (100, 2, 101, 1024**2)]
+    found = got(top_k(vectors(spark, rows), F.col("vec_id") % 100 == 0))
+    assert found == sorted(expected)
+    vectors(spark, rows).write.parquet(f"{tmp_path}/embeddings.parquet")  # rows of files, and the SQL
+    assert got(queries.QUERIES["op8_topk"](spark, str(tmp_path))) == found
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert sorted(con.execute(queries.SQL["op8_topk"]).fetchall()) == found
+
+
 def test_large_numbers_stay_exact(spark):
     rows = [(k, [float(2**20 + k), float(-(2**19))]) for k in range(12)]
     assert got(top_k(vectors(spark, rows), F.col("vec_id") < 3, k=4)) == brute(rows, lambda i: i < 3, 4)
