@@ -14,12 +14,13 @@ from checks.registry import given, prepared, query, spread
 from parchmill.formats.storage import resolve
 from parchmill.functions import text as t
 from parchmill.operators import assemble
-from parchmill.operators.extract import extract_metrics, extract_texts
+from parchmill.operators.extract import document_texts, extract_metrics, extract_texts
 from parchmill.operators.route import output_collisions, route, unsupported_files
 from parchmill.plans.extract_tree import extract_tree, run_extraction
 from parchmill.session import scratch_path
 from parchmill.sinks.text_files import write_text_files
 from parchmill.sources.documents import list_documents
+from parchmill.sources.tree import scan_tree
 
 # --- assembly ----------------------------------------------------------------
 
@@ -346,6 +347,22 @@ def tree(spark: SparkSession, sf: str) -> DataFrame:
     return texts.select(_below("path").alias("path"), "out_name", "kind", "text", "status")
 
 
+@query(
+    f"""WITH {_FILES_SQL} SELECT path, out_name, kind, text, status FROM files
+        WHERE kind IN ('docx', 'xlsx') AND path LIKE 'd1%'"""
+)
+def scan_tree_some(spark: SparkSession, sf: str) -> DataFrame:
+    """Files of two kinds in some folders of a tree; no other file is opened."""
+    root = _tree(spark, sf)
+    # Paths as the list has them: those of local storage begin with their folder.
+    asked = F.col("kind").isin("docx", "xlsx") & F.col("path").contains("/d1")
+    stored = scratch_path(spark, "records")
+    scan_tree(spark, root).where(asked).write.parquet(stored)
+    texts = document_texts(spark.read.parquet(stored))
+    found = texts.select(_below("path").alias("path"), "out_name", "kind", "text", "status")
+    return found.where(F.col("path").startswith("d1"))
+
+
 @query(
     f"""WITH {_FILES_SQL} SELECT out_name AS name, CAST(strlen(text) AS BIGINT) AS length,
           (SELECT count(*) FROM files WHERE status = 'error') AS n_errors

@@ -52,14 +52,15 @@ _PARSED = pa.schema(
         ("error", pa.string()),
     ]
 )
-_PARSED_DDL = (
+PARSED_DDL = (
     "path string, kind string, segment_no int, is_last boolean, records array<struct<part_no:int,"
     "part_name:string,row_no:int,what:string,content:string,gap:int,cell_no:int,keep:boolean>>, "
     "status string, error string"
 )
 
-def _cutters(spark: SparkSession) -> dict[str, Callable[[BinaryIO], Iterator[cut.Record]]]:
-    books = cut.workbook(first_sheet_only=False, strings_folder=strings_folder(spark))
+def cutters(strings: str | None) -> dict[str, Callable[[BinaryIO], Iterator[cut.Record]]]:
+    """What cuts files of each kind; `strings` is strings_folder()."""
+    books = cut.workbook(first_sheet_only=False, strings_folder=strings)
     return {"docx": cut.word, "xlsx": books, "pdf": cut.pdf, "pptx": cut.slides}
 
 
@@ -107,7 +108,7 @@ def _rows_of(path: str, kind: str, content: pa.Buffer | None, parser: Callable)
         yield path, kind, sent + 1, True, None, "error", f"{type(e).__name__}: {e}"
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
+def batch_of(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [
             pa.array(
@@ -122,9 +123,10 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     )
 
 
-def _parse(
+def cut_batches(
     batches: Iterator[pa.RecordBatch], parsers: Mapping[str, Callable]
 ) -> Iterator[pa.RecordBatch]:
+    """What cut_files() gives, of batches of (path, kind, content)."""
     rows: list[tuple] = []
     size = 0
     for batch in batches:
@@ -139,21 +141,21 @@ def _parse(
                 rows.append(row)
                 size += sum(len(r[4]) for r in row[4] or ())
                 if len(rows) >= _BATCH_ROWS or size >= _BATCH_BYTES:
-                    yield _batch(rows)
+                    yield batch_of(rows)
                     rows, size = [], 0
     if rows:
-        yield _batch(rows)
+        yield batch_of(rows)
 
 
-def cut_files(files: DataFrame, cutters: Mapping[str, Callable]) -> DataFrame:
+def cut_files(files: DataFrame, parsers: Mapping[str, Callable]) -> DataFrame:
     """(path, kind, segment_no, is_last, records, status, error) of (path, kind, content)
     rows, cut once by the function for their kind and written to the shared folder."""
     cut_up = files.select("path", "kind", "content").mapInArrow(
-        lambda batches: _parse(batches, cutters), _PARSED_DDL
+        lambda batches: cut_batches(batches, parsers), PARSED_DDL
     )
     path = scratch_path(files.sparkSession, "parsed")
     cut_up.write.parquet(path)
-    return files.sparkSession.read.schema(_PARSED_DDL).parquet(path)
+    return files.sparkSession.read.schema(PARSED_DDL).parquet(path)
 
 
 def parse_documents(files: DataFrame, parsers: Mapping[str, Parser] | None = None) -> DataFrame:
@@ -164,7 +166,7 @@ def parse_documents(files: DataFrame, parsers: Mapping[str, Parser] | None = Non
     function from an open file to its elements in order, each (part_no, part_name,
     row_no, cell_no, text, keep).
     """
-    chosen = {**_cutters(files.sparkSession), **{k: _own(p) for k, p in (parsers or {}).items()}}
+    chosen = {**cutters(strings_folder(files.sparkSession)), **{k: _own(p) for k, p in (parsers or {}).items()}}
     routed = route(files.select("path", "content"))
     content = F.when(F.col("kind") != UNSUPPORTED, F.col("content"))
     return cut_files(routed.withColumn("content", content), chosen)

@@ -84,6 +84,24 @@ def scan_visible(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def deal_documents(spark: SparkSession, root: str, tasks: int | None = None) -> DataFrame:
+    """(path, kind, length, error) of every file of a tree, dealt out to tasks by size, or
+    to the number given. `error` says why a file cannot be read, if it cannot, or has
+    nothing in it though it should. Raises Unreachable as read_documents() does."""
+    root = full_uri(spark, root)
+    if not reachable(root):
+        raise Unreachable(f"{root}: only Spark can reach this storage; see scan_visible")
+    listed = route(_listing(spark, root).where("kind = 'file'").drop("kind"))
+    supported = F.col("kind") != UNSUPPORTED
+    empty = F.when(supported & (F.col("length") == 0), "empty file")
+    files = listed.select("path", "kind", "length", F.coalesce("problem", empty).alias("error"))
+    size = files.where("error IS NULL").agg(
+        F.count("*").alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes")
+    ).first()
+    n = tasks or max(1, math.ceil((size["bytes"] + size["files"] * _OPEN_COST) / _BYTES_PER_TASK))
+    return files.repartition(n)
+
+
 def read_documents(
     spark: SparkSession, root: str, tasks: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
@@ -96,19 +114,7 @@ def read_documents(
     file is left out. Raises Unreachable where only Spark can reach the storage;
     `scan_visible` reads what Spark's scan sees of it.
     """
-    root = full_uri(spark, root)
-    if not reachable(root):
-        raise Unreachable(f"{root}: only Spark can reach this storage; see scan_visible")
-    listed = route(_listing(spark, root).where("kind = 'file'").drop("kind"))
-    supported = F.col("kind") != UNSUPPORTED
-    failed = F.col("problem").isNotNull() | (supported & (F.col("length") == 0))
-    unreadable = listed.where(failed).select(
-        "path", F.lit("error").alias("status"), F.coalesce("problem", F.lit("empty file")).alias("error")
-    )
-    files = listed.where(~failed)
-    size = files.agg(
-        F.count("*").alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes")
-    ).first()
-    n = tasks or max(1, math.ceil((size["bytes"] + size["files"] * _OPEN_COST) / _BYTES_PER_TASK))
+    files = deal_documents(spark, root, tasks)
     no_content = F.lit(None).cast("binary").alias("content")
-    return files.select("path", no_content).repartition(n), unreadable
+    unreadable = files.where("error IS NOT NULL").select("path", F.lit("error").alias("status"), "error")
+    return files.where("error IS NULL").select("path", no_content), unreadable

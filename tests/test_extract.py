@@ -1,6 +1,7 @@
 import datetime as dt
 import io
 import random
+import re
 import tracemalloc
 import zipfile
 
@@ -24,6 +25,7 @@ from parchmill.plans.extract_tree import TooManyErrors, extract_tree, run_extrac
 from parchmill.sinks.text_files import OutputCollision, write_text_files
 from parchmill.sources import documents
 from parchmill.sources.documents import Unreachable, list_documents, scan_visible
+from parchmill.sources.tree import scan_tree
 
 
 def text_of(spark, name, data):
@@ -264,6 +266,43 @@ def test_any_number_of_tasks_gives_the_same(spark, tmp_path):
     assert sorted(map(repr, extract_tree(spark, str(tmp_path), tasks=3).collect())) == some
 
 
+def test_a_tree_as_a_source(spark, tmp_path, capfd):
+    """Equal rows with extract_tree; files that filters leave out are not opened."""
+    root = tmp_path / "in"
+    (root / "sub").mkdir(parents=True)
+    (root / "a.docx").write_bytes(docx(paragraph("one")))
+    (root / "sub" / ".b.docx").write_bytes(docx(paragraph("two")))
+    (root / "c.XLSX").write_bytes(xlsx({"s": row("x", 1)}))
+    (root / "d.docx").write_bytes(b"broken")
+    (root / "e.docx").write_bytes(b"")
+    (root / "f.md").write_bytes(b"text")
+
+    def texts(df, name):
+        df.write.parquet(str(tmp_path / name))
+        rows = document_texts(spark.read.parquet(str(tmp_path / name))).collect()
+        return sorted((r.path, r.kind, r.text, r.status, r.error) for r in rows)
+
+    expected = sorted((r.path, r.kind, r.text, r.status, r.error) for r in extract_tree(spark, str(root)).collect())
+    tree = scan_tree(spark, str(root), tasks=3)
+    assert texts(tree, "all") == expected and len(expected) == 6
+    assert {r.path.rpartition("/")[2]: r.length for r in tree.select("path", "length").collect()}["f.md"] == 4
+    (root / "d.docx").unlink()  # whoever opens it now gets another error
+    (root / "c.XLSX").unlink()
+    asked = [
+        ("kind", F.col("kind") == "docx", lambda r: r[1] == "docx" and "d.docx" not in r[0]),
+        ("name", F.col("path").endswith("a.docx"), lambda r: r[0].endswith("a.docx")),
+        ("set", F.col("kind").isin("unsupported", "pdf"), lambda r: r[1] == "unsupported"),
+        ("size", (F.col("length") < 5) & F.col("path").contains("in"), lambda r: r[0][-4:] in ("e.docx"[-4:], "f.md") and r[3] != "ok" and "d.docx" not in r[0]),
+    ]
+    for name, condition, kept in asked:
+        df = tree.where(condition & ~F.col("path").endswith("d.docx"))
+        found = texts(df, name)
+        assert found == [r for r in expected if kept(r)], name
+    tree.where("kind = 'docx' AND length > 3 AND path LIKE '%a.docx'").explain()
+    plan = capfd.readouterr().out
+    assert "document_tree" in plan and not re.search(r"^\W*Filter", plan, re.M)
+
+
 def test_odd_trees(spark, tmp_path):
     root = tmp_path / "[odd] {x} *"
     (root / "sub").mkdir(parents=True)
@@ -358,9 +397,9 @@ def test_long_texts_go_on_in_segments(spark, tmp_path, monkeypatch):
         made = []
         for path, data in files.items():
             kind = path.rpartition(".")[2]
-            made += extract._rows_of(path, kind, pa.py_buffer(data), extract._cutters(spark)[kind])
-        parsed = pa.Table.from_batches([extract._batch([r]) for r in made])
-        return document_texts(spark.createDataFrame(parsed.to_pandas(), extract._PARSED_DDL).repartition(4))
+            made += extract._rows_of(path, kind, pa.py_buffer(data), extract.cutters(None)[kind])
+        parsed = pa.Table.from_batches([extract.batch_of([r]) for r in made])
+        return document_texts(spark.createDataFrame(parsed.to_pandas(), extract.PARSED_DDL).repartition(4))
 
     def by_path(df):
         out = {}
@@ -389,11 +428,11 @@ def test_long_texts_go_on_in_segments(spark, tmp_path, monkeypatch):
         assert (tmp_path / "out" / path[3:].replace(path[-4:], "txt")).read_bytes() == text and n == len(text)
 
 
-def test_batches_are_bounded(spark, monkeypatch):
+def test_batches_are_bounded(monkeypatch):
     monkeypatch.setattr(extract, "_BATCH_BYTES", 20)
     files = [docx(paragraph("12345678")) for _ in range(5)] + [b"broken"]
     columns = {"path": [f"{i}.docx" for i in range(6)], "kind": ["docx"] * 6, "content": files}
-    out = list(extract._parse(iter([pa.RecordBatch.from_pydict(columns)]), extract._cutters(spark)))
+    out = list(extract.cut_batches(iter([pa.RecordBatch.from_pydict(columns)]), extract.cutters(None)))
     assert [b.num_rows for b in out] == [2, 2, 2]
     assert [r["status"] for b in out for r in b.to_pylist()] == ["ok"] * 5 + ["error"]
 
