@@ -315,8 +315,8 @@ def train(
 
 
 def classify(found: DataFrame, model: PipelineModel | None, threshold: float = 0.5) -> DataFrame:
-    """Candidates with probability and is_secret. Without a model (nothing to learn
-    from) no candidate can be ruled out: all are secrets with probability 1."""
+    """Candidates with probability and is_secret; none give none. Without a model (nothing
+    to learn from) no candidate can be ruled out: all are secrets with probability 1."""
     if model is None:
         made = found.withColumn("probability", F.lit(1.0))
     else:
@@ -359,7 +359,8 @@ def redact(
     (rows.numbered) where ids are missing or repeated. A secret is replaced wherever the
     row's text has the same value as a candidate, whatever the verdict there. Rows
     without an id, text or secret stay as they are, and so do all columns' names, order
-    and types. The work grows with the text and its candidates, not their product.
+    and types. The work grows with the text and its candidates, not their product. An
+    empty table, or no findings, changes nothing.
     """
     same = findings.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id"), "candidate")
     same = same.agg(F.max("is_secret").alias("secret"), F.collect_list("slot").alias("slots"))

@@ -64,7 +64,7 @@ def write_shards(
     together hold more than a quarter of a bucket are spread by their place in the input,
     so that a bucket holds about `bucket_bytes`, all columns counted, or one longer row.
     Rows with null ids or texts are kept; repeated rows too; an empty table writes an
-    empty one. `path` must be on storage that all executors share, and must not exist.
+    empty one. A very long text has a bucket of its own size. `path` must be on storage that all executors share, and must not exist.
     Lost tasks are done again from the input.
     """
     spark = docs.sparkSession
