@@ -42,7 +42,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates one row stays, that of the smallest id; rows
     without an id come last. Of texts without words only equal ones of one id, or of
-    none, are duplicates."""
+    none, are duplicates. Further columns of any name stay as they are."""
     prepare(spark)
     rows = numbered(docs, whole(docs))
     texts = rows.select("key", F.col("row.text").alias("text"))
@@ -64,8 +64,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced in the text; every document stays. Findings are those of a
-    row, whatever its id."""
+    """Secrets are replaced in the text; every document stays, with all its columns, of any
+    name. Findings are those of a row, whatever its id."""
     prepare(spark)
     rows = numbered(docs, whole(docs, "text"), F.col("text"))
     found = secret_scan.scan(rows.select("key", "text", F.col("row.source").alias("source")), id_col="key")
@@ -74,7 +74,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it, with all its columns, of any name."""
     prepare(spark)
     mixed = mixing.mix(docs, mixing.word_count(F.col("text")), row_col="row")
     copies = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
@@ -82,7 +82,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, ids and n_tokens."""
+    """doc_id, lang, source, ids and n_tokens; further columns, of any name, go."""
     prepare(spark)
     model = pieces.PieceModel.load(piece_model(spark))
     made = pieces.encode(docs, model, keep=("doc_id", "lang", "source"))
