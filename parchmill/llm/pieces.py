@@ -27,6 +27,7 @@ from pyspark.sql.types import ArrayType, IntegerType
 from parchmill.llm.arrays import Texts, fresh, text_slices
 
 MARKER = "▁"
+SLICE = 4 << 20  # bytes of text at once
 LANES = 1 << 15
 LANE_BYTES = 1 << 20  # of all units that step together, each as long as the longest
 LONG_UNIT = 512  # bytes; longer units are solved one by one
@@ -305,7 +306,7 @@ def encode(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = pc.replace_substring(batch.column(at), MARKER, " ")
-            for texts in text_slices(column):
+            for texts in text_slices(column, SLICE):
                 ids, offsets = model.encode_texts(texts)
                 made = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
                 rows = batch.slice(texts.first, texts.rows)
