@@ -13,6 +13,7 @@ from pyspark.sql.types import StructType
 
 from parchmill.functions.text import WHITESPACE
 from parchmill.operators.heavy import Summary
+from parchmill.operators.slices import text_slices
 from parchmill.operators.subwords import PieceTrie
 from parchmill.session import scratch_path
 
@@ -99,7 +100,7 @@ class _Lookup:
         self.unk_id = unk_id
 
     def __call__(self, words: pa.Array) -> pa.Array:
-        coded = words.dictionary_encode()  # each distinct word of a batch is looked up once
+        coded = words.dictionary_encode()  # each distinct word is looked up once a slice
         found = [self.ids.get(w, self.unk_id) for w in coded.dictionary.to_pylist()]
         return pa.array(found, pa.int32()).take(coded.indices)
 
@@ -107,8 +108,9 @@ class _Lookup:
 def vocabulary_tokeniser(
     vocabulary: pa.Table, unk_id: int, length: int
 ) -> Callable[[Column], Column]:
-    """Split on white space, cut and look up, as an Arrow UDF: whole batches, no
-    row loop, no shuffle.
+    """Split on white space, cut and look up, as an Arrow UDF: many rows at once, no
+    row loop, no shuffle. A batch is worked on in slices of a megabyte of text, so a task's
+    memory does not follow the batch.
 
     The join on words would move every word of the corpus twice; looking them up
     where the text already is moves none.
@@ -119,7 +121,7 @@ def vocabulary_tokeniser(
     @F.arrow_udf("array<int>")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         look_up = _Lookup(tokens, ids, unk_id)
-        for texts in batches:
+        for texts in (some for batch in batches for some in text_slices(batch)):
             texts = pc.utf8_trim_whitespace(texts)
             texts = pc.if_else(pc.equal(texts, ""), pa.scalar(None, texts.type), texts)
             split = pc.utf8_split_whitespace(texts, max_splits=length)

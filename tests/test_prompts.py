@@ -262,3 +262,17 @@ def test_encoding_does_not_shuffle(spark):
     df = spark.createDataFrame([("a",)], "t string")
     out = encode.encode_with_vocabulary(spark, df, "t", vocabulary_of(spark, {"a": 1}), 0, 2, 4)
     assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+LONG_TEXTS = pa.array([None, "", *(f" w{k} " + "and so on " * 3000 for k in range(100)), "w1 " * 900_000, "w2"])
+
+
+def test_a_batch_of_words_is_looked_up_in_slices(spark):
+    """What a task makes of texts does not grow with the batch that holds them."""
+    vocabulary = pa.table({"token": ["and", "w1", "w2"], "id": pa.array([7, 8, 9], pa.int32())})
+    look_up = encode.vocabulary_tokeniser(vocabulary, 0, 3).func
+    made = list(look_up(iter([LONG_TEXTS.slice(1), LONG_TEXTS.slice(0, 0), LONG_TEXTS.slice(3, 60)])))
+    assert max(map(len, made)) <= (1 << 20) // 30_000 + 3 and len(made) >= 6
+    got = [ids for array in made for ids in array.to_pylist()]
+    ids = [[], *([{1: 8, 2: 9}.get(k, 0), 7, 0] for k in range(100)), [8, 8, 8], [9]]
+    assert got == ids + ids[2:62]
