@@ -137,7 +137,7 @@ def subword_tokeniser(
     vocabulary: pa.Table, unk_id: int, length: int, continuation: str = "##", max_bytes: int | None = None
 ) -> Callable[[Column], Column]:
     """Split on white space, then cut every word into the longest pieces of the vocabulary
-    from its left, as an Arrow UDF: whole batches, no row loop, no shuffle.
+    from its left, as an Arrow UDF: slices of batches, no row loop, no shuffle.
 
     Pieces after a word's first are those that the vocabulary has with `continuation`
     before them. A word that cannot be cut to its end, or is longer than `max_bytes`, is
@@ -148,10 +148,10 @@ def subword_tokeniser(
 
     @F.arrow_udf("array<int>")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
+        for texts in (some for batch in batches for some in text_slices(batch)):
             split = _split(texts, length)
             flat = split.flatten()
-            coded = flat.dictionary_encode()  # each distinct word of a batch is cut once
+            coded = flat.dictionary_encode()  # each distinct word is cut once a slice
             ids, ends = trie.cut(coded.dictionary, unk_id, max_bytes)
             which = coded.indices.to_numpy(zero_copy_only=False)
             count = np.diff(ends)[which] if len(which) else np.zeros(0, np.int64)

@@ -276,3 +276,14 @@ def test_a_batch_of_words_is_looked_up_in_slices(spark):
     got = [ids for array in made for ids in array.to_pylist()]
     ids = [[], *([{1: 8, 2: 9}.get(k, 0), 7, 0] for k in range(100)), [8, 8, 8], [9]]
     assert got == ids + ids[2:62]
+
+
+def test_a_batch_of_words_is_cut_in_slices(spark):
+    vocabulary = pa.table({"token": ["a", "##nd", "w", "##1", "so", "on"], "id": pa.array(range(2, 8), pa.int32())})
+    cut = encode.subword_tokeniser(vocabulary, 0, 3).func
+    made = list(cut(iter([LONG_TEXTS, LONG_TEXTS.slice(0, 0), LONG_TEXTS.slice(3, 60)])))
+    assert max(map(len, made)) <= (1 << 20) // 30_000 + 3 and len(made) >= 6
+    got = [ids for array in made for ids in array.to_pylist()]
+    known = {1: [4, 5, 2], 11: [4, 5, 5]}
+    ids = [[], [], *(known.get(k, [0, 2, 3]) for k in range(100)), [4, 5, 4], [0]]
+    assert got == ids + ids[3:63]
