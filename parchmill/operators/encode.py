@@ -227,15 +227,7 @@ def encode_by_join(
     )
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        summary, last = Summary(2 * _FREQUENT), None
-        for batch in batches:
-            summary.add(_split(batch.column("text"), length).flatten())
-            if last is not None:
-                yield _with_heavy(last, None)
-            last = batch
-        if last is not None and len(last):  # a task's summary goes with its last row
-            yield _with_heavy(last.slice(0, len(last) - 1), None)
-            yield _with_heavy(last.slice(len(last) - 1), summary)
+        return _summed(batches, length)
 
     schema = StructType([*numbered.schema.fields, *StructType.fromDDL(f"heavy {_HEAVY}").fields])
     numbered.mapInArrow(summed, schema).write.parquet(path)
@@ -265,6 +257,21 @@ def encode_by_join(
     return joined.select(*_others(df), *fixed_length(found, length, pad_id))
 
 
+def _summed(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """The rows, the last with a summary of the words of all."""
+    summary, last = Summary(2 * _FREQUENT), None
+    for batch in batches:
+        for texts in text_slices(batch.column("text")):
+            summary.add(_split(texts, length).flatten())
+        if len(batch):
+            if last is not None:
+                yield _with_heavy(last, None)
+            yield _with_heavy(batch.slice(0, len(batch) - 1), None)
+            last = batch.take(pa.array([len(batch) - 1]))  # a copy, which keeps no batch alive
+    if last is not None:  # a task's summary goes with its last row
+        yield _with_heavy(last, summary)
+
+
 _HEAVY = "struct<total:bigint,words:array<struct<token:string,n:bigint>>>"
 
 

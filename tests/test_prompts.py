@@ -287,3 +287,21 @@ def test_a_batch_of_words_is_cut_in_slices(spark):
     known = {1: [4, 5, 2], 11: [4, 5, 5]}
     ids = [[], [], *(known.get(k, [0, 2, 3]) for k in range(100)), [4, 5, 4], [0]]
     assert got == ids + ids[3:63]
+
+
+def test_words_are_summed_up_in_slices(monkeypatch):
+    """A task's summary goes with its last row, and no batch is held until the next."""
+    sizes, batches = [], [LONG_TEXTS, LONG_TEXTS.slice(0, 0), LONG_TEXTS.slice(3, 60)]
+
+    class Sized(Summary):
+        def add(self, values):
+            sizes.append(len(values))
+            super().add(values)
+
+    monkeypatch.setattr(encode, "Summary", Sized)
+    made = list(encode._summed((pa.RecordBatch.from_arrays([b], ["text"]) for b in batches), 9000))
+    assert max(sizes) <= 35 * 9000 and sum(sizes) == 160 * 9000 + 9000 + 1
+    rows = [t for b in made for t in b.column("text").to_pylist()]
+    assert rows == [t for b in batches for t in b.to_pylist()]
+    heavy = [h for b in made for h in b.column("heavy").to_pylist()]
+    assert heavy[:-1] == [None] * (len(rows) - 1) and heavy[-1]["total"] == sum(sizes)
