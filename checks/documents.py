@@ -18,7 +18,7 @@ from parchmill.operators.extract import document_texts, extract_metrics, extract
 from parchmill.operators.route import output_collisions, route, unsupported_files
 from parchmill.plans.extract_tree import extract_tree, run_extraction
 from parchmill.session import scratch_path
-from parchmill.sinks.text_files import write_text_files
+from parchmill.sinks.text_files import read_text_files, write_text_files
 from parchmill.sources.documents import list_documents
 from parchmill.sources.tree import scan_tree
 
@@ -393,10 +393,7 @@ def _texts(spark: SparkSession, sf: str) -> DataFrame:
 def text_sink_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     root = scratch_path(spark, "texts")
     write_text_files(_texts(spark, sf), root)
-    stored = spark.read.text(root, wholetext=True)
-    return stored.select(
-        F.col("_metadata.file_name").alias("name"), F.col("value").alias("text")
-    )
+    return read_text_files(spark, root)
 
 
 def _shared_names(spark: SparkSession, sf: str) -> DataFrame:

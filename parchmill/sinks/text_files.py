@@ -1,35 +1,31 @@
-"""One UTF-8 text file per document in a flat folder."""
+"""One UTF-8 text file per document in a flat folder, and what is in such a folder."""
 
 from __future__ import annotations
 
 import contextlib
-import hashlib
 import uuid
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import groupby, islice
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parchmill.formats.storage import resolve
 from parchmill.operators.route import output_collisions
 from parchmill.session import full_uri, scratch_path
+from parchmill.sources.documents import deal_documents
 
-_MANIFEST = pa.schema([("path", pa.string()), ("out_name", pa.string()), ("n_bytes", pa.int64())])
 _DDL = "path string, out_name string, n_bytes bigint"
+# What a task says of its files, and its files' texts, go on in batches of so many rows or bytes.
+_BATCH_ROWS, _BATCH_BYTES = 1000, 4 << 20
 
 
 class OutputCollision(ValueError):
     """Several documents would be written to the same file."""
 
 
-def _partial(path: str) -> str:
-    """The name a document's text has until it is known what name it gets."""
-    return hashlib.sha256(path.encode()).hexdigest()
-
-
 def _replace(fs: pafs.FileSystem, partial: str, name: str) -> None:
     try:
         fs.move(partial, name)
@@ -59,6 +55,32 @@ def _texts(
         yield (path, name), (text for _, text in rows)
 
 
+def _write(batches: Iterator[pa.RecordBatch], partials: str) -> Iterator[pa.RecordBatch]:
+    """path, out_name, n_bytes and partial: the file that has the text."""
+    fs, beside = resolve(partials)
+    fs.create_dir(beside, recursive=True)
+
+    def written() -> Iterator[tuple]:
+        for (path, name), pieces in _texts(batches):
+            partial, n_bytes, complete = uuid.uuid4().hex, 0, True
+            with fs.open_output_stream(f"{beside}/{partial}") as out:
+                for text in pieces:
+                    complete = complete and text.is_valid
+                    if complete:
+                        data = text.as_buffer()
+                        out.write(data)
+                        n_bytes += data.size
+            if complete:
+                yield path, name, n_bytes, partial
+
+    files = written()
+    while some := list(islice(files, _BATCH_ROWS)):
+        path, name, n_bytes, partial = map(list, zip(*some, strict=True))
+        text = [pa.array(c, pa.string()) for c in (path, name, partial)]
+        columns = [text[0], text[1], pa.array(n_bytes, pa.int64()), text[2]]
+        yield pa.RecordBatch.from_arrays(columns, ["path", "out_name", "n_bytes", "partial"])
+
+
 def _named(written: DataFrame, on_collision: str) -> DataFrame:
     """Written texts with final_name; null for those that others replace."""
     clashes = output_collisions(written.select("path", "out_name"))
@@ -82,12 +104,12 @@ def _named(written: DataFrame, on_collision: str) -> DataFrame:
 def write_text_files(texts: DataFrame, folder: str, on_collision: str = "error") -> DataFrame:
     """Write the texts that were extracted; returns (path, out_name, n_bytes).
 
-    The texts are read once. Each is written beside the folder under a name that its
-    path decides, by the task that has it; only texts of several rows are shuffled, to
-    bring these together. Which names are shared is found on (path, out_name) alone, so
+    The texts are read once. Each is written beside the folder under a name of its own,
+    by the task that has it; only texts of several rows are shuffled, to bring these
+    together. The manifest has the names that tasks wrote which did not fail. Which names are shared is found on (path, out_name) alone, so
     a name that very many files share moves no text. Then the files are renamed into the
-    folder. A task that is lost leaves nothing there, and one that runs again does the
-    same again. A file that turned out broken after some rows is not written.
+    folder, once each. A task that is lost leaves nothing there, and one that runs again
+    writes other files or finds its files renamed. A file that turned out broken after some rows is not written.
 
     `on_collision`: "error" refuses names that several files share, "suffix" adds
     a hash of the path to them, "last" keeps the file with the greatest path.
@@ -107,23 +129,7 @@ def write_text_files(texts: DataFrame, folder: str, on_collision: str = "error")
     partials = f"{folder.rstrip('/')}.partial-{uuid.uuid4().hex}"
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, beside = resolve(partials)
-        fs.create_dir(beside, recursive=True)
-        for (path, name), pieces in _texts(batches):
-            # Of two attempts at one text each has a file, and either may be the last.
-            attempt, n_bytes, complete = f"{beside}/{uuid.uuid4().hex}", 0, True
-            with fs.open_output_stream(attempt) as out:
-                for text in pieces:
-                    complete = complete and text.is_valid
-                    if complete:
-                        data = text.as_buffer()
-                        out.write(data)
-                        n_bytes += data.size
-            if complete:
-                _replace(fs, attempt, f"{beside}/{_partial(path)}")
-                yield pa.RecordBatch.from_pylist(
-                    [{"path": path, "out_name": name, "n_bytes": n_bytes}], _MANIFEST
-                )
+        return _write(batches, partials)
 
     def rename(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, beside = resolve(partials)
@@ -131,15 +137,18 @@ def write_text_files(texts: DataFrame, folder: str, on_collision: str = "error")
         fs.create_dir(base, recursive=True)
         for batch in batches:
             for row in batch.to_pylist():
-                _replace(fs, f"{beside}/{_partial(row['path'])}", f"{base}/{row['final_name']}")
+                _replace(fs, f"{beside}/{row['partial']}", f"{base}/{row['final_name']}")
             done = batch.set_column(1, "out_name", batch.column("final_name"))
             yield done.select(["path", "out_name", "n_bytes"])
 
     try:
         manifest = scratch_path(spark, "manifest")
-        rows.mapInArrow(write, _DDL).write.parquet(manifest)
-        named = _named(spark.read.schema(_DDL).parquet(manifest), on_collision)
-        named = named.where("final_name IS NOT NULL").select("path", "out_name", "n_bytes", "final_name")
+        said = f"{_DDL}, partial string"
+        rows.mapInArrow(write, said).write.parquet(manifest)
+        named = _named(spark.read.schema(said).parquet(manifest), on_collision).where("final_name IS NOT NULL")
+        named = named.select("path", "out_name", "n_bytes", "partial", "final_name")
+        # Names are small, so few tasks would have them all; renaming takes its time by the file.
+        named = named.repartition(spark.sparkContext.defaultParallelism)
         written = scratch_path(spark, "written")
         named.mapInArrow(rename, _DDL).write.parquet(written)
         return spark.read.schema(_DDL).parquet(written)
@@ -147,3 +156,32 @@ def write_text_files(texts: DataFrame, folder: str, on_collision: str = "error")
         fs, beside = resolve(partials)
         with contextlib.suppress(OSError):  # what others replaced and lost tasks left
             fs.delete_dir(beside)
+
+
+def read_text_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(name, text) of all files of a folder that write_text_files() filled.
+
+    Executors list the folder, and the files are dealt out to tasks by size with a small
+    charge for each; a scan of Spark's has the driver list them and a task for some 30.
+    """
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, texts, size = [], [], 0
+
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(texts, pa.string())], ["name", "text"])
+
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                fs, local = resolve(path)
+                with fs.open_input_stream(local) as file:
+                    texts.append(file.read())
+                names.append(path.rpartition("/")[2])
+                size += len(texts[-1])
+                if size > _BATCH_BYTES or len(names) >= _BATCH_ROWS:
+                    yield made()
+                    names, texts, size = [], [], 0
+        if names:
+            yield made()
+
+    return deal_documents(spark, folder).select("path").mapInArrow(read, "name string, text string")

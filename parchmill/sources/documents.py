@@ -39,7 +39,8 @@ def _list_folders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for folder in batch.column("path").to_pylist():
             entries = children(folder)
             while some := list(islice(entries, 10_000)):
-                yield pa.RecordBatch.from_pylist([e._asdict() for e in some], _LISTED_ARROW)
+                columns = [pa.array(c, t) for c, t in zip(zip(*some), _LISTED_ARROW.types, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, schema=_LISTED_ARROW)
 
 
 def _listing(spark: SparkSession, root: str) -> DataFrame:

@@ -22,6 +22,7 @@ from parchmill.operators.extract import (
     parse_documents,
 )
 from parchmill.plans.extract_tree import TooManyErrors, extract_tree, run_extraction
+from parchmill.sinks import text_files
 from parchmill.sinks.text_files import OutputCollision, write_text_files
 from parchmill.sources import documents
 from parchmill.sources.documents import Unreachable, list_documents, scan_visible
@@ -490,3 +491,36 @@ def test_supported_names_in_any_case(spark):
     df = spark.createDataFrame([(n,) for n in names], "path string")
     kinds = [r.kind for r in extract.route(df).select(F.col("kind")).collect()]
     assert kinds == ["docx", "xlsx", "xlsx", "pdf", "pptx"] + ["unsupported"] * 3
+
+
+def test_files_are_written_and_told_of_many_at_a_time(tmp_path):
+    """A file costs no batch of its own; of a file written twice each attempt has one."""
+    texts = [f"é{k}" for k in range(2500)]
+    columns = {"path": [f"/{k}" for k in range(2500)], "out_name": [f"{k}.txt" for k in range(2500)],
+               "segment_no": [0] * 2500, "text": texts}
+    for attempt in (1, 2):
+        batch = pa.RecordBatch.from_pydict(columns)
+        made = list(text_files._write(iter([batch.slice(0, 1700), batch.slice(1700)]), str(tmp_path)))
+        assert [b.num_rows for b in made] == [1000, 1000, 500]
+        rows = [r for b in made for r in b.to_pylist()]
+        assert [(tmp_path / r["partial"]).read_text() for r in rows] == texts
+        assert len(list(tmp_path.iterdir())) == attempt * 2500
+
+
+@pytest.mark.parametrize("on_collision", ["error", "last", "suffix"])
+def test_written_texts_are_read_again_in_few_tasks(spark, tmp_path, on_collision):
+    texts = {f"/{k}.docx": f"é\r\n{k}" * (k % 3) for k in range(600)}
+    rows = [(p, f"n{p[1:-5]}.txt", 0, True, t, "ok") for p, t in texts.items()]
+    if on_collision != "error":
+        rows += [(f"/z{p}", name, 0, True, t + "!", "ok") for p, name, _, _, t, _ in rows[:5]]
+    df = spark.createDataFrame(rows, "path string, out_name string, segment_no int, is_last boolean, text string, status string")
+    folder = str(tmp_path / "out")
+    told = write_text_files(df, folder, on_collision).collect()
+    stored = text_files.read_text_files(spark, folder)
+    assert stored.rdd.getNumPartitions() <= 3
+    found = {r.name: r.text for r in stored.collect()}
+    by_path = {r[0]: r[4] for r in rows}
+    assert found == {r.out_name: by_path[r.path] for r in told}
+    assert len(found) == {"error": 600, "last": 600, "suffix": 605}[on_collision]
+    assert found["n4.txt"] == "é\r\n4" + "!" * (on_collision == "last") if on_collision != "suffix" else "n4.txt" not in found
+    assert [p.name for p in tmp_path.iterdir()] == ["out"]
