@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from parchmill.llm import language_id, minhash, mixing, pieces, secret_scan
 from parchmill.llm.arrays import fresh
+from parchmill.llm.parted import parted
 from parchmill.llm.queries import piece_model, prepare
 from parchmill.llm.rows import numbered
 from parchmill.session import scratch_path
@@ -60,7 +61,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     first = first.where("n > 1").select(F.col("group").alias("g"), F.col("wordless").alias("w"), "first")
     same = F.col("group").eqNullSafe(F.col("g")) & F.col("wordless").eqNullSafe(F.col("w"))
     gone = found.join(first, same).where(F.col("key") != F.col("first.key")).select("key")
-    return rows.join(gone, "key", "left_anti").select(*columns_of(docs))
+    path = scratch_path(spark, "pipeline-gone")
+    gone.write.parquet(path)
+    gone = spark.read.schema(gone.schema).parquet(path)
+    # Only texts that may go are shuffled.
+    some, others = parted(rows, F.col("key"), gone)
+    kept = some.join(gone, "key", "left_anti").select("key", "row").unionAll(others.select("key", "row"))
+    return kept.select(*columns_of(docs))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

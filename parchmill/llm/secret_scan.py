@@ -20,6 +20,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parchmill.llm.parted import parted
 from parchmill.session import scratch_path
 
 MIN_LENGTH = 16
@@ -371,8 +372,13 @@ def redact(
     gaps = F.zip_with("slots", F.slice(after, F.lit(1), F.size("slots")), lambda here, last: here - last - 1)
     marks = F.array_join(F.transform(gaps, lambda g: F.concat(F.repeat(F.lit("0"), g), F.lit("1"))), "")
     secrets = secrets.select("__id", F.encode(marks, "UTF-8").alias("__marks"))
+    spark, path = docs.sparkSession, scratch_path(docs.sparkSession, "secrets")
+    secrets.write.parquet(path)
+    secrets = spark.read.schema(secrets.schema).parquet(path)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
-    both = rows.join(secrets, F.col("__row")[id_col] == F.col("__id"), "left")
+    # Only texts that may have a secret are shuffled.
+    some, others = parted(rows, F.col("__row")[id_col], secrets.select("__id"))
+    both = some.join(secrets, F.col("__row")[id_col] == F.col("__id"), "left")
     text = F.col("__row")[text_col]
     # The text is cut as for candidates(), with signs like _MARK spelled in others.
     spelled = F.replace(F.replace(text, F.lit("\u0002"), F.lit("\u0002\u0004")), F.lit(_MARK), F.lit("\u0002\u0003"))
@@ -394,6 +400,7 @@ def redact(
     clean = F.array_join(F.transform(parts, cleaned), "")
     clean = F.replace(F.replace(clean, F.lit("\u0002\u0003"), F.lit(_MARK)), F.lit("\u0002\u0004"), F.lit("\u0002"))
     clean = F.when(F.col("__marks").isNull(), text).otherwise(clean)
-    return both.select(
+    made = both.select(
         *[clean.alias(c) if c == text_col else F.col("__row")[c].alias(c) for c in docs.columns]
     )
+    return made.unionAll(others.select(*[F.col("__row")[c].alias(c) for c in docs.columns]))
