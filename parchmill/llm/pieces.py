@@ -27,7 +27,7 @@ from pyspark.sql.types import ArrayType, IntegerType
 from parchmill.llm.arrays import Texts, fresh, text_slices
 
 MARKER = "▁"
-SLICE = 4 << 20  # bytes of text at once
+SLICE = 1 << 20  # bytes of text at once
 LANES = 1 << 15
 LANE_BYTES = 1 << 20  # of all units that step together, each as long as the longest
 LONG_UNIT = 512  # bytes; longer units are solved one by one
@@ -304,18 +304,25 @@ def encode(
         taken = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").alias(fresh(kept, "text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = pc.replace_substring(batch.column(at), MARKER, " ")
-            for texts in text_slices(column, SLICE):
-                ids, offsets = model.encode_texts(texts)
-                made = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
-                rows = batch.slice(texts.first, texts.rows)
-                yield pa.RecordBatch.from_arrays([*rows.columns[: len(kept)], made], [*kept, ids_col])
+        return _encoded(batches, model, at, kept, ids_col)
 
     schema = docs.select(*[F.col(f"`{c}`") for c in kept]).schema.add(ids_col, ArrayType(IntegerType()))
     return taken.mapInArrow(run, schema)
 
 
+def _encoded(
+    batches: Iterator[pa.RecordBatch], model: PieceModel, at: int, kept: list[str], ids_col: str
+) -> Iterator[pa.RecordBatch]:
+    """The first columns and the ids of the texts in column `at`, a slice at a time."""
+    for batch in batches:
+        column = pc.replace_substring(batch.column(at), MARKER, " ")
+        for texts in text_slices(column, SLICE):
+            ids, offsets = model.encode_texts(texts)
+            made = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
+            rows = batch.slice(texts.first, texts.rows)
+            yield pa.RecordBatch.from_arrays([*rows.columns[: len(kept)], made], [*kept, ids_col])
+
+
 def decode(
     rows: DataFrame, model: PieceModel, ids_col: str = "ids", text_col: str = "decoded"
 ) -> DataFrame:

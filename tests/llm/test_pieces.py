@@ -8,7 +8,7 @@ import pytest
 
 from parchmill.llm import queries
 from parchmill.llm.arrays import text_slices
-from parchmill.llm.pieces import MARKER, PieceModel, decode, encode
+from parchmill.llm.pieces import MARKER, PieceModel, _encoded, decode, encode
 
 PATH = "/opt/tokenizers/piece_bpe_32k.model"
 needs_file = pytest.mark.skipif(not os.path.exists(PATH), reason="no piece model here")
@@ -117,3 +117,16 @@ def test_edges(make):
     assert decode(encode(make([]), model), model).collect() == []
     with pytest.raises(ValueError):
         PieceModel.of([("a", -1.0, "piece")])
+
+
+def test_a_batch_of_texts_is_encoded_in_slices():
+    """What a task holds does not follow the batch; a megabyte of text takes some 30 MB."""
+    model = PieceModel.of(toy(7))
+    texts = ["a b中" * 15_000, None, "", *("cab é中" * 10_000 for _ in range(39))]
+    batch = pa.RecordBatch.from_pydict({"n": list(range(len(texts))), "text": pa.array(texts, pa.string())})
+    made = list(_encoded(iter([batch, batch.slice(0, 3)]), model, 1, ["n"], "ids"))
+    assert max(len(b) for b in made) <= (1 << 20) // 90_000 + 3 and len(made) >= 5
+    assert [n for b in made for n in b.column("n").to_pylist()] == [*range(len(texts)), 0, 1, 2]
+    ids = [x for b in made for x in b.column("ids").to_pylist()]
+    assert [ids[0], *ids[3:5]] == encoded(model, [texts[0], *texts[3:5]]) and ids[1] == ids[2] == []
+    assert all(x == ids[3] for x in ids[4:-3]) and ids[-3:] == ids[:3]
