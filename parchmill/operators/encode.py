@@ -15,7 +15,7 @@ from parchmill.functions.text import WHITESPACE
 from parchmill.operators.heavy import Summary
 from parchmill.operators.slices import text_slices
 from parchmill.operators.subwords import PieceTrie
-from parchmill.session import scratch_path
+from parchmill.session import batches_of, scratch_path
 
 # White space of any script; the four separators are not in Java's class.
 _SPLIT = r"(?U)[\s\x1c-\x1f]+"
@@ -25,6 +25,8 @@ _SPLIT = r"(?U)[\s\x1c-\x1f]+"
 _FREQUENT = 1000
 _SALTS = 64
 _ADDED = ("input_ids", "attention_mask")
+# Of rows sent to Python at once when a vocabulary is joined.
+_BATCH_BYTES = 4 << 20
 
 
 class RepeatedToken(ValueError):
@@ -230,7 +232,8 @@ def encode_by_join(
         return _summed(batches, length)
 
     schema = StructType([*numbered.schema.fields, *StructType.fromDDL(f"heavy {_HEAVY}").fields])
-    numbered.mapInArrow(summed, schema).write.parquet(path)
+    with batches_of(spark, _BATCH_BYTES):
+        numbered.mapInArrow(summed, schema).write.parquet(path)
     kept = spark.read.schema(schema).parquet(path)
 
     summaries = kept.where("heavy IS NOT NULL").select("heavy")

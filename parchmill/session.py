@@ -7,6 +7,8 @@ import posixpath
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow.fs as pafs
@@ -71,6 +73,18 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def batches_of(spark: SparkSession, n_bytes: int) -> Iterator[None]:
+    """Batches of at most `n_bytes`, or one row, go to Python in what is run inside."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(n_bytes))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def ship_package(spark: SparkSession, *folders: str) -> None:
     """Send this package (and further ones by folder) to every executor, once per
     session. Not needed where executors have it installed."""

@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
-from pyspark.sql import Observation
+from pyspark.sql import DataFrameWriter, Observation
 from pyspark.sql import functions as F
 
 from parchmill.functions.text import WHITESPACE
@@ -305,3 +305,19 @@ def test_words_are_summed_up_in_slices(monkeypatch):
     assert rows == [t for b in batches for t in b.to_pylist()]
     heavy = [h for b in made for h in b.column("heavy").to_pylist()]
     assert heavy[:-1] == [None] * (len(rows) - 1) and heavy[-1]["total"] == sum(sizes)
+
+
+def test_rows_go_to_python_in_small_batches(spark, monkeypatch):
+    """A vocabulary's join does not send rows by the thousand; the session's setting stays."""
+    key, seen, write = "spark.sql.execution.arrow.maxBytesPerBatch", [], DataFrameWriter.parquet
+
+    def spied(self, *args, **kwargs):
+        seen.append(int(spark.conf.get(key).rstrip("b")))
+        return write(self, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", spied)
+    before = spark.conf.get(key)
+    df = spark.createDataFrame([("a b",)], "t string")
+    made = encode.encode_by_join(spark, df, "t", vocabulary_of(spark, {"a": 1}), 0, 2, 3)
+    assert [r.input_ids for r in made.collect()] == [[1, 0, 2]]
+    assert seen and max(seen) <= 4 << 20 and spark.conf.get(key) == before
