@@ -9,7 +9,7 @@ where their row is: nothing moves. A broken file is a row with an error.
 from __future__ import annotations
 
 import io
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from typing import BinaryIO
 
 import pyarrow as pa
@@ -109,18 +109,23 @@ def _rows_of(path: str, kind: str, content: pa.Buffer | None, parser: Callable)
 
 
 def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(
-                [None if v is None else [dict(zip(_RECORD.names, r, strict=True)) for r in v] for v in column]
-                if f.name == "records"
-                else column,
-                f.type,
-            )
-            for f, column in zip(_PARSED, zip(*rows, strict=True), strict=True)
-        ],
-        schema=_PARSED,
-    )
+    columns = [
+        _records_of(column) if f.name == "records" else pa.array(column, f.type)
+        for f, column in zip(_PARSED, zip(*rows, strict=True), strict=True)
+    ]
+    return pa.RecordBatch.from_arrays(columns, schema=_PARSED)
+
+
+def _records_of(pieces: Sequence[list[tuple] | None]) -> pa.Array:
+    """Lists of records, made a field at a time."""
+    offsets, flat = [], []
+    for piece in pieces:
+        offsets.append(None if piece is None else len(flat))
+        flat.extend(piece or ())
+    columns = zip(*flat, strict=True) if flat else [()] * len(_RECORD)
+    records = [pa.array(c, f.type) for c, f in zip(columns, _RECORD, strict=True)]
+    made = pa.StructArray.from_arrays(records, fields=list(_RECORD))
+    return pa.ListArray.from_arrays(pa.array([*offsets, len(flat)], pa.int32()), made)
 
 
 def cut_batches(

@@ -524,3 +524,26 @@ def test_written_texts_are_read_again_in_few_tasks(spark, tmp_path, on_collision
     assert len(found) == {"error": 600, "last": 600, "suffix": 605}[on_collision]
     assert found["n4.txt"] == "é\r\n4" + "!" * (on_collision == "last") if on_collision != "suffix" else "n4.txt" not in found
     assert [p.name for p in tmp_path.iterdir()] == ["out"]
+
+
+def test_a_missing_pdf_library_is_looked_for_once(monkeypatch):
+    """A search of all places for each file takes longer than the file."""
+    import io
+    import sys
+
+    from parchmill.formats import cut
+
+    asked = []
+
+    class Spy:
+        @staticmethod
+        def find_spec(name, path=None, target=None):
+            asked.append(name)
+
+    monkeypatch.setattr(sys, "meta_path", [Spy])
+    monkeypatch.setattr(sys, "path", [*sys.path, "/nowhere"])
+    monkeypatch.delitem(sys.modules, "pypdf", raising=False)
+    for _ in range(5):
+        with pytest.raises(ModuleNotFoundError, match="No module named 'pypdf'"):
+            list(cut.pdf(io.BytesIO(b"")))
+    assert asked == ["pypdf"]
